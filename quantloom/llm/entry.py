@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from quantloom.llm import byte_bpe, decontamination, exact_dedup, url_filter
+from quantloom.llm import (
+    byte_bpe,
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    pii_surrogates,
+    pitman_yor,
+    token_output,
+    toxicity,
+    url_filter,
+    warc_fixity,
+)
 
 QUERIES = {
+    "op1_pii_surrogates": pii_surrogates.op1_pii_surrogates,
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_warc_fixity": warc_fixity.op6_warc_fixity,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_pitman_yor": pitman_yor.op9_pitman_yor,
+    "op10_token_output": token_output.op10_token_output,
 }
 ORACLE_SQL = {
     "op2_benchmark_decontamination": decontamination.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
+    "op6_warc_fixity": warc_fixity.SQL,
     "op7_url_filter": url_filter.SQL,
 }
