@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import byte_bpe, decontamination, exact_dedup
+from quantloom.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
 from quantloom.llm.shared import materialize, read
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return jaccard_join.drop_near_copies(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), mode="drop")
@@ -25,7 +35,9 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", jaccard_join_stage),
     ("benchmark decontamination", decontamination_stage),
     ("byte-level BPE", byte_bpe_stage),
 ]
