@@ -1,5 +1,552 @@
-"""The registered queries of the reference's own operators."""
+"""The registered queries of the bar operators, named after the operator, with their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quantloom.functions.windows import lag, ratio
+from quantloom.operators import indicators as ind
+from quantloom.operators import patterns, portfolio, quality, rules
+from quantloom.operators.indicators import rounded
+from quantloom.plans import sql
+from quantloom.plans.sql import IND, W, cross, over
+from quantloom.sources import bars as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "r1_yearline_filter"
+
+
+def register(name: str, oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def _columns(name: str, step: Callable[[DataFrame], DataFrame], columns: dict[str, str], ctes: tuple[str, ...] = (IND,), source: str = "ind", needs_ma: bool = True):
+    """A query that shows columns of a step over daily bars, and the SQL that computes each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = src.bars(spark, sf_dir)
+        bars = step(ind.moving_averages(bars) if needs_ma else bars)
+        return rounded(bars.select("symbol", "dt", *columns))
+
+    body = "SELECT symbol, dt, " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {source} {W}"
+    register(name, over(body, *ctes))(run)
+
+
+r6 = lambda e: f"round({e}, 6)"
+_columns("w1_sma_set", lambda b: b, {f"ma{n}": r6(f"ma{n}") for n in ind.PERIODS})
+_columns("w2_ma_slope", ind.ma_slopes, {f"ma{n}_slope": r6(f"ma{n}_slope") for n in (5, 10, 20, 60)})
+_columns("w3_ma_arrangement", ind.ma_arrangement, {"arrangement": "arrangement", "arrangement_strength": "CASE WHEN arrangement = 1 THEN 2 + (ma20 > ma60 AND ma60 IS NOT NULL)::INT WHEN arrangement IS NOT NULL THEN 0 END"})
+_columns("w4_ma_cross", ind.ma_signals, {"ma_cross": cross("ma5p", "ma10p", "ma5", "ma10"), "ma20_cross": cross("c1", "ma20p", "close", "ma20")})
+_RSI = "CASE WHEN loss = 0 THEN CASE WHEN gain > 0 THEN 100.0 END ELSE 100 - 100 / (1 + gain / loss) END"
+_columns("w7_rsi", ind.rsi, {"rsi": r6(_RSI)})
+_RSI_CTE = f"rs AS (SELECT *, {_RSI} AS rsi FROM ind)"
+_columns(
+    "w8_rsi_signals", lambda b: ind.rsi_signals(ind.rsi(b)),
+    {"rsi_cross": "CASE WHEN lag(rsi) OVER w <= 30 AND rsi > 30 THEN 1 WHEN lag(rsi) OVER w >= 70 AND rsi < 70 THEN -1 ELSE 0 END",
+     "rsi_run": "CASE WHEN lag(rsi, 2) OVER w < lag(rsi) OVER w AND lag(rsi) OVER w < rsi THEN 1 WHEN lag(rsi, 2) OVER w > lag(rsi) OVER w AND lag(rsi) OVER w > rsi THEN -1 ELSE 0 END"},
+    (IND, _RSI_CTE), "rs",
+)
+_DIST = " + ".join(f"coalesce(abs(close - {m}) / abs({m}) * 100, 0)" for m in ("ma5", "ma10", "ma20", "ma60"))
+_KNOWN = " + ".join(f"({m} IS NOT NULL)::INT" for m in ("ma5", "ma10", "ma20", "ma60"))
+_STRENGTH = f"ts AS (SELECT *, CASE WHEN ma5 IS NULL THEN 0 ELSE ({_DIST}) / ({_KNOWN}) * 0.7 + coalesce(arrangement * 30, 0) END AS s FROM ind)"
+_columns(
+    "w9_trend_strength", lambda b: ind.trend_strength(ind.ma_arrangement(b)),
+    {"trend_strength": r6("s"), "trend_scaled": "round(CASE WHEN max(s) OVER (PARTITION BY symbol) > min(s) OVER (PARTITION BY symbol) THEN (s - min(s) OVER (PARTITION BY symbol)) / (max(s) OVER (PARTITION BY symbol) - min(s) OVER (PARTITION BY symbol)) * 100 ELSE 0 END, 6)"},
+    (IND, _STRENGTH), "ts",
+)
+_columns("w10_volume_ratio", ind.volume_ratio, {"volume_ratio": r6("volume_ratio")}, needs_ma=False)
+_columns(
+    "w11_turnover_stats", ind.turnover_stats,
+    {**{f"turn_ma{n}": r6(f"turn_ma{n}") for n in (5, 10, 20)}, "turn_change": r6("(turn / lag(turn) OVER w - 1) * 100"), "turn_place": r6("(turn - turn_ma20) / turn_ma20 * 100"),
+     "turn_zone": "CASE WHEN turn < 1 THEN 'dull' WHEN turn < 3 THEN 'mild' WHEN turn < 5 THEN 'gathering' WHEN turn < 8 THEN 'lively' ELSE 'heavy' END"}, needs_ma=False,
+)
+_columns(
+    "w12_volume_signals", lambda b: ind.volume_signals(ind.volume_ratio(b)),
+    {"volume_level": "CASE WHEN volume_ratio > 1.5 THEN 1 WHEN volume_ratio < 0.5 THEN -1 ELSE 0 END",
+     "volume_break": "CASE WHEN v1 <= 1.5 * vma20p AND volume > 1.5 * vma20 THEN 1 WHEN vma20 IS NOT NULL AND v1 >= 0.5 * vma20p AND volume < 0.5 * vma20p THEN -1 ELSE 0 END"}, needs_ma=False,
+)
+_MOM = "coalesce(change5 * 0.6 + change10 * 0.4, 0)"
+_columns(
+    "w13_momentum", ind.momentum,
+    {**{f"change{n}": r6(f"change{n}") for n in (1, 5, 10, 20)}, "accel5": r6("change5 - lag(change5) OVER w"), "accel10": r6("change10 - lag(change10) OVER w"), "momentum": r6("change5 * 0.6 + change10 * 0.4"),
+     "over_ma20": r6("(close - ma20) / ma20 * 100"), "volatility": r6("CASE WHEN rn >= 20 THEN sd20 / ma20 * 100 END"),
+     "momentum_state": f"CASE WHEN {_MOM} > 5 THEN 'strong' WHEN {_MOM} > 0 THEN 'mild' WHEN {_MOM} > -5 THEN 'weak' ELSE 'dull' END"},
+)
+_OBV = """o1 AS (SELECT *, sum(CASE WHEN close > c1 THEN volume WHEN close < c1 THEN -volume ELSE 0 END) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) AS obv FROM ind),
+ob AS (SELECT *, """ + sql.mean("obv", 20) + f" AS obv_ma FROM o1 {W})"
+_columns(
+    "w14_price_volume", ind.price_volume,
+    {"pv_fit": "CASE WHEN close > c1 AND volume > v1 THEN 1 WHEN close > c1 THEN -1 WHEN close <= c1 AND volume > v1 THEN -1 ELSE 0 END", "obv": r6("obv"), "obv_ma": r6("obv_ma"),
+     "obv_cross": cross("lag(obv) OVER w", "lag(obv_ma) OVER w", "obv", "obv_ma")},
+    (IND, _OBV), "ob", needs_ma=False,
+)
+
+_EMA = """b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM bars),
+e AS (SELECT symbol, dt, rn, close AS f, close AS s, 0::DOUBLE AS line, 0::DOUBLE AS sig, 0::DOUBLE AS area FROM b WHERE rn = 1
+  UNION ALL SELECT symbol, dt, rn, f, s, f - s, (f - s) * 0.2 + sig * 0.8, area + (f - s) FROM (
+    SELECT b.symbol, b.dt, b.rn, b.close * (2 / 13.0::DOUBLE) + e.f * (11 / 13.0::DOUBLE) AS f, b.close * (2 / 27.0::DOUBLE) + e.s * (25 / 27.0::DOUBLE) AS s, e.sig, e.area
+    FROM e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn + 1))"""
+_ema = lambda body: over(body, _EMA).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("w5_macd", _ema("SELECT symbol, dt, round(line, 6) AS macd, round(sig, 6) AS macd_signal, round(line - sig, 6) AS macd_hist, round(area, 4) AS macd_area FROM e"))
+def w5_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = ind.macd(src.bars(spark, sf_dir)).select("symbol", "dt", "macd", "macd_signal", "macd_hist", F.round("macd_area", 4).alias("macd_area"))
+    return rounded(made)
+
+
+@register("w6_macd_crosses", _ema(f"""SELECT symbol, dt, {cross("lag(line) OVER w", "lag(sig) OVER w", "line", "sig")} AS macd_cross, {cross("lag(line) OVER w", "0", "line", "0")} AS macd_zero_cross,
+  {cross("lag(line - sig) OVER w", "0", "line - sig", "0")} AS macd_hist_cross FROM e {W}"""))
+def w6_macd_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ind.macd_signals(ind.macd(src.bars(spark, sf_dir))).select("symbol", "dt", "macd_cross", "macd_zero_cross", "macd_hist_cross")
+
+
+@register("w16_daily_returns", over(f"SELECT * FROM (SELECT symbol, dt, round(close / lag(close) OVER w - 1, 8) AS ret FROM bars {W}) WHERE ret IS NOT NULL"))
+def w16_daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ind.daily_returns(src.bars(spark, sf_dir)), 8)
+
+
+_GAPPY = "g AS (SELECT *, CASE WHEN ((dt - DATE '1995-01-01') + length(symbol)) % 11 >= 2 THEN turn END AS t FROM bars)"
+
+
+@register("w17_gap_fill", over(f"""SELECT symbol, dt, t AS turn, CASE WHEN t IS NOT NULL THEN t WHEN isl > 0 AND count(*) FILTER (t IS NULL) OVER (PARTITION BY symbol, isl) <= 5
+  THEN last_value(t IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) END AS turn_filled FROM (SELECT *, count(t) OVER (w ROWS UNBOUNDED PRECEDING) AS isl FROM g {W}) {W}""", _GAPPY))
+def w17_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ind.fill_gaps(src.gappy_bars(spark, sf_dir)).select("symbol", "dt", "turn", "turn_filled")
+
+
+_columns(
+    "w18_average_turnover", ind.average_turnover,
+    {"turn_avg20": "round(CASE WHEN count(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 15 THEN avg(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END, 6)",
+     "high120": r6("max(high) OVER (w ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)")}, needs_ma=False,
+)
+_BOX = f"bx AS (SELECT *, CASE WHEN rn >= 5 THEN max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS t, CASE WHEN rn >= 5 THEN min(low) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS u FROM ind {W})"
+_columns(
+    "w20_box_position", ind.box,
+    {"box_top": r6("t"), "box_bottom": r6("u"),
+     "box_place": "CASE WHEN close > t * 1.02::DOUBLE THEN 'above top' WHEN close >= t * 0.98::DOUBLE THEN 'near top' WHEN close < u * 0.98::DOUBLE THEN 'below bottom' WHEN close <= u * 1.02::DOUBLE THEN 'near bottom' WHEN t IS NOT NULL THEN 'inside' ELSE 'unknown' END"},
+    (IND, _BOX), "bx", needs_ma=False,
+)
+_TR = f"""t0 AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr, coalesce(close >= round_even(c1 * 1.1::DOUBLE, 2), false) AS at_limit FROM ind),
+t1 AS (SELECT *, CASE WHEN at_limit THEN avg(tr) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) ELSE tr END AS tr2 FROM t0 {W})"""
+_columns("w21_adaptive_atr", ind.true_range_atr, {"tr": r6("tr"), "at_limit": "at_limit", "atr": r6(sql.mean("tr2", 14))}, (IND, _TR), "t1", needs_ma=False)
+
+_POC = f"""p0 AS (SELECT *, low + (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) * (high - low) AS p,
+  row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS lft, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM bars),
+p1 AS (SELECT a.symbol, a.dt, b.p, b.volume AS v, min(b.p) OVER k AS lo, (max(b.p) OVER k - min(b.p) OVER k) / 49 AS st
+  FROM p0 a JOIN p0 b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn WHERE a.lft <= 60 AND a.rn >= 30 WINDOW k AS (PARTITION BY a.symbol, a.dt)),
+p2 AS (SELECT symbol, dt, lo, st, least(floor((p - lo) / st), 48) AS bin, sum(v) AS v FROM p1 GROUP BY ALL),
+poc AS (SELECT symbol, dt, arg_max(lo + (bin + 0.5::DOUBLE) * st, ROW(v, -bin)) AS poc FROM p2 GROUP BY 1, 2)"""
+
+
+@register("w22_poc", over("SELECT symbol, dt, round(poc, 6) AS poc FROM poc", _POC))
+def w22_poc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ind.poc(src.bars(spark, sf_dir)).select("symbol", "dt", "poc"))
+
+
+@register("w23_platform_breakout", over(f"""SELECT symbol, dt, round(poc, 6) AS poc, round(poc + 1.8::DOUBLE * atr, 6) AS upper, round(poc - 1.8::DOUBLE * atr, 6) AS lower,
+  coalesce(close > poc + 1.8::DOUBLE * atr AND close > open AND (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) > 0.5 AND NOT lb, false) AS breakout
+  FROM (SELECT *, {sql.mean("tr2", 14)} AS atr, coalesce(lag(at_limit) OVER w, false) AS lb FROM t1 {W}) JOIN poc USING (symbol, dt)""", IND, _TR, _POC))
+def w23_platform_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ind.platform(src.bars(spark, sf_dir)).select("symbol", "dt", "poc", "upper", "lower", "breakout"))
+
+
+@register("w25_row_cap", over("SELECT symbol, dt, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS r FROM bars) WHERE r <= 500"))
+def w25_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ind.newest_per_symbol(src.bars(spark, sf_dir), 500).select("symbol", "dt", "close")
+
+
+# rules -------------------------------------------------------------------------------------------------------------
+_ORDER = "coalesce(arrangement = 1, NOT (coalesce(ma5 <= ma10, false) OR coalesce(ma10 <= ma20, false) OR coalesce(ma20 <= ma60, false)))"
+_YEAR = " AND ".join(f"coalesce({m} > ma250, false)" for m in ("ma5", "ma10", "ma20", "ma60"))
+_PASS = f"(coalesce(close >= ma250, false) AND (ma60 IS NULL OR close >= ma60) AND {_ORDER} AND {_YEAR})"
+
+
+@register("r1_yearline_filter", over(f"""SELECT symbol, dt, round(close, 6) AS close, coalesce(close >= ma250, false) AS above_ma250, coalesce(close >= ma60, false) AS above_ma60, {_ORDER} AS arranged,
+  {", ".join(f"coalesce({m} > ma250, false) AS {m}_above_ma250" for m in ("ma5", "ma10", "ma20", "ma60"))}, {_PASS} AS yearline_pass
+  FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1""", IND))
+def r1_yearline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir))))
+    checks = ["above_ma250", "above_ma60", "arranged", *(f"{m}_above_ma250" for m in ("ma5", "ma10", "ma20", "ma60")), "yearline_pass"]
+    return rounded(ind.latest(bars).select("symbol", "dt", "close", *checks)).orderBy(F.desc("yearline_pass"), "symbol")
+
+
+@register("r2_weekly_anchor", over(f"""SELECT symbol, dt, round(m, 6) AS ma_w, round(sl, 6) AS ma_w_slope, n >= 10 AND close > m AND sl >= -1e-9 AS anchored FROM (
+  SELECT *, CASE WHEN n >= 63 THEN m - lag(m, 3) OVER w ELSE 0 END AS sl FROM (
+  SELECT *, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n, avg(close) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM res {W}) {W})""", sql.weeks()))
+def r2_weekly_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = quality.resample(src.bars(spark, sf_dir, weekdays=False), "week")
+    return rounded(rules.weekly_anchor(weeks).select("symbol", "dt", "ma_w", "ma_w_slope", "anchored"))
+
+
+_columns(
+    "r3_po5_fan5", rules.break_and_return,
+    {"days_since_break": "CASE WHEN close > ma5 THEN rn - max(CASE WHEN close < ma5 THEN rn END) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END",
+     "po5_fan5": "coalesce(CASE WHEN close > ma5 THEN rn - max(CASE WHEN close < ma5 THEN rn END) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END <= 2 AND ma20 - lag(ma20, 2) OVER w > 0, false)"},
+)
+_STATE = f"""s0 AS (SELECT *, coalesce(close > ma5, false) AND count(*) FILTER (close > ma5) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 AS holding,
+  CASE WHEN rn >= 5 AND count(ma5) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 2 AND ma5 IS NOT NULL THEN (ma5 - first_value(ma5 IGNORE NULLS) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) / 4 ELSE 0 END AS sl,
+  CASE WHEN close > ma20 AND rn >= 10 THEN (max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - min(low) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) / avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * 100 END AS amp FROM ind {W})"""
+_columns(
+    "r5_main_wave_state", lambda b: rules.main_wave_state(ind.volume_ratio(b)),
+    {"ma5_slope4": r6("sl"), "amplitude20": r6("amp"), "wave_state": "CASE WHEN holding THEN 'holding' WHEN coalesce(amp < 15 AND volume_ratio < 1, false) THEN 'refuel' WHEN sl > 0 THEN 'strong' ELSE 'watch' END"},
+    (IND, _STATE), "s0",
+)
+_columns(
+    "r11_period_direction", rules.period_direction,
+    {"direction": "CASE WHEN ma5 > ma10 AND ma10 > ma20 THEN 'bull' WHEN ma5 < ma10 AND ma10 < ma20 THEN 'bear' WHEN ma20 IS NOT NULL THEN 'neutral' END", "ma20_slope_pct": r6("(ma20 - lag(ma20, 20) OVER w) / lag(ma20, 20) OVER w * 100")},
+)
+_columns(
+    "r17_turnover_tag", lambda b: b.withColumn("tag", rules.turnover_tag()),
+    {"tag": "CASE WHEN turn IS NULL THEN 'unknown' WHEN turn < 1 THEN 'quiet' WHEN turn < 3 THEN 'low' WHEN turn < 7 THEN 'normal' WHEN turn < 15 THEN 'high' ELSE 'extreme' END"}, needs_ma=False,
+)
+_columns(
+    "r21_price_view", rules.price_view,
+    {"chg5": r6("(close / lag(close, 5) OVER w - 1) * 100"), "chg20": r6("(close / lag(close, 20) OVER w - 1) * 100"), "above_year": "close > ma250", "year_distance": r6("(close / ma250 - 1) * 100"), "in_order": "ma5 >= ma10 AND ma10 >= ma20 AND ma20 >= ma60"},
+)
+_columns(
+    "r22_market_environment", rules.anchor_environment,
+    {"environment": "CASE WHEN ma250 IS NULL THEN 'unknown' WHEN close > ma250 AND ma5 > ma20 AND ma20 > ma60 AND ma60 > ma250 THEN 'bull' WHEN close <= ma250 THEN 'warn' ELSE 'mixed' END"},
+)
+
+# context ------------------------------------------------------------------------------------------------------------
+_SIDES = "m0 AS (SELECT *, CASE WHEN ma20 IS NULL THEN 'unknown' WHEN close > ma20 THEN 'above' ELSE 'below' END AS s20, CASE WHEN ma60 IS NULL THEN 'unknown' WHEN close > ma60 THEN 'above' ELSE 'below' END AS s60, " \
+    "max(close) OVER (w ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS t, min(close) OVER (w ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS u, (close / lag(close, 19) OVER w - 1) * 100 AS g, avg(volume) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS pv FROM ind " + W + ")"
+_POSITION = "CASE WHEN rn < 120 OR t <= u THEN 'unknown' WHEN (close - u) / (t - u) >= 0.85 THEN 'high' WHEN (close - u) / (t - u) <= 0.15 THEN 'low' ELSE 'middle' END"
+_LEGS = {
+    "ma": "CASE WHEN rn < 60 THEN 'unknown' WHEN s20 = 'above' AND s60 = 'above' THEN 'up' WHEN s20 = 'below' AND s60 = 'below' THEN 'down' ELSE 'swing' END",
+    "yearline": "CASE WHEN ma250 IS NULL THEN 'unknown' WHEN close <= ma250 THEN 'down' WHEN ma5 > ma20 AND ma20 > ma60 AND ma60 > ma250 THEN 'up' ELSE 'swing' END",
+    "volume_break": "CASE WHEN rn < 6 THEN 'unknown' WHEN close > c1 AND pv > 0 AND volume >= pv * 1.5 AND volume > pv THEN 'up' WHEN s20 = 'below' AND s60 = 'below' THEN 'down' ELSE 'swing' END",
+}
+
+
+def _market(basis: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = rules.market_leg(ind.moving_averages(src.bars(spark, sf_dir, "'ALL'")), basis)
+        return rounded(bars.select("symbol", "dt", "ma20_side", "ma60_side", "position", "chg20", "market_trend"))
+
+    return run
+
+
+for _name, _basis in (("z2_market_leg_ma", "ma"), ("z3_market_leg_yearline", "yearline"), ("z4_market_leg_volume_break", "volume_break")):
+    register(_name, over(f"SELECT symbol, dt, s20 AS ma20_side, s60 AS ma60_side, {_POSITION} AS position, round(g, 6) AS chg20, {_LEGS[_basis]} AS market_trend FROM m0", IND, _SIDES, ticks=sql.MARKET_TICKS))(_market(_basis))
+
+_SECTOR = f"""z AS (SELECT symbol, dt, CASE WHEN rn >= 20 THEN least(10, greatest(0, (close - m) / m * 100 + 5)) + least(7.5, greatest(0, coalesce(close / c9 - 1, 0) * 100 + 3.75))
+  + least(7.5, greatest(0, a5 / (a20 + 1e-6) * 3.75)) ELSE 12.5 END AS sc FROM (SELECT symbol, dt, close, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS rn, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m,
+  lag(close, 9) OVER w AS c9, avg(amount) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a5, avg(amount) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS a20 FROM bars {W}))"""
+
+
+@register("z6_sector_score", over("SELECT symbol, dt, round(sc, 6) AS sector_score, sc > 12.5 AS sector_up FROM z", _SECTOR, ticks=sql.SECTOR_TICKS))
+def z6_sector_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rules.sector_score(src.bars(spark, sf_dir, "r_name")).select("symbol", "dt", "sector_score", "sector_up"))
+
+
+_CAP = f"""k0 AS (SELECT *, CASE WHEN rn >= 6 THEN volume / (avg(volume) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) + 1e-8) ELSE 0 END AS vr, amount / avg(amount) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ar FROM ind {W}),
+cap AS (SELECT *, CASE WHEN rn >= 6 THEN least(20, CASE WHEN vr >= 1.8 THEN 12 WHEN vr >= 1.5 THEN 8 ELSE 0 END + CASE WHEN ar >= 1.6 THEN 5 ELSE 0 END + CASE WHEN turn >= 3 THEN 3 ELSE 0 END) ELSE 0 END AS cs FROM k0)"""
+_columns("z7_capital_activity", rules.capital_activity, {"capital_ratio": r6("vr"), "capital_score": "cs", "capital_active": "rn >= 6 AND (cs >= 8 OR vr >= 1.5)"}, (IND, _CAP), "cap", needs_ma=False)
+
+
+def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol's newest bar with all three legs, capital, gates and score."""
+    stocks = rules.capital_activity(rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir)))))
+    loose = (F.col("arrangement") == 1) | (F.col("close") > F.col("ma20"))
+    stocks = ind.latest(stocks).withColumn("stock_strict", F.col("yearline_pass") & F.coalesce(loose, F.lit(False)))
+    market = rules.market_leg(ind.moving_averages(src.bars(spark, sf_dir, "'ALL'")), "ma")
+    market = ind.latest(market).select("position", "market_trend")
+    relation = src.table(spark, sf_dir, "nation").join(src.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
+    sectors = ind.latest(rules.sector_score(src.bars(spark, sf_dir, "r_name"))).select(F.col("symbol").alias("sector"), "sector_score", "sector_up")
+    rows = stocks.join(relation, "symbol", "left").join(sectors, "sector", "left").join(F.broadcast(market))
+    return rules.resonance_score(rows)
+
+
+_EVAL = (
+    IND, _CAP, _SIDES.replace("FROM ind", "FROM mi").replace("m0 AS", "mm AS"), _SECTOR.replace("FROM bars", "FROM sbars"),
+    f"""lastm AS (SELECT {_POSITION} AS position, {_LEGS["ma"]} AS market_trend FROM mm ORDER BY dt DESC LIMIT 1),
+lasts AS (SELECT symbol AS sector, sc, sc > 12.5 AS sector_up FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1),
+lastk AS (SELECT *, {_PASS} AND coalesce(arrangement = 1 OR close > ma20, false) AS strict, rn >= 6 AND (cs >= 8 OR vr >= 1.5) AS act FROM cap QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1),
+legs AS (SELECT k.symbol, k.dt, r_name AS sector, strict, market_trend, position, sector_up, cs, act, (CASE WHEN strict THEN 30 ELSE 0 END + CASE WHEN market_trend = 'up' THEN 25 ELSE 0 END + CASE WHEN sector_up THEN 25 ELSE 0 END + cs)::DOUBLE AS s0
+  FROM lastk k JOIN nation ON n_name = k.symbol JOIN region ON n_regionkey = r_regionkey LEFT JOIN lasts ON sector = r_name CROSS JOIN lastm),
+fin AS (SELECT *, CASE WHEN position = 'high' THEN greatest(0, s0 - 15) ELSE s0 END AS score FROM legs)""",
+)
+
+
+def _eval_sql(body: str) -> str:
+    market = sql.MARKET_TICKS.replace("ticks AS", "mt AS") + ", " + sql.ALL_DAYS.replace("alldays AS", "md AS").replace("FROM ticks", "FROM mt")
+    mi = IND.replace("i1 AS", "mi1 AS").replace("FROM bars", "FROM (SELECT * FROM md WHERE isodow(dt) < 6)").replace("ind AS", "mi AS").replace("FROM i1", "FROM mi1")
+    sector = sql.SECTOR_TICKS.replace("ticks AS", "st AS") + ", " + sql.ALL_DAYS.replace("alldays AS", "sd AS").replace("FROM ticks", "FROM st") + ", sbars AS (SELECT * FROM sd WHERE isodow(dt) < 6)"
+    return over(body, market, mi, sector, *_EVAL)
+
+
+@register("z8_resonance_score", _eval_sql("""SELECT symbol, dt, sector, strict AS stock_strict, market_trend, position, sector_up, cs AS capital_score, act AS capital_active, score,
+  score >= 85 AND act AND market_trend = 'up' AND sector_up AND strict AND position <> 'high' AS true_resonance FROM fin"""))
+def z8_resonance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_evaluation(spark, sf_dir).select("symbol", "dt", "sector", "stock_strict", "market_trend", "position", "sector_up", "capital_score", "capital_active", "score", "true_resonance")
+
+
+@register("a12_gate_funnel", _eval_sql("""SELECT gate, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS pass_rate FROM (
+  SELECT unnest(['score_reached', 'capital_active', 'market_up', 'sector_up', 'stock_strict', 'market_not_high']) AS gate,
+         unnest([score >= 85, act, market_trend = 'up', coalesce(sector_up, false), strict, position <> 'high']) AS ok FROM fin) GROUP BY gate"""))
+def a12_gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = full_evaluation(spark, sf_dir).select(F.explode("gates").alias("gate", "ok"))
+    return gates.groupBy("gate").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.count_if("ok") / F.count(F.lit(1)), 6).alias("pass_rate"))
+
+
+@register("t1_ranked_results", _eval_sql("SELECT symbol, score, row_number() OVER (ORDER BY score DESC NULLS LAST, symbol) AS place FROM fin"))
+def t1_ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    # one row per symbol
+    return full_evaluation(spark, sf_dir).select("symbol", "score", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "symbol")).alias("place"))
+
+
+# quality ------------------------------------------------------------------------------------------------------------
+def _resampled(unit: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(quality.resample(src.bars(spark, sf_dir, weekdays=False), unit))
+
+    return run
+
+
+for _unit in ("week", "month"):
+    register(f"a1_resample_{_unit}", over(f"SELECT symbol, dt, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, amount, round(turn, 6) AS turn, n_bars, round((close / lag(close) OVER w - 1) * 100, 6) AS pct_chg FROM res {W}", sql.weeks(_unit)))(_resampled(_unit))
+
+_MINUTES = """m30 AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS dt, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
+
+
+@register("a3_pair_minutes", f"WITH {_MINUTES}, p AS (SELECT *, (row_number() OVER (PARTITION BY code, dt::DATE ORDER BY dt) - 1) // 2 AS k FROM m30) SELECT code, max(dt) AS dt, arg_min(open, dt) AS open, max(high) AS high, min(low) AS low, arg_max(close, dt) AS close, sum(volume)::BIGINT AS volume FROM p GROUP BY code, dt::DATE, k")
+def a3_pair_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.pair_up(src.minute_bars(src.table(spark, sf_dir, "events"))).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+
+
+@register("a4_bar_audit", over(f"""SELECT symbol, count(*) AS n_rows, 0::BIGINT AS duplicate_rows, count(*) FILTER (close <= 0) AS bad_close, count(*) FILTER (high < greatest(open, close) OR low > least(open, close) OR high < low) AS broken_ohlc,
+  count(*) FILTER (volume > 0 AND coalesce(amount, 0) = 0) AS no_amount, count(*) FILTER (gap > 7) AS long_gaps, max(gap) AS longest_gap, min(dt) AS first_day, max(dt) AS last_day FROM (SELECT *, dt - lag(dt) OVER w AS gap FROM bars {W}) GROUP BY symbol"""))
+def a4_bar_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.audit(src.bars(spark, sf_dir))
+
+
+@register("a5_turnover_coverage", over("SELECT CASE WHEN t IS NULL THEN 'null' ELSE 'feed' END AS source, count(*) AS n_rows, count(*) FILTER (t > 0 AND t < 80) AS valid_rows FROM g WHERE dt >= (SELECT max(dt) FROM bars) - 37 GROUP BY 1", _GAPPY))
+def a5_turnover_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.turnover_coverage(src.gappy_bars(spark, sf_dir))
+
+
+@register("a8_freshness", over("SELECT symbol, max(dt) AS last_day, count(*) AS n_rows, (SELECT max(dt) FROM bars) - max(dt) AS lag_days, (SELECT max(dt) FROM bars) - max(dt) <= 3 AS fresh FROM bars GROUP BY symbol"))
+def a8_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.freshness(src.bars(spark, sf_dir))
+
+
+@register("a9_delta_rows", over("SELECT b.symbol, b.dt, round(b.close, 6) AS close FROM bars b JOIN (SELECT symbol, max(dt) AS e FROM bars WHERE dt < DATE '2000-01-01' AND length(symbol) > 5 GROUP BY 1) USING (symbol) WHERE b.dt > e"))
+def a9_delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = src.bars(spark, sf_dir)
+    stored = bars.where("dt < date'2000-01-01' and length(symbol) > 5")
+    return rounded(quality.delta(bars, stored).select("symbol", "dt", "close"))
+
+
+@register("a15_return_distribution", over(f"""SELECT symbol, count(*) AS n, round(avg(x), 8) AS mean_ret, round(median(x), 8) AS median_ret, round(list_sort(list(x))[(floor(count(*) * 0.9))::INT + 1], 8) AS p90, round(min(x), 8) AS least, round(max(x), 8) AS most
+  FROM (SELECT symbol, close / lag(close) OVER w - 1 AS x FROM bars {W}) WHERE x IS NOT NULL GROUP BY symbol"""))
+def a15_return_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ind.daily_returns(src.bars(spark, sf_dir))
+    made = r.groupBy("symbol").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.median("ret").alias("median_ret"), F.get(F.array_sort(F.collect_list("ret")), F.floor(F.count("ret") * 0.9).cast("int")).alias("p90"), F.min("ret").alias("least"), F.max("ret").alias("most"))
+    return rounded(made, 8)
+
+
+@register("a17_bars_checksum")
+def a17_bars_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = src.bars(spark, sf_dir)
+    parts = (F.count(F.lit(1)), F.min("dt"), F.max("dt"), F.format_number(F.max_by("close", "dt"), 4), F.max_by("volume", "dt"), F.sum("volume"))
+    return b.groupBy("symbol").agg(F.sha1(F.concat_ws(",", *(p.cast("string") for p in parts))).alias("checksum"))
+
+
+@register("a19_minute_stats", f"WITH {_MINUTES} SELECT code, count(*) AS n_bars, min(dt) AS first_bar, max(dt) AS last_bar, sum(volume)::BIGINT AS volume FROM m30 GROUP BY code")
+def a19_minute_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = src.minute_bars(src.table(spark, sf_dir, "events")).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    return m.groupBy("code").agg(F.count(F.lit(1)).alias("n_bars"), F.min("dt").alias("first_bar"), F.max("dt").alias("last_bar"), F.sum("volume").alias("volume"))
+
+
+@register("s9_bar_upsert", over("SELECT symbol, dt, round(close, 6) AS close, coalesce(nt, t) AS turn FROM (SELECT symbol, dt, close + CASE WHEN dt >= DATE '1999-01-01' THEN 1 ELSE 0 END AS close, t, CASE WHEN dt >= DATE '1999-01-01' AND day(dt) % 2 = 0 THEN 5.0 END AS nt FROM g)", _GAPPY))
+def s9_bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = src.gappy_bars(spark, sf_dir).select("symbol", "dt", "close", "turn")
+    new = stored.where("dt >= date'1999-01-01'").select("symbol", "dt", (F.col("close") + 1).alias("close"), F.when(F.dayofmonth("dt") % 2 == 0, 5.0).alias("turn"))
+    return rounded(quality.upsert(stored, new, ["symbol", "dt"], ["turn"]).select("symbol", "dt", "close", "turn"))
+
+
+@register("s3_source_fallback", over("""SELECT symbol, source_rank, count(*) AS n_rows, max(dt) AS last_day FROM (
+  SELECT symbol, dt, CASE WHEN length(symbol) % 2 = 0 THEN 1 ELSE 2 END AS source_rank FROM bars WHERE length(symbol) % 2 = 1 OR dt <= DATE '2030-01-01') GROUP BY 1, 2"""))
+def s3_source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source 1 is stale for symbols of odd length."""
+    b = src.bars(spark, sf_dir).select("symbol", "dt", "close")
+    first = b.where((F.length("symbol") % 2 == 0) | (F.col("dt") < F.lit("1996-01-01").cast("date"))).withColumn("source_rank", F.lit(1))
+    chosen = quality.freshest_source(first.unionByName(b.withColumn("source_rank", F.lit(2))), F.lit("1997-01-01").cast("date"))
+    return chosen.groupBy("symbol", "source_rank").agg(F.count(F.lit(1)).alias("n_rows"), F.max("dt").alias("last_day"))
+
+
+_SNAP = "snap AS (SELECT symbol, last_day(dt) AS as_of, sum(amount) / 1000 AS shares FROM bars WHERE month(dt) = 12 GROUP BY 1, 2)"
+
+
+@register("j3_as_of_join", over("SELECT b.symbol, b.dt, round(shares, 4) AS shares FROM bars b ASOF LEFT JOIN snap s ON b.symbol = s.symbol AND b.dt >= s.as_of", _SNAP))
+def j3_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = src.bars(spark, sf_dir)
+    snaps = b.where(F.month("dt") == 12).groupBy("symbol", F.last_day("dt").alias("as_of")).agg((F.sum("amount") / 1000).alias("shares"))
+    return rounded(quality.as_of(b.select("symbol", "dt", F.lit(None).cast("double").alias("shares")), snaps, "shares").select("symbol", "dt", "shares"), 4)
+
+
+@register("r18_derived_turnover", over("SELECT symbol, dt, CASE WHEN x > 0 AND x < 80 THEN x END AS derived FROM (SELECT b.symbol, b.dt, round(volume * 100 / shares, 4) AS x FROM bars b ASOF LEFT JOIN snap s ON b.symbol = s.symbol AND b.dt >= s.as_of)", _SNAP))
+def r18_derived_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = src.bars(spark, sf_dir)
+    snaps = b.where(F.month("dt") == 12).groupBy("symbol", F.last_day("dt").alias("as_of")).agg((F.sum("amount") / 1000).alias("shares"))
+    rows = quality.as_of(b.select("symbol", "dt", "volume", F.lit(None).cast("double").alias("shares")), snaps, "shares")
+    return rows.select("symbol", "dt", rules.derived_turnover(F.col("volume"), F.col("shares")).alias("derived"))
+
+
+@register("j1_primary_sector", "SELECT n_name AS symbol, r_name AS sector FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def j1_primary_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = src.table(spark, sf_dir, "nation"), src.table(spark, sf_dir, "region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"], "left").select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
+
+
+@register("p17_step_sample", over("SELECT symbol, count(*) AS n_rows FROM bars WHERE symbol IN (SELECT symbol FROM (SELECT symbol, row_number() OVER (ORDER BY symbol) AS r FROM (SELECT DISTINCT symbol FROM bars)) WHERE (r - 2) % 4 = 0 AND r >= 2 ORDER BY r LIMIT 5) GROUP BY symbol"))
+def p17_step_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.step_sample(src.bars(spark, sf_dir), 4, 1, 5).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("u5_keep_last", "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def u5_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.struct("o_orderdate", "o_orderkey").alias("_at"))
+    return quality.keep_last(rows, ["o_custkey"], "_at").drop("_at")
+
+
+# patterns -----------------------------------------------------------------------------------------------------------
+_E = "1e-9"
+_BODY, _RANGE = "abs(close - open)", "(high - low)"
+_UP, _DN = "greatest(high - greatest(open, close), 0)", "greatest(least(open, close) - low, 0)"
+_KB = f"""kb AS (SELECT *, close > open + {_E} AS yang, close < open - {_E} AS yin, {_BODY} AS body, {_RANGE} AS amp, {_UP} AS us, {_DN} AS ds, (open + close) / 2 AS mid,
+  CASE WHEN rn > 20 THEN (close / lag(close, 20) OVER w - 1) * 100 ELSE 0 END AS c20, min(low) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS lo60, max(high) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS hi60,
+  CASE WHEN rn >= 12 THEN avg({_BODY}) OVER (w ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) ELSE 0 END AS ref FROM ind {W}),
+kl AS (SELECT *, CASE WHEN hi60 - lo60 <= {_E} THEN 0.5 ELSE (close - lo60) / (hi60 - lo60) END AS pos,
+  {", ".join(f"lag({c}, {k}) OVER w AS {c}_{k}" for c in ("open", "close", "low", "body", "volume", "yang", "yin", "mid") for k in (1, 2))} FROM kb {W})"""
+_LONG = "(us >= 2 * body AND us >= 0.55 * amp AND body <= 0.35 * amp AND ds <= us * 0.35 + 1e-9)"
+_K10 = {
+    "duofangpao": "rn >= 3 AND yang_2 AND yin_1 AND yang AND close > close_2 AND body >= body_1 AND low_1 >= open_2 - body_2 * 0.5 AND volume / volume_1 >= 1",
+    "xianrenzhilu": f"rn >= 21 AND {_LONG} AND yang AND c20 > 0 AND c20 < 15 AND pos < 0.85 AND close >= ma20",
+    "shejizhixing": f"rn >= 21 AND {_LONG} AND (c20 >= 15 OR pos >= 0.85)",
+    "zaochenzhixing": "rn >= 13 AND yin_2 AND body_2 >= greatest(ref, 1e-9) * 0.9 AND body_1 <= body_2 * 0.45 AND close_1 <= close_2 + 1e-9 AND yang AND close >= mid_2",
+    "huanghunzhixing": "rn >= 13 AND yang_2 AND body_2 >= greatest(ref, 1e-9) * 0.9 AND body_1 <= body_2 * 0.45 AND close_1 >= close_2 - 1e-9 AND yin AND close <= mid_2",
+    "hongsanbing": "rn >= 3 AND yang_2 AND yang_1 AND yang AND close_2 < close_1 AND close_1 < close AND open_1 >= open_2 AND open_1 <= close_2 + 1e-9 AND open >= open_1 AND open <= close_1 + 1e-9 AND body <= body_2 * 2.5",
+    "sanzhiwuya": "rn >= 3 AND yin_2 AND yin_1 AND yin AND close_2 > close_1 AND close_1 > close",
+    "chuitouxian": "rn >= 6 AND ds >= 2 * body AND ds >= 0.55 * amp AND body <= 0.35 * amp AND us <= ds * 0.35 + 1e-9 AND (close < ma5 OR pos <= 0.25)",
+    "kanzhangtunmo": "rn >= 2 AND yin_1 AND yang AND open <= close_1 + 1e-9 AND close >= open_1 - 1e-9",
+    "kandietunmo": "rn >= 2 AND yang_1 AND yin AND open >= close_1 - 1e-9 AND close <= open_1 + 1e-9",
+}
+_columns("k10_candlesticks", lambda b: patterns.candle_flags(b), {c: f"coalesce({e}, false)" for c, e in _K10.items()}, (IND, _KB), "kl", needs_ma=False)
+_HITS = "UNION ALL ".join(f"SELECT symbol, dt, rn, '{c}' AS code, '{patterns.DETECTORS[c][1]}' AS direction FROM kl WHERE {e} " for c, e in _K10.items())
+
+
+@register("k11_newest_hits", over(f"""SELECT symbol, code, direction, dt FROM (SELECT h.*, row_number() OVER (PARTITION BY h.symbol, code ORDER BY h.dt DESC) AS r FROM ({_HITS}) h JOIN (SELECT symbol, max(rn) AS m FROM ind GROUP BY 1) e ON e.symbol = h.symbol AND m - h.rn < 30) WHERE r <= 3""", IND, _KB))
+def k11_newest_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.newest_hits(src.bars(spark, sf_dir))
+
+
+def _frame(c: str, f: str, n: int) -> str:
+    return f"{f}({c}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+_columns(
+    "k7_strong_engulfing", patterns.strong_engulfing,
+    {"engulfing": f"CASE WHEN NOT coalesce(close_1 < open_1 AND close > open AND open <= close_1 + 1e-9 AND close > open_1, false) THEN 'none' WHEN volume > volume_1 * 1.5 AND (coalesce(close >= ma5 - 1e-9, false) OR 1 - close / {_frame('close', 'max', 120)} >= 0.15) THEN 'strong' ELSE 'basic' END", "retrace": r6(f"1 - close / {_frame('close', 'max', 120)}")},
+    (IND, _KB), "kl", needs_ma=False,
+)
+_LOW = f"rn >= 60 AND 1 - close / {_frame('close', 'max', 120)} >= 0.15"
+_QUIET = f"rn >= 60 AND volume <= {_frame('volume', 'min', 20)} + 1e-9 AND volume < 0.5 * {_frame('volume', 'avg', 60)} AND {_frame('volume', 'avg', 20)} < {_frame('volume', 'avg', 60)}"
+_columns("k9_low_ground_volume", patterns.low_ground_volume, {"is_low": _LOW, "is_quiet": _QUIET, "low_ground": f"{_LOW} AND {_QUIET}"}, needs_ma=False)
+_TRI = f"""tr0 AS (SELECT *, ({_frame("high", "max", 30)} - {_frame("low", "min", 30)}) / {_frame("close", "avg", 30)} * 100 AS vol30, max(high) OVER (w ROWS BETWEEN 29 PRECEDING AND 15 PRECEDING) - min(low) OVER (w ROWS BETWEEN 29 PRECEDING AND 15 PRECEDING) AS f1,
+  {_frame("high", "max", 15)} - {_frame("low", "min", 15)} AS f2, lag(high, 29) OVER w AS h0, lag(low, 29) OVER w AS l0, lag(close, 4) OVER w AS c4 FROM ind {W}),
+tr1 AS (SELECT *, CASE WHEN NOT coalesce(rn >= 30 AND vol30 < 15 AND f2 < f1, false) THEN 'none' WHEN high < h0 AND low > l0 THEN 'symmetric' WHEN high < h0 AND low < l0 THEN 'descending' WHEN high > h0 AND low > l0 THEN 'ascending' ELSE 'plain' END AS kind FROM tr0)"""
+_columns(
+    "k4_triangle", patterns.triangle,
+    {"triangle": "kind", "convergence": r6("CASE WHEN kind <> 'none' THEN (f1 - f2) / f1 * 100 END"), "triangle_way": "CASE WHEN kind = 'none' THEN NULL WHEN kind = 'ascending' THEN 'up' WHEN kind = 'descending' THEN 'down' WHEN close > c4 THEN 'up' ELSE 'down' END"},
+    (IND, _TRI), "tr1", needs_ma=False,
+)
+_WEDGE = f"""wd AS (SELECT *, CASE WHEN rn >= 25 THEN regr_slope(high, rn::DOUBLE) OVER (w ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) END AS hs, CASE WHEN rn >= 25 THEN regr_slope(low, rn::DOUBLE) OVER (w ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) END AS ls FROM ind {W})"""
+_STEEP = "(abs(hs) > 0.01 OR abs(ls) > 0.01)"
+_columns(
+    "k5_wedge", lambda b: patterns.wedge(b).withColumns({c: F.round(c, 4) for c in ("high_slope", "low_slope")}).withColumn("wedge_reliability", F.round("wedge_reliability", 2)),
+    {"high_slope": "round(hs, 4)", "low_slope": "round(ls, 4)", "wedge": f"CASE WHEN NOT coalesce({_STEEP}, false) THEN 'none' WHEN hs > 0 AND ls > 0 THEN 'rising' WHEN hs < 0 AND ls < 0 THEN 'falling' ELSE 'mixed' END", "wedge_reliability": f"round(CASE WHEN {_STEEP} THEN least(abs(hs - ls) * 1000, 80) END, 2)"},
+    (IND, _WEDGE), "wd", needs_ma=False,
+)
+_columns(
+    "k8_gaps", patterns.gaps,
+    {"gap": r6("CASE WHEN low / lag(high) OVER w - 1 >= 0.01 THEN low / lag(high) OVER w - 1 END"), "gap_closed": "CASE WHEN low / lag(high) OVER w - 1 >= 0.01 THEN coalesce(min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= lag(high) OVER w, false) END"}, needs_ma=False,
+)
+_columns(
+    "k1_pivots", patterns.pivots,
+    {n: "coalesce(" + " AND ".join(f"{c} {o} {f}({c}, {i}) OVER w" for i in (1, 2) for f in ("lag", "lead")) + ", false)" for n, c, o in (("peak", "high", ">"), ("trough", "low", "<"))}, needs_ma=False,
+)
+
+# portfolio ----------------------------------------------------------------------------------------------------------
+_RET = f"ret AS (SELECT symbol, dt, x FROM (SELECT symbol, dt, close / lag(close) OVER w - 1 AS x FROM bars {W}) WHERE x IS NOT NULL)"
+_RHO = """rho AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n_common, CASE WHEN count(*) >= 20 THEN round(corr(a.x, b.x), 4) ELSE 0 END AS rho, count(*) < 20 AS assumed FROM ret a JOIN ret b ON a.dt = b.dt AND a.symbol < b.symbol GROUP BY 1, 2)"""
+
+
+@register("v6_correlations", over("SELECT a, b, n_common, round(rho, 3) AS rho, assumed FROM rho", _RET, _RHO))
+def v6_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.correlations(ind.daily_returns(src.bars(spark, sf_dir))).withColumn("rho", F.round("rho", 3))
+
+
+_SIZE = f"""en AS (SELECT symbol, dt, close AS entry, {_frame("low", "min", 20)} AS stop FROM bars {W}), el AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1),
+sz AS (SELECT *, CASE WHEN entry > stop THEN floor(10000.0::DOUBLE / (entry - stop) / 1) END AS br, floor(200000.0::DOUBLE / entry / 1) AS bc FROM el),
+sh AS (SELECT *, coalesce(least(br, bc), 0)::BIGINT AS shares, CASE WHEN br IS NULL THEN 'stop not below entry' WHEN br = 0 THEN 'risk too small for a lot' WHEN bc < br THEN 'capped by position' ELSE 'by risk' END AS reason FROM sz)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantloom.functions.windows import last
+
+    b = src.bars(spark, sf_dir).select("symbol", "dt", F.col("close").alias("entry"), F.min("low").over(last(20)).alias("stop"))
+    return portfolio.position_sizes(ind.latest(b), lot=1)
+
+
+@register("v5_position_size", over("SELECT symbol, dt, round(entry, 6) AS entry, round(stop, 6) AS stop, shares, reason, round(shares * greatest(entry - stop, 0), 4) AS risk FROM sh", _SIZE))
+def v5_position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_entries(spark, sf_dir).withColumn("risk", F.round("risk", 4)))
+
+
+@register("v7_portfolio_risk", over("""SELECT n, round(plain, 2) AS plain_risk, round(sqrt(own + crs), 0) AS risk, round(least(1, 60000.0::DOUBLE / sqrt(own + crs)), 3) AS scale FROM (
+  SELECT (SELECT count(*) FROM rk) AS n, (SELECT sum(r) FROM rk) AS plain, (SELECT sum(r * r) FROM rk) AS own, (SELECT coalesce(sum(x.r * y.r * rho) * 2, 0) FROM rho JOIN rk x ON x.symbol = a JOIN rk y ON y.symbol = b) AS crs)""",
+    _RET, _RHO, _SIZE, "rk AS (SELECT symbol, shares * greatest(entry - stop, 0) AS r FROM sh WHERE shares * greatest(entry - stop, 0) > 0)"))
+def v7_portfolio_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rho = portfolio.correlations(ind.daily_returns(src.bars(spark, sf_dir)))
+    made = portfolio.portfolio_risk(_entries(spark, sf_dir), rho)
+    return made.select("n", F.round("plain_risk", 2).alias("plain_risk"), F.round("risk", 0).alias("risk"), F.round("scale", 3).alias("scale"))
+
+
+_SREL = sql.SECTOR_TICKS.replace("ticks AS", "st AS") + ", " + sql.ALL_DAYS.replace("alldays AS", "sd AS").replace("FROM ticks", "FROM st") + f", sr AS (SELECT symbol AS sector, dt, close / lag(close) OVER w - 1 AS x FROM (SELECT * FROM sd WHERE isodow(dt) < 6) {W})"
+
+
+@register("x3_related_symbols", over("""SELECT sector, symbol, n_common, round(rho, 6) AS rho, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY rho DESC, symbol) AS rank FROM (
+  SELECT sector, b.symbol, count(*) AS n_common, corr(b.close, sr.x) AS rho FROM bars b JOIN nation ON n_name = b.symbol JOIN region ON n_regionkey = r_regionkey JOIN sr ON sector = r_name AND sr.dt = b.dt WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 15)) WHERE rank <= 5""", _SREL))
+def x3_related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relation = j1_primary_sector(spark, sf_dir)
+    return rounded(portfolio.related(src.bars(spark, sf_dir), ind.daily_returns(src.bars(spark, sf_dir, "r_name")), relation))
+
+
+@register("x6_sector_strength", over(f"SELECT z.symbol, round(sc, 6) AS sector_score, round((close / lag(close, 5) OVER w - 1) * 100, 6) AS chg5, round((close / lag(close, 20) OVER w - 1) * 100, 6) AS chg20 FROM z JOIN bars USING (symbol, dt) {W} QUALIFY row_number() OVER (PARTITION BY z.symbol ORDER BY dt DESC) = 1", _SECTOR, ticks=sql.SECTOR_TICKS))
+def x6_sector_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = rules.sector_score(src.bars(spark, sf_dir, "r_name"))
+    change = lambda n: ((ratio(F.col("close"), lag("close", n)) - 1) * 100).alias(f"chg{n}")
+    return rounded(ind.latest(b.select("symbol", "dt", "sector_score", change(5), change(20))).drop("dt").orderBy(F.desc_nulls_last("sector_score"), "symbol"))
+
+
+@register("m8_json_extract", "SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::INT)::BIGINT AS total FROM events GROUP BY event_type")
+def m8_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = src.table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("total"))
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
