@@ -5,14 +5,15 @@ Documents become sets of word shingles. Rows with equal sets are one class from
 prefix shingle. The join goes on in steps that never emit all pairs within a group:
 
 1. Group: classes that share a prefix shingle meet at that shingle's pivot class; each class goes to the pivot that most
-   of its shingles name, and so similar documents with like prefixes and sizes fall into one group.
+   of its shingles name, so classes with like prefixes and sizes fall into one group.
 2. Verify groups: a group is cut into parts of bounded size, each with the pivot's set; a part's members are compared
    with the pivot, and those that do not reach it with the rest of the part until one link is found.
-3. Expand the rest: classes that still share a prefix shingle but lie in different components are paired (size and
-   position filters first), without the pairs inside the shingle's largest component, and verified exactly.
+3. Filter the rest: classes that still share a prefix shingle but lie in different components are paired, without the
+   pairs inside the shingle's largest component. A pair's shared prefix shingles and their places bound what the two sets
+   can share at most; pairs that can still reach the threshold are verified exactly.
 
 Every pair that reaches the threshold shares a prefix shingle; it is either verified or already in one component. So the
-components are exactly those of all links. Shingles are 64-bit hashes.
+components are exactly those of all links. Shingles are 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.shared import ASCII_LOWER, materialize, read
@@ -30,8 +31,9 @@ from quantloom.llm.shared import ASCII_LOWER, materialize, read
 WORDS, PERCENT = 4, 85
 #: How many of the most frequent shingles are put last (8 bytes each, broadcast). It changes the speed only, no link.
 FREQUENT = 1 << 17
-#: Classes of one part of a group.
-PART = 256
+#: Classes of one part of a group; the share of its shingles by which a class joins a group (fewer wait for step 3); classes
+#: (24 bytes each) that are broadcast to fetch their texts, beyond which the join shuffles.
+PART, LEAST_VOTES, BROADCAST_CLASSES = 256, 0.03, 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -113,36 +115,41 @@ def frequent_shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def document_sets(docs: DataFrame, words: int, percent: int, late: np.ndarray) -> DataFrame:
-    """``docs`` (doc_id, text, text_hash) as doc_id, text_hash, n, k (hash of the set), prefix (array of shingles).
+def ordered_keys(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Sorted signed keys of a set: below 0 the plain shingles, from 0 the frequent ones by rank. Equal shingles have equal
+    keys, and the order is the same in every set."""
+    keys = (shingles >> np.uint64(1)).astype(np.int64) + np.iinfo(np.int64).min
+    if len(names):
+        at = np.minimum(np.searchsorted(names, shingles), len(names) - 1)
+        keys = np.where(names[at] == shingles, ranks[at], keys)
+    keys.sort()
+    return keys
 
-    ``late``: frequent shingles, rarest first.
-    """
-    order = np.argsort(late, kind="stable")
-    sent = docs.sparkSession.sparkContext.broadcast((late[order], (order + 1).astype(np.int64)))
+
+def document_sets(docs: DataFrame, words: int, percent: int, sent) -> DataFrame:
+    """``docs`` (doc_id, text, text_hash) as doc_id, text_hash, n, k (hash of the set), prefix (array of keys; NULL where the
+    same task has given it for the same set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, ranks = sent.value
         hashes = _WordHashes()
+        seen: set[int] = set()
         for batch in batches:
             n, k, prefixes = [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, words, hashes)
-                rank = np.zeros(len(s), dtype=np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    rank = np.where(names[at] == s, ranks[at], 0)
-                take = prefix_length(len(s), percent) if len(s) else 0
-                prefixes.append(_signed(s[np.argsort(rank, kind="stable")[:take]]))
                 n.append(len(s))
                 k.append(xxhash.xxh3_64_intdigest(s) - (1 << 63))
+                new = len(s) > 0 and k[-1] not in seen
+                seen.add(k[-1])
+                prefixes.append(ordered_keys(s, names, ranks)[: prefix_length(len(s), percent)] if new else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "k": k, "prefix": prefixes}, columns=["doc_id", "text_hash", "n", "k", "prefix"])
 
-    return docs.mapInPandas(run, "doc_id long, text_hash long, n long, k long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, text_hash long, n int, k long, prefix array<long>")
 
 
-def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(k, comp): the smallest k reachable by ``links`` (a, b); minimum labels with pointer jumping, in few rounds."""
+def connected(links: DataFrame) -> DataFrame:
+    """(k, comp) of all ends of ``links`` (a, b): the smallest k reachable; minimum labels with pointer jumping, in few rounds."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a <> b").distinct())
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("comp")))
@@ -154,8 +161,7 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
         changed = new.where("new <> comp").limit(1).count()
         labels = new.select("k", F.col("new").alias("comp"))
         if not changed:
-            break
-    return nodes.select("k").join(labels, "k", "left").select("k", F.coalesce("comp", "k").alias("comp"))
+            return labels
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, within: bool) -> DataFrame:
@@ -191,6 +197,21 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, within: bool) -> Dat
     return rows.groupBy("p", "part").applyInPandas(run, "a long, b long")
 
 
+def sets_of(own: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(k, shingles) of wanted classes (k, least); each is read from the text of its least row."""
+    wanted = materialize(wanted.select("k", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash")))
+    small = wanted.count() <= BROADCAST_CLASSES
+    side = F.broadcast(wanted) if small else wanted
+    texts = own.join(side, (own["text_hash"] == F.col("_hash")) & own["doc_id"].eqNullSafe(F.col("_id"))).select("k", "text")
+
+    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"k": batch["k"], "shingles": [shingle_set(t, words, hashes).astype("<u8").tobytes() for t in batch["text"]]}, columns=["k", "shingles"])
+
+    return materialize(texts.mapInPandas(to_sets, "k long, shingles binary"))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, keep.
 
@@ -199,55 +220,67 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     component_id is their own doc_id. Null doc_ids never are a component's smallest id unless all its ids are null.
     ``keep`` marks one row of each component (of repeated rows of the smallest id, one); every row without shingles stays.
     """
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     late = frequent_shingles(own, words).orderBy(F.desc("n"), "h").limit(FREQUENT).orderBy("n", "h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    rows = materialize(document_sets(own, words, percent, late).withColumn("row_no", F.monotonically_increasing_id()))
+    order = np.argsort(late, kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast((late[order], order.astype(np.int64)))
+    rows = materialize(document_sets(own, words, percent, sent).withColumn("row_no", F.monotonically_increasing_id()))
     some = rows.where("n > 0")
-    classes = materialize(some.groupBy("k").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no", "text_hash")).alias("least")))
-
-    entries = classes.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
-    rank: Column = F.xxhash64("k")
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(rank.alias("rank"), F.col("k").alias("k"), F.col("n").alias("n"))).alias("pivot")).where("m > 1")
-    live = materialize(entries.join(shared.select("h", F.col("pivot.k").alias("p"), F.col("pivot.n").alias("pn")), "h"))
-
-    fits = lambda a, b: (F.lit(percent) * F.greatest(a, b) <= F.lit(100) * F.least(a, b))
-    votes = live.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("k", "p").agg(F.count(F.lit(1)).alias("votes"))
-    groups = materialize(votes.groupBy(F.col("k").alias("x")).agg(F.max(F.struct("votes", F.xxhash64("p").alias("rank"), "p")).alias("best")).select("x", "best.p"))
-
-    wanted = live.select("k").distinct().join(classes.select("k", "least"), "k").select("k", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
-    texts = own.join(wanted, (own["text_hash"] == F.col("_hash")) & own["doc_id"].eqNullSafe(F.col("_id"))).select("k", "text").dropDuplicates(["k"])
-
-    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
-        for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "shingles": [shingle_set(t, words, hashes).astype("<u8").tobytes() for t in batch["text"]]}, columns=["k", "shingles"])
-
-    sets = materialize(texts.mapInPandas(to_sets, "k long, shingles binary"))
-    links = materialize(verify(groups, sets, percent, within=True))
-    nodes = live.select("k").distinct()
-    comps = materialize(connected(nodes, links))
-
-    placed = live.select("h", "k", "n", "pos").join(comps, "k")
-    in_comp = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-    largest = in_comp.groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = materialize(placed.join(largest.select("h", F.col("top.comp").alias("top")), "h"))
+    classes = materialize(some.groupBy("k").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no", "text_hash")).alias("least")))
+
+    # 1. plain shingles meet by one shuffle; frequent ones, the only hot keys, are summed map-side and their table is broadcast
+    entries = rows.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
+    pivot = F.min(F.struct("k", "n"))
+    of_h = Window.partitionBy("h")
+    plain = entries.where("h < 0").withColumns({"pivot": pivot.over(of_h), "_most": F.max("k").over(of_h)}).where(F.col("pivot.k") < F.col("_most"))
+    frequent = entries.where("h >= 0")
+    met = frequent.groupBy("h").agg(pivot.alias("pivot"), F.max("k").alias("_most")).where(F.col("pivot.k") < F.col("_most"))
+    frequent = frequent.join(F.broadcast(met), "h")
+    columns = ["h", "k", "n", "pos", F.col("pivot.k").alias("p"), F.col("pivot.n").alias("pn")]
+    live = materialize(plain.select(*columns).unionByName(frequent.select(*columns)))
+
+    fits = lambda a, b: F.lit(percent) * F.greatest(a, b) <= F.lit(100) * F.least(a, b)
+    votes = live.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("k", "p").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+    votes = votes.where(F.col("votes") >= F.col("n") * LEAST_VOTES)
+    groups = materialize(votes.groupBy(F.col("k").alias("x")).agg(F.max(F.struct("votes", "p")).alias("best")).select("x", "best.p"))
+
+    # 2.
+    in_groups = groups.select(F.explode(F.array("x", "p")).alias("k")).distinct()
+    links = materialize(verify(groups, sets_of(own, classes.join(in_groups, "k", "left_semi"), words), percent, within=True))
+    comps = materialize(connected(links))
+
+    # 3.
+    placed = live.select("h", "k", "n", "pos").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    largest = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = placed.join(largest.select("h", F.col("top.comp").alias("top")), "h")
     minor = mixed.where("comp <> top").select("h", *(F.col(c).alias(f"{c}1") for c in ("k", "n", "pos", "comp")))
     other = mixed.select("h", "k", "n", "pos", "comp", (F.col("comp") == F.col("top")).alias("major"))
-    # what two sets can share at most, if the shingle at these positions is the first they share
-    least_shared = F.ceil(F.lit(percent) * (F.col("n") + F.col("n1")) / F.lit(100 + percent))
-    room = F.least(F.col("n") - F.col("pos"), F.col("n1") - F.col("pos1"))
-    pairs = minor.join(other, "h").where((F.col("comp") != F.col("comp1")) & (F.col("major") | (F.col("k1") < F.col("k"))) & fits(F.col("n"), F.col("n1")) & (room >= least_shared))
-    pairs = pairs.select(F.least("k", "k1").alias("p"), F.greatest("k", "k1").alias("x")).distinct()
-    more = materialize(verify(materialize(pairs), sets, percent, within=False))
-    comps = materialize(connected(nodes, links.unionByName(more))) if not more.isEmpty() else comps
+    met = minor.join(other, "h").where((F.col("comp") != F.col("comp1")) & (F.col("major") | (F.col("k1") < F.col("k"))) & fits(F.col("n"), F.col("n1")))
+    flip = F.col("k") < F.col("k1")
+    side = lambda c: (F.when(flip, F.col(c)).otherwise(F.col(f"{c}1")), F.when(flip, F.col(f"{c}1")).otherwise(F.col(c)))
+    named = {f"{c}{i}": value for c in ("k", "n", "pos") for i, value in zip("ab", side(c), strict=True)}
+    # one row for each shared prefix shingle, once even where copies of a set gave it in several tasks
+    counted = met.select("h", *(v.alias(n) for n, v in named.items())).groupBy("ka", "kb").agg(
+        F.count_distinct("h").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("la"), F.max("posb").alias("lb")
+    )
+    prefix = lambda n: n - F.ceil(n * percent / 100) + 1
+    after_last = F.least(F.col("na") - 1 - F.col("la"), F.col("nb") - 1 - F.col("lb"))
+    after_prefix = F.greatest(F.col("na") - prefix(F.col("na")), F.col("nb") - prefix(F.col("nb")))
+    most = F.col("shared") + F.least(after_last, after_prefix)
+    pairs = materialize(counted.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("ka").alias("p"), F.col("kb").alias("x")))
+    if not pairs.isEmpty():
+        in_pairs = pairs.select(F.explode(F.array("x", "p")).alias("k")).distinct()
+        more = materialize(verify(pairs, sets_of(own, classes.join(in_pairs, "k", "left_semi"), words), percent, within=False))
+        if not more.isEmpty():
+            comps = materialize(connected(links.unionByName(more)))
 
     named = classes.select("k", "least").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     least = named.groupBy("comp").agg(F.min("least").alias("least"))
     of_class = named.select("k", "comp").join(least, "comp").select("k", F.col("least.doc_id").alias("component_id"), F.col("least.row_no").alias("first_row"))
     linked_rows = some.select("doc_id", "n", "k", "row_no").join(of_class, "k")
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"), "row_no")
-    return linked_rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row_no") == F.col("first_row")).alias("keep"), "row_no").unionByName(alone)
+    linked_rows = linked_rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("row_no") == F.col("first_row")).alias("keep"))
+    alone = rows.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keep"))
+    return linked_rows.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
