@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.shared import read
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 _BLANK_RUN = re.compile(r"\s |^ | \s| $").search
 
 

@@ -47,7 +47,7 @@ class _WordHashes(dict):
     """Hashes of the words of one batch of texts."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -106,7 +106,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> DataFrame:
                     seen.add(key)
                     held.append(s)
                     size += len(s)
-                if size > 3_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, seen, size = [], set(), 0
         if held:
