@@ -238,8 +238,8 @@ def latest(bars: DataFrame) -> DataFrame:
     return newest_per_symbol(bars, 1)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that results do not depend on the order of adding."""
-    return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema))
+def rounded(df: DataFrame, digits: int = 5, exact: tuple[str, ...] = ("open", "high", "low", "close", "entry", "stop")) -> DataFrame:
+    """Computed doubles rounded, so that results do not depend on the order of adding; prices stay as they are."""
+    return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" and f.name not in exact else F.col(f.name) for f in df.schema))
 
 

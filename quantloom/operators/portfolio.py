@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _pearson(x: str, y: str) -> Column:
+    """NULL where one side does not move."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(returns: DataFrame, least: int = 20) -> DataFrame:
     """a, b, n_common, rho, assumed for every pair of symbols a < b that share a day.
 
@@ -15,9 +20,9 @@ def correlations(returns: DataFrame, least: int = 20) -> DataFrame:
     a = returns.select("dt", F.col("symbol").alias("a"), F.col("ret").alias("x"))
     b = returns.select("dt", F.col("symbol").alias("b"), F.col("ret").alias("y"))
     made = a.join(b, "dt").where("a < b").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_common"), F.corr("x", "y").alias("rho"), F.stddev_pop("x").alias("_sx"), F.stddev_pop("y").alias("_sy")
+        F.count(F.lit(1)).alias("n_common"), _pearson("x", "y").alias("rho")
     )
-    known = (F.col("n_common") >= least) & (F.col("_sx") > 0) & (F.col("_sy") > 0) & F.col("rho").isNotNull()
+    known = (F.col("n_common") >= least) & F.col("rho").isNotNull()
     value = F.when(known, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho"))), 4)).otherwise(0.0)
     return made.select("a", "b", "n_common", value.alias("rho"), (~known).alias("assumed"))
 
@@ -48,10 +53,8 @@ def related(closes: DataFrame, sector_returns: DataFrame, relation: DataFrame, l
 
     Levels are set against returns, as the screen that this serves does. ``most`` members of a sector, by symbol, are taken.
     """
-    from pyspark.sql import Window
-
     members = relation.withColumn("_rn", F.row_number().over(Window.partitionBy("sector").orderBy("symbol"))).where(F.col("_rn") <= most).drop("_rn")
     rows = closes.select("symbol", "dt", "close").join(members, "symbol").join(sector_returns.select(F.col("symbol").alias("sector"), "dt", "ret"), ["sector", "dt"])
-    made = rows.groupBy("sector", "symbol").agg(F.count(F.lit(1)).alias("n_common"), F.corr("close", "ret").alias("rho")).where((F.col("n_common") >= least) & F.col("rho").isNotNull())
+    made = rows.groupBy("sector", "symbol").agg(F.count(F.lit(1)).alias("n_common"), _pearson("close", "ret").alias("rho")).where((F.col("n_common") >= least) & F.col("rho").isNotNull())
     rank = F.row_number().over(Window.partitionBy("sector").orderBy(F.col("rho").desc(), "symbol"))
     return made.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -36,14 +36,14 @@ def _columns(name: str, step: Callable[[DataFrame], DataFrame], columns: dict[st
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = src.bars(spark, sf_dir)
         bars = step(ind.moving_averages(bars) if needs_ma else bars)
-        return rounded(bars.select("symbol", "dt", *columns))
+        return rounded(bars.select("symbol", "dt", *columns), exact=tuple(c for c, e in columns.items() if not e.startswith("round(")))
 
     body = "SELECT symbol, dt, " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {source} {W}"
     register(name, over(body, *ctes))(run)
 
 
-r6 = lambda e: f"round({e}, 6)"
-_columns("w1_sma_set", lambda b: b, {f"ma{n}": r6(f"ma{n}") for n in ind.PERIODS})
+r6 = lambda e: f"round({e}, 5)"
+_columns("w1_sma_set", lambda b: b.withColumns({f"ma{n}": F.round(f"ma{n}", 3) for n in ind.PERIODS}), {f"ma{n}": f"round(ma{n}, 3)" for n in ind.PERIODS})
 _columns("w2_ma_slope", ind.ma_slopes, {f"ma{n}_slope": r6(f"ma{n}_slope") for n in (5, 10, 20, 60)})
 _columns("w3_ma_arrangement", ind.ma_arrangement, {"arrangement": "arrangement", "arrangement_strength": "CASE WHEN arrangement = 1 THEN 2 + (ma20 > ma60 AND ma60 IS NOT NULL)::INT WHEN arrangement IS NOT NULL THEN 0 END"})
 _columns("w4_ma_cross", ind.ma_signals, {"ma_cross": cross("ma5p", "ma10p", "ma5", "ma10"), "ma20_cross": cross("c1", "ma20p", "close", "ma20")})
@@ -61,7 +61,7 @@ _KNOWN = " + ".join(f"({m} IS NOT NULL)::INT" for m in ("ma5", "ma10", "ma20", "
 _STRENGTH = f"ts AS (SELECT *, CASE WHEN ma5 IS NULL THEN 0 ELSE ({_DIST}) / ({_KNOWN}) * 0.7 + coalesce(arrangement * 30, 0) END AS s FROM ind)"
 _columns(
     "w9_trend_strength", lambda b: ind.trend_strength(ind.ma_arrangement(b)),
-    {"trend_strength": r6("s"), "trend_scaled": "round(CASE WHEN max(s) OVER (PARTITION BY symbol) > min(s) OVER (PARTITION BY symbol) THEN (s - min(s) OVER (PARTITION BY symbol)) / (max(s) OVER (PARTITION BY symbol) - min(s) OVER (PARTITION BY symbol)) * 100 ELSE 0 END, 6)"},
+    {"trend_strength": r6("s"), "trend_scaled": "round(CASE WHEN max(s) OVER (PARTITION BY symbol) > min(s) OVER (PARTITION BY symbol) THEN (s - min(s) OVER (PARTITION BY symbol)) / (max(s) OVER (PARTITION BY symbol) - min(s) OVER (PARTITION BY symbol)) * 100 ELSE 0 END, 5)"},
     (IND, _STRENGTH), "ts",
 )
 _columns("w10_volume_ratio", ind.volume_ratio, {"volume_ratio": r6("volume_ratio")}, needs_ma=False)
@@ -99,7 +99,7 @@ e AS (SELECT symbol, dt, rn, close AS f, close AS s, 0::DOUBLE AS line, 0::DOUBL
 _ema = lambda body: over(body, _EMA).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@register("w5_macd", _ema("SELECT symbol, dt, round(line, 6) AS macd, round(sig, 6) AS macd_signal, round(line - sig, 6) AS macd_hist, round(area, 4) AS macd_area FROM e"))
+@register("w5_macd", _ema("SELECT symbol, dt, round(line, 5) AS macd, round(sig, 5) AS macd_signal, round(line - sig, 5) AS macd_hist, round(area, 4) AS macd_area FROM e"))
 def w5_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ind.macd(src.bars(spark, sf_dir)).select("symbol", "dt", "macd", "macd_signal", "macd_hist", F.round("macd_area", 4).alias("macd_area"))
     return rounded(made)
@@ -127,19 +127,19 @@ def w17_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _columns(
     "w18_average_turnover", ind.average_turnover,
-    {"turn_avg20": "round(CASE WHEN count(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 15 THEN avg(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END, 6)",
-     "high120": r6("max(high) OVER (w ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)")}, needs_ma=False,
+    {"turn_avg20": "round(CASE WHEN count(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 15 THEN avg(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END, 5)",
+     "high120": "max(high) OVER (w ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)"}, needs_ma=False,
 )
 _BOX = f"bx AS (SELECT *, CASE WHEN rn >= 5 THEN max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS t, CASE WHEN rn >= 5 THEN min(low) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS u FROM ind {W})"
 _columns(
     "w20_box_position", ind.box,
-    {"box_top": r6("t"), "box_bottom": r6("u"),
+    {"box_top": "t", "box_bottom": "u",
      "box_place": "CASE WHEN close > t * 1.02::DOUBLE THEN 'above top' WHEN close >= t * 0.98::DOUBLE THEN 'near top' WHEN close < u * 0.98::DOUBLE THEN 'below bottom' WHEN close <= u * 1.02::DOUBLE THEN 'near bottom' WHEN t IS NOT NULL THEN 'inside' ELSE 'unknown' END"},
     (IND, _BOX), "bx", needs_ma=False,
 )
 _TR = f"""t0 AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr, coalesce(close >= round_even(c1 * 1.1::DOUBLE, 2), false) AS at_limit FROM ind),
 t1 AS (SELECT *, CASE WHEN at_limit THEN avg(tr) OVER (w ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) ELSE tr END AS tr2 FROM t0 {W})"""
-_columns("w21_adaptive_atr", ind.true_range_atr, {"tr": r6("tr"), "at_limit": "at_limit", "atr": r6(sql.mean("tr2", 14))}, (IND, _TR), "t1", needs_ma=False)
+_columns("w21_adaptive_atr", ind.true_range_atr, {"tr": "tr", "at_limit": "at_limit", "atr": r6(sql.mean("tr2", 14))}, (IND, _TR), "t1", needs_ma=False)
 
 _POC = f"""p0 AS (SELECT *, low + (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) * (high - low) AS p,
   row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS lft, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM bars),
@@ -149,12 +149,12 @@ p2 AS (SELECT symbol, dt, lo, st, least(floor((p - lo) / st), 48) AS bin, sum(v)
 poc AS (SELECT symbol, dt, arg_max(lo + (bin + 0.5::DOUBLE) * st, ROW(v, -bin)) AS poc FROM p2 GROUP BY 1, 2)"""
 
 
-@register("w22_poc", over("SELECT symbol, dt, round(poc, 6) AS poc FROM poc", _POC))
+@register("w22_poc", over("SELECT symbol, dt, round(poc, 5) AS poc FROM poc", _POC))
 def w22_poc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.poc(src.bars(spark, sf_dir)).select("symbol", "dt", "poc"))
 
 
-@register("w23_platform_breakout", over(f"""SELECT symbol, dt, round(poc, 6) AS poc, round(poc + 1.8::DOUBLE * atr, 6) AS upper, round(poc - 1.8::DOUBLE * atr, 6) AS lower,
+@register("w23_platform_breakout", over(f"""SELECT symbol, dt, round(poc, 5) AS poc, round(poc + 1.8::DOUBLE * atr, 5) AS upper, round(poc - 1.8::DOUBLE * atr, 5) AS lower,
   coalesce(close > poc + 1.8::DOUBLE * atr AND close > open AND (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) > 0.5 AND NOT lb, false) AS breakout
   FROM (SELECT *, {sql.mean("tr2", 14)} AS atr, coalesce(lag(at_limit) OVER w, false) AS lb FROM t1 {W}) JOIN poc USING (symbol, dt)""", IND, _TR, _POC))
 def w23_platform_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ _YEAR = " AND ".join(f"coalesce({m} > ma250, false)" for m in ("ma5", "ma10", "m
 _PASS = f"(coalesce(close >= ma250, false) AND (ma60 IS NULL OR close >= ma60) AND {_ORDER} AND {_YEAR})"
 
 
-@register("r1_yearline_filter", over(f"""SELECT symbol, dt, round(close, 6) AS close, coalesce(close >= ma250, false) AS above_ma250, coalesce(close >= ma60, false) AS above_ma60, {_ORDER} AS arranged,
+@register("r1_yearline_filter", over(f"""SELECT symbol, dt, close AS close, coalesce(close >= ma250, false) AS above_ma250, coalesce(close >= ma60, false) AS above_ma60, {_ORDER} AS arranged,
   {", ".join(f"coalesce({m} > ma250, false) AS {m}_above_ma250" for m in ("ma5", "ma10", "ma20", "ma60"))}, {_PASS} AS yearline_pass
   FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1""", IND))
 def r1_yearline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +181,7 @@ def r1_yearline_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ind.latest(bars).select("symbol", "dt", "close", *checks)).orderBy(F.desc("yearline_pass"), "symbol")
 
 
-@register("r2_weekly_anchor", over(f"""SELECT symbol, dt, round(m, 6) AS ma_w, round(sl, 6) AS ma_w_slope, n >= 10 AND close > m AND sl >= -1e-9 AS anchored FROM (
+@register("r2_weekly_anchor", over(f"""SELECT symbol, dt, round(m, 5) AS ma_w, round(sl, 5) AS ma_w_slope, n >= 10 AND close > m AND sl >= -1e-9 AS anchored FROM (
   SELECT *, CASE WHEN n >= 63 THEN m - lag(m, 3) OVER w ELSE 0 END AS sl FROM (
   SELECT *, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n, avg(close) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS m FROM res {W}) {W})""", sql.weeks()))
 def r2_weekly_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,14 +239,14 @@ def _market(basis: str):
 
 
 for _name, _basis in (("z2_market_leg_ma", "ma"), ("z3_market_leg_yearline", "yearline"), ("z4_market_leg_volume_break", "volume_break")):
-    register(_name, over(f"SELECT symbol, dt, s20 AS ma20_side, s60 AS ma60_side, {_POSITION} AS position, round(g, 6) AS chg20, {_LEGS[_basis]} AS market_trend FROM m0", IND, _SIDES, ticks=sql.MARKET_TICKS))(_market(_basis))
+    register(_name, over(f"SELECT symbol, dt, s20 AS ma20_side, s60 AS ma60_side, {_POSITION} AS position, round(g, 5) AS chg20, {_LEGS[_basis]} AS market_trend FROM m0", IND, _SIDES, ticks=sql.MARKET_TICKS))(_market(_basis))
 
 _SECTOR = f"""z AS (SELECT symbol, dt, CASE WHEN rn >= 20 THEN least(10, greatest(0, (close - m) / m * 100 + 5)) + least(7.5, greatest(0, coalesce(close / c9 - 1, 0) * 100 + 3.75))
   + least(7.5, greatest(0, a5 / (a20 + 1e-6) * 3.75)) ELSE 12.5 END AS sc FROM (SELECT symbol, dt, close, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS rn, avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m,
   lag(close, 9) OVER w AS c9, avg(amount) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS a5, avg(amount) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS a20 FROM bars {W}))"""
 
 
-@register("z6_sector_score", over("SELECT symbol, dt, round(sc, 6) AS sector_score, sc > 12.5 AS sector_up FROM z", _SECTOR, ticks=sql.SECTOR_TICKS))
+@register("z6_sector_score", over("SELECT symbol, dt, round(sc, 5) AS sector_score, sc > 12.5 AS sector_up FROM z", _SECTOR, ticks=sql.SECTOR_TICKS))
 def z6_sector_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.sector_score(src.bars(spark, sf_dir, "r_name")).select("symbol", "dt", "sector_score", "sector_up"))
 
@@ -293,12 +293,12 @@ def z8_resonance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_evaluation(spark, sf_dir).select("symbol", "dt", "sector", "stock_strict", "market_trend", "position", "sector_up", "capital_score", "capital_active", "score", "true_resonance")
 
 
-@register("a12_gate_funnel", _eval_sql("""SELECT gate, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS pass_rate FROM (
+@register("a12_gate_funnel", _eval_sql("""SELECT gate, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) / count(*)::DOUBLE, 5) AS pass_rate FROM (
   SELECT unnest(['score_reached', 'capital_active', 'market_up', 'sector_up', 'stock_strict', 'market_not_high']) AS gate,
          unnest([score >= 85, act, market_trend = 'up', coalesce(sector_up, false), strict, position <> 'high']) AS ok FROM fin) GROUP BY gate"""))
 def a12_gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = full_evaluation(spark, sf_dir).select(F.explode("gates").alias("gate", "ok"))
-    return gates.groupBy("gate").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.count_if("ok") / F.count(F.lit(1)), 6).alias("pass_rate"))
+    return gates.groupBy("gate").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.count_if("ok") / F.count(F.lit(1)), 5).alias("pass_rate"))
 
 
 @register("t1_ranked_results", _eval_sql("SELECT symbol, score, row_number() OVER (ORDER BY score DESC NULLS LAST, symbol) AS place FROM fin"))
@@ -318,7 +318,7 @@ def _resampled(unit: str):
 
 
 for _unit in ("week", "month"):
-    register(f"a1_resample_{_unit}", over(f"SELECT symbol, dt, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume, amount, round(turn, 6) AS turn, n_bars, round((close / lag(close) OVER w - 1) * 100, 6) AS pct_chg FROM res {W}", sql.weeks(_unit)))(_resampled(_unit))
+    register(f"a1_resample_{_unit}", over(f"SELECT symbol, dt, open AS open, high AS high, low AS low, close AS close, volume, amount, round(turn, 5) AS turn, n_bars, round((close / lag(close) OVER w - 1) * 100, 5) AS pct_chg FROM res {W}", sql.weeks(_unit)))(_resampled(_unit))
 
 _MINUTES = """m30 AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS dt, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
 
@@ -344,7 +344,7 @@ def a8_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.freshness(src.bars(spark, sf_dir))
 
 
-@register("a9_delta_rows", over("SELECT b.symbol, b.dt, round(b.close, 6) AS close FROM bars b JOIN (SELECT symbol, max(dt) AS e FROM bars WHERE dt < DATE '2000-01-01' AND length(symbol) > 5 GROUP BY 1) USING (symbol) WHERE b.dt > e"))
+@register("a9_delta_rows", over("SELECT b.symbol, b.dt, b.close AS close FROM bars b JOIN (SELECT symbol, max(dt) AS e FROM bars WHERE dt < DATE '2000-01-01' AND length(symbol) > 5 GROUP BY 1) USING (symbol) WHERE b.dt > e"))
 def a9_delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = src.bars(spark, sf_dir)
     stored = bars.where("dt < date'2000-01-01' and length(symbol) > 5")
@@ -372,7 +372,7 @@ def a19_minute_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("code").agg(F.count(F.lit(1)).alias("n_bars"), F.min("dt").alias("first_bar"), F.max("dt").alias("last_bar"), F.sum("volume").alias("volume"))
 
 
-@register("s9_bar_upsert", over("SELECT symbol, dt, round(close, 6) AS close, coalesce(nt, t) AS turn FROM (SELECT symbol, dt, close + CASE WHEN dt >= DATE '1999-01-01' THEN 1 ELSE 0 END AS close, t, CASE WHEN dt >= DATE '1999-01-01' AND day(dt) % 2 = 0 THEN 5.0 END AS nt FROM g)", _GAPPY))
+@register("s9_bar_upsert", over("SELECT symbol, dt, close AS close, coalesce(nt, t) AS turn FROM (SELECT symbol, dt, close + CASE WHEN dt >= DATE '1999-01-01' THEN 1 ELSE 0 END AS close, t, CASE WHEN dt >= DATE '1999-01-01' AND day(dt) % 2 = 0 THEN 5.0 END AS nt FROM g)", _GAPPY))
 def s9_bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = src.gappy_bars(spark, sf_dir).select("symbol", "dt", "close", "turn")
     new = stored.where("dt >= date'1999-01-01'").select("symbol", "dt", (F.col("close") + 1).alias("close"), F.when(F.dayofmonth("dt") % 2 == 0, 5.0).alias("turn"))
@@ -392,11 +392,11 @@ def s3_source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNAP = "snap AS (SELECT symbol, last_day(dt) AS as_of, sum(amount) / 1000 AS shares FROM bars WHERE month(dt) = 12 GROUP BY 1, 2)"
 
 
-@register("j3_as_of_join", over("SELECT b.symbol, b.dt, round(shares, 4) AS shares FROM bars b ASOF LEFT JOIN snap s ON b.symbol = s.symbol AND b.dt >= s.as_of", _SNAP))
+@register("j3_as_of_join", over("SELECT b.symbol, b.dt, round(shares, 6) AS shares FROM bars b ASOF LEFT JOIN snap s ON b.symbol = s.symbol AND b.dt >= s.as_of", _SNAP))
 def j3_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = src.bars(spark, sf_dir)
     snaps = b.where(F.month("dt") == 12).groupBy("symbol", F.last_day("dt").alias("as_of")).agg((F.sum("amount") / 1000).alias("shares"))
-    return rounded(quality.as_of(b.select("symbol", "dt", F.lit(None).cast("double").alias("shares")), snaps, "shares").select("symbol", "dt", "shares"), 4)
+    return rounded(quality.as_of(b.select("symbol", "dt", F.lit(None).cast("double").alias("shares")), snaps, "shares").select("symbol", "dt", "shares"), 6)
 
 
 @register("r18_derived_turnover", over("SELECT symbol, dt, CASE WHEN x > 0 AND x < 80 THEN x END AS derived FROM (SELECT b.symbol, b.dt, round(volume * 100 / shares, 4) AS x FROM bars b ASOF LEFT JOIN snap s ON b.symbol = s.symbol AND b.dt >= s.as_of)", _SNAP))
@@ -513,7 +513,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.position_sizes(ind.latest(b), lot=1)
 
 
-@register("v5_position_size", over("SELECT symbol, dt, round(entry, 6) AS entry, round(stop, 6) AS stop, shares, reason, round(shares * greatest(entry - stop, 0), 4) AS risk FROM sh", _SIZE))
+@register("v5_position_size", over("SELECT symbol, dt, entry AS entry, stop AS stop, shares, reason, round(shares * greatest(entry - stop, 0), 4) AS risk FROM sh", _SIZE))
 def v5_position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_entries(spark, sf_dir).withColumn("risk", F.round("risk", 4)))
 
@@ -530,14 +530,14 @@ def v7_portfolio_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SREL = sql.SECTOR_TICKS.replace("ticks AS", "st AS") + ", " + sql.ALL_DAYS.replace("alldays AS", "sd AS").replace("FROM ticks", "FROM st") + f", sr AS (SELECT symbol AS sector, dt, close / lag(close) OVER w - 1 AS x FROM (SELECT * FROM sd WHERE isodow(dt) < 6) {W})"
 
 
-@register("x3_related_symbols", over("""SELECT sector, symbol, n_common, round(rho, 6) AS rho, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY rho DESC, symbol) AS rank FROM (
+@register("x3_related_symbols", over("""SELECT sector, symbol, n_common, round(rho, 5) AS rho, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY rho DESC, symbol) AS rank FROM (
   SELECT sector, b.symbol, count(*) AS n_common, corr(b.close, sr.x) AS rho FROM bars b JOIN nation ON n_name = b.symbol JOIN region ON n_regionkey = r_regionkey JOIN sr ON sector = r_name AND sr.dt = b.dt WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 15)) WHERE rank <= 5""", _SREL))
 def x3_related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = j1_primary_sector(spark, sf_dir)
     return rounded(portfolio.related(src.bars(spark, sf_dir), ind.daily_returns(src.bars(spark, sf_dir, "r_name")), relation))
 
 
-@register("x6_sector_strength", over(f"SELECT z.symbol, round(sc, 6) AS sector_score, round((close / lag(close, 5) OVER w - 1) * 100, 6) AS chg5, round((close / lag(close, 20) OVER w - 1) * 100, 6) AS chg20 FROM z JOIN bars USING (symbol, dt) {W} QUALIFY row_number() OVER (PARTITION BY z.symbol ORDER BY dt DESC) = 1", _SECTOR, ticks=sql.SECTOR_TICKS))
+@register("x6_sector_strength", over(f"SELECT z.symbol, round(sc, 5) AS sector_score, round((close / lag(close, 5) OVER w - 1) * 100, 5) AS chg5, round((close / lag(close, 20) OVER w - 1) * 100, 5) AS chg20 FROM z JOIN bars USING (symbol, dt) {W} QUALIFY row_number() OVER (PARTITION BY z.symbol ORDER BY dt DESC) = 1", _SECTOR, ticks=sql.SECTOR_TICKS))
 def x6_sector_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = rules.sector_score(src.bars(spark, sf_dir, "r_name"))
     change = lambda n: ((ratio(F.col("close"), lag("close", n)) - 1) * 100).alias(f"chg{n}")
