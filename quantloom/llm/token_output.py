@@ -25,7 +25,7 @@ from quantloom.llm.shared import materialize, read
 END_ID = 1
 MAGIC = b"QTK1"
 #: Ids of a segment (one stored row; a longer document makes a longer one), of a block at most, and the lanes aimed at.
-SEGMENT_IDS, BLOCK_IDS, LEAST_BLOCK_IDS, LANES = 1 << 21, 2048, 512, 1024
+SEGMENT_IDS, BLOCK_IDS, LEAST_BLOCK_IDS, LANES = 1 << 22, 2048, 512, 2048
 STRETCHES = 100_000
 #: Fixed values of the format: slots for the counts of each order, count step, and the bounds of the 48-bit coder.
 SLOTS = (1 << 9, 1 << 11, 1 << 11)
