@@ -200,3 +200,75 @@ def pivots(bars: DataFrame, k: int = 2) -> DataFrame:
     return bars.withColumns({"peak": F.coalesce(peak, F.lit(False)), "trough": F.coalesce(trough, F.lit(False))})
 
 
+
+
+def _newest_frame(bars: DataFrame, n: int, k: int) -> DataFrame:
+    """One row per symbol with at least ``n`` bars: dt, the newest ``n`` highs and lows, and where their pivots are."""
+    rank = F.row_number().over(Window.partitionBy(SYMBOL).orderBy(F.col("dt").desc()))
+    rows = bars.withColumn("_rank", rank).where(F.col("_rank") <= n).groupBy("symbol").agg(F.max("dt").alias("dt"), F.array_sort(F.collect_list(F.struct("dt", "high", "low"))).alias("f")).where(F.size("f") == n)
+    rows = rows.select("symbol", "dt", F.col("f.high").alias("h"), F.col("f.low").alias("l"))
+    inner = F.sequence(F.lit(2), F.lit(n - 3))
+
+    def turning(c: str, above: bool) -> Column:
+        def is_pivot(i: Column) -> Column:
+            found = F.lit(True)
+            for j in (*range(-k, 0), *range(1, k + 1)):
+                here, there = F.get(c, i), F.get(c, i + j)
+                found = found & (here > there if above else here < there)
+            return found
+
+        return F.filter(inner, is_pivot)
+
+    return rows.withColumns({"peaks": turning("h", True), "troughs": turning("l", False)})
+
+
+def _first_run(places: str, length: int, fits: Callable[[Column, list[Column]], Column]) -> Column:
+    """Number of the first of ``length`` pivots in a row that fit; NULL if none do."""
+    starts = F.when(F.size(places) >= length, F.sequence(F.lit(0), F.size(places) - length)).otherwise(F.array().cast("array<int>"))
+    return F.get(F.filter(starts, lambda q: fits(q, [F.get(places, q + j) for j in range(length)])), F.lit(0))
+
+
+def head_and_shoulders(bars: DataFrame) -> DataFrame:
+    """symbol, dt, kind (top, bottom, none), head, neck, target over the newest 60 bars; tops before bottoms, the first counts.
+
+    Three pivots in a row, more than five bars apart each, the middle one beyond both. The neck is the opposite pivot with
+    the middle one's number in its own list.
+    """
+
+    def shape(own: str, value: str, opposite: str, sign: int) -> Column:
+        def fits(q: Column, i: list[Column]) -> Column:
+            a, b, c = (F.get(value, x) * sign for x in i)
+            return (i[1] - i[0] > 5) & (i[2] - i[1] > 5) & (b > a) & (b > c) & (q + 1 < F.size(opposite))
+
+        return _first_run(own, 3, fits)
+
+    rows = _newest_frame(bars, 60, 2).withColumns({"top": shape("peaks", "h", "troughs", 1), "bottom": shape("troughs", "l", "peaks", -1)})
+    top = F.col("top").isNotNull()
+    q = F.coalesce("top", "bottom")
+    head = F.when(top, F.get("peaks", q + 1)).otherwise(F.get("troughs", q + 1))
+    neck = F.when(top, F.get("l", F.get("troughs", q + 1))).otherwise(F.get("h", F.get("peaks", q + 1)))
+    rows = rows.withColumns({"head": head, "neck": neck, "kind": F.when(top, "top").when(q.isNotNull(), "bottom").otherwise("none")})
+    target = F.when(top, F.col("neck") - (F.get("h", F.col("head")) - F.col("neck"))).otherwise(F.col("neck") + (F.col("neck") - F.get("l", F.col("head"))))
+    return rows.select("symbol", "dt", "kind", "head", "neck", target.alias("target"))
+
+
+def double_top_bottom(bars: DataFrame) -> DataFrame:
+    """symbol, dt, kind, first_at, second_at, neck, target over the newest 40 bars: two pivots in a row, 5 to 15 bars apart and
+    less than 5 % from each other; the neck is the opposite price of the bar half way."""
+
+    def shape(own: str, value: str) -> Column:
+        def fits(q: Column, i: list[Column]) -> Column:
+            a, b = F.get(value, i[0]), F.get(value, i[1])
+            return (i[1] - i[0]).between(5, 15) & (F.abs(a - b) / a * 100 < 5)
+
+        return _first_run(own, 2, fits)
+
+    rows = _newest_frame(bars, 40, 1).withColumns({"top": shape("peaks", "h"), "bottom": shape("troughs", "l")})
+    top = F.col("top").isNotNull()
+    q = F.coalesce("top", "bottom")
+    at = lambda j: F.when(top, F.get("peaks", q + j)).otherwise(F.get("troughs", q + j))
+    rows = rows.withColumns({"first_at": at(0), "second_at": at(1), "kind": F.when(top, "top").when(q.isNotNull(), "bottom").otherwise("none")})
+    half = F.floor((F.col("first_at") + F.col("second_at")) / 2).cast("int")
+    rows = rows.withColumn("neck", F.when(top, F.get("l", half)).otherwise(F.get("h", half)))
+    target = F.when(top, F.col("neck") - (F.get("h", F.col("first_at")) - F.col("neck"))).otherwise(F.col("neck") + (F.col("neck") - F.get("l", F.col("first_at"))))
+    return rows.select("symbol", "dt", "kind", "first_at", "second_at", "neck", target.alias("target"))

@@ -161,9 +161,15 @@ def period_direction(bars: DataFrame, back: int = 20) -> DataFrame:
     return bars.withColumns({"direction": F.when(bull, "bull").when(bear, "bear").when(F.col("ma20").isNotNull(), "neutral"), "ma20_slope_pct": slope})
 
 
-def turnover_tag() -> Column:
-    t = F.col("turn")
-    return F.when(t.isNull(), "unknown").when(t < 1, "quiet").when(t < 3, "low").when(t < 7, "normal").when(t < 15, "high").otherwise("extreme")
+def turnover_tag(turn: Column) -> Column:
+    """Band of a turnover in percent; bands that no one named are ``other``."""
+    return F.when(turn.isNull() | (turn <= 0), "unknown").when(turn >= 70, "flee").when(turn >= 25, "heavy").when(turn.between(8, 15), "inflow").when(turn.between(3, 5), "absorb").otherwise("other")
+
+
+def style_tag(turn: Column, passed: Column, main_wave: Column) -> Column:
+    """sentiment (turnover from 15), trend (year line passed or main wave), mixed or unknown."""
+    lively, trend = known_true(turn >= 15), known_true(passed) | known_true(main_wave)
+    return F.when(lively & trend, "mixed").when(lively, "sentiment").when(trend, "trend").otherwise("unknown")
 
 
 def derived_turnover(volume: Column, float_shares: Column) -> Column:

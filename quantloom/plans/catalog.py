@@ -206,10 +206,13 @@ _columns(
     "r11_period_direction", rules.period_direction,
     {"direction": "CASE WHEN ma5 > ma10 AND ma10 > ma20 THEN 'bull' WHEN ma5 < ma10 AND ma10 < ma20 THEN 'bear' WHEN ma20 IS NOT NULL THEN 'neutral' END", "ma20_slope_pct": r6("(ma20 - lag(ma20, 20) OVER w) / lag(ma20, 20) OVER w * 100")},
 )
+_TAG = "CASE WHEN turn IS NULL OR turn <= 0 THEN 'unknown' WHEN turn >= 70 THEN 'flee' WHEN turn >= 25 THEN 'heavy' WHEN turn BETWEEN 8 AND 15 THEN 'inflow' WHEN turn BETWEEN 3 AND 5 THEN 'absorb' ELSE 'other' END"
+_STYLE = f"CASE WHEN turn >= 15 AND {_PASS} THEN 'mixed' WHEN turn >= 15 THEN 'sentiment' WHEN {_PASS} THEN 'trend' ELSE 'unknown' END"
 _columns(
-    "r17_turnover_tag", lambda b: b.withColumn("tag", rules.turnover_tag()),
-    {"tag": "CASE WHEN turn IS NULL THEN 'unknown' WHEN turn < 1 THEN 'quiet' WHEN turn < 3 THEN 'low' WHEN turn < 7 THEN 'normal' WHEN turn < 15 THEN 'high' ELSE 'extreme' END"}, needs_ma=False,
-)
+    "r17_turnover_tag",
+    lambda b: rules.yearline_filter(ind.ma_arrangement(b)).withColumns({"tag": rules.turnover_tag(F.col("turn")), "style": rules.style_tag(F.col("turn"), F.col("yearline_pass"), F.lit(None).cast("boolean"))}),
+    {"tag": _TAG, "style": _STYLE},
+)
 _columns(
     "r21_price_view", rules.price_view,
     {"chg5": r6("(close / lag(close, 5) OVER w - 1) * 100"), "chg20": r6("(close / lag(close, 20) OVER w - 1) * 100"), "above_year": "close > ma250", "year_distance": r6("(close / ma250 - 1) * 100"), "in_order": "ma5 >= ma10 AND ma10 >= ma20 AND ma20 >= ma60"},
@@ -550,3 +553,35 @@ def m8_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("total"))
 
 
+
+
+# chart patterns on the newest bars ------------------------------------------------------------------------------------
+def _turning(n: int, k: int) -> str:
+    """hp and lp: numbered pivots of the newest n bars of symbols that have them."""
+    near = lambda c, o: " AND ".join(f"{c} {o} {f}({c}, {j}) OVER w" for j in range(1, k + 1) for f in ("lag", "lead"))
+    return f"""n0 AS (SELECT symbol, dt, high, low, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk, count(*) OVER (PARTITION BY symbol) AS al FROM bars),
+n1 AS (SELECT symbol, {n} - rk AS i, high, low, CASE WHEN rk = 1 THEN dt END AS d, {near("high", ">")} AS p, {near("low", "<")} AS t FROM n0 WHERE rk <= {n} AND al >= {n} WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
+hp AS (SELECT symbol, i, high AS v, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS q FROM n1 WHERE p AND i BETWEEN 2 AND {n - 3}),
+lp AS (SELECT symbol, i, low AS v, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS q FROM n1 WHERE t AND i BETWEEN 2 AND {n - 3})"""
+
+
+_HS = """ht AS (SELECT a.symbol, a.q, b.i AS head, l.v AS neck, l.v - (b.v - l.v) AS target FROM hp a JOIN hp b ON b.symbol = a.symbol AND b.q = a.q + 1 JOIN hp c ON c.symbol = a.symbol AND c.q = a.q + 2 JOIN lp l ON l.symbol = a.symbol AND l.q = a.q + 1 WHERE b.i - a.i > 5 AND c.i - b.i > 5 AND b.v > a.v AND b.v > c.v),
+hb AS (SELECT a.symbol, a.q, b.i AS head, l.v AS neck, l.v + (l.v - b.v) AS target FROM lp a JOIN lp b ON b.symbol = a.symbol AND b.q = a.q + 1 JOIN lp c ON c.symbol = a.symbol AND c.q = a.q + 2 JOIN hp l ON l.symbol = a.symbol AND l.q = a.q + 1 WHERE b.i - a.i > 5 AND c.i - b.i > 5 AND b.v < a.v AND b.v < c.v),
+h1 AS (SELECT symbol, 'top' AS kind, head, neck, target FROM ht QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY q) = 1),
+h2 AS (SELECT symbol, 'bottom' AS kind, head, neck, target FROM hb WHERE symbol NOT IN (SELECT symbol FROM h1) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY q) = 1)"""
+
+
+@register("k2_head_and_shoulders", over("SELECT n.symbol, n.d AS dt, coalesce(kind, 'none') AS kind, head::INT AS head, neck, target FROM (SELECT * FROM n1 WHERE d IS NOT NULL) n LEFT JOIN (SELECT * FROM h1 UNION ALL SELECT * FROM h2) f USING (symbol)", _turning(60, 2), _HS))
+def k2_head_and_shoulders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.head_and_shoulders(src.bars(spark, sf_dir))
+
+
+_DT = """dtop AS (SELECT a.symbol, a.q, a.i AS i1, b.i AS i2, m.low AS neck, m.low - (a.v - m.low) AS target FROM hp a JOIN hp b ON b.symbol = a.symbol AND b.q = a.q + 1 JOIN n1 m ON m.symbol = a.symbol AND m.i = (a.i + b.i) // 2 WHERE b.i - a.i BETWEEN 5 AND 15 AND abs(a.v - b.v) / a.v * 100 < 5),
+dbot AS (SELECT a.symbol, a.q, a.i AS i1, b.i AS i2, m.high AS neck, m.high + (m.high - a.v) AS target FROM lp a JOIN lp b ON b.symbol = a.symbol AND b.q = a.q + 1 JOIN n1 m ON m.symbol = a.symbol AND m.i = (a.i + b.i) // 2 WHERE b.i - a.i BETWEEN 5 AND 15 AND abs(a.v - b.v) / a.v * 100 < 5),
+d1 AS (SELECT symbol, 'top' AS kind, i1, i2, neck, target FROM dtop QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY q) = 1),
+d2 AS (SELECT symbol, 'bottom' AS kind, i1, i2, neck, target FROM dbot WHERE symbol NOT IN (SELECT symbol FROM d1) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY q) = 1)"""
+
+
+@register("k3_double_top_bottom", over("SELECT n.symbol, n.d AS dt, coalesce(kind, 'none') AS kind, i1::INT AS first_at, i2::INT AS second_at, neck, target FROM (SELECT * FROM n1 WHERE d IS NOT NULL) n LEFT JOIN (SELECT * FROM d1 UNION ALL SELECT * FROM d2) f USING (symbol)", _turning(40, 1), _DT, ticks=sql.SUPPLIER_TICKS))
+def k3_double_top_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.double_top_bottom(src.bars(spark, sf_dir, "l_suppkey"))
