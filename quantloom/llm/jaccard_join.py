@@ -30,7 +30,7 @@ from quantloom.llm.shared import ASCII_LOWER, materialize, read
 
 WORDS, PERCENT = 4, 85
 #: How many of the most frequent shingles are put last (8 bytes each, broadcast). It changes the speed only, no link.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Classes of one part of a group; the share of its shingles by which a class joins a group (fewer wait for step 3); classes
 #: (24 bytes each) that are broadcast to fetch their texts, beyond which the join shuffles.
 PART, LEAST_VOTES, BROADCAST_CLASSES = 256, 0.03, 1_000_000
@@ -96,7 +96,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             names, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 4
+            often = n >= 2
             return pd.DataFrame({"h": _signed(names[often]), "n": n[often]})
 
         for batch in batches:
@@ -165,8 +165,9 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, within: bool) -> DataFrame:
-    """(a, b) of the pairs (p, x) that reach the threshold. A pivot p with many partners is dealt to several parts, each
-    with a copy of its set. With ``within``, members that do not reach the pivot are also tried against their part."""
+    """(a, b) of classes in one component, from the pairs (p, x) that reach the threshold. A pivot p with many partners is
+    dealt to several parts, each with a copy of its set. With ``within``, members that do not reach the pivot are also tried
+    against their part. Each class is tied to the row that its component began with, so paths stay short."""
     many = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
     parts = many.select("p", F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int").alias("parts"))
     dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("x", "p"), F.col("parts")).cast("int").alias("part"), F.col("x").alias("k"), F.lit(False).alias("pivot"))
@@ -176,22 +177,23 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, within: bool) -> Dat
     def run(group: pd.DataFrame) -> pd.DataFrame:
         top = group["pivot"].to_numpy()
         keys, all_sets = group["k"].to_numpy(), [np.frombuffer(s, dtype="<u8") for s in group["shingles"]]
-        found: list[tuple[int, int]] = []
+        home = list(range(len(keys)))  # a linked row points to the first row that its component began with
         if top.any():
             centre = int(np.flatnonzero(top)[0])
             left, joined = [], [centre]
             for i in np.flatnonzero(~top).tolist():
                 if linked(all_sets[i], all_sets[centre], percent):
-                    found.append((keys[centre], keys[i]))
+                    home[i] = centre
                     joined.append(i)
                 else:
                     left.append(i)
             if within:
                 for i in left:
-                    j = next((j for j in reversed(joined) if linked(all_sets[i], all_sets[j], percent)), None)
+                    j = next((j for j in joined if linked(all_sets[i], all_sets[j], percent)), None)
                     if j is not None:
-                        found.append((keys[j], keys[i]))
+                        home[i] = home[j]
                     joined.append(i)
+        found = [(keys[home[i]], keys[i]) for i in range(len(keys)) if home[i] != i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("p", "part").applyInPandas(run, "a long, b long")
