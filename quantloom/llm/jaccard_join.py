@@ -30,7 +30,7 @@ from quantloom.llm.shared import ASCII_LOWER, materialize, read
 
 WORDS, PERCENT = 4, 85
 #: How many of the most frequent shingles are put last (8 bytes each, broadcast). It changes the speed only, no link.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Classes of one part of a group; the share of its shingles by which a class joins a group (fewer wait for step 3); classes
 #: (24 bytes each) that are broadcast to fetch their texts, beyond which the join shuffles.
 PART, LEAST_VOTES, BROADCAST_CLASSES = 256, 0.03, 1_000_000
@@ -115,6 +115,23 @@ def frequent_shingles(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    """Shingles of the highest counts, rarest first: as many whole steps of counts (an eighth of a power of two) as keep within
+    FREQUENT. Only the number of shingles at each step and the chosen ones come to the driver."""
+    counts = counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
+    room, least = FREQUENT, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64)
+    chosen = counts.where(F.col("step") >= least).select("h", "n").toPandas()
+    order = np.lexsort((chosen["h"].to_numpy(), chosen["n"].to_numpy()))
+    return chosen["h"].to_numpy(dtype=np.int64)[order].view(np.uint64)
+
+
 def ordered_keys(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Sorted signed keys of a set: below 0 the plain shingles, from 0 the frequent ones by rank. Equal shingles have equal
     keys, and the order is the same in every set."""
@@ -223,7 +240,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     ``keep`` marks one row of each component (of repeated rows of the smallest id, one); every row without shingles stays.
     """
     own = docs.select("doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    late = frequent_shingles(own, words).orderBy(F.desc("n"), "h").limit(FREQUENT).orderBy("n", "h").toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    late = most_frequent(materialize(frequent_shingles(own, words)))
     order = np.argsort(late, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((late[order], order.astype(np.int64)))
     rows = materialize(document_sets(own, words, percent, sent).withColumn("row_no", F.monotonically_increasing_id()))
