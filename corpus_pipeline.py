@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
 from quantloom.llm.shared import materialize, read
 
+#: Near copies here: shingles of five words and a Jaccard similarity of 0.8; op5's own query has its own contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
@@ -18,8 +21,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return jaccard_join.drop_near_copies(docs)
+    """Of each group of near copies (80 % of the runs of five words alike) the document with the smallest doc_id stays."""
+    return jaccard_join.drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,18 @@ def test_stages(spark, tmp_path):
     assert all(r.decoded_equal and len(r.ids) == r.n_tokens for r in got.values())
 
 
+def test_near_copies_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(300)]
+    swap = lambda t, at: [f"x{i}" if i in at else w for i, w in enumerate(t)]
+    # five-word similarity 0.831, 0.822, 0.811 (copies) and 0.794 (none); four-word similarity below 0.85 in all cases
+    texts = [
+        words, words + [f"y{i}" for i in range(60)], [f"a{w}" for w in words], swap([f"a{w}" for w in words], range(100, 125)),
+        [f"b{w}" for w in words[:100]], swap([f"b{w}" for w in words[:100]], {30, 60}), [f"c{w}" for w in words], swap([f"c{w}" for w in words], range(100, 130)),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join_stage(spark, docs, "").collect()) == [0, 2, 4, 6, 7]
+
+
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in entry.QUERIES] == list(range(1, 11))
     assert set(entry.ORACLE_SQL) <= set(entry.QUERIES)
