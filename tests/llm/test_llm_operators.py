@@ -322,3 +322,71 @@ def test_seating_follows_the_restaurant():
         by_hand.append(t)
     assert abs(tables.mean() - np.mean(by_hand)) < 0.25
     assert (tables >= 1).all() and (pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.5, rng) == [0, 1]).all()
+
+
+def test_pitman_yor_context(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(6)]
+    follow = {w: rng.sample(words, 2) for w in words}
+    rows = []
+    for _ in range(120):
+        text = [rng.choice(words)]
+        while len(text) < 12:
+            text.append(rng.choice(follow[text[-1]]) if rng.random() < 0.9 else rng.choice(words))
+        rows.append((len(rows), " ".join(text), False))
+    names = [*words, "unseen"]
+    asked = ["", *names, *(f"{u} {w}" for u in names for w in names)]
+    walk = [words[0]]
+    while len(walk) < 12:
+        walk.append(follow[walk[-1]][0])
+    asked += [" ".join(walk), " ".join(sorted(walk))]
+    rows += [(1000 + i, t, True) for i, t in enumerate(asked)]
+    got = {r.doc_id: r for r in pitman_yor.score_texts(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    p = {t: 10 ** got[1000 + i].score for i, t in enumerate(asked)}
+    assert p[asked[-2]] > p[asked[-1]] * 100, "the order of the words counts"
+    # known words, the unknown one and the end add up to 1 after every word: the largest eigenvalue of the transitions is 1;
+    # scaled so that only the probabilities of whole texts are needed
+    d = np.sqrt([p[w] for w in names])
+    inner = np.array([[p[f"{u} {w}"] for w in names] for u in names]) / np.outer(d, d)
+    matrix = np.block([[np.array([[p[""]]]), d[None]], [d[:, None], inner]])
+    assert np.abs(np.linalg.eigvals(matrix)).max() == pytest.approx(1.0, abs=1e-4)
+    assert all(math.isfinite(r.spelled_score) and r.spelled_score <= r.score + 1e-5 for r in got.values())
+
+
+def test_pitman_yor_keeps_all_spelling_restaurants(spark):
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", dtype=np.uint8)
+    known = [*{bytes(w) for w in letters[rng.integers(0, len(letters), (85000, 9))]}, b"~a~b~c~d~e~f"]
+    asked = [b"~a~b~c~d~e~g", known[0][:6]]
+    keys = {}
+    for w in known:
+        spelt = b"    " + w + b" "
+        for i in range(4, len(spelt)):
+            keys[spelt[i - 4 : i + 1]] = keys.get(spelt[i - 4 : i + 1], 0) + 1
+    assert len(keys) > 1 << 19
+    dishes, tables_of, customers_of = [], [], []
+    for _ in range(5):
+        dishes.insert(0, keys)
+        tables, customers, keys = {}, {}, {}
+        for k, n in dishes[0].items():
+            tables[k[:-1]], customers[k[:-1]] = tables.get(k[:-1], 0) + 1, customers.get(k[:-1], 0) + n
+            keys[k[1:]] = keys.get(k[1:], 0) + 1
+        tables_of.insert(0, tables)
+        customers_of.insert(0, customers)
+
+    def written(w):
+        spelt, product = b"    " + w + b" ", 1.0
+        for i in range(4, len(spelt)):
+            p = 1 / 256
+            for depth in range(5):
+                k = spelt[i - depth : i + 1]
+                t, c, n = tables_of[depth].get(k[:-1], 0), customers_of[depth].get(k[:-1], 0), dishes[depth].get(k, 0)
+                p = ((n - 0.5) if n else 0.0) / (1 + c) + (1 + 0.5 * t) / (1 + c) * p
+            product *= p
+        return product
+
+    words = spark.createDataFrame([(w, 1) for w in known] + [(w, 0) for w in asked], "word binary, c long")
+    table, _ = pitman_yor.fit_words(words, sweeps=0, burn_in=-1)
+    got = {bytes(r.word): r.p for r in table.where("c = 0").collect()}
+    new = (1 + 0.95 * len(known)) / (1 + len(known))
+    assert [got[w] for w in asked] == pytest.approx([new * written(w) for w in asked], rel=1e-6)
