@@ -5,9 +5,14 @@ a candidate from a keyed hash, and rounds of collision checks (against other can
 entities) raise the attempt number of those that lose, so different entities stay different and equal ones stay equal in
 all documents. Documents then look up their own entities; documents without any are never shuffled.
 
+Persons are found behind a title. The words of the names that a document shows there are then replaced all over that
+document, wherever they stand as whole capitalised words (also where such a word means something else). A word that is
+both a surname and a given name counts as the surname where it has no title.
+
 Kept of an entity: its kind, length, punctuation, letter case and script; the country code of a phone, the first digit
-and the Luhn check of a card, the last label of a domain, the country of an IBAN; the gender that a title shows and
-whether a person has one name or two.
+and the Luhn check of a card, the last label of a domain, the country of an IBAN; the gender that a title shows, the parts
+of a person's name with hyphens, apostrophes and particles. Initials become another letter, which need not be their own.
+Names in scripts without syllables here get Latin ones.
 """
 
 from __future__ import annotations
@@ -24,6 +29,9 @@ MOST_ATTEMPTS = 64
 #: Titles by gender.
 TITLES = {"m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа"], "n": ["Dr", "Prof"]}
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: One part of a name: a capital and more letters, with hyphens and apostrophes; words that stand between such parts.
+_NAME = r"(?:\p{Ll}{1,2}['’])?\p{Lu}(?:\p{L}|['’-](?=\p{L}))+"
+_PARTICLE = "(?:van|von|zu|de|der|den|del|da|di|du|la|le|el|al|bin)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -31,12 +39,15 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "person": r"(?<!\p{L})(?:" + "|".join(t for names in TITLES.values() for t in names) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "person": r"(?<!\p{L})(?:" + "|".join(t for names in TITLES.values() for t in names) + rf")\.? (?:(?:(?:\p{{Lu}}\.-?)+|{_NAME}|{_PARTICLE}) ){{0,5}}{_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What given names and surnames are put together from, by script, and how given names end by gender.
-SYLLABLES = {"latin": "ba be da do fe ga ho ja ka la le ma mi na no pe ra re sa si ta te vi wa".split(), "cyrillic": "ба ве га да же зи ка ла ме на по ре са ти фе ва".split()}
-ENDINGS = {"latin": {"m": "rik", "f": "lia", "n": "sen"}, "cyrillic": {"m": "мир", "f": "лия", "n": "рен"}}
+SYLLABLES = {"latin": "ba be da do fe ga ho ja ka la le ma mi na no pe ra re sa si ta te vi wa".split(), "cyrillic": "ба ве га да же зи ка ла ме на по ре са ти фе ва".split(), "greek": "βα γε δα ζε θα κα λα με να πο ρε σα τι φε χα ψι".split(), "armenian": "բա գե դա զե կա լա մե նա պո րե սա տի վե".split()}
+ENDINGS = {"latin": {"m": "rik", "f": "lia", "n": "sen"}, "cyrillic": {"m": "мир", "f": "лия", "n": "рен"}, "greek": {"m": "ρικ", "f": "λια", "n": "σεν"}, "armenian": {"m": "րիկ", "f": "լիա", "n": "սեն"}}
+
+#: Words of a text, and those of them that can be a name rather than an initial or a particle.
+WORD, NAMED = r"\p{L}+", r"^\p{Lu}\p{L}+$"
 
 
 def _q(pattern: str) -> str:
@@ -56,18 +67,18 @@ def kind_of(surface: Column) -> Column:
 
 
 def _person(surface: Column) -> tuple[Column, Column, Column, Column]:
-    """Title with its point, gender, given name (empty if only one name stands there), surname."""
-    parts = F.split(surface, " ")
-    title = F.element_at(parts, 1)
+    """Title with its point, gender, the parts before the last one (empty if only one name stands there), the last part."""
+    title, name = F.substring_index(surface, " ", 1), F.regexp_replace(surface, "^[^ ]+ ", "")
     gender = reduce(lambda rest, g: F.when(F.regexp_replace(title, r"\.", "").isin(TITLES[g]), F.lit(g)).otherwise(rest), TITLES, F.lit("n"))
-    return title, gender, F.when(F.size(parts) > 2, F.element_at(parts, 2)).otherwise(F.lit("")), F.element_at(parts, -1)
+    return title, gender, F.regexp_replace(name, " ?[^ ]+$", ""), F.substring_index(name, " ", -1)
 
 
 def entity_keys(surface: Column) -> Column:
     """The entities of a detected string, as ``kind:canonical form``; equal keys are the same entity."""
     kind = kind_of(surface)
     _, gender, given, surname = _person(surface)
-    person = F.filter(F.array(F.when(given != "", F.concat(F.lit("given_"), gender, F.lit(":"), F.lower(given))), F.concat(F.lit("surname:"), F.lower(surname))), lambda k: k.isNotNull())
+    words = lambda part, key: F.transform(F.filter(F.regexp_extract_all(part, F.lit(WORD), F.lit(0)), lambda w: w.rlike(NAMED)), lambda w: F.concat(key, F.lower(w)))
+    person = F.concat(words(given, F.concat(F.lit("given_"), gender, F.lit(":"))), words(surname, F.lit("surname:")))
     plain = F.when(kind.isin("email", "ipv4"), F.lower(surface)).when(kind == "iban", _only(surface, "A-Z0-9")).otherwise(_only(surface, "0-9"))
     return F.when(kind == "person", person).otherwise(F.array(F.concat(kind, F.lit(":"), plain)))
 
@@ -101,6 +112,11 @@ def _luhn_sum(digits: Column, double_last: bool) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
+def _by_script(word: Column, made) -> Column:
+    """``made`` with the script of a word; Latin for scripts without syllables here."""
+    return reduce(lambda rest, script: F.when(word.rlike(rf"\p{{Is{script.capitalize()}}}"), made(script)).otherwise(rest), [s for s in SYLLABLES if s != "latin"], made("latin"))
+
+
 def candidate(key: Column, attempt: Column, secret: str) -> Column:
     """The replacement key of an entity at an attempt."""
     kind, plain = F.substring_index(key, ":", 1), F.expr("substring(key, instr(key, ':') + 1)")
@@ -123,11 +139,12 @@ def candidate(key: Column, attempt: Column, secret: str) -> Column:
         every = F.array(*map(F.lit, SYLLABLES[script]))
         pick = lambda i: F.get(every, _byte(stream, F.lit(i)) % len(SYLLABLES[script]))
         # later attempts draw from longer names, so a crowded space opens
-        stems = F.concat(pick(0), pick(1), pick(2), F.when(attempt > 2, F.concat(pick(3), pick(4))).otherwise(F.lit("")))
+        more = lambda after, *places: F.when(attempt > after, F.concat(*map(pick, places))).otherwise(F.lit(""))
+        stems = F.concat(pick(0), pick(1), pick(2), more(2, 3, 4), more(8, 5, 6, 7, 8))
         ends = reduce(lambda rest, g: F.when(kind == f"given_{g}", F.lit(ENDINGS[script][g])).otherwise(rest), ENDINGS[script], F.lit(""))
         return F.concat(stems, ends)
 
-    person = F.when(plain.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
+    person = _by_script(plain, name)
     made = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ssn", mapped).otherwise(person)
     return F.concat(kind, F.lit(":"), made)
 
@@ -151,7 +168,31 @@ def assign(entities: DataFrame, secret: str) -> DataFrame:
             raise ValueError(f"no free surrogates after {attempt} attempts")
 
 
-def render(surface: Column, of: Column) -> Column:
+def _named(word: Column, of: Column, kinds: list[str | Column]) -> Column:
+    """The replacement of a word that is one of the document's names of these kinds, the first that it is; else null."""
+    found = F.coalesce(*(F.element_at(of, F.concat(F.lit(k) if isinstance(k, str) else k, F.lower(word))) for k in kinds))
+    new = F.substring_index(found, ":", -1)
+    return F.when(word.rlike(NAMED), F.when(F.upper(word) == word, F.upper(new)).otherwise(F.initcap(new)))
+
+
+def _each_word(text: Column, change) -> Column:
+    """A text with ``change`` of each word; what stands between words stays."""
+    between = F.split(text, WORD, -1)
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.coalesce(change(w), w))
+    return F.concat(F.element_at(between, 1), F.array_join(F.zip_with(words, F.slice(between, F.lit(2), F.size(between)), lambda w, rest: F.concat(w, rest)), ""))
+
+
+#: The kinds of a name without title, in the order in which they are looked up.
+BARE = ["surname:", "given_m:", "given_f:", "given_n:"]
+
+
+def bare_names(text: Column, of: Column) -> Column:
+    """Text outside the detected strings with the document's own names replaced, as struct (text, n)."""
+    n = F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: _named(w, of, BARE).isNotNull()))
+    return F.when(n > 0, F.struct(_each_word(text, lambda w: _named(w, of, BARE)).alias("text"), n.alias("n"))).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+
+def render(surface: Column, of: Column, secret: str) -> Column:
     """A detected string with its replacement in its own format. ``of``: map of the document's keys."""
     kind = kind_of(surface)
     value = F.substring_index(F.element_at(of, F.element_at(entity_keys(surface), 1)), ":", -1)
@@ -163,9 +204,9 @@ def render(surface: Column, of: Column) -> Column:
 
     cased = F.array_join(F.transform(each, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(value, i + 1, F.lit(1)))).otherwise(F.substring(value, i + 1, F.lit(1)))), "")
     title, gender, given, surname = _person(surface)
-    written = lambda old, new: F.when(F.upper(old) == old, F.upper(new)).otherwise(F.initcap(new))
-    named = lambda name, key: written(name, F.substring_index(F.element_at(of, F.concat(key, F.lower(name))), ":", -1))
-    person = F.concat_ws(" ", title, F.when(given != "", named(given, F.concat(F.lit("given_"), gender, F.lit(":")))), named(surname, F.lit("surname:")))
+    letter = lambda w: F.upper(_by_script(w, lambda script: F.substring(F.get(F.array(*map(F.lit, SYLLABLES[script])), _byte(_stream(F.concat(F.lit("initial:"), F.lower(w)), secret), F.lit(0)) % len(SYLLABLES[script])), 1, 1)))
+    part = lambda text, key: _each_word(text, lambda w: F.when(w.rlike(r"^\p{Lu}$"), letter(w)).otherwise(_named(w, of, [key])))
+    person = F.concat_ws(" ", title, F.when(given != "", part(given, F.concat(F.lit("given_"), gender, F.lit(":")))), part(surname, F.lit("surname:")))
     return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ipv4", value).when(kind == "iban", pour("A-Z0-9")).otherwise(pour("0-9"))
 
 
@@ -187,10 +228,15 @@ def replace_pii(docs: DataFrame, secret: str = SECRET) -> DataFrame:
     maps = asked.join(assigned, "key").groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("key", "surrogate"))).alias("_of"))
 
     hit = own.where("_set is not null").join(maps, "_set")
-    pieces = F.split("text", ANY, -1)
-    rendered = F.transform(surfaces, lambda s: render(s, F.col("_of")))
-    text = F.concat(F.element_at(pieces, 1), F.array_join(F.zip_with(rendered, F.slice(pieces, F.lit(2), F.size(pieces)), lambda r, rest: F.concat(r, rest)), ""))
-    changed = hit.withColumn("n_entities", F.size(surfaces).cast("long")).withColumn("text", text)
+    # only documents with names look at the words between the detected strings
+    people = F.exists(F.col("_keys"), lambda k: k.startswith("surname:") | k.startswith("given_"))
+    pieces = F.transform(F.split("text", ANY, -1), lambda p: F.when(people, bare_names(p, F.col("_of"))).otherwise(F.struct(p.alias("text"), F.lit(0).alias("n"))))
+    rendered = F.transform(surfaces, lambda s: render(s, F.col("_of"), secret))
+    hit = hit.withColumn("_pieces", pieces).withColumn("_rendered", rendered)
+    between = F.col("_pieces.text")
+    text = F.concat(F.element_at(between, 1), F.array_join(F.zip_with("_rendered", F.slice(between, F.lit(2), F.size(between)), lambda r, rest: F.concat(r, rest)), ""))
+    found = F.size("_rendered") + F.aggregate("_pieces", F.lit(0), lambda n, p: n + p["n"])
+    changed = hit.withColumn("n_entities", found.cast("long")).withColumn("text", text)
     same = own.where("_set is null").withColumn("n_entities", F.lit(0).cast("long"))
     return same.select(*docs.columns, "n_entities").unionByName(changed.select(*docs.columns, "n_entities"))
 

@@ -246,6 +246,24 @@ def test_pii(spark):
     assert pii_surrogates.replace_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_names_all_over_a_document(spark):
+    texts = [
+        "Mr John Smith came. John Smith said so, and Smith (JOHN) left; a smith and Smithson stayed.",
+        "Mrs O'Brien, Mr. J. Smith, Dr Anna-Lena Weber and Mr John Ronald Tolkien met Herr von der Leyen; Weber's Tolkien, Ronald, O'Brien.",
+        "Dr Γιώργος Παπαδόπουλος here, later Παπαδόπουλος.",
+        "Smith and John without any title stay, with 1.2.3.4 beside them.",
+    ]
+    got = {r.doc_id: r for r in pii_surrogates.replace_pii(frame(spark, list(enumerate(texts)))).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) (\w+) said so, and (\w+) \((\w+)\) left; a smith and Smithson stayed\.", got[0].text)
+    assert m[1] == m[3] != "John" and m[2] == m[4] == m[5] != "Smith" and m[6] == m[1].upper() and got[0].n_entities == 5
+    assert not re.search("Brien|Smith|Anna|Lena|Weber|John|Ronald|Tolkien|Leyen", got[1].text)
+    n = re.fullmatch(r"Mrs (\w'\w+), Mr\. \w\. (\w+), Dr \w+-\w+ (\w+) and Mr \w+ (\w+) (\w+) met Herr von der \w+; (\w+)'s (\w+), (\w+), \w'(\w+)\.", got[1].text)
+    assert n[2] == m[2] and (n[6], n[7], n[8], n[9]) == (n[3], n[5], n[4], n[1][2:])
+    g = re.fullmatch(r"Dr ([α-ω]+) ([α-ω]+) here, later ([α-ω]+)\.", got[2].text.lower().replace("dr", "Dr"))
+    assert g[2] == g[3] != "παπαδόπουλος"
+    assert got[3].text.startswith("Smith and John without any title stay") and got[3].n_entities == 1
+
+
 def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     keys = spark.createDataFrame([(f"ssn:{i:09d}",) for i in range(400)], "key string")
     real = pii_surrogates.candidate
