@@ -2,8 +2,8 @@
 
 A text is cut by the vocabulary's pattern into pre-tokens. Tier one: a minimal perfect hash over the vocabulary's byte
 strings gives the id of a pre-token that is itself in the vocabulary with one probe. Tier two: a miss is merged from
-single bytes, kept as a linked list, by a heap of the adjacent pairs' ranks. Results for frequent stretches of text are
-kept in a bounded cache per Python worker.
+single bytes, kept as a linked list, by a heap of the adjacent pairs' ranks. The packed ids of frequent stretches of text
+are kept in one bounded cache per Python worker.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.shared import read
 
-CACHE_ENTRIES = 100_000
+#: Stretches remembered in each of two generations (about 200 bytes each), and the characters of one at most.
+CACHE_ENTRIES, CACHED_CHARACTERS = 250_000, 64
 _BLANK_RUN = re.compile(r"\s |^ | \s| $").search
+_SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)").split
 
 
 class PerfectHash:
@@ -78,85 +81,92 @@ class PerfectHash:
 
 
 class ByteBPE:
-    """Encoder and decoder of one vocabulary, given as (bytes, rank)."""
+    """Encoder and decoder of one vocabulary, given as (bytes, rank). Packed ids are unsigned little-endian 32-bit numbers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.vocabulary = PerfectHash(list(ranks), list(ranks.values()))
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.text_of = {r: str(r) for r in ranks.values()}
+        self.packed = {r: pack("<I", r) for r in ranks.values()}
+        self.of_byte = [ranks.get(bytes([i]), -1) for i in range(256)]
+        self.of_pair = [-1] * (1 << 16)
+        for b, r in ranks.items():
+            if len(b) == 2:
+                self.of_pair[b[0] << 8 | b[1]] = r
         self.pieces = regex.compile(pattern).findall
-        self.known_pieces = _Cache(self.encode_piece)
-        self.known_stretches = _Cache(lambda rest: self.encode_stretch(" " + rest))
+        self.stretches = _Stretches(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that is not in the vocabulary: lowest rank first, leftmost first among equals.
 
-        ``after`` and ``before`` link the starts of the parts; ``pair[i]`` is the rank of the part at i joined with the next
-        one. A heap entry is rank * size + start; it is stale unless pair[start] still has that rank.
+        ``after`` and ``before`` link the starts of the parts; ``ids[i]`` is the part at i and ``pair[i]`` the rank of it
+        joined with the next one. A heap entry is a rank and a start in one number; it is stale unless pair[start] still
+        has that rank.
         """
-        n, rank = len(piece), self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [rank(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        heap = [r * n + i for i, r in enumerate(pair) if r >= 0]
+        n, rank, of_pair, push, pop = len(piece), self.ranks.get, self.of_pair, heapq.heappush, heapq.heappop
+        bits = n.bit_length()
+        starts = (1 << bits) - 1
+        ids = [self.of_byte[x] for x in piece]
+        pair = [of_pair[x << 8 | y] for x, y in pairwise(piece)]
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
+        pair.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i = divmod(heapq.heappop(heap), n)
+            entry = pop(heap)
+            i, r = entry & starts, entry >> bits
             if pair[i] != r:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            pair[j] = pair[i] = -1
+            ids[i], ids[j], pair[i], pair[j] = r, -1, -1, -1
             if k < n:
                 before[k] = i
                 pair[i] = r = rank(piece[i : after[k]], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r * n + i)
+                    push(heap, r << bits | i)
             h = before[i]
             if h >= 0:
                 pair[h] = r = rank(piece[h:k], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r * n + h)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+                    push(heap, r << bits | h)
+        return [r for r in ids if r >= 0]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8")
         whole = self.vocabulary.get(raw)
-        return tuple(self.merge(raw)) if whole is None else (whole,)
+        return b"".join([self.packed[r] for r in self.merge(raw)]) if whole is None else self.packed[whole]
 
-    def encode_stretch(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.known_pieces.__getitem__, self.pieces(text))))
-
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """A single blank between two other characters starts a pre-token whatever surrounds it, so a text is cut there and
-        equal stretches are encoded once; texts with other runs of white space around a blank are encoded in one stretch."""
-        if _BLANK_RUN(text):
-            return list(self.encode_stretch(text))
-        first, *rest = text.split(" ")
-        return list(chain(self.encode_stretch(first), chain.from_iterable(map(self.known_stretches.__getitem__, rest))))
+        equal stretches are encoded once."""
+        first, *rest = _SINGLE_BLANK(text) if _BLANK_RUN(text) else text.split(" ")
+        return np.frombuffer(b"".join([*map(self.encode_piece, self.pieces(first)), *map(self.stretches.__getitem__, rest)]), dtype="<u4")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Cache(dict):
-    """Ids of strings seen lately: two generations of CACHE_ENTRIES at most, so frequent strings stay."""
+class _Stretches(dict):
+    """Packed ids of stretches (with the blank before them, which is not in the key) seen lately: two generations of
+    CACHE_ENTRIES at most, so frequent ones stay."""
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+    def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = self.older.get(text) or self.encode(text)
-        if len(text) <= 64:
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.older.get(stretch)
+        if ids is None:
+            first, *rest = self.bpe.pieces(" " + stretch)
+            one = self.bpe.encode_piece
+            ids = b"".join([self[first[1:]] if len(first) > 1 else one(first), *map(one, rest)]) if rest else one(first)
+        if len(stretch) <= CACHED_CHARACTERS:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)
                 self.clear()
-            self[text] = ids
+            self[stretch] = ids
         return ids
 
 
@@ -168,8 +178,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids (array<int>, unless ``with_ids`` is false), ids_sha256, decoded_sha256, decoded_equal.
 
-    Null texts count as empty and give no ids. Repeated rows are encoded row by row; an empty table stays empty. The
-    vocabulary (one entry a rank, about 1 MB) is broadcast; the perfect hash is built once in each Python worker.
+    Null texts count as empty and give no ids. Repeated rows are encoded row by row; an empty table stays empty. Columns of
+    ``docs`` with the names of the added ones give way to them. The vocabulary (one entry a rank, about 1 MB) is broadcast; the perfect hash is built once in each Python worker.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     keep = docs.columns if keep is None else keep
@@ -185,11 +195,12 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
             columns: dict[str, list] = {c: [] for c in added}
             for text in batch["text"]:
                 text = text or ""
-                ids = bpe.encode(text)
+                packed = bpe.encode(text)
+                ids = packed.tolist()
                 decoded = bpe.decode(ids)
                 columns["n_tokens"].append(len(ids))
                 if with_ids:
-                    columns["ids"].append(np.array(ids, dtype=np.int32))
+                    columns["ids"].append(packed.astype(np.int32))
                 columns["ids_sha256"].append(hashlib.sha256(" ".join(map(text_of, ids)).encode()).hexdigest())
                 columns["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
                 columns["decoded_equal"].append(decoded == text.encode("utf-8"))
