@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.shared import read
 
 #: Stretches remembered in each of two generations (about 200 bytes each), and the characters of one at most.
-CACHE_ENTRIES, CACHED_CHARACTERS = 250_000, 64
+CACHE_ENTRIES, CACHED_CHARACTERS = 350_000, 64
 _BLANK_RUN = re.compile(r"\s |^ | \s| $").search
 _SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)").split
 

@@ -4,21 +4,25 @@ Documents become sets of word shingles. Rows with equal sets are one class from
 ``n - ceil(t * n) + 1`` shingles in an order that puts frequent shingles last; classes that reach the threshold share a
 prefix shingle. The join goes on in steps that never emit all pairs within a group:
 
-1. Group: classes that share a prefix shingle meet at that shingle's pivot class; each class goes to the pivot that most
-   of its shingles name, so classes with like prefixes and sizes fall into one group.
-2. Verify groups: a group is cut into parts of bounded size, each with the pivot's set; a part's members are compared
-   with the pivot, and those that do not reach it with the rest of the part until one link is found.
-3. Filter the rest: classes that still share a prefix shingle but lie in different components are paired, without the
-   pairs inside the shingle's largest component. A pair's shared prefix shingles and their places bound what the two sets
-   can share at most; pairs that can still reach the threshold are verified exactly.
-
-Every pair that reaches the threshold shares a prefix shingle; it is either verified or already in one component. So the
-components are exactly those of all links. Shingles are 63-bit hashes.
+1. Collapse: classes with identical prefix and size are one group; only groups are in the index, each once.
+2. Gather: each group goes to the pivot group (the least one at a shingle) that most of its prefix shingles name. A
+   pivot's groups are expanded to their classes in parts of bounded size, each with a class of the pivot's; members are
+   compared with it, and those that do not reach it with the rest of the part until one link is found.
+3. Filter group pairs: what is left of a group in one component is a unit. Units of different components that share a
+   prefix shingle are paired where sizes, and the shingle's places in both, still allow the threshold if it is the first
+   that they share (of a linked pair, the first one is). Then the shared part of both prefixes bounds the shared
+   shingles of the pair.
+4. Expand and verify: members of the pairs left are compared, bounded part by bounded part, up to one link of two units.
+
+Every pair that reaches the threshold is either verified or already in one component. So the components are exactly those
+of all links. Shingles are 63-bit hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,9 +35,11 @@ from quantloom.llm.shared import ASCII_LOWER, materialize, read
 WORDS, PERCENT = 4, 85
 #: How many of the most frequent shingles are put last (8 bytes each, broadcast). It changes the speed only, no link.
 FREQUENT = 1 << 18
-#: Classes of one part of a group; the share of its shingles by which a class joins a group (fewer wait for step 3); classes
-#: (24 bytes each) that are broadcast to fetch their texts, beyond which the join shuffles.
-PART, LEAST_VOTES, BROADCAST_CLASSES = 256, 0.03, 1_000_000
+#: Classes of one part; the share of its shingles by which a group goes to a pivot (fewer wait for step 3); rows (24 bytes
+#: each) that are broadcast to find texts, beyond which the join shuffles.
+PART, LEAST_VOTES, BROADCAST_ROWS = 256, 0.03, 1_000_000
+#: Texts cut into words at a time; units at a shingle that one task pairs with others.
+TEXTS, HOT = 128, 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -53,19 +59,30 @@ class _WordHashes(dict):
         return h
 
 
-def shingle_set(text: str | None, words: int = WORDS, hashes: _WordHashes | None = None) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``words`` words; of all words, if there are fewer; empty without words."""
-    found = text.encode().translate(ASCII_LOWER).split() if text else []
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    of = (hashes if hashes is not None else _WordHashes()).__getitem__
-    h = np.fromiter(map(of, found), dtype=np.uint64, count=len(found))
-    size = min(words, len(h))
+def shingle_sets(texts: list[str | None], words: int, hashes: _WordHashes) -> Iterator[np.ndarray]:
+    """Of each text, sorted distinct hashes of the runs of ``words`` words; of all words, if there are fewer; empty without
+    words."""
+    for at in range(0, len(texts), TEXTS):
+        found = [t.encode().translate(ASCII_LOWER).split() if t else [] for t in texts[at : at + TEXTS]]
+        lengths = list(map(len, found))
+        h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(found)), dtype=np.uint64, count=sum(lengths))
+        rolled = _mix(_rolled(h, words)) if len(h) >= words else h
+        end = 0
+        for n in lengths:
+            start, end = end, end + n
+            s = rolled[start : end - words + 1] if n >= words else _mix(_rolled(h[start:end], n)) if n else h[:0]
+            s = np.sort(s)
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` hashes, and of the size."""
     n = len(h) - size + 1
     rolled = np.full(n, size, dtype=np.uint64)
     for j in range(size):
-        rolled = _mix(rolled * _A + h[j : j + n])
-    return np.unique(rolled)
+        rolled *= _A
+        rolled += h[j : j + n]
+    return rolled
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -100,8 +117,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> DataFrame:
             return pd.DataFrame({"h": _signed(names[often]), "n": n[often]})
 
         for batch in batches:
-            for text in batch["text"]:
-                s = shingle_set(text, words, hashes)
+            for s in shingle_sets(batch["text"].tolist(), words, hashes):
                 if (key := xxhash.xxh3_64_intdigest(s)) not in seen:
                     seen.add(key)
                     held.append(s)
@@ -127,9 +143,9 @@ def most_frequent(counts: DataFrame) -> np.ndarray:
         least = r["step"]
     if least is None:
         return np.zeros(0, dtype=np.uint64)
-    chosen = counts.where(F.col("step") >= least).select("h", "n").toPandas()
-    order = np.lexsort((chosen["h"].to_numpy(), chosen["n"].to_numpy()))
-    return chosen["h"].to_numpy(dtype=np.int64)[order].view(np.uint64)
+    chosen = counts.where(F.col("step") >= least).select("h", "n").toArrow()
+    h, n = chosen["h"].to_numpy(), chosen["n"].to_numpy()
+    return h[np.lexsort((h, n))].view(np.uint64)
 
 
 def ordered_keys(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -144,25 +160,29 @@ def ordered_keys(shingles: np.ndarray, names: np.ndarray, ranks: np.ndarray) ->
 
 
 def document_sets(docs: DataFrame, words: int, percent: int, sent) -> DataFrame:
-    """``docs`` (doc_id, text, text_hash) as doc_id, text_hash, n, k (hash of the set), prefix (array of keys; NULL where the
-    same task has given it for the same set)."""
+    """``docs`` (doc_id, text, text_hash) as doc_id, text_hash, n, k (hash of the set), g (hash of prefix and size), prefix (array
+    of keys; NULL where the same task has given it for the same group, and for texts without words)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, ranks = sent.value
         hashes = _WordHashes()
         seen: set[int] = set()
+        group_of: dict[int, int] = {}
         for batch in batches:
-            n, k, prefixes = [], [], []
-            for text in batch["text"]:
-                s = shingle_set(text, words, hashes)
+            n, k, g, prefixes = [], [], [], []
+            for s in shingle_sets(batch["text"].tolist(), words, hashes):
                 n.append(len(s))
-                k.append(xxhash.xxh3_64_intdigest(s) - (1 << 63))
-                new = len(s) > 0 and k[-1] not in seen
-                seen.add(k[-1])
-                prefixes.append(ordered_keys(s, names, ranks)[: prefix_length(len(s), percent)] if new else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "k": k, "prefix": prefixes}, columns=["doc_id", "text_hash", "n", "k", "prefix"])
+                k.append(key := xxhash.xxh3_64_intdigest(s) - (1 << 63))
+                prefix = None
+                if key not in group_of:
+                    prefix = ordered_keys(s, names, ranks)[: prefix_length(len(s), percent)]
+                    group_of[key] = xxhash.xxh3_64_intdigest(prefix, seed=len(s)) - (1 << 63)
+                g.append(group := group_of[key])
+                prefixes.append(prefix if len(s) and group not in seen else None)
+                seen.add(group)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "k": k, "g": g, "prefix": prefixes}, columns=["doc_id", "text_hash", "n", "k", "g", "prefix"])
 
-    return docs.mapInPandas(run, "doc_id long, text_hash long, n int, k long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, text_hash long, n int, k long, g long, prefix array<long>")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -181,54 +201,84 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, within: bool) -> DataFrame:
-    """(a, b) of classes in one component, from the pairs (p, x) that reach the threshold. A pivot p with many partners is
-    dealt to several parts, each with a copy of its set. With ``within``, members that do not reach the pivot are also tried
-    against their part. Each class is tied to the row that its component began with, so paths stay short."""
+def gather(pairs: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of classes in one component, from ``pairs`` (p, k): a pivot and a class to compare with the pivot's own in
+    ``centres`` (p, k). A pivot with many partners is dealt to several parts, each with a copy of its set. Members that do
+    not reach the pivot are also tried against their part. Each class is tied to the row that its component began with, so
+    paths stay short."""
     many = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
     parts = many.select("p", F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("x", "p"), F.col("parts")).cast("int").alias("part"), F.col("x").alias("k"), F.lit(False).alias("pivot"))
-    pivots = parts.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("p", "part", F.col("p").alias("k"), F.lit(True).alias("pivot"))
-    rows = dealt.unionByName(pivots).join(sets.select("k", "shingles"), "k")
+    dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("k", "p"), F.col("parts")).cast("int").alias("part"), "k", F.lit(False).alias("pivot"))
+    pivots = parts.join(centres, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", F.lit(True).alias("pivot"))
+    rows = dealt.unionByName(pivots).join(sets, "k")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         top = group["pivot"].to_numpy()
         keys, all_sets = group["k"].to_numpy(), [np.frombuffer(s, dtype="<u8") for s in group["shingles"]]
         home = list(range(len(keys)))  # a linked row points to the first row that its component began with
-        if top.any():
-            centre = int(np.flatnonzero(top)[0])
-            left, joined = [], [centre]
-            for i in np.flatnonzero(~top).tolist():
-                if linked(all_sets[i], all_sets[centre], percent):
-                    home[i] = centre
-                    joined.append(i)
-                else:
-                    left.append(i)
-            if within:
-                for i in left:
-                    j = next((j for j in joined if linked(all_sets[i], all_sets[j], percent)), None)
-                    if j is not None:
-                        home[i] = home[j]
-                    joined.append(i)
-        found = [(keys[home[i]], keys[i]) for i in range(len(keys)) if home[i] != i]
+        centre = int(np.flatnonzero(top)[0])
+        left, joined = [], [centre]
+        for i in np.flatnonzero(~top).tolist():
+            if linked(all_sets[i], all_sets[centre], percent):
+                home[i] = centre
+                joined.append(i)
+            else:
+                left.append(i)
+        for i in left:
+            j = next((j for j in joined if linked(all_sets[i], all_sets[j], percent)), None)
+            if j is not None:
+                home[i] = home[j]
+            joined.append(i)
+        found = [(keys[home[i]], keys[i]) for i in range(len(keys)) if home[i] != i and keys[home[i]] != keys[i]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("p", "part").applyInPandas(run, "a long, b long")
 
 
+def verify(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of linked classes, from ``pairs`` (a, b) of units and their ``members`` (unit, k): all members of a against all
+    of b, up to one link of each slice of a with each part of b. Slices and parts are bounded, and no row is emitted for a pair."""
+    own = members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("unit")))
+    own = own.withColumn("slices", F.ceil(F.col("m") / PART).cast("int")).withColumn("slice", F.pmod(F.xxhash64("k"), F.col("slices")).cast("int"))
+    partners = pairs.join(own.select(F.col("unit").alias("b"), "k"), "b")
+    sizes = pairs.select("a").distinct().join(own.groupBy(F.col("unit").alias("a")).agg(F.first("slices").alias("slices")), "a")
+    sizes = partners.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).join(sizes, "a")
+    centres = own.select(F.col("unit").alias("a"), "slice", "k").join(sizes.drop("slices"), "a")
+    centres = centres.select("a", "slice", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "k")
+    partners = partners.join(sizes, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("k", "a"), F.col("parts")).cast("int").alias("part"), "b", "k")
+    rows = centres.unionByName(partners).join(sets, "k")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        centre = group["b"].isna().to_numpy()
+        keys, units = group["k"].to_numpy(), group["b"].to_numpy()
+        all_sets = [np.frombuffer(s, dtype="<u8") for s in group["shingles"]]
+        inner, done, found = np.flatnonzero(centre).tolist(), set(), []
+        for i in np.flatnonzero(~centre).tolist():
+            if units[i] in done:
+                continue
+            j = next((j for j in inner if linked(all_sets[i], all_sets[j], percent)), None)
+            if j is not None:
+                done.add(units[i])
+                found.append((keys[j], keys[i]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("a", "slice", "part").applyInPandas(run, "a long, b long")
+
+
 def sets_of(own: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(k, shingles) of wanted classes (k, least); each is read from the text of its least row."""
     wanted = materialize(wanted.select("k", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash")))
-    small = wanted.count() <= BROADCAST_CLASSES
-    side = F.broadcast(wanted) if small else wanted
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = own.join(side, (own["text_hash"] == F.col("_hash")) & own["doc_id"].eqNullSafe(F.col("_id"))).select("k", "text")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"k": batch["k"], "shingles": [shingle_set(t, words, hashes).astype("<u8").tobytes() for t in batch["text"]]}, columns=["k", "shingles"])
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch["text"].tolist(), words, hashes)]
+            yield pd.DataFrame({"k": batch["k"], "shingles": sets}, columns=["k", "shingles"])
 
-    return materialize(texts.mapInPandas(to_sets, "k long, shingles binary"))
+    # equal rows repeat a class; one of each is enough
+    return materialize(texts.mapInPandas(to_sets, "k long, shingles binary").dropDuplicates(["k"]))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -245,51 +295,67 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sent = docs.sparkSession.sparkContext.broadcast((late[order], order.astype(np.int64)))
     rows = materialize(document_sets(own, words, percent, sent).withColumn("row_no", F.monotonically_increasing_id()))
     some = rows.where("n > 0")
-    classes = materialize(some.groupBy("k").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no", "text_hash")).alias("least")))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no", "text_hash")).alias("least")
+    classes = materialize(some.groupBy("k").agg(F.first("g").alias("g"), F.first("n").alias("n"), least))
 
-    # 1. plain shingles meet by one shuffle; frequent ones, the only hot keys, are summed map-side and their table is broadcast
-    entries = rows.select("k", "n", F.posexplode("prefix").alias("pos", "h"))
-    pivot = F.min(F.struct("k", "n"))
+    # 1. groups once each; plain shingles meet by one shuffle; frequent ones, the only hot keys, are summed map-side and their table is broadcast
+    groups = materialize(rows.where("prefix IS NOT NULL").select("g", "n", "prefix").dropDuplicates(["g"]))
+    entries = groups.select("g", "n", F.posexplode("prefix").alias("pos", "h"))
+    pivot = F.min(F.struct("g", "n"))
     of_h = Window.partitionBy("h")
-    plain = entries.where("h < 0").withColumns({"pivot": pivot.over(of_h), "_most": F.max("k").over(of_h)}).where(F.col("pivot.k") < F.col("_most"))
+    plain = entries.where("h < 0").withColumns({"pivot": pivot.over(of_h), "_most": F.max("g").over(of_h)}).where(F.col("pivot.g") < F.col("_most"))
     frequent = entries.where("h >= 0")
-    met = frequent.groupBy("h").agg(pivot.alias("pivot"), F.max("k").alias("_most")).where(F.col("pivot.k") < F.col("_most"))
+    met = frequent.groupBy("h").agg(pivot.alias("pivot"), F.max("g").alias("_most")).where(F.col("pivot.g") < F.col("_most"))
     frequent = frequent.join(F.broadcast(met), "h")
-    columns = ["h", "k", "n", "pos", F.col("pivot.k").alias("p"), F.col("pivot.n").alias("pn")]
+    columns = ["h", "g", "n", "pos", F.col("pivot.g").alias("p"), F.col("pivot.n").alias("pn")]
     live = materialize(plain.select(*columns).unionByName(frequent.select(*columns)))
 
+    # 2.
     fits = lambda a, b: F.lit(percent) * F.greatest(a, b) <= F.lit(100) * F.least(a, b)
-    votes = live.where((F.col("k") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("k", "p").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+    votes = live.where((F.col("g") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("g", "p").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
     votes = votes.where(F.col("votes") >= F.col("n") * LEAST_VOTES)
-    groups = materialize(votes.groupBy(F.col("k").alias("x")).agg(F.max(F.struct("votes", "p")).alias("best")).select("x", "best.p"))
-
-    # 2.
-    in_groups = groups.select(F.explode(F.array("x", "p")).alias("k")).distinct()
-    links = materialize(verify(groups, sets_of(own, classes.join(in_groups, "k", "left_semi"), words), percent, within=True))
+    best = materialize(votes.groupBy("g").agg(F.max(F.struct("votes", "p")).alias("best")).select("g", "best.p"))
+    of_group = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("k"))
+    several = of_group.where("m > 1").select("g", F.col("g").alias("p"))
+    pairs = materialize(classes.select("g", "k").join(best.unionByName(several), "g").select("p", "k"))
+    centres = materialize(pairs.select(F.col("p").alias("g")).distinct().join(of_group, "g").select(F.col("g").alias("p"), "k"))
+    wanted = pairs.select("k").unionByName(centres.select("k")).distinct()
+    links = materialize(gather(pairs, centres, sets_of(own, classes.join(wanted, "k", "left_semi"), words), percent))
     comps = materialize(connected(links))
 
-    # 3.
-    placed = live.select("h", "k", "n", "pos").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    largest = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    mixed = placed.join(largest.select("h", F.col("top.comp").alias("top")), "h")
-    minor = mixed.where("comp <> top").select("h", *(F.col(c).alias(f"{c}1") for c in ("k", "n", "pos", "comp")))
-    other = mixed.select("h", "k", "n", "pos", "comp", (F.col("comp") == F.col("top")).alias("major"))
-    met = minor.join(other, "h").where((F.col("comp") != F.col("comp1")) & (F.col("major") | (F.col("k1") < F.col("k"))) & fits(F.col("n"), F.col("n1")))
-    flip = F.col("k") < F.col("k1")
-    side = lambda c: (F.when(flip, F.col(c)).otherwise(F.col(f"{c}1")), F.when(flip, F.col(f"{c}1")).otherwise(F.col(c)))
-    named = {f"{c}{i}": value for c in ("k", "n", "pos") for i, value in zip("ab", side(c), strict=True)}
-    # one row for each shared prefix shingle, once even where copies of a set gave it in several tasks
-    counted = met.select("h", *(v.alias(n) for n, v in named.items())).groupBy("ka", "kb").agg(
-        F.count_distinct("h").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("la"), F.max("posb").alias("lb")
-    )
-    prefix = lambda n: n - F.ceil(n * percent / 100) + 1
-    after_last = F.least(F.col("na") - 1 - F.col("la"), F.col("nb") - 1 - F.col("lb"))
-    after_prefix = F.greatest(F.col("na") - prefix(F.col("na")), F.col("nb") - prefix(F.col("nb")))
-    most = F.col("shared") + F.least(after_last, after_prefix)
-    pairs = materialize(counted.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(F.col("ka").alias("p"), F.col("kb").alias("x")))
-    if not pairs.isEmpty():
-        in_pairs = pairs.select(F.explode(F.array("x", "p")).alias("k")).distinct()
-        more = materialize(verify(pairs, sets_of(own, classes.join(in_pairs, "k", "left_semi"), words), percent, within=False))
+    # 3. a unit is (g, comp); a group of one class that is linked with nothing so far is its own component
+    of_class = classes.select("g", "k").join(several.select("g", F.lit(1).alias("several")), "g", "left").join(comps, "k", "left")
+    of_class = materialize(of_class.where("comp IS NOT NULL OR several IS NOT NULL").select("g", "k", F.coalesce("comp", "k").alias("comp")))
+    units = of_class.select("g", "comp").distinct()
+    placed = live.select("h", "g", "n", "pos").join(units, "g", "left").withColumn("comp", F.coalesce("comp", "g"))
+    placed = materialize(placed)
+    at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
+    at_h = materialize(at_h.where("comps > 1").select("h", F.col("top.comp").alias("top"), F.ceil(F.col("all") / HOT).cast("int").alias("salts")))
+    # frequent shingles are the only hot keys: at most FREQUENT rows say where they are split
+    mixed = placed.where("h < 0").join(at_h, "h").unionByName(placed.where("h >= 0").join(F.broadcast(at_h.where("h >= 0")), "h"))
+    minor = mixed.where("comp <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}1") for c in ("g", "n", "pos", "comp")))
+    other = mixed.select("h", F.pmod(F.xxhash64("g", "comp"), F.col("salts")).cast("int").alias("salt"), "g", "n", "pos", "comp", (F.col("comp") == F.col("top")).alias("major"))
+    at_most = lambda n, pos: F.col(n) - F.col(pos)  # noqa: E731  shared shingles, if the one at pos is the first
+    enough = F.least(at_most("n", "pos"), at_most("n1", "pos1")) * (100 + percent) >= (F.col("n") + F.col("n1")) * percent
+    once = F.col("major") | (F.struct("g1", "comp1") < F.struct("g", "comp"))
+    met = minor.join(other, ["h", "salt"]).where((F.col("comp") != F.col("comp1")) & once & fits(F.col("n"), F.col("n1")) & enough)
+    met = met.select(F.least(F.struct("g", "comp"), F.struct(F.col("g1").alias("g"), F.col("comp1").alias("comp"))).alias("a"), F.greatest(F.struct("g", "comp"), F.struct(F.col("g1").alias("g"), F.col("comp1").alias("comp"))).alias("b")).distinct()
+    met = materialize(met.select(F.col("a.g").alias("ga"), F.col("a.comp").alias("ca"), F.col("b.g").alias("gb"), F.col("b.comp").alias("cb")))
+    if not met.isEmpty():
+        side = lambda x: groups.select(F.col("g").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"prefix{x}"))
+        both = met.join(side("a"), "ga").join(side("b"), "gb")
+        # shared shingles up to the lower end of the prefixes are in both; behind it, at most what that set has left
+        left = F.when(F.element_at("prefixa", -1) <= F.element_at("prefixb", -1), F.col("na") - F.size("prefixa")).otherwise(F.col("nb") - F.size("prefixb"))
+        most = F.size(F.array_intersect("prefixa", "prefixb")) + left
+        unit = lambda g, c: F.xxhash64(g, c)
+        pairs = materialize(both.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select(unit("ga", "ca").alias("a"), unit("gb", "cb").alias("b"), "ga", "gb"))
+
+        # 4.
+        in_pairs = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
+        members = classes.select("g", "k").join(in_pairs, "g", "left_semi").join(of_class.select("k", "comp"), "k", "left").select(unit("g", F.coalesce("comp", "g")).alias("unit"), "k")
+        in_units = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+        members = materialize(members.join(in_units, "unit", "left_semi"))
+        more = materialize(verify(pairs.select("a", "b"), members, sets_of(own, classes.join(members, "k", "left_semi"), words), percent))
         if not more.isEmpty():
             comps = materialize(connected(links.unionByName(more)))
 
@@ -304,10 +370,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all columns, with one document of each component. Needs doc_id to name a document: all rows of a doc_id
-    stay if one of them is kept."""
+    stay if one of them is kept. Texts are not shuffled while the ids that go are no more than BROADCAST_ROWS."""
     found = jaccard_components(docs, **options)
-    gone = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("keep").alias("_kept")).where(~F.col("_kept")).drop("_kept")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = f"gone_{uuid.uuid4().hex}"
+    going = materialize(found.groupBy(F.col("doc_id").alias(gone)).agg(F.max("keep").alias("kept")).where(~F.col("kept")).drop("kept"))
+    if going.count() <= BROADCAST_ROWS:
+        going = F.broadcast(going)
+    return docs.join(going, docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
