@@ -237,7 +237,13 @@ def gather(pairs: DataFrame, centres: DataFrame, sets: DataFrame, percent: int)
 
 def verify(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of linked classes, from ``pairs`` (a, b) of units and their ``members`` (unit, k): all members of a against all
-    of b, up to one link of each slice of a with each part of b. Slices and parts are bounded, and no row is emitted for a pair."""
+    of b, up to one link of each slice of a with each part of b. Slices and parts are bounded, and no row is emitted for a pair:
+    the larger unit of a pair takes the place of a, so its members travel once for a part of all its small partners."""
+    sizes = members.groupBy("unit").agg(F.count(F.lit(1)).alias("m"))
+    for side in "ab":
+        pairs = pairs.join(sizes.select(F.col("unit").alias(side), F.col("m").alias(f"m{side}")), side)
+    turn = (F.col("mb") > F.col("ma")) | ((F.col("mb") == F.col("ma")) & (F.col("b") < F.col("a")))
+    pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     own = members.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("unit")))
     own = own.withColumn("slices", F.ceil(F.col("m") / PART).cast("int")).withColumn("slice", F.pmod(F.xxhash64("k"), F.col("slices")).cast("int"))
     partners = pairs.join(own.select(F.col("unit").alias("b"), "k"), "b")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import ASCII_LOWER, materialize, read
+from quantloom.llm.shared import ASCII_LOWER, discard, materialize, read
 
 #: Tokens of one chunk (a longer document makes a longer one), bytes of spelling context, sweeps, and those not kept.
 CHUNK_TOKENS, CONTEXT, SWEEPS, BURN_IN = 1 << 21, 4, 3, 1
@@ -205,7 +205,9 @@ def _at_places(messages: list[DataFrame], run) -> DataFrame:
 
 
 def _kind(messages: DataFrame, kind: str) -> DataFrame:
-    return messages.where(F.col("kind") == kind)
+    found = messages.where(F.col("kind") == kind)
+    found.part_of = messages
+    return found
 
 
 def _slices(where: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -497,9 +499,10 @@ def fit(words: DataFrame, fixed: DataFrame, groups: int, pairs: DataFrame | None
     ``words``, ``fixed``, ``pairs`` and ``sums`` are messages. Without pairs the words' customers are those of ``fixed``.
     """
     of_pairs = _discount(*pairs.agg(F.sum("once"), F.sum("twice")).first()) if pairs is not None else 0.0
-    state, seated, short, unknown = None, None, None, []
+    state, seated, short, found, unknown = None, None, None, None, []
     discount = opening = 0.0
     for sweep in range(sweeps + 1):
+        old = [state, found, seated and seated.part_of]  # not read again once this sweep's tables are written
         if sweep and pairs is not None:
             found = _seat_pairs([pairs, _kind(state, "parents")], groups, of_pairs, sweep > burn_in, (seed, sweep, 0))
             pairs, sums = _kind(found, "pairs"), _kind(found, "sums")
@@ -511,6 +514,7 @@ def fit(words: DataFrame, fixed: DataFrame, groups: int, pairs: DataFrame | None
         seated, short = _seat_spellings([_kind(moved, "spell"), *([seated] if sweep else [])], short, (seed, sweep, 2))
         keep = sweep - burn_in - 1 if sweep > burn_in else None
         state = _predict_words([words, _kind(moved, "state"), *asks], [_kind(moved, "spell"), seated], short, groups, (discount, of_pairs), total, opening, keep, sweep == sweeps)
+        discard(moved, *old)
         if keep is not None:
             known = _kind(state, "state").agg(F.sum("x")).first()[0] or 0.0
             unknown.append(max(opening / (STRENGTH + total) - known, 1e-300))
