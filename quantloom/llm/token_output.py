@@ -1,10 +1,13 @@
 """Token ids as binary blocks, packed by an adaptive context-mixing range coder.
 
-An id is coded as a few 4-bit digits, high digit first. Three sets of adaptive counts predict each digit: from the digits
-so far alone (order 0), with the id before (order 1), and with the two ids before (order 2). The counts are mixed with
-weights that follow how well each order did of late, and the mix drives a range coder. Every block starts with empty
-counts and carries a checksum, so blocks can be read alone; numpy codes many blocks side by side, one lane each.
-All arithmetic is on integers, so every machine decodes what another has written.
+Each order predicts: order 2 an id from the two before, order 1 an id from the one before (each with a confidence that
+hits raise and misses lower), order 0 a whole distribution from the counts so far. The mixture of the three has weights
+of its own for every pair of confidences, learned from how often each order was right there; it drives a range coder:
+the id is coded as the order 2 prediction, else as the order 1 prediction, else by its share of the order 0 counts.
+
+Every block starts with an empty model and carries a checksum, so blocks can be read alone. Within a block many lanes
+(stretches of it) are coded side by side and teach the same model after every step, so numpy codes one id of each lane at
+a time. All arithmetic is on integers, so every machine decodes what another has written.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,205 +27,237 @@ from pyspark.sql import functions as F
 from quantloom.llm.shared import materialize, read
 
 END_ID = 1
-MAGIC = b"QTK1"
-#: Ids of a segment (one stored row; a longer document makes a longer one), of a block at most, and the lanes aimed at.
-SEGMENT_IDS, BLOCK_IDS, LEAST_BLOCK_IDS, LANES = 1 << 22, 2048, 512, 2048
-STRETCHES = 100_000
-#: Fixed values of the format: slots for the counts of each order, count step, and the bounds of the 48-bit coder.
-SLOTS = (1 << 9, 1 << 11, 1 << 11)
-STEP = 20
-TOP, BOTTOM, MASK = np.uint64(1 << 32), np.uint64(1 << 24), np.uint64((1 << 48) - 1)
-_SLOT_MASK = np.array([[n - 1] for n in SLOTS], dtype=np.uint32)
-_ONES, _UP_TO = np.ones(16, dtype=np.float32), np.triu(np.ones((16, 16), dtype=np.float32))
-_SHIFT, _HIGH = np.uint64(16), np.uint64(32)
+MAGIC = b"QTK2"
+#: Ids of a segment (one stored row; a longer document makes a longer one), and stretches of text remembered.
+SEGMENT_IDS, STRETCHES = 1 << 22, 300_000
+#: Fixed values of the format: ids of a block at most; lanes of a block at most, and least steps of a lane; size of the order 2
+#: table; steps between two mixings; weight of an id in the order 0 counts; shares of a mixture; bounds of the 64-bit coder.
+BLOCK_IDS, LANES, LEAST_STEPS, ORDER_2_BITS, MIX_STEPS, COUNT, SHARES = 1 << 20, 2048, 128, 18, 32, 32, 1 << 16
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 33)
+_SHIFT, _HIGH = np.uint64(16), np.uint64(48)
 
 
 class _Model:
-    """Counts and mixing weights of all lanes. Lanes are ordered by length, so the running ones come first.
-
-    A row of 16 one-byte counts is gathered as one 16-byte element. Sums of counts are below 2**24, so float32 holds them
-    exactly, in any order of adding.
-    """
-
-    def __init__(self, lanes: int, digits: int):
-        per_lane = sum(SLOTS)
-        self.counts = np.zeros(lanes * per_lane * 16, dtype=np.uint8)
-        self.rows_at = self.counts.view(np.complex128)
-        self.base = np.arange(lanes, dtype=np.int64)[None, :] * per_lane + np.array([[0], [SLOTS[0]], [SLOTS[0] + SLOTS[1]]])
-        self.last = np.zeros((2, lanes), dtype=np.uint32)
-        self.success = np.zeros((digits, 3, lanes), dtype=np.float32)
-        self.lane16 = np.arange(lanes, dtype=np.int64) * 16
-
-    def start_id(self, running: int) -> None:
-        one, two = self.last[:, :running]
-        self.context = np.stack([np.zeros(running, np.uint32), one * np.uint32(0x9E3779B1) + np.uint32(1), one * np.uint32(0x85EBCA6B) + two * np.uint32(0xC2B2AE35) + np.uint32(2)])
-
-    def predict(self, digit: int, so_far: np.ndarray) -> np.ndarray:
-        """Mixed frequencies of the 16 values, added up: running lanes x 16; the last column stays below 2**16."""
-        running = len(so_far)
-        node = (so_far + np.uint32((1 << (4 * digit)) // 15)) * np.uint32(0x27D4EB2F)
-        mixed = (self.context ^ node) * np.uint32(0x9E3779B1)
-        mixed ^= mixed >> np.uint32(15)
-        mixed &= _SLOT_MASK
-        self.at = self.base[:, :running] + mixed
-        self.rows = self.rows_at[self.at].view(np.uint8).reshape(3, running, 16)
-        exact = self.rows.astype(np.float32)
-        self.sums = exact @ _ONES
-        self.weight_of = self.success[digit, :, :running]
-        exact *= np.floor(self.weight_of + np.float32(1))[:, :, None]
-        together = exact[0]
-        together += exact[1]
-        together += exact[2]
-        together += np.float32(1)
-        return (together @ _UP_TO).astype(np.uint32)
-
-    def update(self, value: np.ndarray) -> None:
-        seen = self.rows.reshape(3, -1)[:, self.lane16[: len(value)] + value]
-        right = (seen.astype(np.float32) * np.float32(2) > self.sums) * np.float32(0.25)
-        self.weight_of *= np.float32(0.9375)
-        self.weight_of += right
-        at = (self.at << 4) + value
-        if (seen > 255 - STEP).any():
-            full = self.at[seen > 255 - STEP]
-            self.counts.reshape(-1, 16)[full] >>= 1
-            self.counts[at] += np.uint8(STEP)
-        else:
-            self.counts[at] = seen + np.uint8(STEP)
-
-    def end_id(self, ids: np.ndarray) -> None:
-        self.last[1, : len(ids)] = self.last[0, : len(ids)]
-        self.last[0, : len(ids)] = ids
-
-
-def _running(lengths: np.ndarray, steps: int) -> np.ndarray:
-    """How many lanes still run at each step, for lengths in falling order."""
-    return np.searchsorted(-lengths, -np.arange(steps), side="left")
-
-
-def _share(upto: np.ndarray, value: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each lane's value starts in the added-up frequencies, and its frequency."""
-    flat, at = upto.reshape(-1), lane * 16 + value
-    end, start = flat[at], np.where(value > 0, flat[at - 1], np.uint32(0))
-    return start, end - start
-
-
-def encode_lanes(blocks: list[np.ndarray], digits: int) -> list[np.ndarray]:
-    """16-bit words of each block. Blocks come in falling order of length."""
-    lengths = np.array([len(b) for b in blocks])
-    steps, lanes = int(lengths[0]), len(blocks)
-    ids = np.zeros((steps, lanes), dtype=np.uint32)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    model = _Model(lanes, digits)
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, MASK, dtype=np.uint64)
-    out, used = np.zeros((lanes, steps * digits + 16), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    every = np.arange(lanes)
-    for t, n in enumerate(_running(lengths, steps).tolist()):
-        now, lo, wd, lane = ids[t, :n], low[:n], width[:n], every[:n]
-        model.start_id(n)
-        for digit in range(digits):
-            shift = np.uint32(4 * (digits - 1 - digit))
-            value = ((now >> shift) & np.uint32(15)).astype(np.int64)
-            upto = model.predict(digit, now >> (shift + np.uint32(4)))
-            start, own = _share(upto, value, lane)
-            unit = wd // upto[:, 15]
-            lo += unit * start
-            np.multiply(unit, own, out=wd)
-            model.update(value)
-            while True:
-                settled = ((lo ^ (lo + wd)) & MASK) < TOP
-                need = np.flatnonzero(settled | (wd < BOTTOM))
-                if not len(need):
-                    break
-                a = lo[need]
-                w = np.where(settled[need], wd[need], (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-                out[need, used[need]] = a >> _HIGH
-                used[need] += 1
-                lo[need], wd[need] = (a << _SHIFT) & MASK, w << _SHIFT
-        model.end_id(now)
-    for shift in (32, 16, 0):
-        out[every, used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
+    """Predictions and mixing weights of one block. An entry of an order is id * 16 + confidence."""
+
+    def __init__(self, n_ids: int, steps: int, lanes: int):
+        self.two, self.one = np.zeros(1 << ORDER_2_BITS, dtype=np.int64), np.zeros(n_ids, dtype=np.int64)
+        self.before = np.zeros((2, lanes), dtype=np.int64)
+        self.keys, self.missed = np.zeros((steps, lanes), dtype=np.int64), np.full((steps, lanes), -1, dtype=np.int64)
+        self.weights, self.counts = np.ones((512, 3), dtype=np.int64), np.ones(n_ids, dtype=np.int64)
+        self.done, self.step = 0, 0
+        self._mix()
+
+    def _mix(self) -> None:
+        """Turn counts into shares: of each key (confidences and order) of 2**16, and the added-up order 0 counts."""
+        self.weights += np.bincount(self.keys[self.done : self.step].reshape(-1), minlength=2048).reshape(512, 4)[:, :3] * 8
+        width = np.maximum(self.weights * (SHARES - 4) // self.weights.sum(axis=1, keepdims=True), 1)
+        width[:, 2] = SHARES - width[:, 0] - width[:, 1]
+        self.start, self.width = np.zeros(2048, dtype=np.uint64), np.zeros(2048, dtype=np.uint64)
+        self.width.reshape(512, 4)[:, :3] = width
+        self.start.reshape(512, 4)[:, 1:3] = np.cumsum(width, axis=1)[:, :2]
+        missed = self.missed[self.done : self.step].reshape(-1)
+        self.counts += np.bincount(missed[missed >= 0], minlength=len(self.counts)) * COUNT
+        self.upto = np.zeros(len(self.counts) + 1, dtype=np.uint64)
+        np.cumsum(self.counts, out=self.upto[1:].view(np.int64))
+        self.total = self.upto[-1]
+        self.done = self.step
+
+    def predict(self, running: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key (order 2's), and the predictions of orders 2 and 1, of each running lane."""
+        one, two = self.before[0, :running], self.before[1, :running]
+        self.slot = ((one * 0x9E3779B1 ^ two * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - ORDER_2_BITS)
+        self.entry2, self.entry1, self.context = self.two[self.slot], self.one[one], one
+        of_two, of_one = self.entry2 >> 4, self.entry1 >> 4
+        key = (self.entry2 & 15) << 6
+        key |= (self.entry1 & 15) << 2
+        key |= (of_two == of_one).astype(np.int64) << 10
+        return key, of_two, of_one
+
+    def learn(self, key: np.ndarray, ids: np.ndarray, of_two: np.ndarray, of_one: np.ndarray, missed: np.ndarray) -> None:
+        """``key`` of the order that coded each lane's id; ``missed`` are the lanes that order 0 coded."""
+        n = len(ids)
+        self.keys[self.step, :n] = key
+        self.keys[self.step, n:] = 3  # no order
+        self.missed[self.step, missed] = ids[missed]
+        fresh = ids << 4
+        for table, at, entry, of in ((self.two, self.slot, self.entry2, of_two), (self.one, self.context, self.entry1, of_one)):
+            sure = entry & 15
+            kept = np.where(sure > 1, entry - ((sure + 1) >> 1), fresh)
+            table[at] = np.where(of == ids, entry + (sure < 15), kept)
+        self.before[1, :n] = self.before[0, :n]
+        self.before[0, :n] = ids
+        self.step += 1
+        if self.step - self.done >= min(MIX_STEPS, max(1, self.done)):
+            self._mix()
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """(lanes, steps) of a block of n ids: lanes of equal length, the last one shorter."""
+    steps = max(LEAST_STEPS, -(-n // LANES))
+    return -(-n // steps), steps
+
+
+def encode_block(symbols: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit words of all lanes one after another, number of words of each) for a block of numbers below n_ids."""
+    lanes, steps = _lanes(len(symbols))
+    ids = np.zeros(lanes * steps, dtype=np.int64)
+    ids[: len(symbols)] = symbols
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    short = len(symbols) - (lanes - 1) * steps
+    model = _Model(n_ids, steps, lanes)
+    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    room = 4 * steps + 8
+    out, used = np.zeros(lanes * room, dtype="<u2"), np.arange(lanes) * room
+
+    def settle(among: np.ndarray | None, lo: np.ndarray, wd: np.ndarray) -> None:
+        while True:
+            settled = (lo ^ (lo + wd)) < TOP
+            need = np.flatnonzero(settled | (wd < BOTTOM))
+            if not len(need):
+                return
+            lane = need if among is None else among[need]
+            a = lo[need]
+            w = np.where(settled[need], wd[need], (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
+            out[used[lane]] = a >> _HIGH
+            used[lane] += 1
+            low[lane], width[lane] = a << _SHIFT, w << _SHIFT
+            among = lane
+            lo, wd = low[among], width[among]
+
+    for t in range(steps):
+        n = lanes if t < short else lanes - 1
+        now, lo, wd = ids[t, :n], low[:n], width[:n]
+        key, of_two, of_one = model.predict(n)
+        hit_two = now == of_two
+        order = np.where(hit_two, 0, 2 - (now == of_one))
+        key |= order
+        unit = wd >> _SHIFT
+        lo += unit * model.start[key]
+        np.multiply(unit, model.width[key], out=wd)
+        settle(None, lo, wd)
+        missed = np.flatnonzero(order == 2)
+        if len(missed):
+            z = now[missed]
+            start = model.upto[z]
+            unit = width[missed] // model.total
+            low[missed] += unit * start
+            width[missed] = unit * (model.upto[z + 1] - start)
+            settle(missed, low[missed], width[missed])
+        model.learn(key, now, of_two, of_one, missed)
+    # at least 2**33 wide, so a start rounded up to 2**32 is inside whatever the next lane's words add to it
+    low = (low + np.uint64((1 << 32) - 1)) >> np.uint64(32)
+    for shift in (16, 0):
+        out[used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
+        used += 1
+    sizes = used - np.arange(lanes) * room
+    return np.concatenate([out[k * room : e] for k, e in enumerate(used.tolist())]), sizes
+
+
+def decode_block(words: np.ndarray, sizes: np.ndarray, length: int, n_ids: int) -> np.ndarray:
+    """The numbers of a block, from what encode_block() gave. Damaged words give wrong numbers, never an error."""
+    lanes, steps = _lanes(length)
+    short = length - (lanes - 1) * steps
+    # lanes lie one after another; a damaged lane may run past its end, at most to the padding
+    stream = np.concatenate([words, np.zeros(4 * steps + 16, dtype=words.dtype)]).astype(np.uint64)
+    used = np.cumsum(sizes) - sizes
+    code = np.zeros(lanes, dtype=np.uint64)
+    for _ in range(4):
+        code = (code << _SHIFT) | stream[used]
         used += 1
-    return [out[k, : used[k]].copy() for k in range(lanes)]
-
-
-def decode_lanes(coded: list[np.ndarray], lengths: np.ndarray, digits: int) -> list[np.ndarray]:
-    """Ids of each block, from what encode_lanes() gave; lengths in falling order."""
-    steps, lanes = int(lengths[0]), len(coded)
-    words = np.zeros((lanes, max(map(len, coded)) + 8), dtype=np.uint64)
-    for k, w in enumerate(coded):
-        words[k, : len(w)] = w
-    model = _Model(lanes, digits)
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, MASK, dtype=np.uint64)
-    code, used = (words[:, 0] << _HIGH) | (words[:, 1] << _SHIFT) | words[:, 2], np.full(lanes, 3, dtype=np.int64)
-    ids = np.zeros((steps, lanes), dtype=np.uint32)
-    every = np.arange(lanes)
-    for t, n in enumerate(_running(lengths, steps).tolist()):
-        now, lo, wd, cd, lane = np.zeros(n, dtype=np.uint32), low[:n], width[:n], code[:n], every[:n]
-        model.start_id(n)
-        for digit in range(digits):
-            upto = model.predict(digit, now)
-            unit = wd // upto[:, 15]
-            target = np.minimum(((cd - lo) & MASK) // unit, upto[:, 15] - np.uint32(1)).astype(np.uint32)
-            value = np.count_nonzero(upto <= target[:, None], axis=1)
-            start, own = _share(upto, value, lane)
-            lo += unit * start
-            np.multiply(unit, own, out=wd)
-            model.update(value)
-            now = (now << np.uint32(4)) | value.astype(np.uint32)
-            while True:
-                settled = ((lo ^ (lo + wd)) & MASK) < TOP
-                need = np.flatnonzero(settled | (wd < BOTTOM))
-                if not len(need):
-                    break
-                a = lo[need]
-                w = np.where(settled[need], wd[need], (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-                cd[need] = ((cd[need] << _SHIFT) & MASK) | words[need, used[need]]
-                used[need] += 1
-                lo[need], wd[need] = (a << _SHIFT) & MASK, w << _SHIFT
-        model.end_id(now)
+    model = _Model(n_ids, steps, lanes)
+    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    ids = np.zeros((steps, lanes), dtype=np.int64)
+
+    def settle(among: np.ndarray | None, lo: np.ndarray, wd: np.ndarray) -> None:
+        while True:
+            settled = (lo ^ (lo + wd)) < TOP
+            need = np.flatnonzero(settled | (wd < BOTTOM))
+            if not len(need):
+                return
+            among = need if among is None else among[need]
+            a = lo[need]
+            w = np.where(settled[need], wd[need], (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
+            at = used[among]
+            code[among] = (code[among] << _SHIFT) | stream[np.minimum(at, len(stream) - 1)]
+            used[among] = at + 1
+            low[among], width[among] = a << _SHIFT, w << _SHIFT
+            lo, wd = low[among], width[among]
+
+    for t in range(steps):
+        n = lanes if t < short else lanes - 1
+        lo, wd = low[:n], width[:n]
+        key, of_two, of_one = model.predict(n)
+        unit = wd >> _SHIFT
+        target = (code[:n] - lo) // unit
+        order = (target >= model.start[key | 1]).astype(np.int64)
+        order += target >= model.start[key | 2]
+        key |= order
+        lo += unit * model.start[key]
+        np.multiply(unit, model.width[key], out=wd)
+        settle(None, lo, wd)
+        now = np.where(order == 0, of_two, of_one)
+        missed = np.flatnonzero(order == 2)
+        if len(missed):
+            unit = width[missed] // model.total
+            target = np.minimum((code[missed] - low[missed]) // unit, model.total - np.uint64(1))
+            z = np.searchsorted(model.upto, target, side="right") - 1
+            now[missed] = z
+            start = model.upto[z]
+            low[missed] += unit * start
+            width[missed] = unit * (model.upto[z + 1] - start)
+            settle(missed, low[missed], width[missed])
+        model.learn(key, now, of_two, of_one, missed)
         ids[t, :n] = now
-    return [ids[: lengths[k], k] for k in range(lanes)]
+    return ids.T.reshape(-1)[:length]
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in rising order and the place of each id among them: by counting where ids are small, else by sorting."""
+    if len(ids) and int(ids.max()) < 1 << 20:
+        seen = np.bincount(ids) > 0
+        return np.flatnonzero(seen).astype("<u4"), (np.cumsum(seen) - 1)[ids]
+    names, place = np.unique(ids, return_inverse=True)
+    return names, place.reshape(-1)
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
-    """A segment: header, the distinct ids in falling order of count, and a table and the words of its blocks.
+    """A segment: header and its crc32, the distinct ids in rising order, and a table, the lanes' sizes and the words of its blocks.
 
-    Blocks code places in that list, so few digits suffice. Block table: ids, words, crc32 of the ids as unsigned
-    little-endian 32-bit numbers. An empty array gives a segment without blocks.
+    Blocks code places in that list. Block table: ids, lanes, words, crc32 of the ids as unsigned little-endian 32-bit
+    numbers. An empty array gives a segment without blocks.
     """
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    names, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    digits = max(1, -(-max(1, len(names) - 1).bit_length() // 4))
-    length = int(min(BLOCK_IDS, max(LEAST_BLOCK_IDS, -(-len(ids) // LANES))))
-    symbols = rank[place.reshape(-1)] if len(ids) else np.zeros(0, np.uint32)
-    blocks = [symbols[i : i + length] for i in range(0, len(ids), length)]
-    coded = encode_lanes(blocks, digits) if blocks else []
-    table = np.array([(len(b), len(w), zlib.crc32(ids[i * length : (i + 1) * length].tobytes())) for i, (b, w) in enumerate(zip(blocks, coded, strict=True))], dtype="<u4")
-    return b"".join([MAGIC, struct.pack("<BII", digits, len(names), len(blocks)), names[order].astype("<u4").tobytes(), table.tobytes(), *(w.tobytes() for w in coded)])
+    names, place = _distinct(ids)
+    table, parts = [], []
+    for i in range(0, len(ids), BLOCK_IDS):
+        words, sizes = encode_block(place[i : i + BLOCK_IDS], len(names))
+        own = ids[i : i + BLOCK_IDS]
+        table.append((len(own), len(sizes), len(words), zlib.crc32(own.tobytes())))
+        parts.append(sizes.astype("<u2").tobytes() + words.tobytes())
+    head = struct.pack("<II", len(names), len(table)) + names.astype("<u4").tobytes() + np.array(table, dtype="<u4").tobytes()
+    return b"".join([MAGIC, struct.pack("<I", zlib.crc32(head)), head, *parts])
 
 
 def unpack_ids(segment: bytes) -> np.ndarray:
     """The ids of a segment; ValueError names the first block whose checksum fails."""
     if segment[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
-    digits, n_names, n_blocks = struct.unpack_from("<BII", segment, 4)
-    names = np.frombuffer(segment, dtype="<u4", count=n_names, offset=13)
-    at = 13 + 4 * n_names
-    table = np.frombuffer(segment, dtype="<u4", count=3 * n_blocks, offset=at).reshape(-1, 3)
-    words = np.frombuffer(segment, dtype="<u2", offset=at + 12 * n_blocks)
-    ends = np.cumsum(table[:, 1])
-    coded = [words[e - w : e] for e, w in zip(ends.tolist(), table[:, 1].tolist(), strict=True)]
-    if not n_blocks:
-        return np.zeros(0, dtype="<u4")
-    blocks = decode_lanes(coded, table[:, 0].astype(np.int64), digits)
-    found = []
-    for i, b in enumerate(blocks):
-        ids = names[np.minimum(b, n_names - 1)]
-        if zlib.crc32(ids.tobytes()) != table[i, 2]:
+    crc, n_names, n_blocks = struct.unpack_from("<III", segment, 4)
+    at = 16 + 4 * n_names + 16 * n_blocks
+    if zlib.crc32(segment[8:at]) != crc:
+        raise ValueError("the header is damaged")
+    names = np.frombuffer(segment, dtype="<u4", count=n_names, offset=16)
+    table = np.frombuffer(segment, dtype="<u4", count=4 * n_blocks, offset=16 + 4 * n_names).reshape(-1, 4)
+    found = [np.zeros(0, dtype="<u4")]
+    for i, (length, lanes, n_words, checksum) in enumerate(table.tolist()):
+        sizes = np.frombuffer(segment, dtype="<u2", count=lanes, offset=at).astype(np.int64)
+        words = np.frombuffer(segment, dtype="<u2", count=n_words, offset=at + 2 * lanes)
+        at += 2 * lanes + 2 * n_words
+        if sizes.sum() != n_words:
+            raise ValueError(f"block {i} is damaged")
+        ids = names[decode_block(words, sizes, length, n_names)]
+        if zlib.crc32(ids.tobytes()) != checksum:
             raise ValueError(f"block {i} is damaged")
         found.append(ids)
     return np.concatenate(found)
@@ -244,15 +280,21 @@ class StretchEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set().union(*cut) - self.known.keys() if cut else set()
-        old = {s: self.older[s] for s in wanted & self.older.keys()}
-        new = list(wanted - old.keys())
-        fresh = {s: np.array(e.ids, dtype="<u4").tobytes() for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        known = self.known | old | fresh
+        known, older = self.known, self.older
+        new = set().union(*cut).difference(known)
+        again = new & older.keys()
+        known.update((s, older[s]) for s in again)
+        new -= again
+        # letters with one sign behind them are two pre-tokens in any case
+        ended = [s for s in new if len(s) > 1 and s.isascii() and s[:-1].isalpha() and not s[-1].isalnum()]
+        new.difference_update(ended)
+        new.update([s[:-1] for s in ended], [s[-1] for s in ended])
+        fresh = list(new.difference(known))
+        known.update((s, array("I", e.ids).tobytes()) for s, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True))
+        known.update((s, known[s[:-1]] + known[s[-1]]) for s in ended)
         found = [np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4") for c in cut]
         if len(known) > STRETCHES:
-            self.older, known = {s: b for s, b in known.items() if len(s) <= 64}, {"": b""}
-        self.known = known
+            self.older, self.known = {s: b for s, b in known.items() if len(s) <= 64}, {"": b""}
         return found
 
 
@@ -285,8 +327,8 @@ def write_token_ids(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             named = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
             texts = [t or "" for t in batch["text"]]
-            for i in range(0, len(texts), 256):
-                for name, ids in zip(named[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+            for i in range(0, len(texts), 512):
+                for name, ids in zip(named[i : i + 512], encoder.encode(texts[i : i + 512]), strict=True):
                     if size and size + len(ids) >= SEGMENT_IDS:
                         yield segment()
                         segment_no, names, held, size = segment_no + 1, [], [], 0
@@ -313,9 +355,11 @@ def read_token_ids(segments: DataFrame) -> DataFrame:
                 names = pd.array([None if pd.isna(d) else int(d) for d in doc_ids], dtype="Int64")
                 yield pd.DataFrame({"doc_id": names, "file_no": file_no, "segment_no": segment_no, "within": starts, "n_tokens": lengths, "ids_crc32": crc})
 
-    # one row per segment, millions of ids each: few rows even for a large corpus
-    before = Window.orderBy("file_no", "segment_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = segments.select("file_no", "segment_no", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    # ids of earlier segments of a file by a window for each file; ids of earlier files over one row for each writing task
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = segments.select("file_no", "segment_no", earlier(Window.partitionBy("file_no").orderBy("segment_no")).alias("in_file"))
+    files = segments.groupBy("file_no").agg(F.sum("n_ids").alias("n_ids")).select("file_no", earlier(Window.orderBy("file_no")).alias("in_files"))
+    starts = within.join(files, "file_no").select("file_no", "segment_no", (F.col("in_file") + F.col("in_files")).alias("before"))
     rows = segments.mapInPandas(run, "doc_id long, file_no int, segment_no int, within long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["file_no", "segment_no"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
