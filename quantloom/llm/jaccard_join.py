@@ -7,7 +7,8 @@ prefix shingle. The join goes on in steps that never emit all pairs within a gro
 1. Collapse: classes with identical prefix and size are one group; only groups are in the index, each once.
 2. Gather: each group goes to the pivot group (the least one at a shingle) that most of its prefix shingles name. A
    pivot's groups are expanded to their classes in parts of bounded size, each with a class of the pivot's; members are
-   compared with it, and those that do not reach it with the rest of the part until one link is found.
+   compared with it, and those that do not reach it with the rest of the part until one link is found. A further turn
+   takes the units of step 3 to some pivots of the largest component at their shingles.
 3. Filter group pairs: what is left of a group in one component is a unit. Units of different components that share a
    prefix shingle are paired where sizes, and the shingle's places in both, still allow the threshold if it is the first
    that they share (of a linked pair, the first one is). Then the shared part of both prefixes bounds the shared
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import ASCII_LOWER, materialize, read
+from quantloom.llm.shared import ASCII_LOWER, discard, materialize, read
 
 WORDS, PERCENT = 4, 85
 #: How many of the most frequent shingles are put last (8 bytes each, broadcast). It changes the speed only, no link.
@@ -40,6 +41,8 @@ FREQUENT = 1 << 18
 PART, LEAST_VOTES, BROADCAST_ROWS = 256, 0.03, 1_000_000
 #: Texts cut into words at a time; units at a shingle that one task pairs with others.
 TEXTS, HOT = 128, 4096
+#: Further turns of step 2, and pivots of a component in them.
+MORE_TURNS, PIVOTS = 1, 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -202,35 +205,44 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def gather(pairs: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of classes in one component, from ``pairs`` (p, k): a pivot and a class to compare with the pivot's own in
-    ``centres`` (p, k). A pivot with many partners is dealt to several parts, each with a copy of its set. Members that do
-    not reach the pivot are also tried against their part. Each class is tied to the row that its component began with, so
-    paths stay short."""
+    """(a, b) of classes in one component, from ``pairs`` (p, k, comp): a pivot, and a class to compare with the pivot's own in
+    ``centres`` (p, k, comp; few, of one component). A pivot with many partners is dealt to several parts, each with a copy of its set. Components that
+    do not reach the pivot are also tried against the rest of their part, each class up to one link. Links are tied to the row
+    that a component began with, so paths stay short."""
     many = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("m"))
     parts = many.select("p", F.greatest(F.lit(1), F.ceil(F.col("m") / PART)).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("k", "p"), F.col("parts")).cast("int").alias("part"), "k", F.lit(False).alias("pivot"))
-    pivots = parts.join(centres, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", F.lit(True).alias("pivot"))
+    dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("k", "p"), F.col("parts")).cast("int").alias("part"), "k", "comp", F.lit(False).alias("pivot"))
+    pivots = parts.join(centres, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "comp", F.lit(True).alias("pivot"))
     rows = dealt.unionByName(pivots).join(sets, "k")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        top = group["pivot"].to_numpy()
+        group = group.sort_values("pivot", ascending=False, kind="stable")  # the pivot first
         keys, all_sets = group["k"].to_numpy(), [np.frombuffer(s, dtype="<u8") for s in group["shingles"]]
-        home = list(range(len(keys)))  # a linked row points to the first row that its component began with
-        centre = int(np.flatnonzero(top)[0])
-        left, joined = [], [centre]
-        for i in np.flatnonzero(~top).tolist():
-            if linked(all_sets[i], all_sets[centre], percent):
-                home[i] = centre
-                joined.append(i)
-            else:
-                left.append(i)
-        for i in left:
-            j = next((j for j in joined if linked(all_sets[i], all_sets[j], percent)), None)
-            if j is not None:
-                home[i] = home[j]
-            joined.append(i)
-        found = [(keys[home[i]], keys[i]) for i in range(len(keys)) if home[i] != i and keys[home[i]] != keys[i]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        first: dict[int, int] = {}
+        home = [first.setdefault(c, i) for i, c in enumerate(group["comp"].tolist())]
+        found = []
+
+        def root(i: int) -> int:
+            while home[i] != i:
+                home[i] = i = home[home[i]]
+            return i
+
+        def tie(i: int, j: int) -> bool:
+            x, y = root(i), root(j)
+            if x == y or not linked(all_sets[i], all_sets[j], percent):
+                return False
+            found.append((keys[min(x, y)], keys[max(x, y)]))
+            home[max(x, y)] = min(x, y)
+            return True
+
+        pivots = int(group["pivot"].sum())
+        for i in range(pivots, len(keys)):
+            if root(i):
+                any(tie(i, j) for j in range(pivots))
+        for i in range(pivots, len(keys)):
+            if root(i):
+                any(tie(i, j) for j in range(pivots, len(keys)) if j != i)
+        return pd.DataFrame([x for x in found if x[0] != x[1]], columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("p", "part").applyInPandas(run, "a long, b long")
 
@@ -287,6 +299,30 @@ def sets_of(own: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return materialize(texts.mapInPandas(to_sets, "k long, shingles binary").dropDuplicates(["k"]))
 
 
+def _gathered(pairs: DataFrame, centres: DataFrame, own: DataFrame, classes: DataFrame, words: int, percent: int, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All links so far, and (k, comp) of their ends."""
+    wanted = pairs.select("k").unionByName(centres.select("k")).distinct()
+    sets = sets_of(own, classes.join(wanted, "k", "left_semi"), words)
+    new = materialize(gather(pairs, centres, sets, percent))
+    discard(sets)
+    links = links.unionByName(new) if links is not None else new
+    return links, materialize(connected(links))
+
+
+def _placed(classes: DataFrame, several: DataFrame, comps: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, k, comp) of the classes that are linked or share their group, and the index (h, g, n, pos, comp): one row for each
+    unit (g, comp) at each shingle. A group of one class that is linked with nothing so far is its own component."""
+    of_class = classes.select("g", "k").join(several.select("g", F.lit(1).alias("several")), "g", "left").join(comps, "k", "left")
+    of_class = materialize(of_class.where("comp IS NOT NULL OR several IS NOT NULL").select("g", "k", F.coalesce("comp", "k").alias("comp")))
+    units = of_class.select("g", "comp").distinct()
+    return of_class, materialize(live.select("h", "g", "n", "pos").join(units, "g", "left").withColumn("comp", F.coalesce("comp", "g")))
+
+
+def _by_shingle(placed: DataFrame, at_h: DataFrame) -> DataFrame:
+    """``placed`` with what ``at_h`` says of its shingle; frequent shingles, the only hot keys, are at most FREQUENT rows."""
+    return placed.where("h < 0").join(at_h.where("h < 0"), "h").unionByName(placed.where("h >= 0").join(F.broadcast(at_h.where("h >= 0")), "h"))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, keep.
 
@@ -323,22 +359,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     best = materialize(votes.groupBy("g").agg(F.max(F.struct("votes", "p")).alias("best")).select("g", "best.p"))
     of_group = classes.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("k"))
     several = of_group.where("m > 1").select("g", F.col("g").alias("p"))
-    pairs = materialize(classes.select("g", "k").join(best.unionByName(several), "g").select("p", "k"))
-    centres = materialize(pairs.select(F.col("p").alias("g")).distinct().join(of_group, "g").select(F.col("g").alias("p"), "k"))
-    wanted = pairs.select("k").unionByName(centres.select("k")).distinct()
-    links = materialize(gather(pairs, centres, sets_of(own, classes.join(wanted, "k", "left_semi"), words), percent))
-    comps = materialize(connected(links))
-
-    # 3. a unit is (g, comp); a group of one class that is linked with nothing so far is its own component
-    of_class = classes.select("g", "k").join(several.select("g", F.lit(1).alias("several")), "g", "left").join(comps, "k", "left")
-    of_class = materialize(of_class.where("comp IS NOT NULL OR several IS NOT NULL").select("g", "k", F.coalesce("comp", "k").alias("comp")))
-    units = of_class.select("g", "comp").distinct()
-    placed = live.select("h", "g", "n", "pos").join(units, "g", "left").withColumn("comp", F.coalesce("comp", "g"))
-    placed = materialize(placed)
+    pairs = materialize(classes.select("g", "k").join(best.unionByName(several), "g").select("p", "k", F.col("k").alias("comp")))
+    centres = materialize(pairs.select(F.col("p").alias("g")).distinct().join(of_group, "g").select(F.col("g").alias("p"), "k", F.col("k").alias("comp")))
+    links, comps = _gathered(pairs, centres, own, classes, words, percent, None)
+
+    # again: each unit goes to the component that is the largest one at most of its shingles
+    for turn in range(MORE_TURNS):
+        of_class, placed = _placed(classes, several, comps, live)
+        at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        mixed = _by_shingle(placed, materialize(at_h.select("h", F.col("top.comp").alias("top"))))
+        votes = mixed.where("comp <> top").groupBy("g", "comp", "top").agg(F.count(F.lit(1)).alias("votes"))
+        best = materialize(votes.groupBy("g", "comp").agg(F.max(F.struct("votes", "top")).alias("best")).select("g", "comp", F.col("best.top").alias("p")))
+        of_unit = classes.select("g", "k").join(of_class.select("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "g"))
+        pairs = materialize(of_unit.join(best, ["g", "comp"]).select("p", "k", "comp"))
+        tops = of_unit.join(best.select(F.col("p").alias("comp")).distinct(), "comp").groupBy("comp", F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(PIVOTS)).alias("nth")).agg(F.min("k").alias("k"))
+        centres = materialize(tops.select(F.col("comp").alias("p"), "k", "comp"))
+        links, comps = _gathered(pairs, centres, own, classes, words, percent, links)
+
+    # 3.
+    of_class, placed = _placed(classes, several, comps, live)
     at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
     at_h = materialize(at_h.where("comps > 1").select("h", F.col("top.comp").alias("top"), F.ceil(F.col("all") / HOT).cast("int").alias("salts")))
-    # frequent shingles are the only hot keys: at most FREQUENT rows say where they are split
-    mixed = placed.where("h < 0").join(at_h, "h").unionByName(placed.where("h >= 0").join(F.broadcast(at_h.where("h >= 0")), "h"))
+    mixed = _by_shingle(placed, at_h)
     minor = mixed.where("comp <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}1") for c in ("g", "n", "pos", "comp")))
     other = mixed.select("h", F.pmod(F.xxhash64("g", "comp"), F.col("salts")).cast("int").alias("salt"), "g", "n", "pos", "comp", (F.col("comp") == F.col("top")).alias("major"))
     at_most = lambda n, pos: F.col(n) - F.col(pos)  # noqa: E731  shared shingles, if the one at pos is the first
