@@ -181,13 +181,34 @@ def wedge(bars: DataFrame, n: int = 25) -> DataFrame:
     return bars.withColumns({"wedge": kind, "wedge_reliability": F.when(steep, F.least(F.abs(h - low) * 1000, F.lit(80.0)))})
 
 
-def gaps(bars: DataFrame, least: float = 0.01) -> DataFrame:
-    """Upward gaps (low above the high before) of at least ``least``, and whether a later low has closed them."""
-    h1 = lag("high")
-    size = F.when(F.col("low") > h1, F.col("low") / h1 - 1)
-    after = F.min("low").over(series().rowsBetween(1, Window.unboundedFollowing))
-    bars = bars.withColumns({"gap": F.when(size >= least, size), "_level": h1})
-    return bars.withColumn("gap_closed", F.when(F.col("gap").isNotNull(), F.coalesce(after <= F.col("_level"), F.lit(False)))).drop("_level")
+def latest_gap(bars: DataFrame) -> DataFrame:
+    """One row a symbol: its newest opening above the high before. It hits from 1 % on; older, larger gaps do not count.
+
+    gap_type: breakout after 40 bars within 12 %; exhaustion after 35 % in 20 bars with a gap of 3 %; else continuation.
+    unfilled_days: bars from the gap on whose lows stay above the gap's level; three confirm. Fewer than 3 bars: no gap.
+    """
+    w, whole = Window.partitionBy("symbol").orderBy("dt"), Window.partitionBy("symbol")
+    before = w.rowsBetween(-40, -1)
+    high, close = F.lag("high").over(w), F.lag("close").over(w)
+    mean = F.when(F.count("close").over(w.rowsBetween(-20, -1)) == 20, F.avg("close").over(w.rowsBetween(-20, -1)))
+    low = F.min("low").over(before)
+    base = F.lag("close", 21).over(w)
+    named = {
+        "no": F.row_number().over(w), "level": high, "pct": (F.col("open") - high) / high * 100, "range": F.when(low > 0, (F.max("high").over(before) - low) / low).otherwise(999.0),
+        "rally": F.coalesce(F.when(base > 0, (close - base) / base), F.lit(0.0)), "up": F.coalesce(close > mean, F.lit(False)),
+    }
+    gap = F.col("open") > F.col("level") + 1e-6
+    b = bars.select("symbol", "dt", "open", "low", *(c.alias(n) for n, c in named.items()), F.count(F.lit(1)).over(whole).alias("n"))
+    b = b.withColumn("g", F.max(F.when(gap & (F.col("n") >= 3), F.struct("no", "level", "pct", "range", "rally", "up"))).over(whole))
+    filled = F.min(F.when((F.col("no") >= F.col("g.no")) & (F.col("low") <= F.col("g.level") + 1e-6), F.col("no")))
+    last = b.groupBy("symbol").agg(F.first("g").alias("g"), F.first("n").alias("n"), filled.alias("filled"))
+    hit = F.coalesce(F.col("g.pct") >= 1, F.lit(False))
+    kind = F.when(F.col("g.range") < 0.12, "breakout").when((F.col("g.rally") >= 0.35) & (F.col("g.pct") >= 3), "exhaustion").otherwise("continuation")
+    unfilled = F.when(hit, F.coalesce("filled", F.col("n") + 1) - F.col("g.no")).otherwise(0)
+    return last.select(
+        "symbol", hit.alias("gap_up"), F.when(hit, kind).alias("gap_type"), F.coalesce(F.round("g.pct", 2), F.lit(0.0)).alias("gap_pct"), unfilled.cast("long").alias("unfilled_days"),
+        F.when(hit, F.col("g.range") < 0.12).alias("consolidation"), F.when(hit, F.round(F.col("g.rally") * 100, 1)).alias("rally_pct"), F.when(hit, F.col("g.up")).alias("above_ma20"), F.when(hit, unfilled >= 3).alias("confirmed"),
+    )
 
 
 def pivots(bars: DataFrame, k: int = 2) -> DataFrame:

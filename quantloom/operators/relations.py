@@ -44,11 +44,38 @@ def search(names: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return names.where(by_code | F.lower("name").contains(text.lower())).orderBy("symbol").limit(limit)
 
 
+def sector_scores(bars: DataFrame, lookback: int = 10) -> DataFrame:
+    """symbol, score (-2 to 3), bias, change_n, amount_score of each sector with 5 bars or more, at its last bar.
+
+    bias is the distance to the mean of 20 closes in percent (0 where unknown), change_n that to the close ``lookback`` bars
+    back, the last bar counted; amount_score is 1 where the amount is half above the mean of the five before.
+    """
+    w = Window.partitionBy("symbol").orderBy("dt")
+    at = lambda a, b: w.rowsBetween(a, b)
+    mean = F.when(F.count("close").over(at(-19, 0)) == 20, F.avg("close").over(at(-19, 0)))
+    past, before = F.lag("close", lookback - 1).over(w), F.when(F.count("amount").over(at(-5, -1)) == 5, F.avg("amount").over(at(-5, -1)))
+    b = bars.select(
+        "symbol", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("dt"))).alias("_rank"), F.row_number().over(w).alias("_n"),
+        F.coalesce(F.when(mean > 0, (F.col("close") / mean - 1) * 100), F.lit(0.0)).alias("bias"), F.coalesce(F.when(past > 0, (F.col("close") / past - 1) * 100), F.lit(0.0)).alias("change_n"),
+        F.coalesce((F.col("amount") / F.when(before > 0, before) >= 1.5).cast("int"), F.lit(0)).alias("amount_score"),
+    )
+    bias, change = F.col("bias"), F.col("change_n")
+    score = F.when(bias < -5, -2).when(bias < -2, -1).when((bias > 5) & (change > 3), 2 + F.col("amount_score")).when((bias > 2) & (change > 0), 1 + F.col("amount_score")).otherwise(0)
+    return b.where("_rank = 1 AND _n >= 5").select("symbol", score.alias("score"), "bias", "change_n", "amount_score")
+
+
+def strongest_sectors(scores: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` strong sectors (2 or more) of the highest score, then change."""
+    return scores.where("score >= 2").orderBy(F.desc("score"), F.desc("change_n"), "symbol").limit(n)
+
+
 def sector_census(scores: DataFrame) -> DataFrame:
-    """Counts of strong (2 or more), weak (-1 or less) and neutral sectors, and whether the market of sectors is up."""
-    made = scores.agg(F.count(F.lit(1)).alias("sectors"), F.count_if(F.col("score") >= 2).alias("strong"), F.count_if(F.col("score") <= -1).alias("weak"))
-    up = (F.col("strong") >= F.col("weak") + 2) & (F.col("strong") >= F.greatest(F.lit(3), F.floor(F.col("sectors") * 0.25)))
-    return made.withColumns({"neutral": F.col("sectors") - F.col("strong") - F.col("weak"), "trend": F.when(up, "up").when(F.col("weak") > F.col("strong"), "down").otherwise("swing")})
+    """Counts of strong (2 or more), weak (-2) and neutral sectors, the trend of them all and its strength (0 to 100)."""
+    made = scores.agg(F.count(F.lit(1)).alias("sectors"), F.count_if(F.col("score") >= 2).alias("strong"), F.count_if(F.col("score") <= -2).alias("weak"))
+    enough = lambda a, b: (F.col(a) >= F.col(b) + 2) & (F.col(a) >= F.greatest(F.lit(3), F.floor(F.col("sectors") * 0.25)))
+    strength = lambda a: F.least(F.lit(100), F.floor(F.col(a) / F.col("sectors") * 100) + 20).cast("int")
+    up, down = enough("strong", "weak"), enough("weak", "strong")
+    return made.withColumns({"neutral": F.col("sectors") - F.col("strong") - F.col("weak"), "trend": F.when(up, "up").when(down, "down").otherwise("swing"), "strength": F.when(up, strength("strong")).when(down, strength("weak")).otherwise(30)})
 
 
 def compare_results(one: DataFrame, other: DataFrame, most: float = 1.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.windows import lag, ratio
 from quantloom.operators import indicators as ind
-from quantloom.operators import patterns, portfolio, quality, rules
+from quantloom.operators import patterns, portfolio, quality, records, rules
 from quantloom.operators.indicators import rounded
 from quantloom.plans import sql
 from quantloom.plans.sql import IND, W, cross, over
@@ -362,11 +362,15 @@ def a15_return_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made, 8)
 
 
-@register("a17_bars_checksum")
+def checksum_sql(source: str) -> str:
+    t = lambda e: f"coalesce(round({e} * 10000)::BIGINT::VARCHAR, 'None')"
+    return f"""SELECT symbol, substr(sha1(concat_ws('|', min(dt)::VARCHAR, {t("max(close) FILTER (no = n // 2 + 1)")}, max(dt)::VARCHAR, {t("arg_max(close, dt)")}, {t("arg_max(volume, dt)")}, {t("sum(volume)")}, count(*)::VARCHAR)), 1, 16) AS checksum
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS no, count(*) OVER (PARTITION BY symbol) AS n FROM {source}) GROUP BY symbol"""
+
+
+@register("a17_bars_checksum", over(checksum_sql("bars")))
 def a17_bars_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = src.bars(spark, sf_dir)
-    parts = (F.count(F.lit(1)), F.min("dt"), F.max("dt"), F.format_number(F.max_by("close", "dt"), 4), F.max_by("volume", "dt"), F.sum("volume"))
-    return b.groupBy("symbol").agg(F.sha1(F.concat_ws(",", *(p.cast("string") for p in parts))).alias("checksum"))
+    return records.checksum(src.bars(spark, sf_dir))
 
 
 @register("a19_minute_stats", f"WITH {_MINUTES} SELECT code, count(*) AS n_bars, min(dt) AS first_bar, max(dt) AS last_bar, sum(volume)::BIGINT AS volume FROM m30 GROUP BY code")
@@ -485,10 +489,21 @@ _columns(
     {"high_slope": "round(hs, 4)", "low_slope": "round(ls, 4)", "wedge": f"CASE WHEN NOT coalesce({_STEEP}, false) THEN 'none' WHEN hs > 0 AND ls > 0 THEN 'rising' WHEN hs < 0 AND ls < 0 THEN 'falling' ELSE 'mixed' END", "wedge_reliability": f"round(CASE WHEN {_STEEP} THEN least(abs(hs - ls) * 1000, 80) END, 2)"},
     (IND, _WEDGE), "wd", needs_ma=False,
 )
-_columns(
-    "k8_gaps", patterns.gaps,
-    {"gap": r6("CASE WHEN low / lag(high) OVER w - 1 >= 0.01 THEN low / lag(high) OVER w - 1 END"), "gap_closed": "CASE WHEN low / lag(high) OVER w - 1 >= 0.01 THEN coalesce(min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= lag(high) OVER w, false) END"}, needs_ma=False,
-)
+_GAP = f"""g0 AS (SELECT *, row_number() OVER w AS no, count(*) OVER (PARTITION BY symbol) AS n, lag(high) OVER w AS level, lag(close) OVER w AS pc, lag(close, 21) OVER w AS base,
+  CASE WHEN count(*) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) = 20 THEN avg(close) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS m,
+  max(high) OVER (w ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS hi, min(low) OVER (w ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS lo FROM bars {W}),
+g1 AS (SELECT symbol, no, n, level, (open - level) / level * 100 AS pct, (hi - lo) / lo AS rg, coalesce((pc - base) / base, 0) AS rally, coalesce(pc > m, false) AS up FROM g0 WHERE n >= 3 AND open > level + 1e-6
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY no DESC) = 1),
+g2 AS (SELECT g1.*, coalesce((SELECT min(b.no) FROM g0 b WHERE b.symbol = g1.symbol AND b.no >= g1.no AND b.low <= g1.level + 1e-6), n + 1) - no AS free, pct >= 1 AS hit FROM g1)"""
+
+
+@register("k8_gaps", over("""SELECT symbol, coalesce(hit, false) AS gap_up, CASE WHEN hit THEN CASE WHEN rg < 0.12 THEN 'breakout' WHEN rally >= 0.35 AND pct >= 3 THEN 'exhaustion' ELSE 'continuation' END END AS gap_type,
+  coalesce(round(pct, 2), 0) AS gap_pct, CASE WHEN hit THEN free ELSE 0 END AS unfilled_days, CASE WHEN hit THEN rg < 0.12 END AS consolidation, CASE WHEN hit THEN round(rally * 100, 1) END AS rally_pct,
+  CASE WHEN hit THEN up END AS above_ma20, CASE WHEN hit THEN free >= 3 END AS confirmed FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN g2 USING (symbol)""", _GAP))
+def k8_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.latest_gap(src.bars(spark, sf_dir))
+
+
 _columns(
     "k1_pivots", patterns.pivots,
     {n: "coalesce(" + " AND ".join(f"{c} {o} {f}({c}, {i}) OVER w" for i in (1, 2) for f in ("lag", "lead")) + ", false)" for n, c, o in (("peak", "high", ">"), ("trough", "low", "<"))}, needs_ma=False,

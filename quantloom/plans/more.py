@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators import quality, waves
+from quantloom.operators import quality, records, waves
 from quantloom.operators.indicators import rounded
 from quantloom.plans import sql
-from quantloom.plans.catalog import register
+from quantloom.plans.catalog import checksum_sql, register
 from quantloom.plans.sql import W, over
 from quantloom.sources import bars as src
 from quantloom.streaming import minutes
@@ -88,19 +89,21 @@ def r13_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(waves.stage(src.bars(spark, sf_dir)).select("symbol", "dt", "t5", "t20", "volume_trend", "amplitude", "stage"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, what: str = "stream") -> str:
+    """A folder that driver and executors share: in spark.checkpoint.dir, or a temporary one if the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="quantloom-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 @register("n2_stream_bars", """WITH b AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS dt, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)
   SELECT * FROM b WHERE dt + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
 def n2_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of all windows that a stream of the written events has closed."""
-    path = _scratch(spark)
+    path = scratch(spark)
     src.table(spark, sf_dir, "events").repartitionByRange(4, "ts").write.parquet(f"{path}/ticks")
     made = minutes.stream_bars(minutes.tick_stream(spark, f"{path}/ticks"))
     return minutes.run_once(made, f"{path}/out", f"{path}/state").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
@@ -109,7 +112,7 @@ def n2_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("n3_macd_alerts")
 def n3_macd_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State changes of every event type's 30-minute bars, replayed as a stream of written bars."""
-    path = _scratch(spark)
+    path = scratch(spark)
     src.minute_bars(src.table(spark, sf_dir, "events")).write.parquet(f"{path}/bars")
     stream = spark.readStream.schema("code string, dt timestamp, open double, high double, low double, close double, volume long").parquet(f"{path}/bars")
     return minutes.run_once(minutes.macd_states(stream, notify_first=True), f"{path}/out", f"{path}/state")
@@ -123,12 +126,12 @@ def t6_minute_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(F.broadcast(newest)).where(F.col("dt") >= F.col("newest") - F.expr("interval 20 days")).groupBy("code").agg(F.count(F.lit(1)).alias("n_bars"))
 
 
-@register("q11_changed_symbols", over("SELECT symbol, max(dt) > DATE '2001-01-01' AS recompute FROM bars GROUP BY symbol"))
-def q11_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols whose checksum differs from that of the bars up to 2001, so their stored result can't be reused."""
-    b = src.bars(spark, sf_dir)
-    stamp = lambda df: df.groupBy("symbol").agg(F.sha1(F.concat_ws(",", F.count(F.lit(1)).cast("string"), F.max("dt").cast("string"), F.sum("volume").cast("string"))).alias("stamp"))
-    now, old = stamp(b), stamp(b.where("dt <= date'2001-01-01'")).withColumnRenamed("stamp", "stored")
-    return now.join(old, "symbol", "left").select("symbol", (~F.col("stamp").eqNullSafe(F.col("stored"))).alias("recompute"))
+_ADJUSTED = "adj AS (SELECT symbol, dt, open, high, low, close * CASE WHEN symbol LIKE '%3' THEN 1.01::DOUBLE ELSE 1 END AS close, volume FROM bars WHERE symbol NOT LIKE '%4')"
 
 
+@register("q11_changed_symbols", over(f"SELECT symbol, a.checksum IS DISTINCT FROM b.checksum AS recompute FROM ({checksum_sql('bars')}) a LEFT JOIN ({checksum_sql('adj')}) b USING (symbol)", _ADJUSTED))
+def q11_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored are the checksums before some symbols' prices were adjusted by 1 %, and none of some new symbols."""
+    b = src.bars(spark, sf_dir)
+    before = b.where("symbol NOT LIKE '%4'").withColumn("close", F.col("close") * F.when(F.col("symbol").like("%3"), 1.01).otherwise(1.0))
+    return records.changed(records.checksum(b), records.checksum(before))

@@ -81,14 +81,29 @@ def a10_sector_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sectors.join(j1_primary_sector(spark, sf_dir).groupBy("sector").agg(F.count(F.lit(1)).alias("n_members")), "sector").orderBy("sector")
 
 
-_CENSUS = f"""cs AS (SELECT symbol, (CASE WHEN close > ma20 THEN 1 ELSE -1 END) + (CASE WHEN ma5 > ma10 THEN 1 ELSE 0 END) + (CASE WHEN close > lag(close, 5) OVER w THEN 1 ELSE -1 END) AS score, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk FROM ind {W})"""
+_CENSUS = f"""c0 AS (SELECT *, row_number() OVER w AS no, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk, {sql.mean("close", 20)} AS m, lag(close, 9) OVER w AS past,
+  CASE WHEN count(*) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) = 5 THEN avg(amount) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS am FROM bars {W}),
+c1 AS (SELECT symbol, coalesce((close / m - 1) * 100, 0) AS bias, coalesce((close / past - 1) * 100, 0) AS change_n, coalesce((amount / am >= 1.5)::INT, 0) AS amount_score FROM c0 WHERE rk = 1 AND no >= 5),
+cs AS (SELECT *, CASE WHEN bias < -5 THEN -2 WHEN bias < -2 THEN -1 WHEN bias > 5 AND change_n > 3 THEN 2 + amount_score WHEN bias > 2 AND change_n > 0 THEN 1 + amount_score ELSE 0 END AS score FROM c1)"""
+_COUNTS = "SELECT count(*) AS sectors, count(*) FILTER (score >= 2) AS strong, count(*) FILTER (score <= -2) AS weak FROM cs"
 
 
-@register("a11_sector_census", over("SELECT sectors, strong, weak, sectors - strong - weak AS neutral, CASE WHEN strong >= weak + 2 AND strong >= greatest(3, floor(sectors * 0.25)) THEN 'up' WHEN weak > strong THEN 'down' ELSE 'swing' END AS trend FROM (SELECT count(*) AS sectors, count(*) FILTER (score >= 2) AS strong, count(*) FILTER (score <= -1) AS weak FROM cs WHERE rk = 1)", IND, _CENSUS))
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.sector_scores(src.bars(spark, sf_dir, "l_suppkey"))
+
+
+@register("a11_sector_census", over(f"""SELECT sectors, strong, weak, sectors - strong - weak AS neutral,
+  CASE WHEN strong >= weak + 2 AND strong >= greatest(3, floor(sectors * 0.25)) THEN 'up' WHEN weak >= strong + 2 AND weak >= greatest(3, floor(sectors * 0.25)) THEN 'down' ELSE 'swing' END AS trend,
+  CASE WHEN strong >= weak + 2 AND strong >= greatest(3, floor(sectors * 0.25)) THEN least(100, floor(strong / sectors * 100) + 20)
+       WHEN weak >= strong + 2 AND weak >= greatest(3, floor(sectors * 0.25)) THEN least(100, floor(weak / sectors * 100) + 20) ELSE 30 END::INT AS strength FROM ({_COUNTS})""", _CENSUS, ticks=sql.SUPPLIER_TICKS))
 def a11_sector_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = ind.moving_averages(src.bars(spark, sf_dir), (5, 10, 20))
-    score = F.when(F.col("close") > F.col("ma20"), 1).otherwise(-1) + F.when(F.col("ma5") > F.col("ma10"), 1).otherwise(0) + F.when(F.col("close") > lag("close", 5), 1).otherwise(-1)
-    return relations.sector_census(ind.latest(b.withColumn("score", score)))
+    """Suppliers stand for the sectors here, of which there are many."""
+    return relations.sector_census(_suppliers(spark, sf_dir))
+
+
+@register("t3_strongest_sectors", over("SELECT symbol, score, round(bias, 5) AS bias, round(change_n, 5) AS change_n, amount_score FROM cs WHERE score >= 2 ORDER BY score DESC, cs.change_n DESC, symbol LIMIT 5", _CENSUS, ticks=sql.SUPPLIER_TICKS))
+def t3_strongest_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ind.rounded(relations.strongest_sectors(_suppliers(spark, sf_dir)))
 
 
 @register("a20_result_diff", over("SELECT symbol, a, b, abs(a - b) AS difference, coalesce(abs(a - b) <= 1, a IS NULL AND b IS NULL) AS same FROM (SELECT symbol, count(*) % 7 AS a FROM bars WHERE symbol <> 'NATION_3' GROUP BY 1) FULL JOIN (SELECT symbol, count(*) % 6 AS b FROM bars WHERE symbol <> 'NATION_4' GROUP BY 1) USING (symbol)"))

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 NAMES = ["w1_sma_set", "w5_macd", "r1_yearline_filter", "z8_resonance_score", "k10_candlesticks", "v2_wave_structure", "a1_resample_month", "s9_bar_upsert", "n2_stream_bars"]
+NAMES += ["k8_gaps", "a11_sector_census", "a17_bars_checksum", "q11_changed_symbols", "p7_as_of", "a2_sector_weeks", "u7_outside_turnover", "s7_watchlist_export", "s16_flat_report", "a21_coverage_report"]
 
 
 def plain(v):
