@@ -363,22 +363,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     centres = materialize(pairs.select(F.col("p").alias("g")).distinct().join(of_group, "g").select(F.col("g").alias("p"), "k", F.col("k").alias("comp")))
     links, comps = _gathered(pairs, centres, own, classes, words, percent, None)
 
-    # again: each unit goes to the component that is the largest one at most of its shingles
+    # again: each unit goes to the component that is the largest one at most of its shingles, if it has more classes than pivots are taken
     for turn in range(MORE_TURNS):
         of_class, placed = _placed(classes, several, comps, live)
         at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        mixed = _by_shingle(placed, materialize(at_h.select("h", F.col("top.comp").alias("top"))))
-        votes = mixed.where("comp <> top").groupBy("g", "comp", "top").agg(F.count(F.lit(1)).alias("votes"))
+        at_h = materialize(at_h.select("h", F.col("top.comp").alias("top")))
+        large = of_class.groupBy(F.col("comp").alias("top")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PIVOTS).select("top")
+        mixed = _by_shingle(placed, at_h).where("comp <> top").join(large, "top", "left_semi")
+        votes = mixed.groupBy("g", "comp", "top").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n")).where(F.col("votes") >= F.col("n") * LEAST_VOTES)
         best = materialize(votes.groupBy("g", "comp").agg(F.max(F.struct("votes", "top")).alias("best")).select("g", "comp", F.col("best.top").alias("p")))
         of_unit = classes.select("g", "k").join(of_class.select("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "g"))
         pairs = materialize(of_unit.join(best, ["g", "comp"]).select("p", "k", "comp"))
         tops = of_unit.join(best.select(F.col("p").alias("comp")).distinct(), "comp").groupBy("comp", F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(PIVOTS)).alias("nth")).agg(F.min("k").alias("k"))
         centres = materialize(tops.select(F.col("comp").alias("p"), "k", "comp"))
         links, comps = _gathered(pairs, centres, own, classes, words, percent, links)
+        discard(placed, at_h, of_class, pairs, centres, best)
 
     # 3.
     of_class, placed = _placed(classes, several, comps, live)
     at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
+    discard(live)
     at_h = materialize(at_h.where("comps > 1").select("h", F.col("top.comp").alias("top"), F.ceil(F.col("all") / HOT).cast("int").alias("salts")))
     mixed = _by_shingle(placed, at_h)
     minor = mixed.where("comp <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}1") for c in ("g", "n", "pos", "comp")))
@@ -389,6 +393,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     met = minor.join(other, ["h", "salt"]).where((F.col("comp") != F.col("comp1")) & once & fits(F.col("n"), F.col("n1")) & enough)
     met = met.select(F.least(F.struct("g", "comp"), F.struct(F.col("g1").alias("g"), F.col("comp1").alias("comp"))).alias("a"), F.greatest(F.struct("g", "comp"), F.struct(F.col("g1").alias("g"), F.col("comp1").alias("comp"))).alias("b")).distinct()
     met = materialize(met.select(F.col("a.g").alias("ga"), F.col("a.comp").alias("ca"), F.col("b.g").alias("gb"), F.col("b.comp").alias("cb")))
+    discard(placed, at_h)
     if not met.isEmpty():
         side = lambda x: groups.select(F.col("g").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"prefix{x}"))
         both = met.join(side("a"), "ga").join(side("b"), "gb")
