@@ -314,13 +314,22 @@ def _placed(classes: DataFrame, several: DataFrame, comps: DataFrame, live: Data
     unit (g, comp) at each shingle. A group of one class that is linked with nothing so far is its own component."""
     of_class = classes.select("g", "k").join(several.select("g", F.lit(1).alias("several")), "g", "left").join(comps, "k", "left")
     of_class = materialize(of_class.where("comp IS NOT NULL OR several IS NOT NULL").select("g", "k", F.coalesce("comp", "k").alias("comp")))
-    units = of_class.select("g", "comp").distinct()
-    return of_class, materialize(live.select("h", "g", "n", "pos").join(units, "g", "left").withColumn("comp", F.coalesce("comp", "g")))
+    units = materialize(of_class.select("g", "comp").distinct())
+    side = F.broadcast(units) if units.count() <= BROADCAST_ROWS else units
+    return of_class, live.select("h", "g", "n", "pos").join(side, "g", "left").withColumn("comp", F.coalesce("comp", "g"))
 
 
-def _by_shingle(placed: DataFrame, at_h: DataFrame) -> DataFrame:
-    """``placed`` with what ``at_h`` says of its shingle; frequent shingles, the only hot keys, are at most FREQUENT rows."""
-    return placed.where("h < 0").join(at_h.where("h < 0"), "h").unionByName(placed.where("h >= 0").join(F.broadcast(at_h.where("h >= 0")), "h"))
+def _by_shingle(placed: DataFrame) -> DataFrame:
+    """``placed`` at the shingles where several components meet, with the largest of them (top) and the number of rows there
+    (rows). Plain shingles travel once; frequent ones, the only hot keys, are summed map-side, at most FREQUENT rows."""
+    size, most = F.count(F.lit(1)), F.max(F.struct("m", "comp"))
+    of_h = Window.partitionBy("h")
+    plain = placed.where("h < 0").repartition("h").withColumn("m", size.over(Window.partitionBy("h", "comp")))
+    plain = plain.withColumns({"top": most.over(of_h)["comp"], "rows": size.over(of_h), "_least": F.min("comp").over(of_h), "_most": F.max("comp").over(of_h)})
+    frequent = placed.where("h >= 0")
+    at_h = frequent.groupBy("h", "comp").agg(size.alias("m")).groupBy("h").agg(most["comp"].alias("top"), F.sum("m").alias("rows"), size.alias("comps")).where("comps > 1")
+    frequent = frequent.join(F.broadcast(at_h.drop("comps")), "h")
+    return plain.where("_least < _most").drop("m", "_least", "_most").unionByName(frequent)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -366,10 +375,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     # again: each unit goes to the component that is the largest one at most of its shingles, if it has more classes than pivots are taken
     for turn in range(MORE_TURNS):
         of_class, placed = _placed(classes, several, comps, live)
-        at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        at_h = materialize(at_h.select("h", F.col("top.comp").alias("top")))
         large = of_class.groupBy(F.col("comp").alias("top")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PIVOTS).select("top")
-        mixed = _by_shingle(placed, at_h).where("comp <> top").join(large, "top", "left_semi")
+        mixed = _by_shingle(placed).where("comp <> top").join(large, "top", "left_semi")
         votes = mixed.groupBy("g", "comp", "top").agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n")).where(F.col("votes") >= F.col("n") * LEAST_VOTES)
         best = materialize(votes.groupBy("g", "comp").agg(F.max(F.struct("votes", "top")).alias("best")).select("g", "comp", F.col("best.top").alias("p")))
         of_unit = classes.select("g", "k").join(of_class.select("k", "comp"), "k", "left").withColumn("comp", F.coalesce("comp", "g"))
@@ -377,14 +384,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         tops = of_unit.join(best.select(F.col("p").alias("comp")).distinct(), "comp").groupBy("comp", F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(PIVOTS)).alias("nth")).agg(F.min("k").alias("k"))
         centres = materialize(tops.select(F.col("comp").alias("p"), "k", "comp"))
         links, comps = _gathered(pairs, centres, own, classes, words, percent, links)
-        discard(placed, at_h, of_class, pairs, centres, best)
+        discard(of_class, pairs, centres, best)
 
     # 3.
     of_class, placed = _placed(classes, several, comps, live)
-    at_h = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
+    mixed = materialize(_by_shingle(placed).withColumn("salts", F.ceil(F.col("rows") / HOT).cast("int")).drop("rows"))
     discard(live)
-    at_h = materialize(at_h.where("comps > 1").select("h", F.col("top.comp").alias("top"), F.ceil(F.col("all") / HOT).cast("int").alias("salts")))
-    mixed = _by_shingle(placed, at_h)
     minor = mixed.where("comp <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}1") for c in ("g", "n", "pos", "comp")))
     other = mixed.select("h", F.pmod(F.xxhash64("g", "comp"), F.col("salts")).cast("int").alias("salt"), "g", "n", "pos", "comp", (F.col("comp") == F.col("top")).alias("major"))
     at_most = lambda n, pos: F.col(n) - F.col(pos)  # noqa: E731  shared shingles, if the one at pos is the first
@@ -393,7 +398,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     met = minor.join(other, ["h", "salt"]).where((F.col("comp") != F.col("comp1")) & once & fits(F.col("n"), F.col("n1")) & enough)
     met = met.select(F.least(F.struct("g", "comp"), F.struct(F.col("g1").alias("g"), F.col("comp1").alias("comp"))).alias("a"), F.greatest(F.struct("g", "comp"), F.struct(F.col("g1").alias("g"), F.col("comp1").alias("comp"))).alias("b")).distinct()
     met = materialize(met.select(F.col("a.g").alias("ga"), F.col("a.comp").alias("ca"), F.col("b.g").alias("gb"), F.col("b.comp").alias("cb")))
-    discard(placed, at_h)
+    discard(mixed)
     if not met.isEmpty():
         side = lambda x: groups.select(F.col("g").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"prefix{x}"))
         both = met.join(side("a"), "ga").join(side("b"), "gb")
