@@ -3,8 +3,8 @@
 The windows of the benchmark are normalised and hashed once per task into a sorted hash array with the windows behind
 it. Every training text is cut into words, all its windows are hashed with vector operations, the hashes are looked up,
 and each hit is verified word by word before it counts. The benchmark side is broadcast only while it has at most
-``max_broadcast_windows`` windows; a larger one is cut into parts under that bound, each scanned with a broadcast of its
-own, and the words hit are united per document.
+``max_broadcast_windows`` windows; a larger one is cut into parts under that bound, one after the other broadcast and
+scanned, with the words hit united per document and written between. The driver holds one part at a time.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import UPPER, materialize, read
+from quantloom.llm.shared import UPPER, materialize, read, set_aside
 
 WINDOW = 10
+#: Windows of a piece of a long item.
+PIECE = 4096
 MAX_BROADCAST_WINDOWS = 2_000_000
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a blank; other bytes belong to words.
 WORD_BYTES = bytes(
@@ -43,10 +46,10 @@ def _windows(words: list[bytes], window: int) -> Iterator[tuple[bytes, ...]]:
 class WindowIndex:
     """Hash set of windows by their number of words; bytes hash as this Python process hashes them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
         by_size: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
-            for w in set(_windows(words_of(text), window)):
+            for w in set(_windows(text.split(), window)):
                 by_size[len(w)][w].append(item)
         self.sizes = []
         for size, windows in sorted(by_size.items()):
@@ -82,18 +85,21 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     return rolled * _FACTOR
 
 
-def _parts(benchmark: DataFrame, window: int, bound: int) -> list[list[tuple[str, str]]]:
-    """The items, cut into lists of at most ``bound`` windows (an item alone may have more); read partition by partition."""
-    parts: list[list[tuple[str, str]]] = [[]]
-    held = 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null and item_id is not null").toLocalIterator():
-        n = max(1, len(words_of(text)) - window + 1)
-        if held + n > bound and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append((item, text))
-        held += n
-    return parts
+def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, text, windows): the items' words, long items in overlapping pieces of at most PIECE windows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                words = words_of(text)
+                n = max(1, len(words) - window + 1) if words else 0
+                for at in range(0, n, PIECE):
+                    rows.append((item, b" ".join(words[at : at + PIECE + window - 1]), min(PIECE, n - at)))
+            yield pd.DataFrame(rows, columns=["item", "text", "windows"])
+
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null and item is not null")
+    return named.mapInPandas(run, "item string, text binary, windows long")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
@@ -101,39 +107,50 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window is ``window`` consecutive words
     of an item, all words of a shorter one. Null and empty texts have no words; null items and items without words match
-    nothing; repeated rows and item_ids are judged row by row. An empty benchmark leaves every document clean.
+    nothing; repeated rows and item_ids are judged row by row. An empty benchmark leaves every document clean. Columns of
+    ``docs`` with the names of the added ones give way to them.
     """
-    spark = docs.sparkSession
-    found = docs
-    parts = _parts(benchmark, window, max_broadcast_windows)
-    for k, part in enumerate(parts):
-        sent = spark.sparkContext.broadcast(part)
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent, k=k) -> Iterator[pd.DataFrame]:
-            index = WindowIndex(sent.value, window)
-            for batch in batches:
-                rows = []
-                earlier = zip(batch["items"], batch["hit_runs"], strict=True) if k else ((None, None) for _ in range(len(batch)))
-                for text, (items, runs) in zip(batch["text"], earlier, strict=True):
-                    words = words_of(text)
-                    hit, names = index.hits(words)
-                    for a, b in runs if runs is not None else ():
-                        hit[a:b] = True
-                    names.update(items if items is not None else ())
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                    rows.append((len(words), int(hit.sum()), sorted(names), edges.reshape(-1, 2).tolist()))
-                out = batch.drop(columns=list(_ADDED), errors="ignore")
-                for c, values in zip(_ADDED, zip(*rows, strict=True) if rows else [[]] * len(_ADDED), strict=True):
-                    out[c] = pd.Series(values, index=out.index, dtype=None if rows else object)
-                yield out
-
-        clear = found if k else found.drop(*_ADDED)
-        added = ", ".join(f"{c} {t}" for c, t in _ADDED.items())
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clear.schema if f.name not in _ADDED)
-        found = clear.mapInPandas(scan, f"{fields}, {added}")
+    pieces = materialize(_pieces(benchmark, window))
+    windows = pieces.agg(F.sum("windows")).first()[0] or 0
+    if windows <= max_broadcast_windows:
+        return _scan(docs.drop(*_ADDED), pieces, window, False)[0]
+    # pieces are small against a part, so hashed parts of half the bound stay below it; the driver holds one part at a time
+    parts = -(-2 * windows // max_broadcast_windows)
+    found = docs.drop(*_ADDED)
+    for k in range(parts):
+        found, sent = _scan(found, pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k), window, k > 0)
+        found = materialize(found)
+        sent.destroy()
     return found
 
 
+def _scan(docs: DataFrame, pieces: DataFrame, window: int, again: bool) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with the columns of _ADDED, those of an earlier scan united if there was one (``again``); and what was broadcast."""
+    sent = docs.sparkSession.sparkContext.broadcast([(item, bytes(text)) for item, text in pieces.select("item", "text").toLocalIterator()])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = WindowIndex(sent.value, window)
+        for batch in batches:
+            rows = []
+            earlier = zip(batch["items"], batch["hit_runs"], strict=True) if again else (((), ()) for _ in range(len(batch)))
+            for text, (items, runs) in zip(batch["text"], earlier, strict=True):
+                words = words_of(text)
+                hit, names = index.hits(words)
+                for a, b in runs:
+                    hit[a:b] = True
+                names.update(items)
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+                rows.append((len(words), int(hit.sum()), sorted(names), edges.reshape(-1, 2).tolist()))
+            out = batch.drop(columns=list(_ADDED), errors="ignore")
+            for c, values in zip(_ADDED, zip(*rows, strict=True) if rows else [[]] * len(_ADDED), strict=True):
+                out[c] = pd.Series(values, index=out.index, dtype=None if rows else object)
+            yield out
+
+    added = ", ".join(f"{c} {t}" for c, t in _ADDED.items())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in _ADDED)
+    return docs.mapInPandas(scan, f"{fields}, {added}"), sent
+
+
 _ADDED = {"n_words": "long", "n_hit": "long", "items": "array<string>", "hit_runs": "array<array<int>>"}
 
 
@@ -149,16 +166,18 @@ def remove_spans(text: str, runs: list[list[int]]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "drop", **options) -> DataFrame:
-    """``docs``, all columns, without contaminated documents (``drop``) or without the passages found (``spans``)."""
-    found = find_contamination(docs, benchmark, **options)
+    """``docs``, all columns under any names, without contaminated documents (``drop``) or without the passages found (``spans``).
+    Null and empty texts stay; rows are judged one by one, null and repeated doc_ids too."""
+    own, back = set_aside(docs, "text")
+    found = find_contamination(own, benchmark, **options)
     if mode == "drop":
-        return found.where("n_hit = 0").select(*docs.columns)
+        return found.where("n_hit = 0").select(*back)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([remove_spans(t, r) if t is not None and len(r) else t for t, r in zip(text, runs, strict=True)])
 
-    return found.withColumn("text", cut("text", "hit_runs")).select(*docs.columns)
+    return found.withColumn("text", cut("text", "hit_runs")).select(*back)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

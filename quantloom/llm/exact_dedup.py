@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import ascii_lower, materialize, read
+from quantloom.llm.shared import ascii_lower, materialize, read, set_aside
 
 SUPPORT = 0.001
+#: Pairs (about 100 bytes each) that are broadcast to drop rows.
+BROADCAST_ROWS = 500_000
 
 
 def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -43,17 +45,24 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``docs``, all columns, without the rows that exact_dedup() does not keep. Rows equal in doc_id and text stay once."""
+    """``docs``, all columns, without the rows that exact_dedup() does not keep. Rows equal in doc_id and text stay once.
+
+    Extra columns may have any name. Null and empty texts are equal; null doc_ids go before all others; an empty table stays
+    empty. Texts are not shuffled while the (doc_id, digest) pairs that go are no more than BROADCAST_ROWS; beyond that, they
+    are joined by these pairs, which are all different, so no key is hot.
+    """
     found = materialize(exact_dedup(docs, support))
-    key = docs.withColumn("_sha", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_again")).distinct()
-    same = key["doc_id"].eqNullSafe(F.col("_id")) & (key["_sha"] == F.col("_digest"))
-    left = key.join(gone.where(~F.col("_again")), same, "left_anti")
-    again = gone.where(F.col("_again"))
-    if not again.isEmpty():
-        once = left.join(again, left["doc_id"].eqNullSafe(F.col("_id")) & (left["_sha"] == F.col("_digest")), "left_semi").dropDuplicates(["doc_id", "_sha"])
-        left = left.join(again, left["doc_id"].eqNullSafe(F.col("_id")) & (left["_sha"] == F.col("_digest")), "left_anti").unionByName(once)
-    return left.drop("_sha")
+    pairs = found.groupBy(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_digest")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("times"))
+    pairs = materialize(pairs.where("not stays or times > 1"))
+    side = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda table: table
+    own, back = set_aside(docs, "doc_id", "text")
+    own = own.withColumn("digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
+    same = own["doc_id"].eqNullSafe(F.col("gone_id")) & (own["digest"] == F.col("gone_digest"))
+    again = pairs.where("stays")
+    if again.isEmpty():
+        return own.join(side(pairs), same, "left_anti").select(*back)
+    once = own.join(side(again), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return own.join(side(pairs), same, "left_anti").unionByName(once).select(*back)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

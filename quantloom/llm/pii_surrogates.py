@@ -22,9 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import materialize, read
+from quantloom.llm.shared import materialize, read, set_aside
 
-SECRET = "change-me"
+#: The key of surrogates is in the session's setting of this name; without it, runs share the value below, which protects nothing.
+SECRET_SETTING, SECRET = "quantloom.pii.secret", "change-me"
 MOST_ATTEMPTS = 64
 #: Titles by gender.
 TITLES = {"m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа"], "n": ["Dr", "Prof"]}
@@ -210,13 +211,15 @@ def render(surface: Column, of: Column, secret: str) -> Column:
     return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ipv4", value).when(kind == "iban", pour("A-Z0-9")).otherwise(pour("0-9"))
 
 
-def replace_pii(docs: DataFrame, secret: str = SECRET) -> DataFrame:
+def replace_pii(docs: DataFrame, secret: str | None = None) -> DataFrame:
     """``docs``, all columns, with replaced entities in ``text`` and their number in ``n_entities``.
 
     Null and empty texts and texts without entities stay as they are, with 0 entities. Repeated rows stay repeated. A
-    column of docs named n_entities is replaced.
+    column of docs named n_entities is replaced; other extra columns may have any name.
     """
-    docs = docs.drop("n_entities")
+    secret = secret or docs.sparkSession.conf.get(SECRET_SETTING, SECRET)
+    docs, back = set_aside(docs.drop("n_entities"), "text")
+    back.append(F.col("n_entities"))
     surfaces = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     # cheap tests that every detected string passes, so most texts never meet the patterns
     may = F.coalesce(reduce(lambda rest, t: rest | F.contains(F.col("text"), F.lit(t)), [t for names in TITLES.values() for t in names], F.contains(F.col("text"), F.lit("@")) | F.col("text").rlike("[0-9][ .-]?[0-9]")), F.lit(False))
@@ -238,7 +241,7 @@ def replace_pii(docs: DataFrame, secret: str = SECRET) -> DataFrame:
     found = F.size("_rendered") + F.aggregate("_pieces", F.lit(0), lambda n, p: n + p["n"])
     changed = hit.withColumn("n_entities", found.cast("long")).withColumn("text", text)
     same = own.where("_set is null").withColumn("n_entities", F.lit(0).cast("long"))
-    return same.select(*docs.columns, "n_entities").unionByName(changed.select(*docs.columns, "n_entities"))
+    return same.select(*back).unionByName(changed.select(*back))
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

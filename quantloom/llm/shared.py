@@ -51,6 +51,14 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with generated names for all columns but those ``used``, so that none is named like an operator's own columns;
+    and what selects all columns under their names again."""
+    mark = f"own_{uuid.uuid4().hex}"
+    names = {c: c if c.lower() in used else f"{mark}_{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(names), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take lower(), which has a fast path with the same result."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

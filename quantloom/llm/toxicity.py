@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import UPPER, materialize, read
+from quantloom.llm.shared import UPPER, materialize, read, set_aside
 
 #: At most about this many labelled rows train the lexicon, the trees and the calibration.
 MAX_TRAINING_ROWS = 20_000
@@ -157,9 +157,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = REJECT_AT) -> DataFrame:
-    """``docs``, all columns, without the documents that score ``threshold`` or more."""
-    scored = fit_toxicity(docs, labels).score(docs, "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    """``docs``, all columns under any names, without the documents that score ``threshold`` or more. Null and empty texts have a
+    score too. Without labels of both kinds every document has the share of toxic labels as its score (none: 0, all stay).
+    """
+    own, back = set_aside(docs, "doc_id", "text")
+    return fit_toxicity(own, labels).score(own, "score").where(F.col("score") < threshold).select(*back)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

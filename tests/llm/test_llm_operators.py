@@ -408,3 +408,49 @@ def test_pitman_yor_keeps_all_spelling_restaurants(spark):
     got = {bytes(r.word): r.p for r in table.where("c = 0").collect()}
     new = (1 + 0.95 * len(known)) / (1 + len(known))
     assert [got[w] for w in asked] == pytest.approx([new * written(w) for w in asked], rel=1e-6)
+
+
+CLASHING = ["_id", "_sha", "_digest", "digest", "gone_id", "_of", "_keys", "_set", "_gone", "n_words", "n_hit", "items", "hit_runs", "_toxicity", "features", "keep", "stays"]
+
+
+def test_columns_named_like_those_of_the_operators(spark, corpus):
+    rows = [(i, t, *[f"{c}{i}" for c in CLASHING]) for i, t in [*corpus, corpus[0], (None, None), (None, "Mr John Smith, old house"), (None, "alone"), (None, "alone")]]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in CLASHING)]))
+    bench = spark.createDataFrame([(1, "old house")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(100)], "doc_id long, quality int, toxic int")
+    made = {
+        "copies": exact_dedup.drop_copies(docs),
+        "near": jaccard_join.drop_near_copies(docs),
+        "drop": decontamination.decontaminate(docs, bench),
+        "spans": decontamination.decontaminate(docs, bench, mode="spans"),
+        "toxic": toxicity.reject_toxic(docs, labels),
+        "pii": pii_surrogates.replace_pii(docs),
+    }
+    for name, got in made.items():
+        assert [c for c in got.columns if c != "n_entities"] == docs.columns, name
+        found = got.collect()
+        assert found, name
+        for r in found:
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHING), name
+    for empty in (docs.limit(0), docs.where("text is null")):
+        assert exact_dedup.drop_copies(empty).count() == min(1, empty.count())
+        assert decontamination.decontaminate(empty, bench.limit(0)).count() == empty.count()
+        assert toxicity.reject_toxic(empty, labels.limit(0)).count() == empty.count()
+        assert pii_surrogates.replace_pii(empty).count() == empty.count()
+
+
+def test_copies_beyond_the_broadcast(spark, corpus, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    rows = [*corpus, corpus[0], (None, "alone"), (None, "alone"), (7, "other text of seven")]
+    kept = exact_dedup.drop_copies(frame(spark, rows))
+    assert sorted(lower(r.text) for r in kept.collect()) == sorted({lower(t) for _, t in rows})
+
+
+def test_long_benchmark_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 4)
+    item = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([("long", " ".join(item)), ("short", "w3 w4")], "item_id string, text string")
+    rows = [(i, " ".join(["x", *item[i : i + 12], "y"])) for i in range(28)] + [(50, " ".join(item[5:14]))]
+    for bound in (1000, 12):
+        got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontamination.find_contamination(frame(spark, rows), bench, max_broadcast_windows=bound).collect()}
+        assert got == {i: contaminated_by_hand(t, [("long", " ".join(item)), ("short", "w3 w4")])[1:] for i, t in rows}

@@ -46,6 +46,19 @@ def test_near_copies_from_four_fifths(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join_stage(spark, docs, "").collect()) == [0, 2, 4, 6, 7]
 
 
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_hit string, _sha string, ids string"
+    rows = [(1, None, "en", "s", None, "a", "b", "c"), (2, "", None, None, 0, "a", "b", "c"), (None, "a b c d e f", "en", "s", 11, None, None, None)]
+    rows += [(4, "Q1 q2 " * 9, "en", "s", 1, "a", "b", "c")] * 2 + [(5, "only one row", "en", "s", 1, "a", "b", "c")]
+    for name, docs, items in [("odd", rows, [(1, " ".join(f"q{i}" for i in range(30))), (2, None), (None, "only one row")]), ("none", [], [])]:
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(None, 1, 1), (1, 1, None)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, at).collect()
+        assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in got) == ([(0, True), (2, False), (4, True), (5, True)] if docs else [])
+
+
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in entry.QUERIES] == list(range(1, 11))
     assert set(entry.ORACLE_SQL) <= set(entry.QUERIES)
