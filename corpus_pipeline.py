@@ -12,25 +12,28 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go; null and empty texts are scored too, and without labels all stay."""
     return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z the row with the largest doc_id stays; null and empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (80 % of the runs of five words alike) the document with the smallest doc_id stays."""
+    """Of each group of near copies (80 % of the runs of five words alike) the document with the smallest doc_id stays.
+    Texts without words stay; so do all rows of a doc_id of which one is kept."""
     return jaccard_join.drop_near_copies(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; texts without words stay, and with an empty benchmark all."""
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), mode="drop")
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids and digests, with doc_id, lang and source. Null texts give no ids; every row stays."""
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
