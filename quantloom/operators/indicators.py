@@ -162,22 +162,26 @@ def true_range_atr(bars: DataFrame, n: int = 14, limit: float = 0.1) -> DataFram
     return bars.withColumn("atr", rolling_mean("_tr", n)).drop("_tr")
 
 
-def poc(bars: DataFrame, n: int = 30, bins: int = 49, newest: int = 60) -> DataFrame:
-    """Middle of the price bin with the most volume over the last ``n`` bars, of equal bins the lowest.
-
-    A bar's volume lies at its core price. Only the ``newest`` bars of a symbol with a full window are computed.
-    """
+def poc(bars: DataFrame, n: int = 30, bins: int = 49) -> DataFrame:
+    """Middle of the price bin with the most volume over the last ``n`` bars, of equal bins the lowest; bars without a full
+    window are left out. A bar's volume lies at its core price."""
     frame = F.collect_list(F.struct(core_price().alias("p"), F.col("volume").alias("v"))).over(last(n))
-    left = F.row_number().over(whole().orderBy(F.col("dt").desc()))
-    rows = bars.withColumns({"_left": left, "_frame": frame}).where((F.col("_left") <= newest) & (F.size("_frame") == n))
+    rows = bars.withColumn("_frame", frame).where(F.size("_frame") == n)
     low, high = F.array_min(F.col("_frame.p")), F.array_max(F.col("_frame.p"))
     rows = rows.withColumns({"_low": low, "_step": (high - low) / bins})
-    place = lambda x: F.least(F.floor(ratio(x["p"] - F.col("_low"), F.col("_step"))), F.lit(bins - 1))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.aggregate(F.filter("_frame", lambda x: place(x) == b), F.lit(0.0), lambda a, x: a + x["v"]))
-    rows = rows.withColumn("_sums", sums)
-    best = F.array_position("_sums", F.array_max("_sums")) - 1
+    place = lambda x: F.coalesce(F.least(F.floor(ratio(x["p"] - F.col("_low"), F.col("_step"))), F.lit(bins - 1)), F.lit(0)).cast("long")
+    by_bin = F.array_sort(F.transform("_frame", lambda x, i: F.struct(place(x).alias("bin"), i.alias("i"), x["v"].alias("v"))))
+    # volumes are not negative, so the largest running sum within the bins is that of the fullest bin
+    start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("best"), F.lit(-1.0).alias("top"))
+
+    def step(state: Column, x: Column) -> Column:
+        total = F.when(x["bin"] == state["bin"], state["sum"] + x["v"]).otherwise(x["v"].cast("double"))
+        better = total > state["top"]
+        return F.struct(x["bin"].alias("bin"), total.alias("sum"), F.when(better, x["bin"]).otherwise(state["best"]).alias("best"), F.when(better, total).otherwise(state["top"]).alias("top"))
+
+    best = F.aggregate(by_bin, start, step)["best"]
     value = F.when(F.col("_step") == 0, F.col("_low")).otherwise(F.col("_low") + (best + 0.5) * F.col("_step"))
-    return rows.withColumn("poc", value).drop("_left", "_frame", "_low", "_step", "_sums")
+    return rows.withColumn("poc", value).drop("_frame", "_low", "_step")
 
 
 def core_price() -> Column:

@@ -104,6 +104,36 @@ def bearish_engulfing() -> Column:
     return y.up & t.down & (t.open >= y.close - EPS) & (t.close <= y.open + EPS)
 
 
+def gap_two_up_one_down() -> Column:
+    """Two up, one down behind a gap that the down bar does not close."""
+    before, a, b, c = Bar(3), Bar(2), Bar(1), Bar()
+    return a.up & b.down & c.up & (a.low > before.high + EPS) & (c.close > a.close) & (c.body >= b.body) & (b.low >= before.high - EPS)
+
+
+def two_down_between() -> Column:
+    a, b, c, d = Bar(3), Bar(2), Bar(1), Bar()
+    return a.up & b.down & c.down & d.up & (d.close > a.close) & (F.least(b.low, c.low) >= a.open - a.body * 0.5) & (a.volume > 0)
+
+
+def stacked(ups: int = 3) -> Column:
+    """``ups`` up bars with rising closes, a down bar between each two."""
+    bars = [Bar(k) for k in reversed(range(2 * ups - 1))]
+    found = bars[0].up
+    for before, down, up in zip(bars[::2], bars[1::2], bars[2::2], strict=False):
+        found = found & down.down & up.up & (up.close > before.close + EPS)
+    return found
+
+
+def gathering() -> Column:
+    """Two small quiet bars in the upper part of a strong up bar, on the newest bar only; the next bar decides."""
+    a, b, c = Bar(2), Bar(1), Bar()
+    usual = F.avg("volume").over(series().rowsBetween(-7, -3))
+    strong = (a.body >= F.greatest(mean_body(10, 3), F.lit(EPS)) * 1.3) & (ratio(a.volume, usual) >= 1.2)
+    quiet = (F.greatest(b.body, c.body) <= a.body * 0.5) & (F.greatest(b.volume, c.volume) <= a.volume * 0.85)
+    holds = (F.least(b.close, c.close) >= a.open + a.body * 0.3) & (F.least(b.low, c.low) >= a.low - a.range * 0.1)
+    return F.lead(F.lit(1)).over(series()).isNull() & a.up & strong & quiet & holds
+
+
 #: code -> (detector, direction, bars needed)
 DETECTORS: dict[str, tuple[Callable[[], Column], str, int]] = {
     "duofangpao": (two_up_one_down, "bull", 3),
@@ -116,6 +146,10 @@ DETECTORS: dict[str, tuple[Callable[[], Column], str, int]] = {
     "chuitouxian": (hammer, "bull", 6),
     "kanzhangtunmo": (bullish_engulfing, "bull", 2),
     "kandietunmo": (bearish_engulfing, "bear", 2),
+    "gap_duofangpao": (gap_two_up_one_down, "bull", 6),
+    "liangyang_liangyin": (two_down_between, "bull", 5),
+    "diedie_duofangpao": (stacked, "bull", 7),
+    "duofangpao_pending": (gathering, "neutral", 8),
 }
 
 
@@ -135,6 +169,53 @@ def newest_hits(bars: DataFrame, lookback: int = 30, keep: int = 3, codes: list[
     return stacked.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("symbol", "hit.code", "hit.direction", "dt")
 
 
+def combo_details(bars: DataFrame) -> DataFrame:
+    """What to watch behind the last four codes; NULL where the code did not hit. Bars need candle_flags().
+
+    The gap and whether later bars kept it (nothing later: so far); volume of the two down bars against the first; groups, whether
+    their lows rise, and the gain of a stack; the close that confirms a gathering and the one that ends it.
+    """
+    later = series().rowsBetween(1, Window.unboundedFollowing)
+    hit = lambda code, value: F.when(F.col(code), value)
+    gap, rest, stack, wait = "gap_duofangpao", "liangyang_liangyin", "diedie_duofangpao", "duofangpao_pending"
+    support = F.least(Bar(1).low, Bar().low, F.min("low").over(later))
+    seven = F.coalesce(stacked(4) & (F.col("rn") >= 7), F.lit(False))
+    rest_ratio = (Bar(2).volume + Bar(1).volume) / 2 / Bar(3).volume
+    rise = (Bar(1).low > Bar(3).low + EPS) & (~seven | (Bar(3).low > Bar(5).low + EPS))
+    return bars.withColumns(
+        {
+            "gap_low": hit(gap, Bar(3).high), "gap_pct": hit(gap, F.round((Bar(2).low / Bar(3).high - 1) * 100, 2)), "gap_support": hit(gap, support),
+            "gap_held": hit(gap, support >= Bar(3).high - EPS), "gap_later": hit(gap, F.count(F.lit(1)).over(later)),
+            "rest_ratio": hit(rest, F.round(rest_ratio, 2)), "rest_shrinks": hit(rest, rest_ratio <= 0.85),
+            "stack_groups": hit(stack, F.when(seven, 3).otherwise(2)), "stack_rises": hit(stack, rise),
+            "stack_gain": hit(stack, F.round((F.col("close") / F.when(seven, Bar(6).close).otherwise(Bar(4).close) - 1) * 100, 2)),
+            "confirm_at": hit(wait, F.greatest(Bar(2).high, Bar(1).high, Bar().high)), "fail_at": hit(wait, Bar(2).open),
+        }
+    )
+
+
+def hit_summaries(hits: DataFrame, limit: int = 3) -> DataFrame:
+    """symbol, n_hits, direction (of the newest hit), summary: the newest hit of each code, the newest ``limit`` codes as text.
+    Hits of one day stand in the order of the registry; a group has no more rows than there are codes."""
+    place = F.array_position(F.array(*map(F.lit, DETECTORS)), F.col("code"))
+    newest = hits.groupBy("symbol", "code", "direction").agg(F.max("dt").alias("dt"), F.count(F.lit(1)).alias("n"))
+    entry = F.struct((-F.unix_date("dt")).alias("age"), place.alias("place"), F.concat(F.col("code"), F.lit("("), F.date_format("dt", "MM-dd"), F.lit(" "), F.col("direction"), F.lit(")")).alias("text"), "direction")
+    grouped = newest.groupBy("symbol").agg(F.sum("n").alias("n_hits"), F.sort_array(F.collect_list(entry)).alias("_all"))
+    return grouped.select("symbol", "n_hits", F.col("_all")[0]["direction"].alias("direction"), F.array_join(F.slice(F.col("_all.text"), 1, limit), ", ").alias("summary"))
+
+
+def candle_result(days: DataFrame, weeks: DataFrame | None = None, lookback: int = 60, keep: int = 3, codes: list[str] | None = None) -> DataFrame:
+    """Per symbol of ``days`` the summaries of both periods, all hits, and the direction of the newest daily hit, else weekly one.
+    Without ``weeks`` that period is off; '-' where nothing hit."""
+    found = days.select("symbol").distinct()
+    for name, bars in (("daily", days), ("weekly", weeks if weeks is not None else days.limit(0))):
+        part = hit_summaries(newest_hits(bars, lookback, keep, codes))
+        found = found.join(part.select("symbol", *(F.col(c).alias(f"{c}_{name}") for c in ("n_hits", "direction", "summary"))), "symbol", "left")
+    dash = F.lit("-")
+    hits = F.coalesce("n_hits_daily", F.lit(0)) + F.coalesce("n_hits_weekly", F.lit(0))
+    return found.select("symbol", hits.cast("long").alias("n_hits"), F.coalesce("direction_daily", "direction_weekly", dash).alias("direction"), *(F.coalesce(f"summary_{p}", dash).alias(f"summary_{p}") for p in ("daily", "weekly")))
+
+
 def strong_engulfing(bars: DataFrame) -> DataFrame:
     """Engulfing with its grade: ``strong`` if volume is half as much again and the close is low or above its mean of five."""
     y, t = Bar(1), Bar()

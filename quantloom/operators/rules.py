@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import before, lag, last, ratio, so_far
@@ -46,6 +46,51 @@ def break_and_return(bars: DataFrame, lookback: int = 5) -> DataFrame:
     return bars.withColumns({"days_since_break": back, "po5_fan5": known_true((back <= 2) & (slope > 0))}).drop("_rn")
 
 
+def main_wave_signal(bars: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """``main_wave`` on bars with yearline_pass and po5_fan5: the year line passed, the symbol's week anchored (``anchors``: symbol,
+    anchored; passed over without such a frame, false without a row), and the close above ma5 or just returned to it."""
+    if anchors is None:
+        bars = bars.withColumn("anchored", F.lit(True))
+    else:
+        bars = bars.drop("anchored").join(anchors.select("symbol", "anchored"), "symbol", "left").withColumn("anchored", known_true(F.col("anchored")))
+    over5 = known_true(F.col("close") > F.col("ma5"))
+    return bars.withColumns({"over_ma5": over5, "main_wave": F.col("yearline_pass") & F.col("anchored") & (over5 | F.col("po5_fan5"))})
+
+
+def technical_detail(bars: DataFrame) -> DataFrame:
+    """The return above ma5 on volume, the band of the mean turnover of up to 20 bars, and whether turnover falls within them.
+
+    A mean of 0 or none at all is missing, not dense.
+    """
+    returned = (lag("close") < lag("ma5")) & (F.col("close") > F.col("ma5")) & (F.col("volume_ratio") > 1.5)
+    bars = bars.withColumns({"returned_to_ma5": known_true(returned), "_turns": F.collect_list(F.struct("turn")).over(last(20))})
+
+    def mean(rows: Column) -> Column:
+        known = F.filter(rows, lambda x: x["turn"].isNotNull())
+        return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x["turn"]), F.size(known))
+
+    level = mean(F.col("_turns"))
+    band = F.when(level.isNull() | (level <= 0), "missing").when(level < 2, "dense").when(level < 5, "fairly dense").when(level < 10, "loose").otherwise("very loose")
+    late, early = mean(F.slice("_turns", -10, 10)), mean(F.slice("_turns", 1, 10))
+    known = (level > 0) & (F.size("_turns") >= 10) & late.isNotNull() & early.isNotNull()
+    trend = F.when(~known_true(known), "unknown").when(late < early, "gathering").otherwise("spreading")
+    return bars.withColumns({"chip_turn": F.when(level > 0, level), "chip_band": band, "chip_trend": trend}).drop("_turns")
+
+
+def breakout_quality(bars: DataFrame, lookback: int = 60, near: float = 1.02, support: float = 0.985) -> DataFrame:
+    """Per symbol of platform() bars the newest breakout of the last ``lookback`` bars, its upper band and what became of it:
+    none, false (a later close under ``support`` of the band), pullback (a later close at most ``near`` of it), direct."""
+    order = F.struct("dt")
+    ranked = bars.withColumn("_left", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("dt"))))
+    marks = F.when((F.col("_left") <= lookback) & F.col("breakout"), F.struct("dt", "upper"))
+    ranked = ranked.withColumn("_at", F.max(marks).over(Window.partitionBy("symbol")))
+    after = F.when(F.col("dt") > F.col("_at.dt"), F.col("close"))
+    made = ranked.groupBy("symbol").agg(F.max("_at").alias("_at"), F.min(after).alias("least_after"), F.max(order).alias("_last"))
+    level = F.col("_at.upper")
+    quality = F.when(F.col("_at").isNull(), "none").when(F.col("least_after") < level * support, "false").when(F.col("least_after") <= level * near, "pullback").otherwise("direct")
+    return made.select("symbol", F.col("_last.dt").alias("dt"), F.col("_at.dt").alias("breakout_dt"), level.alias("support"), "least_after", quality.alias("quality"))
+
+
 def main_wave_state(bars: DataFrame) -> DataFrame:
     """holding, refuel, strong or watch."""
     over5 = known_true(F.col("close") > F.col("ma5"))

@@ -142,9 +142,9 @@ t1 AS (SELECT *, CASE WHEN at_limit THEN avg(tr) OVER (w ROWS BETWEEN 13 PRECEDI
 _columns("w21_adaptive_atr", ind.true_range_atr, {"tr": "tr", "at_limit": "at_limit", "atr": r6(sql.mean("tr2", 14))}, (IND, _TR), "t1", needs_ma=False)
 
 _POC = f"""p0 AS (SELECT *, low + (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) * (high - low) AS p,
-  row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS lft, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM bars),
+  row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM bars),
 p1 AS (SELECT a.symbol, a.dt, b.p, b.volume AS v, min(b.p) OVER k AS lo, (max(b.p) OVER k - min(b.p) OVER k) / 49 AS st
-  FROM p0 a JOIN p0 b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn WHERE a.lft <= 60 AND a.rn >= 30 WINDOW k AS (PARTITION BY a.symbol, a.dt)),
+  FROM p0 a JOIN p0 b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 29 AND a.rn WHERE a.rn >= 30 WINDOW k AS (PARTITION BY a.symbol, a.dt)),
 p2 AS (SELECT symbol, dt, lo, st, least(floor((p - lo) / st), 48) AS bin, sum(v) AS v FROM p1 GROUP BY ALL),
 poc AS (SELECT symbol, dt, arg_max(lo + (bin + 0.5::DOUBLE) * st, ROW(v, -bin)) AS poc FROM p2 GROUP BY 1, 2)"""
 
@@ -437,9 +437,10 @@ _BODY, _RANGE = "abs(close - open)", "(high - low)"
 _UP, _DN = "greatest(high - greatest(open, close), 0)", "greatest(least(open, close) - low, 0)"
 _KB = f"""kb AS (SELECT *, close > open + {_E} AS yang, close < open - {_E} AS yin, {_BODY} AS body, {_RANGE} AS amp, {_UP} AS us, {_DN} AS ds, (open + close) / 2 AS mid,
   CASE WHEN rn > 20 THEN (close / lag(close, 20) OVER w - 1) * 100 ELSE 0 END AS c20, min(low) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS lo60, max(high) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS hi60,
-  CASE WHEN rn >= 12 THEN avg({_BODY}) OVER (w ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) ELSE 0 END AS ref FROM ind {W}),
+  CASE WHEN rn >= 12 THEN avg({_BODY}) OVER (w ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) ELSE 0 END AS ref, CASE WHEN rn >= 13 THEN avg({_BODY}) OVER (w ROWS BETWEEN 12 PRECEDING AND 3 PRECEDING) ELSE 0 END AS ref3,
+  avg(volume) OVER (w ROWS BETWEEN 7 PRECEDING AND 3 PRECEDING) AS vol3, lead(dt) OVER w IS NULL AS newest, min(low) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later_low, count(*) OVER (PARTITION BY symbol) - rn AS later FROM ind {W}),
 kl AS (SELECT *, CASE WHEN hi60 - lo60 <= {_E} THEN 0.5 ELSE (close - lo60) / (hi60 - lo60) END AS pos,
-  {", ".join(f"lag({c}, {k}) OVER w AS {c}_{k}" for c in ("open", "close", "low", "body", "volume", "yang", "yin", "mid") for k in (1, 2))} FROM kb {W})"""
+  {", ".join(f"lag({c}, {k}) OVER w AS {c}_{k}" for c in ("open", "close", "high", "low", "body", "amp", "volume", "yang", "yin", "mid") for k in range(1, 7))} FROM kb {W})"""
 _LONG = "(us >= 2 * body AND us >= 0.55 * amp AND body <= 0.35 * amp AND ds <= us * 0.35 + 1e-9)"
 _K10 = {
     "duofangpao": "rn >= 3 AND yang_2 AND yin_1 AND yang AND close > close_2 AND body >= body_1 AND low_1 >= open_2 - body_2 * 0.5 AND volume / volume_1 >= 1",
@@ -452,6 +453,10 @@ _K10 = {
     "chuitouxian": "rn >= 6 AND ds >= 2 * body AND ds >= 0.55 * amp AND body <= 0.35 * amp AND us <= ds * 0.35 + 1e-9 AND (close < ma5 OR pos <= 0.25)",
     "kanzhangtunmo": "rn >= 2 AND yin_1 AND yang AND open <= close_1 + 1e-9 AND close >= open_1 - 1e-9",
     "kandietunmo": "rn >= 2 AND yang_1 AND yin AND open >= close_1 - 1e-9 AND close <= open_1 + 1e-9",
+    "gap_duofangpao": "rn >= 6 AND yang_2 AND yin_1 AND yang AND low_2 > high_3 + 1e-9 AND close > close_2 AND body >= body_1 AND low_1 >= high_3 - 1e-9",
+    "liangyang_liangyin": "rn >= 5 AND yang_3 AND yin_2 AND yin_1 AND yang AND close > close_3 AND least(low_2, low_1) >= open_3 - body_3 * 0.5 AND volume_3 > 0",
+    "diedie_duofangpao": "rn >= 7 AND yang_4 AND yin_3 AND yang_2 AND yin_1 AND yang AND close_2 > close_4 + 1e-9 AND close > close_2 + 1e-9",
+    "duofangpao_pending": "rn >= 8 AND newest AND yang_2 AND body_2 >= greatest(ref3, 1e-9) * 1.3 AND volume_2 / vol3 >= 1.2 AND greatest(body_1, body) <= body_2 * 0.5 AND greatest(volume_1, volume) <= volume_2 * 0.85 AND least(close_1, close) >= open_2 + body_2 * 0.3 AND least(low_1, low) >= low_2 - amp_2 * 0.1",
 }
 _columns("k10_candlesticks", lambda b: patterns.candle_flags(b), {c: f"coalesce({e}, false)" for c, e in _K10.items()}, (IND, _KB), "kl", needs_ma=False)
 _HITS = "UNION ALL ".join(f"SELECT symbol, dt, rn, '{c}' AS code, '{patterns.DETECTORS[c][1]}' AS direction FROM kl WHERE {e} " for c, e in _K10.items())
