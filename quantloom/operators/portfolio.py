@@ -27,6 +27,11 @@ def correlations(returns: DataFrame, least: int = 20) -> DataFrame:
     return made.select("a", "b", "n_common", value.alias("rho"), (~known).alias("assumed"))
 
 
+def closest_pairs(rho: DataFrame, top: int = 5) -> DataFrame:
+    """The ``top`` pairs with the highest known correlation, equal ones by name."""
+    return rho.where("not assumed").orderBy(F.desc("rho"), "a", "b").limit(top)
+
+
 def position_sizes(entries: DataFrame, equity: float = 1e6, risk: float = 0.01, most: float = 0.2, lot: int = 100) -> DataFrame:
     """Shares by equity * risk / (entry - stop), in whole lots, at most ``most`` of the equity; reason where it is none."""
     gap = F.col("entry") - F.col("stop")

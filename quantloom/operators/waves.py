@@ -140,6 +140,35 @@ def rules_and_verdict(waves: DataFrame, positions: DataFrame, strict: bool = Fal
     return rows.withColumn("verdict", verdict)
 
 
+STEPS = ["market allows", "candidate", "first wave", "second wave", "quiet and stable", "break", "rules kept", "stop set", "hold", "take profit"]
+
+
+def ten_steps(verdicts: DataFrame, positions: DataFrame) -> DataFrame:
+    """``verdicts`` (rules_and_verdict) with the ten flags of the plan, the step that a symbol stands at and its name.
+
+    Step 10 once an exhausted trend follows a break, 9 while a break keeps the rules, else the first open one of the first eight
+    (1 if none is). Without a month the candidate flag is off.
+    """
+    rows = verdicts.join(positions.select("symbol", F.col("month_direction").alias("_month")), "symbol", "left")
+    stop_ok = F.coalesce((F.col("stop") > 0) & (F.col("entry") > F.col("stop")), F.lit(False))
+    broke, spent = F.col("breakout"), F.col("breakout") & F.col("exhausted")
+    flags = [
+        F.coalesce("trend_ok", F.lit(False)), F.col("wave1_ok") & F.coalesce(F.col("_month") != -1, F.lit(False)), F.col("wave1_ok"), F.col("wave2_ok"),
+        F.col("shrinks") & F.col("stable"), broke, broke & (F.size("failed_hard") == 0), stop_ok, broke & ~spent, spent,
+    ]
+    rows = rows.withColumn("flags", F.array(*flags))
+    at = F.array_position(F.slice("flags", 1, 8), F.lit(False)).cast("int")
+    step = F.when(F.col("flags")[9], 10).when(F.col("flags")[5] & F.col("flags")[6], 9).otherwise(F.greatest(at, F.lit(1)))
+    rows = rows.withColumn("step", step).drop("_month")
+    return rows.withColumn("step_name", F.element_at(F.array(*map(F.lit, STEPS)), F.col("step")))
+
+
+def reached(steps: DataFrame, least: int = 1) -> DataFrame:
+    """Rows of ten_steps() at step ``least`` or further, with the furthest step of all rows."""
+    furthest = steps.agg(F.max("step").alias("furthest"))
+    return steps.join(F.broadcast(furthest)).where(F.col("step") >= least)
+
+
 def stage(bars: DataFrame) -> DataFrame:
     """Distribution, shakeout, rally, accumulation or consolidation on every date, from changes, volume trend, range and place."""
     change = lambda n: ratio(F.col("close") - lag("close", n), F.abs(lag("close", n)))
