@@ -115,6 +115,18 @@ def held_flags(events: DataFrame, watchlist: DataFrame) -> DataFrame:
     return events.join(held, "symbol", "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
+def annotate_alerts(alerts: DataFrame, watchlist: DataFrame, weeks: DataFrame) -> DataFrame:
+    """``alerts`` (symbol, dt, now) with held, and above_5w: for golden ones, whether the symbol's newest weekly close is above the
+    mean of its last five; false for others, fewer weeks and none. Weeks are needed of the alerts' symbols only."""
+    golden = alerts.where("now = 'golden'").select("symbol").distinct()
+    place = Window.partitionBy("symbol").orderBy(F.desc("dt"))
+    newest = weeks.select("symbol", "dt", "close").join(golden, "symbol", "left_semi").withColumn("place", F.row_number().over(place)).where("place <= 5")
+    means = newest.groupBy("symbol").agg((F.max(F.when(F.col("place") == 1, F.col("close"))) > F.avg("close")).alias("above"), F.count("close").alias("n"))
+    above = means.select("symbol", (F.col("above") & (F.col("n") == 5)).alias("above_5w"))
+    found = held_flags(alerts, watchlist).join(above, "symbol", "left")
+    return found.withColumn("above_5w", F.coalesce((F.col("now") == "golden") & F.col("above_5w"), F.lit(False)))
+
+
 def fill_turnover(bars: DataFrame, outside: DataFrame) -> DataFrame:
     """``bars`` whose unknown or derived turn is replaced from ``outside`` (symbol, dt, turn); a feed's own turn stays."""
     open_ = F.col("turn").isNull() | F.coalesce(F.col("turn_source").isin("derived"), F.lit(True))

@@ -221,3 +221,45 @@ def derived_turnover(volume: Column, float_shares: Column) -> Column:
     """Percent of the float that changed hands, four decimals; NULL outside 0 to 80."""
     t = F.round(ratio(volume * 100, float_shares), 4)
     return F.when((t > 0) & (t < 80), t)
+
+
+def three_resonance(rows: DataFrame) -> DataFrame:
+    """``rows`` (newest bars with all legs) with the loose stock leg, the market's leg, and three_resonance: the strict stock leg with
+    sector and market. The loose leg is for show only."""
+    loose = known_true(F.col("arrangement") == 1) | known_true(F.col("close") > F.col("ma20"))
+    market = known_true(F.col("market_trend") == "up")
+    rows = rows.withColumns({"stock_loose": loose, "market_up": market})
+    return rows.withColumn("three_resonance", F.col("yearline_pass") & F.col("stock_loose") & known_true(F.col("sector_up")) & F.col("market_up"))
+
+
+def nested_result(rows: DataFrame) -> DataFrame:
+    """One row per symbol as a scan stores it: symbol, dt and the structs stock, market, sector, capital, resonance. Readers that
+    select single fields read only these from Parquet."""
+    return three_resonance(rows).select(
+        "symbol", "dt",
+        F.struct("close", "yearline_pass", "stock_loose", "stock_strict").alias("stock"),
+        F.struct("market_trend", "market_up", "position").alias("market"),
+        F.struct(F.col("sector").alias("name"), F.col("sector_up").alias("up")).alias("sector"),
+        F.struct("capital_score", F.col("capital_active").alias("active")).alias("capital"),
+        F.struct("score", "three_resonance", "true_resonance").alias("resonance"),
+    )
+
+
+def flat_result(nested: DataFrame) -> DataFrame:
+    """A report's row of a nested result; labels stand for what is missing."""
+    yes = lambda c: F.when(F.col(c), "yes").when(~F.col(c), "no").otherwise("-")
+    named = {"yearline": "stock.yearline_pass", "strict": "stock.stock_strict", "sector_up": "sector.up", "market_up": "market.market_up", "active": "capital.active", "three": "resonance.three_resonance", "true_three": "resonance.true_resonance"}
+    label = lambda c: F.coalesce(c, F.lit("-"))
+    return nested.select("symbol", "dt", label("sector.name").alias("sector"), label("market.position").alias("position"), F.col("resonance.score").alias("score"), *(yes(c).alias(n) for n, c in named.items()))
+
+
+STORED_GATES = ["score_ok", "capital_active", "market_up", "industry_up", "stock_strict", "market_not_high"]
+
+
+def row_gates(nested: DataFrame, threshold: float | None = 85, gate: str = "hard", force_hard: bool = False) -> DataFrame:
+    """symbol and the six gates of a stored result: true, false, or NULL where the result does not say. The high-position gate is
+    always open under ``soft`` and ``off``, unless ``force_hard`` derives it anew."""
+    score = F.col("resonance.score") >= (F.lit(None).cast("double") if threshold is None else F.lit(float(threshold)))
+    high = F.col("market.position") != "high" if force_hard or gate not in ("soft", "off") else F.lit(True)
+    values = [score, F.col("capital.active"), F.col("market.market_up"), F.col("sector.up"), F.col("stock.stock_strict"), high]
+    return nested.select("symbol", *(v.alias(n) for n, v in zip(STORED_GATES, values, strict=True)))

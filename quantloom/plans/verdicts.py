@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
-from quantloom.operators import jobs, portfolio, waves
-from quantloom.plans.catalog import _RET, _RHO, ORACLE_SQL, register
+from quantloom.operators import jobs, portfolio, quality, records, rules, waves
+from quantloom.plans import sql
+from quantloom.plans.catalog import _PASS, _RET, _RHO, ORACLE_SQL, _eval_sql, full_evaluation, register
 from quantloom.plans.jobs import _verdicts
 from quantloom.plans.more import _positions
-from quantloom.plans.sql import over
+from quantloom.plans.sql import IND, cross, over
 from quantloom.sources import bars as src
 
 _STOP = "coalesce(stop > 0 AND entry > stop, false)"
@@ -57,3 +58,41 @@ def v11_wave_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, refused = jobs.scan_waves(src.bars(spark, sf_dir), _positions(spark, sf_dir))
     found = found.select("symbol", "phase", "verdict", "quality", F.lit(None).cast("long").alias("n_bars"))
     return found.unionByName(refused.select("symbol", F.lit("too few bars").alias("phase"), F.lit("refused").alias("verdict"), F.lit(None).cast("double").alias("quality"), "n_bars"))
+
+
+_ALL_LEGS = f"""(SELECT f.*, k.arrangement, k.close, k.ma20, coalesce({_PASS}, false) AS yearline_pass, coalesce(k.arrangement = 1, false) OR coalesce(k.close > k.ma20, false) AS loose,
+  act AND market_trend = 'up' AND sector_up AND f.strict AND position <> 'high' AND score >= 85 AS true_three FROM fin f JOIN (SELECT * EXCLUDE (strict, act, cs) FROM lastk) k USING (symbol, dt))"""
+_YES = lambda e: f"CASE WHEN {e} THEN 'yes' WHEN NOT {e} THEN 'no' ELSE '-' END"
+_THREE = "(strict AND coalesce(sector_up, false) AND market_trend = 'up')"
+
+
+@register("z9_three_resonance", _eval_sql(f"SELECT symbol, dt, loose AS stock_loose, strict AS stock_strict, market_trend = 'up' AS market_up, sector_up, {_THREE} AS three_resonance FROM {_ALL_LEGS}"))
+def z9_three_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.three_resonance(full_evaluation(spark, sf_dir)).select("symbol", "dt", "stock_loose", "stock_strict", "market_up", "sector_up", "three_resonance")
+
+
+@register("p14_flat_result", _eval_sql(f"""SELECT symbol, dt, coalesce(sector, '-') AS sector, coalesce(position, '-') AS position, round(score, 5) AS score, {_YES("yearline_pass")} AS yearline, {_YES("strict")} AS strict, {_YES("sector_up")} AS sector_up,
+  {_YES("(market_trend = 'up')")} AS market_up, {_YES("act")} AS active, {_YES(_THREE)} AS three, {_YES("true_three")} AS true_three FROM {_ALL_LEGS}"""))
+def p14_flat_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Z17's nested result, flattened."""
+    return ind.rounded(rules.flat_result(rules.nested_result(full_evaluation(spark, sf_dir))))
+
+
+@register("z16_row_gates", _eval_sql(f"SELECT symbol, score >= 85 AS score_ok, act AS capital_active, market_trend = 'up' AS market_up, sector_up AS industry_up, strict AS stock_strict, position <> 'high' AS market_not_high FROM {_ALL_LEGS}"))
+def z16_row_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.row_gates(rules.nested_result(full_evaluation(spark, sf_dir)))
+
+
+@register("x7_true_resonance", _eval_sql(f"SELECT symbol, sector, score FROM {_ALL_LEGS} WHERE true_three"))
+def x7_true_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return full_evaluation(spark, sf_dir).where("true_resonance").select("symbol", "sector", "score")
+
+
+@register("n4_annotated_alerts", over(f"""SELECT symbol, dt, now, n_regionkey = 1 AS held, now = 'golden' AND coalesce(above, false) AS above_5w FROM (SELECT symbol, dt, CASE x WHEN 1 THEN 'golden' ELSE 'death' END AS now FROM (SELECT *, {cross("ma5p", "ma10p", "ma5", "ma10")} AS x FROM ind) WHERE x <> 0)
+  JOIN nation ON n_name = symbol LEFT JOIN (SELECT symbol, arg_max(close, dt) > avg(close) AND count(*) = 5 AS above FROM (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) <= 5) GROUP BY 1) USING (symbol)""", IND, sql.weeks()))
+def n4_annotated_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crosses of two means stand for the alerts, the nations of a region for the watchlist."""
+    b = ind.ma_signals(ind.moving_averages(src.bars(spark, sf_dir))).where("ma_cross <> 0")
+    alerts = b.select("symbol", "dt", F.when(F.col("ma_cross") == 1, "golden").otherwise("death").alias("now"))
+    watchlist = src.table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol"), (F.col("n_regionkey") == 1).alias("held"))
+    return records.annotate_alerts(alerts, watchlist, quality.resample(src.bars(spark, sf_dir, weekdays=False), "week"))
