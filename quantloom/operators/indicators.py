@@ -37,7 +37,7 @@ def ma_signals(bars: DataFrame) -> DataFrame:
 
 
 def _by_symbol(bars: DataFrame, add: dict[str, str], fill) -> DataFrame:
-    """Recursions: one pandas call per symbol, whose history fits in one task's memory by the row cap of the bars."""
+    """Recursions: one pandas call per symbol, whose whole history must fit in one task's memory; nothing caps it here."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
