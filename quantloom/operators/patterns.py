@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import SYMBOL, lag, last, ratio, rolling_mean, series, so_far
+from quantloom.operators.indicators import latest
 
 EPS = 1e-9
 LOW_RETRACE, VOLUME_RATIO = 0.15, 1.5
@@ -262,6 +263,28 @@ def wedge(bars: DataFrame, n: int = 25) -> DataFrame:
     return bars.withColumns({"wedge": kind, "wedge_reliability": F.when(steep, F.least(F.abs(h - low) * 1000, F.lit(80.0)))})
 
 
+#: Reliability of the shapes that have no measure of their own.
+RELIABILITY = {"head and shoulders": 70.0, "double": 75.0, "triangle": 60.0}
+
+
+def main_pattern(bars: DataFrame) -> DataFrame:
+    """symbol, main_pattern, reliability: of the shapes at the newest bar the most reliable one, of equal ones the first in the order
+    head and shoulders, double, triangle, wedge; none with 0, and clear where the reliability is above 50."""
+    newest = latest(wedge(triangle(bars)))
+    for column, found in (("head", head_and_shoulders(bars)), ("double", double_top_bottom(bars))):
+        newest = newest.join(found.select("symbol", F.col("kind").alias(f"_{column}")), "symbol", "left")
+    there = lambda c: F.coalesce(F.col(c), F.lit("none")) != "none"
+    shapes = [
+        ("_head", "head and shoulders", F.lit(RELIABILITY["head and shoulders"])), ("_double", "double", F.lit(RELIABILITY["double"])),
+        ("triangle", "triangle", F.lit(RELIABILITY["triangle"])), ("wedge", "wedge", F.coalesce("wedge_reliability", F.lit(0.0))),
+    ]
+    rows = [F.struct(F.when(there(c), value).otherwise(0.0).alias("reliability"), F.lit(-i).alias("place"), F.concat(F.lit(f"{name} "), F.col(c)).alias("name")) for i, (c, name, value) in enumerate(shapes)]
+    best = F.array_max(F.array(*rows))
+    made = newest.select("symbol", best.alias("best"))
+    value = F.col("best.reliability")
+    return made.select("symbol", F.when(value > 0, F.col("best.name")).otherwise("none").alias("main_pattern"), value.alias("reliability"), (value > 50).alias("clear"))
+
+
 def latest_gap(bars: DataFrame) -> DataFrame:
     """One row a symbol: its newest opening above the high before. It hits from 1 % on; older, larger gaps do not count.
 

@@ -11,7 +11,7 @@ from quantloom.operators import indicators as ind
 from quantloom.operators import patterns, quality, rules
 from quantloom.operators.indicators import rounded
 from quantloom.plans import sql
-from quantloom.plans.catalog import _K10, _KB, _PASS, _POC, _TR, register
+from quantloom.plans.catalog import _K10, _KB, _PASS, _POC, _TR, ORACLE_SQL, register
 from quantloom.plans.sql import IND, W, over
 from quantloom.sources import bars as src
 
@@ -88,3 +88,17 @@ at_bar AS (SELECT symbol, max(dt) AS breakout_dt, arg_max(upper, dt) AS support
   FROM (SELECT symbol, max(dt) AS dt, breakout_dt, support, round(min(close) FILTER (pf.dt > breakout_dt), 5) AS least_after FROM pf LEFT JOIN at_bar USING (symbol) GROUP BY ALL)""", IND, _TR, _POC, _PLATFORM))
 def r14_breakout_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.breakout_quality(ind.platform(src.bars(spark, sf_dir))))
+
+
+_NEWEST = lambda name: f"(SELECT * FROM ({ORACLE_SQL[name]}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1)"
+#: K3's query is about suppliers; here it is about nations.
+_DOUBLE = ORACLE_SQL["k3_double_top_bottom"].replace(sql.SUPPLIER_TICKS, sql.TICKS)
+
+
+@register("k6_main_pattern", f"""WITH shapes AS (SELECT symbol, 1 AS place, 'head and shoulders ' || kind AS name, 70.0::DOUBLE AS r FROM ({ORACLE_SQL["k2_head_and_shoulders"]}) WHERE kind <> 'none'
+  UNION ALL SELECT symbol, 2, 'double ' || kind, 75 FROM ({_DOUBLE}) WHERE kind <> 'none' UNION ALL SELECT symbol, 3, 'triangle ' || triangle, 60 FROM {_NEWEST("k4_triangle")} WHERE triangle <> 'none'
+  UNION ALL SELECT symbol, 4, 'wedge ' || wedge, wedge_reliability FROM {_NEWEST("k5_wedge")} WHERE wedge <> 'none'),
+best AS (SELECT symbol, name, r FROM shapes WHERE r > 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY r DESC, place) = 1)
+SELECT symbol, coalesce(name, 'none') AS main_pattern, coalesce(r, 0) AS reliability, coalesce(r, 0) > 50 AS clear FROM {_NEWEST("k5_wedge")} LEFT JOIN best USING (symbol)""")
+def k6_main_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.main_pattern(src.bars(spark, sf_dir)).withColumn("reliability", F.round("reliability", 2))
