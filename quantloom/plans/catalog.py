@@ -149,16 +149,16 @@ p2 AS (SELECT symbol, dt, lo, st, least(floor((p - lo) / st), 48) AS bin, sum(v)
 poc AS (SELECT symbol, dt, arg_max(lo + (bin + 0.5::DOUBLE) * st, ROW(v, -bin)) AS poc FROM p2 GROUP BY 1, 2)"""
 
 
-@register("w22_poc", over("SELECT symbol, dt, round(poc, 5) AS poc FROM poc", _POC))
+@register("w22_poc", over("SELECT symbol, dt, round(poc, 8) AS poc FROM poc", _POC))
 def w22_poc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ind.poc(src.bars(spark, sf_dir)).select("symbol", "dt", "poc"))
+    return rounded(ind.poc(src.bars(spark, sf_dir)).select("symbol", "dt", "poc"), 8)
 
 
-@register("w23_platform_breakout", over(f"""SELECT symbol, dt, round(poc, 5) AS poc, round(poc + 1.8::DOUBLE * atr, 5) AS upper, round(poc - 1.8::DOUBLE * atr, 5) AS lower,
+@register("w23_platform_breakout", over(f"""SELECT symbol, dt, round(poc, 8) AS poc, round(poc + 1.8::DOUBLE * atr, 5) AS upper, round(poc - 1.8::DOUBLE * atr, 5) AS lower,
   coalesce(close > poc + 1.8::DOUBLE * atr AND close > open AND (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) > 0.5 AND NOT lb, false) AS breakout
   FROM (SELECT *, {sql.mean("tr2", 14)} AS atr, coalesce(lag(at_limit) OVER w, false) AS lb FROM t1 {W}) JOIN poc USING (symbol, dt)""", IND, _TR, _POC))
 def w23_platform_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ind.platform(src.bars(spark, sf_dir)).select("symbol", "dt", "poc", "upper", "lower", "breakout"))
+    return rounded(ind.platform(src.bars(spark, sf_dir)).select("symbol", "dt", F.round("poc", 8).alias("poc"), "upper", "lower", "breakout"), exact=("poc",))
 
 
 @register("w25_row_cap", over("SELECT symbol, dt, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS r FROM bars) WHERE r <= 500"))
