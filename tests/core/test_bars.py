@@ -47,9 +47,9 @@ def test_indicator_chain_equals_pandas(spark, walk):
 
 def test_poc_equals_histogram(spark, walk):
     volume = np.random.default_rng(1).integers(1, 50, len(walk))
-    got = frame(indicators.poc(bars_of(spark, walk, volume=volume), n=30, newest=20))
+    got = frame(indicators.poc(bars_of(spark, walk, volume=volume), n=30))
     for k, value in enumerate(got["poc"]):
-        end = len(walk) - 20 + k + 1
+        end = 30 + k
         p, v = walk[end - 30 : end], volume[end - 30 : end]
         hist, edges = np.histogram(p, bins=np.linspace(p.min(), p.max(), 50), weights=v)
         at = int(np.argmax(hist))
