@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import SYMBOL, crosses, crossing, lag, last, percent_change, ratio, rolling_mean, so_far, whole
+from quantloom.operators.recurrences import macd as macd
 
 PERIODS = (5, 10, 20, 60, 250, 377, 610)
 
@@ -36,28 +35,6 @@ def ma_signals(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"ma_cross": crosses("ma5", "ma10"), "ma20_cross": crosses("close", "ma20")})
 
 
-def _by_symbol(bars: DataFrame, add: dict[str, str], fill) -> DataFrame:
-    """Recursions: one pandas call per symbol, whose whole history must fit in one task's memory; nothing caps it here."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fill(pdf.sort_values("dt"))
-
-    return bars.groupBy(SYMBOL).applyInPandas(run, f"{fields}, " + ", ".join(f"{c} {t}" for c, t in add.items()))
-
-
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """EMA difference, its signal line, their difference (not doubled) and the running sum; EMAs start at the first value."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        ema = lambda s, n: s.ewm(span=n, adjust=False).mean()
-        line = ema(pdf["close"], fast) - ema(pdf["close"], slow)
-        mean = ema(line, signal)
-        return pdf.assign(macd=line, macd_signal=mean, macd_hist=line - mean, macd_area=line.cumsum())
-
-    return _by_symbol(bars, dict.fromkeys(("macd", "macd_signal", "macd_hist", "macd_area"), "double"), fill)
-
-
 def macd_signals(bars: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     over_zero = lambda c: crossing(lag(c), zero, F.col(c), zero)

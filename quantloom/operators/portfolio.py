@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +13,64 @@ def _pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def correlations(returns: DataFrame, least: int = 20) -> DataFrame:
-    """a, b, n_common, rho, assumed for every pair of symbols a < b that share a day.
+#: Cells (symbols x days) of a block's matrix; a task holds two blocks and a few products of theirs.
+BLOCK_CELLS = 2**20
+
+
+def _moments(one: pd.DataFrame, other: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Days in common and Pearson's rho (NaN where one side does not move) of all rows of ``one`` with all rows of ``other``.
+
+    The matrices hold 0 on days without a return, the masks say which; every sum over common days is one matrix product.
+    """
+    days = np.unique(np.concatenate([*one["days"], *other["days"]]))
+
+    def filled(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, known = np.zeros((len(rows), len(days))), np.zeros((len(rows), len(days)))
+        for i, (d, r) in enumerate(zip(rows["days"], rows["rets"], strict=True)):
+            at = np.searchsorted(days, d)
+            known[i, at], x[i, at] = 1.0, np.asarray(r, float) - r[0]  # rho does not change, and a series that does not move is 0
+        return x, known
+
+    (x, p), (y, q) = filled(one), filled(other)
+    n, sx, sy, xx, yy, xy = p @ q.T, x @ q.T, p @ y.T, (x * x) @ q.T, p @ (y * y).T, x @ y.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy, c = xx - sx * sx / n, yy - sy * sy / n, xy - sx * sy / n
+        # what rounding leaves of a series that does not move on the common days
+        moves = (vx > 1e-12 * xx) & (vy > 1e-12 * yy)
+        return {"n": n, "rho": np.where(moves, c / np.sqrt(np.where(moves, vx * vy, 1.0)), np.nan)}
+
+
+def correlations(returns: DataFrame, least: int = 20, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """a, b, n_common, rho, assumed for every pair of symbols a < b, also those that share no day.
 
     rho is over the shared days, four decimals, within -1 and 1; 0 and assumed where they are fewer than ``least`` or one
-    series does not move. A matrix of all symbols is what is asked for; the days are the join key.
+    series does not move. ``returns`` has one row for each symbol and day at most; rows without a return are left out.
+
+    A matrix of all symbols is what is asked for, so the work is one matrix product for each pair of blocks of symbols: a
+    symbol's history becomes one row, and every block is sent to the pairs that it is part of. Blocks have as many symbols as
+    keep a matrix at ``block_cells``; no day is a key, so no busy day makes a task large.
     """
-    a = returns.select("dt", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    b = returns.select("dt", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    made = a.join(b, "dt").where("a < b").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n_common"), _pearson("x", "y").alias("rho")
-    )
-    known = (F.col("n_common") >= least) & F.col("rho").isNotNull()
-    value = F.when(known, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho"))), 4)).otherwise(0.0)
+    series = returns.where("ret is not null").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.unix_date(F.to_date("dt")).alias("d"), F.col("ret").alias("r")))).alias("x"))
+    series = series.select("symbol", F.col("x.d").alias("days"), F.col("x.r").alias("rets"))
+    size = returns.where("ret is not null").agg(F.approx_count_distinct("symbol").alias("symbols"), F.approx_count_distinct("dt").alias("days")).first()
+    n_blocks = max(1, -(-size["symbols"] // max(1, block_cells // max(1, size["days"]))))
+    mine = F.pmod(F.xxhash64("symbol"), F.lit(n_blocks)).cast("int")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))))
+    sent = series.withColumn("block", mine).withColumn("pair", pairs).select("pair.i", "pair.j", "block", "symbol", "days", "rets")
+
+    def rho_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        one, other = rows[rows["block"] == i], rows[rows["block"] == j]
+        found = _moments(one, other)
+        a, b = one["symbol"].to_numpy(), other["symbol"].to_numpy()
+        at = np.nonzero(a[:, None] < b[None, :]) if i == j else np.nonzero(np.ones((len(a), len(b)), bool))
+        first, second = a[at[0]], b[at[1]]
+        swap = first > second
+        return pd.DataFrame({"a": np.where(swap, second, first), "b": np.where(swap, first, second), "n_common": found["n"][at].astype(np.int64), "r": found["rho"][at]})
+
+    made = sent.groupBy("i", "j").applyInPandas(rho_of, "a string, b string, n_common long, r double")
+    known = (F.col("n_common") >= least) & F.col("r").isNotNull() & ~F.isnan("r")
+    value = F.when(known, F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))), 4)).otherwise(0.0)
     return made.select("a", "b", "n_common", value.alias("rho"), (~known).alias("assumed"))
 
 

@@ -69,14 +69,15 @@ def technical_detail(bars: DataFrame) -> DataFrame:
         known = F.filter(rows, lambda x: x["turn"].isNotNull())
         return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x["turn"]), F.size(known))
 
+    exact = mean(F.col("_turns"))
     # rounded, so that a mean at the edge of a band does not depend on the order of adding
-    level = F.round(mean(F.col("_turns")), 9)
+    level = F.round(exact, 9)
     band = F.when(level.isNull() | (level <= 0), "missing").when(level < 2, "dense").when(level < 5, "fairly dense").when(level < 10, "loose").otherwise("very loose")
     # means that differ by the order of adding alone are equal
     late, early = F.round(mean(F.slice("_turns", -F.least(F.lit(10), F.size("_turns")), F.lit(10))), 9), F.round(mean(F.slice("_turns", 1, 10)), 9)
     known = (level > 0) & (F.size("_turns") >= 10) & late.isNotNull() & early.isNotNull()
     trend = F.when(~known_true(known), "unknown").when(late < early, "gathering").otherwise("spreading")
-    return bars.withColumns({"chip_turn": F.when(level > 0, level), "chip_band": band, "chip_trend": trend}).drop("_turns")
+    return bars.withColumns({"chip_turn": F.when(level > 0, exact), "chip_band": band, "chip_trend": trend}).drop("_turns")
 
 
 def breakout_quality(bars: DataFrame, lookback: int = 60, near: float = 1.02, support: float = 0.985) -> DataFrame:

@@ -516,12 +516,15 @@ _columns(
 
 # portfolio ----------------------------------------------------------------------------------------------------------
 _RET = f"ret AS (SELECT symbol, dt, x FROM (SELECT symbol, dt, close / lag(close) OVER w - 1 AS x FROM bars {W}) WHERE x IS NOT NULL)"
-_RHO = """rho AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n_common, CASE WHEN count(*) >= 20 THEN round(corr(a.x, b.x), 4) ELSE 0 END AS rho, count(*) < 20 AS assumed FROM ret a JOIN ret b ON a.dt = b.dt AND a.symbol < b.symbol GROUP BY 1, 2)"""
+_RHO = """rs AS (SELECT DISTINCT symbol FROM ret),
+rn AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, corr(a.x, b.x) AS r FROM ret a JOIN ret b ON a.dt = b.dt AND a.symbol < b.symbol GROUP BY 1, 2),
+rho AS (SELECT x.symbol AS a, y.symbol AS b, coalesce(n, 0) AS n_common, CASE WHEN n >= 20 THEN round(r, 4) ELSE 0 END AS rho, coalesce(n, 0) < 20 AS assumed
+  FROM rs x JOIN rs y ON x.symbol < y.symbol LEFT JOIN rn ON rn.a = x.symbol AND rn.b = y.symbol)"""
 
 
-@register("v6_correlations", over("SELECT a, b, n_common, round(rho, 3) AS rho, assumed FROM rho", _RET, _RHO))
+@register("v6_correlations", over("SELECT a, b, n_common, rho, assumed FROM rho", _RET, _RHO))
 def v6_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.correlations(ind.daily_returns(src.bars(spark, sf_dir))).withColumn("rho", F.round("rho", 3))
+    return portfolio.correlations(ind.daily_returns(src.bars(spark, sf_dir)))
 
 
 _SIZE = f"""en AS (SELECT symbol, dt, close AS entry, {_frame("low", "min", 20)} AS stop FROM bars {W}), el AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1),

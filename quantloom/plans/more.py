@@ -109,13 +109,19 @@ def n2_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minutes.run_once(made, f"{path}/out", f"{path}/state").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
-@register("n3_macd_alerts")
+@register("n3_macd_alerts", """WITH RECURSIVE b AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS dt, arg_max(value, ROW(ts, event_id)) AS close FROM events GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY dt) AS rn FROM b),
+e AS (SELECT code, dt, rn, close AS f, close AS s, 0::DOUBLE AS line, 0::DOUBLE AS sig FROM c WHERE rn = 1
+  UNION ALL SELECT code, dt, rn, f, s, f - s, sig + ((f - s) - sig) * 2 / 10 FROM (
+    SELECT c.code, c.dt, c.rn, e.f + (c.close - e.f) * 2 / 13 AS f, e.s + (c.close - e.s) * 2 / 27 AS s, e.sig FROM e JOIN c ON c.code = e.code AND c.rn = e.rn + 1)),
+k AS (SELECT code, dt, CASE WHEN line > sig + 1e-9 THEN 'golden' ELSE 'death' END AS now FROM e WHERE rn >= 60 AND abs(line - sig) > 1e-9)
+SELECT code, dt, coalesce(lag(now) OVER w, 'first') AS before, now AS after FROM k WINDOW w AS (PARTITION BY code ORDER BY dt) QUALIFY now IS DISTINCT FROM lag(now) OVER w""")
 def n3_macd_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State changes of every event type's 30-minute bars, replayed as a stream of written bars."""
     path = scratch(spark)
     src.minute_bars(src.table(spark, sf_dir, "events")).write.parquet(f"{path}/bars")
     stream = spark.readStream.schema("code string, dt timestamp, open double, high double, low double, close double, volume long").parquet(f"{path}/bars")
-    return minutes.run_once(minutes.macd_states(stream, notify_first=True), f"{path}/out", f"{path}/state")
+    return minutes.run_once(minutes.macd_states(stream, notify_first=True), f"{path}/out", f"{path}/state").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 @register("t6_minute_retention", """WITH b AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS dt FROM events GROUP BY 1, 2)

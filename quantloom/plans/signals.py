@@ -69,13 +69,14 @@ def r4_main_wave_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("symbol", "dt", "yearline_pass", "anchored", "over_ma5", "po5_fan5", "main_wave")
 
 
-@register("r8_technical_detail", over(f"""SELECT symbol, dt, returned AS returned_to_ma5, round(CASE WHEN t > 0 THEN t END, 5) AS chip_turn,
+@register("r8_technical_detail", over(f"""SELECT symbol, dt, returned AS returned_to_ma5, round(CASE WHEN t > 0 THEN t0 END, 9) AS chip_turn,
   CASE WHEN t IS NULL OR t <= 0 THEN 'missing' WHEN t < 2 THEN 'dense' WHEN t < 5 THEN 'fairly dense' WHEN t < 10 THEN 'loose' ELSE 'very loose' END AS chip_band,
   CASE WHEN NOT coalesce(t > 0 AND len(f) >= 10 AND list_avg(f[-10:]) IS NOT NULL AND list_avg(f[:10]) IS NOT NULL, false) THEN 'unknown' WHEN round(list_avg(f[-10:]), 9) < round(list_avg(f[:10]), 9) THEN 'gathering' ELSE 'spreading' END AS chip_trend
-  FROM (SELECT *, coalesce(lag(close) OVER w < ma5p AND close > ma5 AND volume_ratio > 1.5, false) AS returned, round(avg(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS t, list(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS f FROM ind {W})""", IND))
+  FROM (SELECT *, coalesce(lag(close) OVER w < ma5p AND close > ma5 AND volume_ratio > 1.5, false) AS returned, avg(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS t0, round(avg(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS t, list(turn) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS f FROM ind {W})""", IND))
 def r8_technical_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = ind.volume_ratio(ind.moving_averages(src.bars(spark, sf_dir)))
-    return rounded(rules.technical_detail(bars).select("symbol", "dt", "returned_to_ma5", "chip_turn", "chip_band", "chip_trend"))
+    # means of four-digit turnovers have no half at the tenth digit
+    return rounded(rules.technical_detail(bars).select("symbol", "dt", "returned_to_ma5", "chip_turn", "chip_band", "chip_trend"), 9)
 
 
 _PLATFORM = f"""pf AS (SELECT symbol, dt, close, poc + 1.8::DOUBLE * atr AS upper, coalesce(close > poc + 1.8::DOUBLE * atr AND close > open AND (close - low) / (CASE WHEN high = low THEN 0.001 ELSE high - low END) > 0.5 AND NOT lb, false) AS broke,

@@ -30,6 +30,14 @@ FROM ({ORACLE_SQL["z8_resonance_score"]}) LEFT JOIN (SELECT symbol, verdict FROM
 ORACLE_SQL["z10_combined_score"] = f"""SELECT symbol, CASE WHEN NOT yearline_pass THEN 0.0::DOUBLE ELSE round_even(0.55::DOUBLE * (score * 0.6::DOUBLE) + 0.25::DOUBLE * score + 0.2::DOUBLE * structure_score, 1) END AS combined
 FROM ({ORACLE_SQL["z8_resonance_score"]}) JOIN (SELECT symbol, yearline_pass FROM ({ORACLE_SQL["r1_yearline_filter"]})) USING (symbol) JOIN ({ORACLE_SQL["z11_structure_score"]}) USING (symbol)"""
 
+#: Sizes and the scale of the candidates' correlated risk, over all verdicts; their correlations are those among candidates.
+ORACLE_SQL["v9_portfolio_evaluation"] = _RULES + f""", ps AS (SELECT symbol, verdict, entry, stop, CASE WHEN entry - stop > 0 THEN floor(10000.0::DOUBLE / (entry - stop)) END AS br, floor(200000.0::DOUBLE / entry) AS bc FROM verdicts),
+pz AS (SELECT *, coalesce(least(br, bc), 0)::BIGINT AS shares FROM ps), rk AS (SELECT symbol, shares * (entry - stop) AS r FROM pz WHERE verdict = 'candidate' AND shares > 0),
+al AS (SELECT sqrt(greatest(coalesce((SELECT sum(r * r) FROM rk), 0) + coalesce((SELECT sum(x.r * y.r * rho) * 2 FROM ({over("SELECT a, b, rho FROM rho", _RET, _RHO)}) JOIN rk x ON x.symbol = a JOIN rk y ON y.symbol = b), 0), 0)) AS total),
+sc AS (SELECT least(1, CASE WHEN total > 0 THEN 60000.0::DOUBLE / total ELSE 1 END) AS scale FROM al),
+pe AS (SELECT *, CASE WHEN verdict = 'candidate' AND shares > 0 THEN floor(shares * scale) ELSE 0 END::BIGINT AS suggested_shares FROM pz CROSS JOIN sc)
+SELECT symbol, verdict, shares, suggested_shares, round(suggested_shares * coalesce(entry - stop, 0), 2) AS suggested_risk, round(scale, 4) AS scale FROM pe"""
+
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.ten_steps(_verdicts(spark, sf_dir), _positions(spark, sf_dir))
