@@ -135,16 +135,16 @@ def gathering() -> Column:
     return F.lead(F.lit(1)).over(series()).isNull() & a.up & strong & quiet & holds
 
 
-#: code -> (detector, direction, bars needed)
+#: code -> (detector, direction, bars needed); hits of one day stand in this order. Codes, directions, bars.
 DETECTORS: dict[str, tuple[Callable[[], Column], str, int]] = {
     "duofangpao": (two_up_one_down, "bull", 3),
     "xianrenzhilu": (pointing_up, "bull", 21),
-    "shejizhixing": (shooting_star, "bear", 21),
-    "zaochenzhixing": (morning_star, "bull", 13),
-    "huanghunzhixing": (evening_star, "bear", 13),
+    "zaochenzhixing": (morning_star, "bull", 3),
+    "huanghunzhixing": (evening_star, "bear", 3),
     "hongsanbing": (three_soldiers, "bull", 3),
     "sanzhiwuya": (three_crows, "bear", 3),
-    "chuitouxian": (hammer, "bull", 6),
+    "chuitouxian": (hammer, "bull", 11),
+    "shejizhixing": (shooting_star, "bear", 21),
     "kanzhangtunmo": (bullish_engulfing, "bull", 2),
     "kandietunmo": (bearish_engulfing, "bear", 2),
     "gap_duofangpao": (gap_two_up_one_down, "bull", 6),

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quantloom.functions.windows import before, lag, last, ratio, so_far
 
@@ -244,7 +245,7 @@ def nested_result(rows: DataFrame) -> DataFrame:
         F.struct("market_trend", "market_up", "position").alias("market"),
         F.struct(F.col("sector").alias("name"), F.col("sector_up").alias("up")).alias("sector"),
         F.struct("capital_score", F.col("capital_active").alias("active")).alias("capital"),
-        F.struct("score", "three_resonance", "true_resonance").alias("resonance"),
+        F.struct("score", "three_resonance", "true_resonance", F.col("options") if "options" in rows.columns else options().alias("options")).alias("resonance"),
     )
 
 
@@ -259,10 +260,54 @@ def flat_result(nested: DataFrame) -> DataFrame:
 STORED_GATES = ["score_ok", "capital_active", "market_up", "industry_up", "stock_strict", "market_not_high"]
 
 
-def row_gates(nested: DataFrame, threshold: float | None = 85, gate: str = "hard", force_hard: bool = False) -> DataFrame:
-    """symbol and the six gates of a stored result: true, false, or NULL where the result does not say. The high-position gate is
-    always open under ``soft`` and ``off``, unless ``force_hard`` derives it anew."""
-    score = F.col("resonance.score") >= (F.lit(None).cast("double") if threshold is None else F.lit(float(threshold)))
-    high = F.col("market.position") != "high" if force_hard or gate not in ("soft", "off") else F.lit(True)
+def options(market_mode: str = "ma", true_threshold: float = 85.0, high_position_gate: str = "hard", capital_min_score: float = 8.0, capital_min_volume_ratio: float = 1.5, index_max_lag_days: float | None = None, volume_boost_ratio: float = 1.5) -> Column:
+    """The options of an evaluation, as a result stores them."""
+    number = lambda v: F.lit(v).cast("double")
+    return F.struct(
+        F.lit(market_mode).alias("market_mode"), number(true_threshold).alias("true_threshold"), number(capital_min_score).alias("capital_min_score"), number(capital_min_volume_ratio).alias("capital_min_volume_ratio"),
+        number(index_max_lag_days).alias("index_max_lag_days"), F.lit(high_position_gate).alias("high_position_gate"), number(volume_boost_ratio).alias("volume_boost_ratio"),
+    )
+
+
+def stored(nested: DataFrame, path: str, kind: str) -> Column:
+    """A field of a stored result, NULL where results of its time had no such field."""
+    at = nested.schema
+    for name in path.split("."):
+        if not isinstance(at, StructType) or name not in at.names:
+            return F.lit(None).cast(kind)
+        at = at[name].dataType
+    return F.col(path).cast(kind)
+
+
+def row_gates(nested: DataFrame, force_hard: bool = False) -> DataFrame:
+    """symbol and the six gates of a stored result: true, false, or NULL where the result does not say.
+
+    Threshold and gate mode are those that the row itself was made with: without a threshold it is unknown whether the score
+    reaches it; without a mode the gate is hard. Under ``soft`` and ``off`` the high-position gate is open, unless
+    ``force_hard`` derives it anew.
+    """
+    score = stored(nested, "resonance.score", "double") >= stored(nested, "resonance.options.true_threshold", "double")
+    mode = F.lower(F.trim(F.coalesce(stored(nested, "resonance.options.high_position_gate", "string"), F.lit("hard"))))
+    high = F.when(F.col("resonance").isNull(), F.lit(None).cast("boolean")).when(F.lit(not force_hard) & mode.isin("soft", "off"), F.lit(True)).otherwise(F.col("market.position") != "high")
     values = [score, F.col("capital.active"), F.col("market.market_up"), F.col("sector.up"), F.col("stock.stock_strict"), high]
     return nested.select("symbol", *(v.alias(n) for n, v in zip(STORED_GATES, values, strict=True)))
+
+
+def effective_options(nested: DataFrame) -> DataFrame:
+    """One row: the options that the results were made with, of the first symbol that stores any; no row where none does. Results
+    older than a field get what held then: the hard gate, a boost of 1.5."""
+    kinds = {"market_mode": "string", "true_threshold": "double", "capital_min_score": "double", "capital_min_volume_ratio": "double", "index_max_lag_days": "double", "high_position_gate": "string", "volume_boost_ratio": "double"}
+    old = {"high_position_gate": F.lit("hard"), "volume_boost_ratio": F.lit(1.5)}
+    fields = [F.coalesce(v, old[c]).alias(c) if c in old else v.alias(c) for c, k in kinds.items() for v in [stored(nested, f"resonance.options.{c}", k)]]
+    known = nested.where(F.coalesce(*(stored(nested, f"resonance.options.{c}", "string") for c in kinds)).isNotNull())
+    return known.agg(F.min_by(F.struct(*fields), "symbol").alias("o")).where("o is not null").select("o.*")
+
+
+def market_leg_snapshot(nested: DataFrame) -> DataFrame:
+    """One row: the market's leg that all results of a job share, of the first symbol with a resonance; defaults without any."""
+    fields = {
+        "market_up": F.coalesce(stored(nested, "market.market_up", "boolean"), F.lit(False)), "position": F.coalesce(stored(nested, "market.position", "string"), F.lit("unknown")),
+        "lag_days": stored(nested, "market.lag_days", "long"), "downgraded": F.coalesce(stored(nested, "market.downgraded", "boolean"), F.lit(False)), "market_mode": stored(nested, "resonance.options.market_mode", "string"),
+    }
+    first = nested.where("resonance is not null").agg(F.min_by(F.struct(*(v.alias(c) for c, v in fields.items())), "symbol").alias("m"))
+    return first.select(F.coalesce("m.market_up", F.lit(False)).alias("market_up"), F.coalesce("m.position", F.lit("unknown")).alias("position"), "m.lag_days", F.coalesce("m.downgraded", F.lit(False)).alias("downgraded"), "m.market_mode")

@@ -64,7 +64,7 @@ def wave_structure(bars: DataFrame, **changes: float) -> DataFrame:
     w1 = known((F.col("gain") >= p["w1_gain"]) & (F.col("up_ratio") >= p["w1_up"]))
     w2 = w1 & known(F.col("retrace").between(p["w2_low"], p["w2_high"]) & (F.col("l2") > F.col("l0")))
     stop = F.when(w2, F.col("l2") * (1 - p["stop"]))
-    newest = newest.withColumns({"wave1_ok": w1, "wave2_ok": w2, "stop": stop, "entry": F.when(w2, F.coalesce("break_close", "close"))})
+    newest = newest.withColumns({"wave1_ok": w1, "wave2_exists": w1 & F.col("i2").isNotNull(), "wave2_ok": w2, "stop": stop, "entry": F.when(w2, F.coalesce("break_close", "close"))})
     broke = F.col("wave2_ok") & F.col("i3").isNotNull()
     chase = F.col("entry") / F.col("h1") - 1
     newest = newest.withColumns(
@@ -81,7 +81,7 @@ def wave_structure(bars: DataFrame, **changes: float) -> DataFrame:
         F.when(~F.col("wave1_ok"), "no first wave").when(F.col("i2").isNull(), "second wave running").when(~F.col("wave2_ok"), "second wave unfit")
         .when(~F.col("breakout"), "waiting for break").otherwise("third wave")
     )
-    columns = ["gain", "up_ratio", "retrace", "wave1_ok", "wave2_ok", "shrinks", "stable", "breakout", "expands", "chase_risk", "exhausted", "entry", "stop"]
+    columns = ["gain", "up_ratio", "retrace", "wave1_ok", "wave2_exists", "wave2_ok", "shrinks", "stable", "breakout", "expands", "chase_risk", "exhausted", "entry", "stop"]
     return newest.select("symbol", "dt", phase.alias("phase"), *columns)
 
 
@@ -140,6 +140,11 @@ def rules_and_verdict(waves: DataFrame, positions: DataFrame, strict: bool = Fal
     return rows.withColumn("verdict", verdict)
 
 
+NEXT_ACTIONS = [
+    "wait until month or week turn up", "look for a clear first wave among the candidates", "confirm the first wave's gain, length and share of rising bars",
+    "wait for the second wave, do not chase the first one's top", "watch for a quiet decline that makes no new low", "wait for a close above the first wave's top on volume",
+    "enter the third wave in parts by the size formula", "set the stop below the second wave's low", "hold while the trend is not exhausted", "take profit in parts",
+]
 STEPS = ["market allows", "candidate", "first wave", "second wave", "quiet and stable", "break", "rules kept", "stop set", "hold", "take profit"]
 
 
@@ -153,14 +158,22 @@ def ten_steps(verdicts: DataFrame, positions: DataFrame) -> DataFrame:
     stop_ok = F.coalesce((F.col("stop") > 0) & (F.col("entry") > F.col("stop")), F.lit(False))
     broke, spent = F.col("breakout"), F.col("breakout") & F.col("exhausted")
     flags = [
-        F.coalesce("trend_ok", F.lit(False)), F.col("wave1_ok") & F.coalesce(F.col("_month") != -1, F.lit(False)), F.col("wave1_ok"), F.col("wave2_ok"),
+        F.coalesce("trend_ok", F.lit(False)), F.col("wave1_ok") & F.coalesce(F.col("_month") != -1, F.lit(False)), F.col("wave1_ok"), F.col("wave2_exists"),
         F.col("shrinks") & F.col("stable"), broke, broke & (F.size("failed_hard") == 0), stop_ok, broke & ~spent, spent,
     ]
     rows = rows.withColumn("flags", F.array(*flags))
     at = F.array_position(F.slice("flags", 1, 8), F.lit(False)).cast("int")
     step = F.when(F.col("flags")[9], 10).when(F.col("flags")[5] & F.col("flags")[6], 9).otherwise(F.greatest(at, F.lit(1)))
     rows = rows.withColumn("step", step).drop("_month")
-    return rows.withColumn("step_name", F.element_at(F.array(*map(F.lit, STEPS)), F.col("step")))
+    named = {n: F.element_at(F.array(*map(F.lit, texts)), F.col("step")) for n, texts in (("step_name", STEPS), ("next_action", NEXT_ACTIONS))}
+    return rows.withColumns(named)
+
+
+def step_table(steps: DataFrame) -> DataFrame:
+    """symbol, no, name, status (passed, current, open), flag: all ten steps of every row of ten_steps()."""
+    rows = steps.select("symbol", "step", F.posexplode("flags").alias("at", "flag")).withColumn("no", F.col("at") + 1)
+    status = F.when(F.col("no") < F.col("step"), "passed").when(F.col("no") == F.col("step"), "current").otherwise("open")
+    return rows.select("symbol", "no", F.element_at(F.array(*map(F.lit, STEPS)), F.col("no")).alias("name"), status.alias("status"), "flag")
 
 
 def reached(steps: DataFrame, least: int = 1) -> DataFrame:

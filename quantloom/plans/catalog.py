@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.windows import lag, ratio
@@ -259,17 +259,19 @@ cap AS (SELECT *, CASE WHEN rn >= 6 THEN least(20, CASE WHEN vr >= 1.8 THEN 12 W
 _columns("z7_capital_activity", rules.capital_activity, {"capital_ratio": r6("vr"), "capital_score": "cs", "capital_active": "rn >= 6 AND (cs >= 8 OR vr >= 1.5)"}, (IND, _CAP), "cap", needs_ma=False)
 
 
-def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every symbol's newest bar with all three legs, capital, gates and score."""
-    stocks = rules.capital_activity(rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir)))))
+def full_evaluation(spark: SparkSession, sf_dir: str, as_of: Column | None = None, basis: str = "ma", threshold: float = 85.0, high_gate: str = "hard") -> DataFrame:
+    """Every symbol's newest bar with all three legs, capital, gates and score, and the options that they were made with; of bars up
+    to ``as_of``, if given: symbols, sectors and the market are all cut there."""
+    seen = lambda scope: records.as_of(src.bars(spark, sf_dir, scope), as_of)
+    stocks = rules.capital_activity(rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(seen("n_name")))))
     loose = (F.col("arrangement") == 1) | (F.col("close") > F.col("ma20"))
     stocks = ind.latest(stocks).withColumn("stock_strict", F.col("yearline_pass") & F.coalesce(loose, F.lit(False)))
-    market = rules.market_leg(ind.moving_averages(src.bars(spark, sf_dir, "'ALL'")), "ma")
+    market = rules.market_leg(ind.moving_averages(seen("'ALL'")), basis)
     market = ind.latest(market).select("position", "market_trend")
     relation = src.table(spark, sf_dir, "nation").join(src.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
-    sectors = ind.latest(rules.sector_score(src.bars(spark, sf_dir, "r_name"))).select(F.col("symbol").alias("sector"), "sector_score", "sector_up")
+    sectors = ind.latest(rules.sector_score(seen("r_name"))).select(F.col("symbol").alias("sector"), "sector_score", "sector_up")
     rows = stocks.join(relation, "symbol", "left").join(sectors, "sector", "left").join(F.broadcast(market))
-    return rules.resonance_score(rows)
+    return rules.resonance_score(rows, threshold, high_gate).withColumn("options", rules.options(basis, threshold, high_gate))
 
 
 _EVAL = (
@@ -446,11 +448,11 @@ _K10 = {
     "duofangpao": "rn >= 3 AND yang_2 AND yin_1 AND yang AND close > close_2 AND body >= body_1 AND low_1 >= open_2 - body_2 * 0.5 AND volume / volume_1 >= 1",
     "xianrenzhilu": f"rn >= 21 AND {_LONG} AND yang AND c20 > 0 AND c20 < 15 AND pos < 0.85 AND close >= ma20",
     "shejizhixing": f"rn >= 21 AND {_LONG} AND (c20 >= 15 OR pos >= 0.85)",
-    "zaochenzhixing": "rn >= 13 AND yin_2 AND body_2 >= greatest(ref, 1e-9) * 0.9 AND body_1 <= body_2 * 0.45 AND close_1 <= close_2 + 1e-9 AND yang AND close >= mid_2",
-    "huanghunzhixing": "rn >= 13 AND yang_2 AND body_2 >= greatest(ref, 1e-9) * 0.9 AND body_1 <= body_2 * 0.45 AND close_1 >= close_2 - 1e-9 AND yin AND close <= mid_2",
+    "zaochenzhixing": "rn >= 3 AND yin_2 AND body_2 >= greatest(ref, 1e-9) * 0.9 AND body_1 <= body_2 * 0.45 AND close_1 <= close_2 + 1e-9 AND yang AND close >= mid_2",
+    "huanghunzhixing": "rn >= 3 AND yang_2 AND body_2 >= greatest(ref, 1e-9) * 0.9 AND body_1 <= body_2 * 0.45 AND close_1 >= close_2 - 1e-9 AND yin AND close <= mid_2",
     "hongsanbing": "rn >= 3 AND yang_2 AND yang_1 AND yang AND close_2 < close_1 AND close_1 < close AND open_1 >= open_2 AND open_1 <= close_2 + 1e-9 AND open >= open_1 AND open <= close_1 + 1e-9 AND body <= body_2 * 2.5",
     "sanzhiwuya": "rn >= 3 AND yin_2 AND yin_1 AND yin AND close_2 > close_1 AND close_1 > close",
-    "chuitouxian": "rn >= 6 AND ds >= 2 * body AND ds >= 0.55 * amp AND body <= 0.35 * amp AND us <= ds * 0.35 + 1e-9 AND (close < ma5 OR pos <= 0.25)",
+    "chuitouxian": "rn >= 11 AND ds >= 2 * body AND ds >= 0.55 * amp AND body <= 0.35 * amp AND us <= ds * 0.35 + 1e-9 AND (close < ma5 OR pos <= 0.25)",
     "kanzhangtunmo": "rn >= 2 AND yin_1 AND yang AND open <= close_1 + 1e-9 AND close >= open_1 - 1e-9",
     "kandietunmo": "rn >= 2 AND yang_1 AND yin AND open >= close_1 - 1e-9 AND close <= open_1 + 1e-9",
     "gap_duofangpao": "rn >= 6 AND yang_2 AND yin_1 AND yang AND low_2 > high_3 + 1e-9 AND close > close_2 AND body >= body_1 AND low_1 >= high_3 - 1e-9",

@@ -35,7 +35,7 @@ wv AS (SELECT *, CASE WHEN k2 THEN l2 * 0.98::DOUBLE END AS st, CASE WHEN k2 THE
 
 
 @register("v2_wave_structure", over("""SELECT symbol, dt, CASE WHEN NOT k1 THEN 'no first wave' WHEN i2 IS NULL THEN 'second wave running' WHEN NOT k2 THEN 'second wave unfit' WHEN NOT br THEN 'waiting for break' ELSE 'third wave' END AS phase,
-  round(gain, 5) AS gain, round(up, 5) AS up_ratio, round(re, 5) AS retrace, k1 AS wave1_ok, k2 AS wave2_ok, k1 AND coalesce(vol2 / vol1 <= 0.85, false) AS shrinks, k2 AND coalesce(la >= l2 * 0.99::DOUBLE, true) AS stable,
+  round(gain, 5) AS gain, round(up, 5) AS up_ratio, round(re, 5) AS retrace, k1 AS wave1_ok, k1 AND i2 IS NOT NULL AS wave2_exists, k2 AS wave2_ok, k1 AND coalesce(vol2 / vol1 <= 0.85, false) AS shrinks, k2 AND coalesce(la >= l2 * 0.99::DOUBLE, true) AS stable,
   br AS breakout, br AND coalesce(bv / vol2 >= 1.5, false) AS expands, br AND coalesce(en / h1 - 1 > 0.05 OR v1_n - 1 - i3 > 5, false) AS chase_risk, coalesce(close < m20, false) OR coalesce(close < st, false) AS exhausted,
   en AS entry, st AS stop FROM (SELECT *, n AS v1_n FROM wv)""", _WAVE.replace("SELECT *, h1 / l0 - 1 AS gain", "SELECT v1.*, a4.* EXCLUDE (symbol, n), a5.* EXCLUDE (symbol), h1 / l0 - 1 AS gain")))
 def v2_wave_structure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ h AS (SELECT *, trend_ok AND wave1_ok AND wave2_ok AND breakout AND {_STOP} AND
 r AS (SELECT *, [trend_ok, wave1_ok, wave2_ok, shrinks, breakout, expands, {_STOP}, NOT chase_risk, hard AND breakout] AS rules FROM h),
 f AS (SELECT *, list_filter(range(1, 10), lambda i: NOT rules[i] AND i <> 4 AND i <> 6) AS failed FROM r),
 verdicts AS (SELECT *, round(len(list_filter(rules, lambda x: x)) / 9::DOUBLE * 100, 1) AS quality, CASE WHEN known_periods < 2 THEN 'avoid' WHEN len(failed) = 0 THEN 'candidate' WHEN phase IN ('second wave unfit', 'no first wave') THEN 'avoid' ELSE 'watch' END AS verdict FROM f),
-flagged AS (SELECT *, breakout AND exhausted AS spent, [trend_ok, wave1_ok AND coalesce(month_direction <> -1, false), wave1_ok, wave2_ok, shrinks AND stable, breakout, breakout AND len(failed) = 0, {_STOP}] AS fl FROM verdicts),
+flagged AS (SELECT *, breakout AND exhausted AS spent, [trend_ok, wave1_ok AND coalesce(month_direction <> -1, false), wave1_ok, wave2_exists, shrinks AND stable, breakout, breakout AND len(failed) = 0, {_STOP}] AS fl FROM verdicts),
 steps AS (SELECT *, CASE WHEN spent THEN 10 WHEN fl[6] AND fl[7] THEN 9 ELSE greatest(coalesce(list_position(fl, false), 0), 1) END AS step FROM flagged) """
 
 ORACLE_SQL["v3_rules_and_verdict"] = _RULES + "SELECT symbol, phase, array_to_string(failed, ',') AS failed_hard, quality, verdict FROM verdicts"
@@ -39,14 +39,24 @@ pe AS (SELECT *, CASE WHEN verdict = 'candidate' AND shares > 0 THEN floor(share
 SELECT symbol, verdict, shares, suggested_shares, round(suggested_shares * coalesce(entry - stop, 0), 2) AS suggested_risk, round(scale, 4) AS scale FROM pe"""
 
 
+#: The actions as an SQL list.
+_ACTIONS = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in waves.NEXT_ACTIONS) + "]"
+
+
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waves.ten_steps(_verdicts(spark, sf_dir), _positions(spark, sf_dir))
 
 
-@register("v4_ten_steps", _RULES + f"SELECT symbol, verdict, step::INT AS step, {waves.STEPS}[step] AS step_name, array_to_string(list_transform(fl || [breakout AND NOT spent, spent], lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS flags FROM steps")
+@register("v4_ten_steps", _RULES + f"SELECT symbol, verdict, step::INT AS step, {waves.STEPS}[step] AS step_name, {_ACTIONS}[step] AS next_action, array_to_string(list_transform(fl || [breakout AND NOT spent, spent], lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS flags FROM steps")
 def v4_ten_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.array_join(F.transform("flags", lambda x: F.when(x, "1").otherwise("0")), "")
-    return _steps(spark, sf_dir).select("symbol", "verdict", "step", "step_name", flags.alias("flags"))
+    return _steps(spark, sf_dir).select("symbol", "verdict", "step", "step_name", "next_action", flags.alias("flags"))
+
+
+@register("v4_step_table", _RULES + f"""SELECT symbol, i::INT AS no, {waves.STEPS}[i] AS name, CASE WHEN i < step THEN 'passed' WHEN i = step THEN 'current' ELSE 'open' END AS status, (fl || [breakout AND NOT spent, spent])[i] AS flag
+FROM steps, range(1, 11) AS t(i)""")
+def v4_step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waves.step_table(_steps(spark, sf_dir))
 
 
 @register("t8_furthest_steps", _RULES + "SELECT symbol, step::INT AS step, (SELECT max(step) FROM steps)::INT AS furthest FROM steps WHERE step >= 2")
@@ -86,11 +96,36 @@ def p14_flat_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.rounded(rules.flat_result(rules.nested_result(full_evaluation(spark, sf_dir))))
 
 
-@register("z16_row_gates", _eval_sql(f"SELECT symbol, score >= 85 AS score_ok, act AS capital_active, market_trend = 'up' AS market_up, sector_up AS industry_up, strict AS stock_strict, position <> 'high' AS market_not_high FROM {_ALL_LEGS}"))
+@register("z16_row_gates", _eval_sql(f"SELECT symbol, score >= 85.0::DOUBLE AS score_ok, act AS capital_active, market_trend = 'up' AS market_up, sector_up AS industry_up, strict AS stock_strict, position <> 'high' AS market_not_high FROM {_ALL_LEGS}"))
 def z16_row_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.row_gates(rules.nested_result(full_evaluation(spark, sf_dir)))
 
 
+#: A scan with options of its own: a lower threshold, the high-position gate only softly.
+_OTHER = {"threshold": 70.0, "high_gate": "soft"}
+
+
+@register("z16_relaxed_gates", _eval_sql(f"""SELECT symbol, score >= 70 AS score_ok, act AS capital_active, market_trend = 'up' AS market_up, sector_up AS industry_up, strict AS stock_strict, true AS market_not_high, position <> 'high' AS not_high_if_hard FROM {_ALL_LEGS}"""))
+def z16_relaxed_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold and gate come from each stored row; the hard gate is derived anew beside it."""
+    nested = rules.nested_result(full_evaluation(spark, sf_dir, **_OTHER))
+    hard = rules.row_gates(nested, force_hard=True).select("symbol", F.col("market_not_high").alias("not_high_if_hard"))
+    return rules.row_gates(nested).join(hard, "symbol")
+
+
+@register("z16_option_echo", _eval_sql("SELECT 'ma' AS market_mode, 70.0::DOUBLE AS true_threshold, 8.0::DOUBLE AS capital_min_score, 1.5::DOUBLE AS capital_min_volume_ratio, NULL::DOUBLE AS index_max_lag_days, 'soft' AS high_position_gate, 1.5::DOUBLE AS volume_boost_ratio, market_trend = 'up' AS market_up, position, false AS downgraded FROM lastm"))
+def z16_option_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = rules.nested_result(full_evaluation(spark, sf_dir, **_OTHER))
+    return rules.effective_options(nested).join(rules.market_leg_snapshot(nested).select("market_up", "position", "downgraded"))
+
+
+@register("p7_replayed_evaluation", _eval_sql("SELECT symbol, dt, sector, strict AS stock_strict, market_trend, position, sector_up, cs AS capital_score, act AS capital_active, score FROM fin").replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_shipdate::DATE <= DATE '1997-06-30')"))
+def p7_replayed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full evaluation of a past day: no input shows a later bar."""
+    made = full_evaluation(spark, sf_dir, as_of=F.lit("1997-06-30").cast("date"))
+    return made.select("symbol", "dt", "sector", "stock_strict", "market_trend", "position", "sector_up", "capital_score", "capital_active", "score")
+
+
 @register("x7_true_resonance", _eval_sql(f"SELECT symbol, sector, score FROM {_ALL_LEGS} WHERE true_three"))
 def x7_true_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_evaluation(spark, sf_dir).where("true_resonance").select("symbol", "sector", "score")

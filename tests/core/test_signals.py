@@ -72,25 +72,55 @@ def test_breakout_quality(spark):
 
 
 def test_ten_steps(spark):
-    schema = "symbol string, trend_ok boolean, wave1_ok boolean, wave2_ok boolean, shrinks boolean, stable boolean, breakout boolean, exhausted boolean, entry double, stop double, failed_hard array<int>"
-    yes = dict(trend_ok=True, wave1_ok=True, wave2_ok=True, shrinks=True, stable=True, breakout=True, exhausted=False, entry=10.0, stop=9.0, failed_hard=[])
+    schema = "symbol string, trend_ok boolean, wave1_ok boolean, wave2_exists boolean, shrinks boolean, stable boolean, breakout boolean, exhausted boolean, entry double, stop double, failed_hard array<int>"
+    yes = dict(trend_ok=True, wave1_ok=True, wave2_exists=True, shrinks=True, stable=True, breakout=True, exhausted=False, entry=10.0, stop=9.0, failed_hard=[])
     cases = {
         "hold": {}, "spent": {"exhausted": True}, "market": {"trend_ok": None, "failed_hard": [1], "breakout": False}, "rules": {"failed_hard": [8]}, "break": {"breakout": False, "exhausted": True},
-        "quiet": {"shrinks": False, "breakout": False}, "second": {"wave2_ok": False, "breakout": False}, "bear month": {"breakout": False},
+        "quiet": {"shrinks": False, "breakout": False}, "second": {"wave2_exists": False, "breakout": False}, "bear month": {"breakout": False},
     }
     rows = [tuple({"symbol": s, **yes, **c}.values()) for s, c in cases.items()]
     months = spark.createDataFrame([(s, -1 if s == "bear month" else 1) for s in cases], "symbol string, month_direction int")
     found = {r.symbol: (r.step, r.furthest) for r in waves.reached(waves.ten_steps(spark.createDataFrame(rows, schema), months)).collect()}
     assert found == {"hold": (9, 10), "spent": (10, 10), "market": (1, 10), "rules": (7, 10), "break": (6, 10), "quiet": (5, 10), "second": (4, 10), "bear month": (2, 10)}
+    table = [(r.no, r.status, r.flag) for r in waves.step_table(waves.ten_steps(spark.createDataFrame(rows, schema), months)).where("symbol = 'quiet'").orderBy("no").collect()]
+    assert table[3:7] == [(4, "passed", True), (5, "current", False), (6, "open", False), (7, "open", False)]
+
+
+GATES = "symbol string, stock struct<stock_strict:boolean>, market struct<market_up:boolean, position:string>, sector struct<up:boolean>, capital struct<active:boolean>, "
 
 
 def test_gates_know_what_is_unknown(spark):
-    schema = "symbol string, stock struct<stock_strict:boolean>, market struct<market_up:boolean, position:string>, sector struct<up:boolean>, capital struct<active:boolean>, resonance struct<score:double>"
-    nested = spark.createDataFrame([("A", (True,), (True, "high"), (None,), (False,), (90.0,)), ("B", None, None, None, None, None)], schema)
-    gates = lambda **k: {r[0]: tuple(r[1:]) for r in rules.row_gates(nested, **k).collect()}
-    assert gates() == {"A": (True, False, True, None, True, False), "B": (None,) * 6}
-    assert gates(gate="soft")["A"][-1] is True and gates(gate="soft", force_hard=True)["A"][-1] is False
-    assert gates(threshold=None)["A"][0] is None
+    """Threshold and gate mode are the row's own; results without them, or without a resonance, leave gates unknown."""
+    kind = "resonance struct<score:double, options:struct<true_threshold:double, high_position_gate:string>>"
+    leg = ((True,), (True, "high"), (None,), (False,))
+    rows = [("A", *leg, (90.0, (85.0, "hard"))), ("B", *leg, (90.0, (95.0, " Soft"))), ("C", *leg, (90.0, (None, None))), ("D", *leg, (None, (85.0, "off"))), ("E", None, None, None, None, None)]
+    nested = spark.createDataFrame(rows, GATES + kind)
+    gates = lambda n=nested, **k: {r[0]: tuple(r[1:]) for r in rules.row_gates(n, **k).collect()}
+    leg = (False, True, None, True)
+    assert gates() == {"A": (True, *leg, False), "B": (False, *leg, True), "C": (None, *leg, False), "D": (None, *leg, True), "E": (None,) * 6}
+    assert [gates(force_hard=True)[s][-1] for s in "ABCD"] == [False] * 4
+    old = spark.createDataFrame([("A", *rows[0][1:5], (90.0,))], GATES + "resonance struct<score:double>")
+    assert gates(old)["A"] == (None, *leg, False)
+    assert rules.effective_options(old).collect() == []
+
+
+def test_option_echo(spark):
+    kind = "resonance struct<score:double, options:struct<true_threshold:double, high_position_gate:string, market_mode:string>>"
+    nested = spark.createDataFrame([("B", None, (True, "low"), None, None, (1.0, (70.0, None, "yearline"))), ("A", None, (False, None), None, None, (1.0, None)), ("0", None, None, None, None, None)], GATES + kind)
+    assert rules.effective_options(nested).collect()[0].asDict() == {"market_mode": "yearline", "true_threshold": 70.0, "capital_min_score": None, "capital_min_volume_ratio": None, "index_max_lag_days": None, "high_position_gate": "hard", "volume_boost_ratio": 1.5}
+    assert tuple(rules.market_leg_snapshot(nested).collect()[0]) == (False, "unknown", None, False, None)
+    assert tuple(rules.market_leg_snapshot(nested.where("symbol = 'B'")).collect()[0]) == (True, "low", None, False, "yearline")
+    assert tuple(rules.market_leg_snapshot(nested.limit(0)).collect()[0]) == (False, "unknown", None, False, None)
+
+
+def test_stars_and_hammers_need_few_bars(spark):
+    """A star may stand on a symbol's first three bars (there is no mean body yet); a hammer needs ten bars before it."""
+    star = [(11, 11.1, 9.9, 10, 100), (9.9, 10.0, 9.6, 9.8, 100), (9.9, 10.9, 9.8, 10.8, 100)]
+    fallen = [(10, 10.1, 8.9, 9.98, 100)]
+    days = candles(spark, star, [PLAIN] * 9 + fallen, [PLAIN] * 10 + fallen)
+    found = {(r.symbol, r.code, r.dt) for r in patterns.newest_hits(days, codes=["zaochenzhixing", "chuitouxian"]).collect()}
+    assert found == {("A", "zaochenzhixing", DAY + dt.timedelta(2)), ("C", "chuitouxian", DAY + dt.timedelta(10))}
+    assert list(patterns.DETECTORS)[2:8] == ["zaochenzhixing", "huanghunzhixing", "hongsanbing", "sanzhiwuya", "chuitouxian", "shejizhixing"]
 
 
 def test_annotated_alerts(spark):
