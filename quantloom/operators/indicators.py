@@ -129,21 +129,41 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     return valid.where("ret is not null")
 
 
-def true_range_atr(bars: DataFrame, n: int = 14, limit: float = 0.1) -> DataFrame:
-    """True range, whether the bar closed at the daily limit, and the mean of ``n`` true ranges in which a limit bar counts
-    with the mean of up to ``n`` true ranges so far."""
+#: Code beginnings of the boards whose daily limit is 20 percent.
+WIDE_LIMIT = "^(300|301|688)"
+
+
+def limit_ratio(symbol: Column) -> Column:
+    """The daily limit of a symbol by the digits of its code."""
+    return F.when(F.regexp_replace(symbol, r"\D", "").rlike(WIDE_LIMIT), 0.2).otherwise(0.1)
+
+
+def true_range(bars: DataFrame, limit: float | Column = 0.1) -> DataFrame:
+    """True range, and whether the bar closed at the daily limit."""
     c1 = lag("close")
     tr = F.when(c1.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - c1), F.abs(F.col("low") - c1)))
-    bars = bars.withColumns({"tr": tr, "at_limit": F.coalesce(F.col("close") >= F.bround(c1 * (1 + limit), 2), F.lit(False))})
+    return bars.withColumns({"tr": tr, "at_limit": F.coalesce(F.col("close") >= F.bround(c1 * (1 + limit), 2), F.lit(False))})
+
+
+def true_range_atr(bars: DataFrame, n: int = 14, limit: float | Column = 0.1) -> DataFrame:
+    """True range, whether the bar closed at the daily limit, and the mean of ``n`` true ranges in which a limit bar counts
+    with the mean of up to ``n`` true ranges so far."""
+    bars = true_range(bars, limit)
     bars = bars.withColumn("_tr", F.when(F.col("at_limit"), F.avg("tr").over(last(n))).otherwise(F.col("tr")))
     return bars.withColumn("atr", rolling_mean("_tr", n)).drop("_tr")
 
 
-def poc(bars: DataFrame, n: int = 30, bins: int = 49) -> DataFrame:
+def poc(bars: DataFrame, n: int | str = 30, bins: int = 49, most: int = 60) -> DataFrame:
     """Middle of the price bin with the most volume over the last ``n`` bars, of equal bins the lowest; bars without a full
-    window are left out. A bar's volume lies at its core price."""
-    frame = F.collect_list(F.struct(core_price().alias("p"), F.col("volume").alias("v"))).over(last(n))
-    rows = bars.withColumn("_frame", frame).where(F.size("_frame") == n)
+    window are left out. A bar's volume lies at its core price. ``n`` may be a column of windows up to ``most`` bars; then
+    bars without a full window stay, with NULL."""
+    fixed = isinstance(n, int)
+    frame = F.collect_list(F.struct(core_price().alias("p"), F.col("volume").alias("v"))).over(last(n if fixed else most))
+    rows = bars.withColumn("_frame", frame)
+    if fixed:
+        rows = rows.where(F.size("_frame") == n)
+    else:
+        rows = rows.withColumn("_frame", F.when(F.size("_frame") >= F.col(n), F.slice("_frame", -F.least(F.col(n), F.size("_frame")), F.col(n))))
     low, high = F.array_min(F.col("_frame.p")), F.array_max(F.col("_frame.p"))
     rows = rows.withColumns({"_low": low, "_step": (high - low) / bins})
     place = lambda x: F.coalesce(F.least(F.floor(ratio(x["p"] - F.col("_low"), F.col("_step"))), F.lit(bins - 1)), F.lit(0)).cast("long")
@@ -161,6 +181,46 @@ def poc(bars: DataFrame, n: int = 30, bins: int = 49) -> DataFrame:
     return rows.withColumn("poc", value).drop("_frame", "_low", "_step")
 
 
+#: Bounds of the adaptive windows.
+LOOKBACK, ATR_WINDOW = (10, 60), (10, 14)
+
+
+def adaptive_windows(bars: DataFrame, k_unknown: float = 1.8) -> DataFrame:
+    """Look-back (70 by the mean turnover of 20 bars, 30 where that is unknown), ATR window (a quarter of it) and band factor of
+    every bar; halves are rounded to the even number."""
+    mean = F.when((F.count(F.lit(1)).over(so_far()) >= 20), F.avg("turn").over(last(20)))
+    bars = bars.withColumn("turn_mean20", F.when(mean > 0, mean))
+    clip = lambda x, lo, hi: F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x))
+    n = F.coalesce(F.bround(clip(70 / F.col("turn_mean20"), *LOOKBACK), 0), F.lit(30.0)).cast("int")
+    shown = F.bround("turn_mean20", 2)
+    k = F.when(shown >= 10, 2.2).when(shown >= 3, 1.8).when(shown.isNotNull(), 1.5).otherwise(k_unknown)
+    bars = bars.withColumns({"lookback": n, "k": k})
+    return bars.withColumn("atr_window", clip(F.bround(F.col("lookback") / 4, 0), *ATR_WINDOW).cast("int"))
+
+
+def adaptive_platform(bars: DataFrame, limit: float | Column | None = None) -> DataFrame:
+    """poc, atr, upper, lower and breakout of bars with lookback, atr_window and k (adaptive_windows): each bar by its own
+    windows. NULL and no breakout before 30 bars and without a full window."""
+    bars = true_range(bars, limit_ratio(F.col("symbol")) if limit is None else limit)
+    spans = range(ATR_WINDOW[0], ATR_WINDOW[1] + 1)
+    bars = bars.withColumns({f"_tr{m}": F.when(F.col("at_limit"), F.avg("tr").over(last(m))).otherwise(F.col("tr")) for m in spans})
+    bars = bars.withColumns({f"_atr{m}": rolling_mean(f"_tr{m}", m) for m in spans} | {"limit_before": F.coalesce(lag("at_limit"), F.lit(False)), "_n": F.count(F.lit(1)).over(so_far())})
+    atr = F.coalesce(*(F.when(F.col("atr_window") == m, F.col(f"_atr{m}")) for m in spans))
+    bars = poc(bars.withColumn("atr", atr), "lookback", most=LOOKBACK[1])
+    known = (F.col("_n") >= 30) & F.col("poc").isNotNull() & F.col("atr").isNotNull()
+    bars = bars.withColumn("poc", F.when(known, F.col("poc"))).withColumns({"upper": F.col("poc") + F.col("k") * F.col("atr"), "lower": F.col("poc") - F.col("k") * F.col("atr")})
+    broke = (F.col("close") > F.col("upper")) & (F.col("close") > F.col("open")) & (gravity() > 0.5) & ~F.col("limit_before")
+    return bars.withColumn("breakout", F.coalesce(broke, F.lit(False))).drop("_n", *(f"_tr{m}" for m in spans), *(f"_atr{m}" for m in spans))
+
+
+def adaptive_series(bars: DataFrame, newest: int = 120) -> DataFrame:
+    """adaptive_platform() of the ``newest`` bars of each symbol, all by the windows of its newest bar."""
+    recent = newest_per_symbol(adaptive_windows(bars, k_unknown=1.5), newest)
+    own = ["lookback", "k", "atr_window"]
+    at_end = F.max_by(F.struct(*own), "dt").over(whole())
+    return adaptive_platform(recent.withColumn("_own", at_end).withColumns({c: F.col(f"_own.{c}") for c in own}).drop("_own"))
+
+
 def core_price() -> Column:
     return F.col("low") + gravity() * (F.col("high") - F.col("low"))
 

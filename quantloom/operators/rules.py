@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quantloom.functions.windows import before, lag, last, ratio, so_far
+from quantloom.operators import quality
 
 
 def known_true(c: Column) -> Column:
@@ -95,6 +96,97 @@ def breakout_quality(bars: DataFrame, lookback: int = 60, near: float = 1.02, su
     return made.select("symbol", F.col("_last.dt").alias("dt"), F.col("_at.dt").alias("breakout_dt"), level.alias("support"), "least_after", quality.alias("quality"))
 
 
+def box_place(close: Column, top: Column, bottom: Column, near: float = 0.02) -> Column:
+    return (
+        F.when(close > top * (1 + near), "above top").when(close >= top * (1 - near), "near top").when(close < bottom * (1 - near), "below bottom")
+        .when(close <= bottom * (1 + near), "near bottom").when(top.isNotNull(), "inside").otherwise("unknown")
+    )
+
+
+def period_box(bars: DataFrame, unit: str, lookback: int = 20, least: int = 5) -> DataFrame:
+    """``bars`` with the box of the last ``lookback`` weeks or months as each day sees it: full periods before its own, and its own
+    one up to that day. Adds <unit>_top, <unit>_bottom and <unit>_box (the state; unknown before ``least`` periods).
+
+    One row for each period is joined by (symbol, period); no day meets the other days of its symbol for that.
+    """
+    label = F.date_add(F.date_trunc("week", "dt").cast("date"), 4) if unit == "week" else F.last_day("dt")
+    rows = bars.withColumn("_period", label)
+    periods = rows.where(F.dayofweek("dt").between(2, 6) & F.col("close").isNotNull()).groupBy("symbol", "_period").agg(
+        F.max("high").alias("_h"), F.min("low").alias("_l"), F.max_by("close", "dt").alias("_c"), F.count(F.lit(1)).alias("_n")
+    )
+    # periods with too few bars do not count once they are over
+    periods = periods.withColumn("_full", F.col("_n") >= quality.LEAST_BARS[unit])
+    full = Window.partitionBy("symbol", "_full").orderBy("_period").rowsBetween(-(lookback - 2), 0)
+    periods = periods.withColumn("_box", F.when(F.col("_full"), F.struct(F.max("_h").over(full).alias("top"), F.min("_l").over(full).alias("bottom"), F.col("_c").alias("close"))))
+    earlier = Window.partitionBy("symbol").orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    periods = periods.select("symbol", "_period", F.last("_box", ignorenulls=True).over(earlier).alias("_box"), F.count_if("_full").over(earlier).alias("_before"))
+    own = Window.partitionBy("symbol", "_period").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_top": F.max("high").over(own), "_bottom": F.min("low").over(own)}).join(periods, ["symbol", "_period"], "left")
+    known = F.coalesce("_before", F.lit(0)) + 1 >= least
+    rows = rows.withColumns({f"{unit}_top": F.when(known, F.greatest("_top", "_box.top")), f"{unit}_bottom": F.when(known, F.least("_bottom", "_box.bottom"))})
+    place = box_place(F.col("close"), F.col(f"{unit}_top"), F.col(f"{unit}_bottom"))
+    state = (
+        F.when(place == "above top", F.when(F.col("_box.close") <= F.col(f"{unit}_top"), "breaks out").otherwise("above top"))
+        .when(place == "near top", "tests top").when(place == "near bottom", "falls to bottom").when(place == "below bottom", "breaks down").otherwise(place)
+    )
+    return rows.withColumn(f"{unit}_box", state).drop("_period", "_top", "_bottom", "_box", "_before")
+
+
+def platform_rule(bars: DataFrame, amplitude: float = 15.0, boost: float = 1.5, near: float = 5.0) -> DataFrame:
+    """The platform's verdict on every date, of bars with adaptive_platform(), ma20, volume_ratio and macd_cross.
+
+    The adaptive bands come first: a break above them confirms, else they say sideways. Then, where the last 20 bars (ten at
+    least) stay within ``amplitude`` percent, the state is sideways again (a signal given before stays), unless the close is
+    above ma20 on volume with a golden cross, which confirms; or, without any signal, so near the box's bottom that it may be
+    bought. platform_top and platform_bottom are the bands, else the box of 20 bars.
+    """
+    top, bottom = F.max("high").over(last(20)), F.min("low").over(last(20))
+    bars = bars.withColumns({"box_top": top, "box_bottom": bottom, "_mean": F.avg("close").over(last(20)), "_n": F.count(F.lit(1)).over(so_far())})
+    narrow = known_true((F.col("_n") >= 10) & (F.col("_mean") > 0) & ((F.col("box_top") - F.col("box_bottom")) / F.col("_mean") * 100 < amplitude))
+    above = narrow & known_true(F.col("close") > F.col("ma20"))
+    confirmed = above & known_true((F.col("volume_ratio") > boost) & (F.col("macd_cross") == 1))
+    signal = F.col("breakout") | confirmed
+    flat = above & ~signal & known_true((F.col("close") - F.col("box_bottom")) / F.col("box_bottom") * 100 < near)
+    state = F.when(confirmed, "confirmed").when(flat, "buy flat").when(narrow, "sideways").when(F.col("breakout"), "confirmed").when(F.col("poc").isNotNull(), "sideways").otherwise("unknown")
+    rows = bars.withColumns({"platform_signal": signal, "buy_flat": flat, "platform_state": state})
+    return rows.withColumns({"platform_top": F.coalesce("upper", "box_top"), "platform_bottom": F.coalesce("lower", "box_bottom")}).drop("_mean", "_n")
+
+
+CHECKS = ("long_sideways", "ma60_rising", "breaks_platform", "double_volume", "held_and_golden", "rsi_strong", "money_flows", "sector_strong")
+
+
+def main_wave_checklist(bars: DataFrame, sector_up: Column | None = None) -> DataFrame:
+    """Eight checks of a main wave on every date (CHECKS), how many hold, their share and the verdict, of bars with ma60, macd,
+    macd_signal and rsi. What is not known does not hold; ``sector_up`` is the sector's trend, if there is one."""
+    n = F.count(F.lit(1)).over(so_far())
+    at = lambda k: n >= k
+    width = lambda k: (F.max("high").over(last(k)) - F.min("low").over(last(k))) / F.when(F.avg("close").over(last(k)) > 0, F.avg("close").over(last(k))) * 100
+    golden = (F.col("macd") > F.col("macd_signal")) & ((lag("macd") <= lag("macd_signal")) | (F.abs("macd") < F.col("close") * 0.01))
+    bottom = F.min("low").over(last(20))
+    held = (bottom > 0) & (lag("low") >= bottom * 0.98)
+    rises = lambda k: F.when(known_true(lag("close", k) / lag("close", k + 1) > 1) if k else known_true(F.col("close") / lag("close") > 1), 1).otherwise(0)
+    values = [
+        at(60) & (width(60) < 25), at(65) & (F.col("ma60") - lag("ma60", 5) > 0), at(21) & (F.col("close") >= F.max("high").over(last(20))),
+        at(21) & (F.col("volume") / F.when(F.avg("volume").over(last(20)) > 0, F.avg("volume").over(last(20))) >= 2), at(2) & held & golden,
+        at(6) & (F.col("rsi") > 50) & (F.col("rsi") >= lag("rsi", 5)), at(4) & (rises(0) + rises(1) + rises(2) >= 2), sector_up if sector_up is not None else F.lit(False),
+    ]
+    rows = bars.withColumns({c: known_true(v) for c, v in zip(CHECKS, values, strict=True)})
+    met = reduce(lambda a, b: a + b, (F.col(c).cast("int") for c in CHECKS))
+    rows = rows.withColumn("checks_met", met).withColumn("checks_share", F.col("checks_met") / len(CHECKS))
+    verdict = F.when(F.col("checks_met") >= 6, "likely").when(F.col("checks_met") >= 4, "possible").when(F.col("checks_met") >= 2, "watch").otherwise("not yet")
+    return rows.withColumn("checks_verdict", verdict)
+
+
+def comprehensive_signal(rows: DataFrame) -> DataFrame:
+    """final_score and advice from score, true_resonance, level, yearline_pass and main_wave: 0 where the year line is not passed
+    (nothing revives such a row), else six tenths of the resonance score and 16 points for a main wave."""
+    passed, wave, real = known_true(F.col("yearline_pass")), known_true(F.col("main_wave")), known_true(F.col("true_resonance"))
+    score = F.when(passed, F.bround(F.coalesce("score", F.lit(0.0)) * 0.6 + F.when(wave, 40 * 0.4).otherwise(0.0), 1)).otherwise(0.0)
+    by_level = F.when(F.col("level") == "second", "focus").when(F.col("level") == "first", "follow").otherwise("wait")
+    advice = F.when(~passed, "wait: year line not passed").when(real & wave, "focus strongly: true resonance in a main wave").when(real, "focus: true resonance").when(wave, "follow: main wave").otherwise(by_level)
+    return rows.withColumns({"final_score": score, "advice": advice, "signal_main_wave": passed & wave, "signal_true_resonance": passed & real})
+
+
 def main_wave_state(bars: DataFrame) -> DataFrame:
     """holding, refuel, strong or watch."""
     over5 = known_true(F.col("close") > F.col("ma5"))
