@@ -170,18 +170,6 @@ def w19_doubled_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.rounded(made.select("symbol", "dt", F.col("macd").alias("diff"), F.col("macd_signal").alias("dea"), (F.col("macd_hist") * 2).alias("macd")))
 
 
-@register("x4_index_panel", over(f"""SELECT symbol, dt, close, round(chg1, 5) AS chg1, round(chg5, 5) AS chg5, round(chg20, 5) AS chg20, close > m20 AS above_ma20, close > m250 AS above_yearline, CASE WHEN m5 > m10 AND m10 > m20 THEN 'bull' WHEN m5 < m10 AND m10 < m20 THEN 'bear' ELSE 'mixed' END AS ma_state
-  FROM (SELECT *, {", ".join(f"{sql.mean('close', n)} AS m{n}" for n in (5, 10, 20, 250))}, {", ".join(f"(close / lag(close, {n}) OVER w - 1) * 100 AS chg{n}" for n in (1, 5, 20))}, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk FROM bars {W}) WHERE rk = 1""", ticks=sql.SECTOR_TICKS))
-def x4_index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions are the indexes."""
-    b = ind.moving_averages(src.bars(spark, sf_dir, "r_name"), (5, 10, 20, 250))
-    w = Window.partitionBy("symbol").orderBy("dt")
-    ma = lambda n: F.col(f"ma{n}")
-    state = F.when((ma(5) > ma(10)) & (ma(10) > ma(20)), "bull").when((ma(5) < ma(10)) & (ma(10) < ma(20)), "bear").otherwise("mixed")
-    named = {f"chg{n}": (F.col("close") / F.lag("close", n).over(w) - 1) * 100 for n in (1, 5, 20)} | {"above_ma20": F.col("close") > ma(20), "above_yearline": F.col("close") > ma(250), "ma_state": state}
-    return ind.rounded(ind.latest(b.withColumns(named)).select("symbol", "dt", "close", *named))
-
-
 @register("t2_limited_universe", "SELECT c_custkey AS symbol FROM customer ORDER BY c_custkey LIMIT 100")
 def t2_limited_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol")).orderBy("symbol").limit(100)

@@ -40,10 +40,10 @@ def _weekly(ctes: str) -> str:
     return re.sub(r"\b(i1|ind|kb|kl)\b", r"week_\1", ctes.replace("FROM bars ", "FROM res "))
 
 
-def _summary(name: str, kl: str, e: str) -> str:
+def _summary(name: str, kl: str, e: str, lookback: int = 60) -> str:
     codes = list(patterns.DETECTORS)
     hits = " UNION ALL ".join(f"SELECT symbol, dt, rn, '{c}' AS code, {k} AS place, '{patterns.DETECTORS[c][1]}' AS direction FROM {kl} WHERE {_K10[c]}" for k, c in enumerate(codes))
-    return f"""{name}0 AS (SELECT h.*, row_number() OVER (PARTITION BY h.symbol, code ORDER BY h.dt DESC) AS r FROM ({hits}) h JOIN (SELECT symbol, max(rn) AS m FROM {e} GROUP BY 1) e ON e.symbol = h.symbol AND m - h.rn < 60),
+    return f"""{name}0 AS (SELECT h.*, row_number() OVER (PARTITION BY h.symbol, code ORDER BY h.dt DESC) AS r FROM ({hits}) h JOIN (SELECT symbol, max(rn) AS m FROM {e} GROUP BY 1) e ON e.symbol = h.symbol AND m - h.rn < {lookback}),
 {name}1 AS (SELECT symbol, code, place, direction, max(dt) AS dt, count(*) AS n FROM {name}0 WHERE r <= 3 GROUP BY ALL),
 {name} AS (SELECT symbol, sum(n) AS n, first(direction ORDER BY dt DESC, place) AS direction, array_to_string(list(code || '(' || strftime(dt, '%m-%d') || ' ' || direction || ')' ORDER BY dt DESC, place)[1:3], ', ') AS summary FROM {name}1 GROUP BY 1)"""
 
