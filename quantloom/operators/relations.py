@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.waves import apply_factor
+
 
 def latest_report(financials: DataFrame) -> DataFrame:
     """The newest report of each code; report_date is a label such as 2026-2 and sorts by year, then number."""
@@ -118,14 +122,15 @@ def reconcile_shares(stored: DataFrame, new: DataFrame, events: DataFrame, guard
 
 
 def structure_score(day: DataFrame, week: DataFrame) -> DataFrame:
-    """0 to 100 from the newest stroke of day and week, the place against the last zone, tag and divergence; 50 without a day."""
-    d = day.select("symbol", *(F.col(c).alias(f"d_{c}") for c in ("direction", "confirmed", "place", "tag", "divergence")))
+    """0 to 100 from the newest stroke of day and week, the place against the last zone, tag and divergence; 50 without a day. A day
+    whose place is unknown (results of old) counts by its time within the zone, if it has ``in_zone``."""
+    d = day.select("symbol", *(F.col(c).alias(f"d_{c}") for c in ("direction", "confirmed", "place", "tag", "divergence")), (F.col("in_zone") if "in_zone" in day.columns else F.lit(False)).alias("d_in_zone"))
     rows = d.join(week.select("symbol", F.col("direction").alias("w_direction")), "symbol", "full_outer")
     has_day = F.col("d_direction").isNotNull()
     score = (
         F.lit(50)
         + F.when((F.col("d_direction") == "up") & F.col("d_confirmed"), 12).when((F.col("d_direction") == "down") & F.col("d_confirmed"), -12).otherwise(0)
-        + F.when(F.col("d_place") == "above", 8).when(F.col("d_place") == "in", 2).when(F.col("d_place") == "below", -8).otherwise(0)
+        + F.when(F.col("d_place") == "above", 8).when(F.col("d_place") == "in", 2).when(F.col("d_place") == "below", -8).when(F.col("d_in_zone"), 5).otherwise(0)
         + F.when(F.col("w_direction") == F.col("d_direction"), 8).when(F.col("w_direction").isNotNull() & has_day, -8).otherwise(0)
         + F.when(F.col("d_tag").isin("buy1", "buy2", "buy3"), 10).when(F.col("d_tag").isin("sell1", "sell2", "sell3"), -10).otherwise(0)
         + F.when(F.col("d_divergence") == "top", -10).when(F.col("d_divergence") == "bottom", 10).otherwise(0)
@@ -133,10 +138,66 @@ def structure_score(day: DataFrame, week: DataFrame) -> DataFrame:
     return rows.select("symbol", F.when(has_day, F.least(F.lit(100), F.greatest(F.lit(0), score))).otherwise(50).alias("structure_score"))
 
 
-def combined_score(base: Column, resonance: Column, structure: Column, passed: Column) -> Column:
-    """0.55, 0.25 and 0.20 of three scores, one decimal; 0 where the year-line filter vetoes."""
-    mixed = F.bround(0.55 * F.coalesce(base, F.lit(0.0)) + 0.25 * F.coalesce(resonance, F.lit(0.0)) + 0.2 * structure, 1)
-    return F.when(~passed, 0.0).otherwise(mixed)
+#: What patterns add to a score.
+PATTERN_WEIGHTS = {"strong": 4.0, "breakout": 4.0, "continuation": 2.0, "exhaustion": -6.0, "low_ground": 4.0}
+
+
+def pattern_adjustment(engulfing: Column, gap_type: Column, low_ground: Column) -> Column:
+    """What a strong engulfing bar, the type of a gap and volume at a low ground add to a score; unknown adds nothing."""
+    gap = reduce(lambda c, t: c.when(gap_type == t, PATTERN_WEIGHTS[t]), ("breakout", "continuation", "exhaustion"), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    return F.when(engulfing == "strong", PATTERN_WEIGHTS["strong"]).otherwise(0.0) + gap + F.when(low_ground, PATTERN_WEIGHTS["low_ground"]).otherwise(0.0)
+
+
+def combined_score(base: Column, resonance: Column, structure: Column, passed: Column, mixed: bool = True, factor: tuple[Column, Column, Column] | None = None, patterns: Column | None = None) -> Column:
+    """0.55, 0.25 and 0.20 of three scores, one decimal; 0 where the year-line filter vetoes. Without ``mixed`` the base alone.
+
+    ``factor`` (weight, bonus, penalty of the periods) and ``patterns`` (pattern_adjustment) come on top, within 0 and 100; neither
+    revives a score of 0.
+    """
+    score = base
+    if mixed:
+        score = F.bround(0.55 * F.coalesce(base, F.lit(0.0)) + 0.25 * F.coalesce(resonance, F.lit(0.0)) + 0.2 * structure, 1)
+    if factor:
+        score = apply_factor(score, *factor)
+    if patterns is not None:
+        score = F.when(score > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(score + patterns, 1)))).otherwise(score)
+    return F.when(~passed, 0.0).otherwise(score) if mixed else score
+
+
+def chip_flags(results: DataFrame) -> DataFrame:
+    """``results`` (turnover_20, price, high_120, platform_state) with price_pos, chip_low, chip_quiet and chip_low_unknown.
+
+    Turnover under 2 percent is low chips at a low place (15 percent under the 120-bar high, or a platform that may be bought),
+    quiet elsewhere; an unknown turnover is neither.
+    """
+    pos = F.round(1 - F.try_divide(F.col("price"), F.col("high_120")), 4)
+    low = F.coalesce(F.col("platform_state") == "buy flat", F.lit(False)) | F.coalesce(pos >= 0.15, F.lit(False))
+    quiet = F.coalesce(F.col("turnover_20") < 2, F.lit(False))
+    return results.withColumns({"price_pos": pos, "chip_low": quiet & low, "chip_quiet": quiet & ~low, "chip_low_unknown": F.col("turnover_20").isNull()})
+
+
+#: Label and the flag it stands for, in the order of a result's labels.
+RESULT_LABELS = {
+    "band break": "vap_atr_break", "chips low": "chip_low", "true resonance": "true_resonance", "strong engulfing": "bull_engulf", "breakout gap": "gap_breakout", "continuation gap": "gap_continuation",
+    "exhaustion gap": "gap_exhaustion", "low ground volume": "low_ground_volume",
+}
+QUALITY_LABELS = {"pullback": "pullback confirmed", "false": "false breakout", "direct": "direct breakout"}
+
+
+def classify(results: DataFrame) -> DataFrame:
+    """Stable flags of results (chip_flags(), platform_signal, true_resonance, engulfing, gap_up, gap_type, low_ground, stage, quality)
+    and their labels. Every flag is true or false; unknown is not true."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    flags = {
+        "vap_atr_break": yes(F.col("platform_signal")), "true_resonance": yes(F.col("true_resonance")), "bull_engulf": yes(F.col("engulfing") == "strong"), "gap_up": yes(F.col("gap_up")),
+        "gap_breakout": yes(F.col("gap_type") == "breakout"), "gap_continuation": yes(F.col("gap_type") == "continuation"), "gap_exhaustion": yes(F.col("gap_type") == "exhaustion"), "low_ground_volume": yes(F.col("low_ground")),
+        "has_breakout": yes(F.col("quality") != "none"), "breakout_confirm": yes(F.col("quality") == "pullback"), "false_breakout": yes(F.col("quality") == "false"),
+    }
+    rows = results.withColumns(flags)
+    stage = F.when(F.coalesce("stage", F.lit("unknown")) != "unknown", F.concat(F.lit("stage "), "stage"))
+    quality = F.element_at(F.create_map(*(F.lit(x) for pair in QUALITY_LABELS.items() for x in pair)), F.col("quality"))
+    named = [F.when(F.col(c), F.lit(label)) for label, c in RESULT_LABELS.items()]
+    return rows.withColumn("labels", F.array_compact(F.array(*named, stage, F.when(F.col("quality").isNotNull(), quality))))
 
 
 def signal_labels(flags: dict[str, Column]) -> Column:

@@ -160,34 +160,6 @@ def r20_share_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.reconcile_shares(stored, new, p.where("p_size % 10 = 0").select(F.col("p_partkey").alias("symbol")))
 
 
-_STRUCT = f"""sd AS (SELECT symbol, CASE WHEN close > c1 THEN 'up' ELSE 'down' END AS dir, arrangement IS NOT NULL AS conf, CASE WHEN close > ma20 * 1.1::DOUBLE THEN 'above' WHEN close < ma20 * 0.9::DOUBLE THEN 'below' ELSE 'in' END AS place, CASE WHEN arrangement = 1 THEN 'buy1' WHEN arrangement = -1 THEN 'sell1' END AS tag, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk FROM ind),
-sw AS (SELECT symbol, CASE WHEN close > lag(close) OVER w THEN 'up' ELSE 'down' END AS dir, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk FROM res {W})"""
-
-
-@register("z11_structure_score", over("""SELECT symbol, least(100, greatest(0, 50 + CASE WHEN d.conf THEN CASE d.dir WHEN 'up' THEN 12 ELSE -12 END ELSE 0 END + CASE place WHEN 'above' THEN 8 WHEN 'in' THEN 2 ELSE -8 END
-  + CASE WHEN w.dir = d.dir THEN 8 ELSE -8 END + CASE WHEN tag = 'buy1' THEN 10 WHEN tag = 'sell1' THEN -10 ELSE 0 END)) AS structure_score FROM (SELECT * FROM sd WHERE rk = 1) d JOIN (SELECT * FROM sw WHERE rk = 1) w USING (symbol)""", IND, sql.weeks(), _STRUCT))
-def z11_structure_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _structure(spark, sf_dir)
-
-
-def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes stand in for by the newest change, zones by the distance from ma20."""
-    day = ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir)))
-    direction = F.when(F.col("close") > lag("close"), "up").otherwise("down")
-    place = F.when(F.col("close") > F.col("ma20") * 1.1, "above").when(F.col("close") < F.col("ma20") * 0.9, "below").otherwise("in")
-    tag = F.when(F.col("arrangement") == 1, "buy1").when(F.col("arrangement") == -1, "sell1")
-    day = ind.latest(day.withColumns({"direction": direction, "confirmed": F.col("arrangement").isNotNull(), "place": place, "tag": tag, "divergence": F.lit("")}))
-    week = ind.latest(quality.resample(src.bars(spark, sf_dir, weekdays=False), "week").withColumn("direction", direction))
-    return relations.structure_score(day, week)
-
-
-@register("z10_combined_score")
-def z10_combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = full_evaluation(spark, sf_dir).join(_structure(spark, sf_dir), "symbol")
-    base = F.when(F.col("yearline_pass"), F.col("score") * 0.6).otherwise(0.0)
-    return rows.select("symbol", relations.combined_score(base, F.col("score"), F.col("structure_score"), F.col("yearline_pass")).alias("combined"))
-
-
 @register("z15_signal_labels", over(f"""SELECT symbol, dt, array_to_string(list_filter([CASE WHEN {_PASS} THEN 'yearline' END, CASE WHEN arrangement = 1 THEN 'arranged' END, CASE WHEN {_LOW} THEN 'low' END, CASE WHEN volume_ratio > 1.5 THEN 'volume' END], lambda x: x IS NOT NULL), ',') AS labels FROM ind {W}""", IND))
 def z15_signal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = patterns.low_ground_volume(rules.yearline_filter(ind.volume_ratio(ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir))))))

@@ -27,9 +27,6 @@ steps AS (SELECT *, CASE WHEN spent THEN 10 WHEN fl[6] AND fl[7] THEN 9 ELSE gre
 ORACLE_SQL["v3_rules_and_verdict"] = _RULES + "SELECT symbol, phase, array_to_string(failed, ',') AS failed_hard, quality, verdict FROM verdicts"
 ORACLE_SQL["v10_attached_waves"] = _RULES + f"""SELECT symbol, score, CASE WHEN row_number() OVER (ORDER BY score DESC NULLS LAST, symbol) <= 20 THEN coalesce(verdict, 'not_evaluated') ELSE 'not_evaluated' END AS verdict
 FROM ({ORACLE_SQL["z8_resonance_score"]}) LEFT JOIN (SELECT symbol, verdict FROM verdicts) USING (symbol)"""
-ORACLE_SQL["z10_combined_score"] = f"""SELECT symbol, CASE WHEN NOT yearline_pass THEN 0.0::DOUBLE ELSE round_even(0.55::DOUBLE * (score * 0.6::DOUBLE) + 0.25::DOUBLE * score + 0.2::DOUBLE * structure_score, 1) END AS combined
-FROM ({ORACLE_SQL["z8_resonance_score"]}) JOIN (SELECT symbol, yearline_pass FROM ({ORACLE_SQL["r1_yearline_filter"]})) USING (symbol) JOIN ({ORACLE_SQL["z11_structure_score"]}) USING (symbol)"""
-
 #: Sizes and the scale of the candidates' correlated risk, over all verdicts; their correlations are those among candidates.
 ORACLE_SQL["v9_portfolio_evaluation"] = _RULES + f""", ps AS (SELECT symbol, verdict, entry, stop, CASE WHEN entry - stop > 0 THEN floor(10000.0::DOUBLE / (entry - stop)) END AS br, floor(200000.0::DOUBLE / entry) AS bc FROM verdicts),
 pz AS (SELECT *, coalesce(least(br, bc), 0)::BIGINT AS shares FROM ps), rk AS (SELECT symbol, shares * (entry - stop) AS r FROM pz WHERE verdict = 'candidate' AND shares > 0),
