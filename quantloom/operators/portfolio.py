@@ -50,7 +50,9 @@ def correlations(returns: DataFrame, least: int = 20, block_cells: int = BLOCK_C
     symbol's history becomes one row, and every block is sent to the pairs that it is part of. Blocks have as many symbols as
     keep a matrix at ``block_cells``; no day is a key, so no busy day makes a task large.
     """
-    series = returns.where("ret is not null").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(F.unix_date(F.to_date("dt")).alias("d"), F.col("ret").alias("r")))).alias("x"))
+    kind = returns.schema["dt"].dataType.typeName()
+    day = F.unix_date("dt") if kind == "date" else F.unix_micros(F.col("dt").cast("timestamp")) if kind.startswith("timestamp") else F.col("dt")
+    series = returns.where("ret is not null").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(day.cast("long").alias("d"), F.col("ret").alias("r")))).alias("x"))
     series = series.select("symbol", F.col("x.d").alias("days"), F.col("x.r").alias("rets"))
     size = returns.where("ret is not null").agg(F.approx_count_distinct("symbol").alias("symbols"), F.approx_count_distinct("dt").alias("days")).first()
     n_blocks = max(1, -(-size["symbols"] // max(1, block_cells // max(1, size["days"]))))

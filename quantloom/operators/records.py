@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.quality import normalize_symbol
+
 #: Spellings of bar periods and of price adjustments, and the flag that each signal name stands for.
 FREQUENCIES = {"1d": "1d", "daily": "1d", "d": "1d", "1w": "1w", "weekly": "1w", "w": "1w", "1m": "1M", "monthly": "1M", "m": "1M"}
 ADJUSTMENTS = {"qfq": "qfq", "hfq": "hfq", "none": "none", "": "none"}
@@ -178,23 +180,17 @@ def write_shards(rows: DataFrame, path: str, stage: Column) -> None:
     rows.withColumn("stage", stage).write.partitionBy("stage").mode("overwrite").json(path)
 
 
-def export_text(watchlist: DataFrame, fmt: str) -> DataFrame:
-    """One column ``value`` of lines to write as text: csv, txt (symbols only), or a broker's ``exchange digit + code`` lines."""
-    digits = F.regexp_extract("symbol", r"(\d+)", 1)
-    lines = {"csv": F.concat_ws(",", "symbol", "name"), "txt": F.col("symbol"), "broker": F.concat(F.when(F.col("symbol").rlike("[02468]$"), "1").otherwise("0"), F.lpad(digits, 6, "0"))}
-    if fmt not in lines:
-        raise ValueError(f"unknown format {fmt}")
-    return watchlist.select(lines[fmt].alias("value"))
-
-
 def coverage_report(scopes: DataFrame, bars: DataFrame, shares: DataFrame, today: Column) -> DataFrame:
     """One row for each scope of ``scopes`` (scope, symbol): symbols, those with bars, with bars older than ``today``, without
-    shares, oddly spelled ones, and the warnings that follow."""
+    shares, oddly spelled ones (a code that is normally spelled another way), unknown chips (``chip_unknown`` of ``scopes``, if there is
+    such a column), and the warnings that follow."""
     ends = bars.groupBy("symbol").agg(F.max("dt").alias("_last"))
     known = scopes.join(ends, "symbol", "left").join(shares.select("symbol", F.lit(1).alias("_share")).distinct(), "symbol", "left")
+    odd = F.coalesce(normalize_symbol(F.col("symbol")) != F.col("symbol"), F.lit(False))
+    chips = F.col("chip_unknown") if "chip_unknown" in scopes.columns else F.lit(False)
     made = known.groupBy("scope").agg(
         F.count(F.lit(1)).alias("symbols"), F.count("_last").alias("with_bars"), F.count_if(F.col("_last") < today).alias("stale"),
-        F.count_if(F.col("_share").isNull()).alias("without_shares"), F.count_if(~F.col("symbol").rlike("^[A-Z]+_[0-9]+$")).alias("odd_spellings"),
+        F.count_if(F.col("_share").isNull()).alias("without_shares"), F.count_if(odd).alias("odd_spellings"), F.count_if(F.coalesce(chips, F.lit(False))).alias("unknown_chips"),
     )
     warn = lambda test, text: F.when(test, F.lit(text))
     warnings = F.array_compact(F.array(warn(F.col("with_bars") < F.col("symbols"), "no bars"), warn(F.col("stale") > 0, "old bars"), warn(F.col("without_shares") > 0, "no shares"), warn(F.col("odd_spellings") > 0, "spelling")))

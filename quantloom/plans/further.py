@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
-from quantloom.operators import quality, records, relations
+from quantloom.operators import quality, records, relations, rules
 from quantloom.plans import sql
-from quantloom.plans.catalog import _ema, register
+from quantloom.plans.catalog import _ema, _eval_sql, full_evaluation, register
 from quantloom.plans.more import scratch
 from quantloom.plans.sql import W, over
 from quantloom.sources import bars as src
+from quantloom.sources import watchlists
 
 _SPELLED = "[' Daily', 'w', 'MONTHLY', '1d', 'weekly ', 'yearly']"
 
@@ -56,44 +57,43 @@ def p9_stocks_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stocks_only(listed).select("code", "name")
 
 
-#: What a scan leaves of each symbol here: flags of its last bar; some are unknown where a mean is.
-_RESULTS = f"""r0 AS (SELECT *, {", ".join(f"{sql.mean('close', n)} AS m{n}" for n in (5, 20, 60, 250))}, max(high) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS hi, min(low) OVER (w ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS lo,
-  row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk FROM bars {W}),
-res AS (SELECT symbol, close, close > m20 AND m20 > m60 AS stock_strict, close > m20 AS industry_up, close > m5 AS market_up, (close - lo) / (hi - lo) < 0.8 AS market_not_high, symbol LIKE '%5' AS is_index,
-  CASE WHEN symbol NOT LIKE '%7' THEN (close > m5)::INT + (close > m20)::INT + (close > m60)::INT END AS score, CASE WHEN symbol NOT LIKE '%2' THEN close > m250 END AS true_resonance FROM r0 WHERE rk = 1)"""
+#: What a scan leaves of each symbol, and of the market itself as an index row.
+_RES = """(SELECT f.symbol, f.sector, k.close, f.strict AS stock_strict, f.sector_up AS industry_up, f.market_trend = 'up' AS market_up, f.position <> 'high' AS market_not_high, false AS is_index, f.score,
+  f.score >= 85 AND f.act AND f.market_trend = 'up' AND coalesce(f.sector_up, false) AND f.strict AND f.position <> 'high' AS true_resonance, f.strict AND coalesce(f.sector_up, false) AND f.market_trend = 'up' AS three_resonance FROM fin f JOIN lastk k USING (symbol, dt)
+  UNION ALL SELECT 'ALL', NULL, NULL, NULL, NULL, market_trend = 'up', position <> 'high', true, NULL, NULL, NULL FROM lastm)"""
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(-59, 0)
-    b = ind.moving_averages(src.bars(spark, sf_dir), (5, 20, 60, 250)).withColumns({"hi": F.max("high").over(w), "lo": F.min("low").over(w)})
-    above = lambda n: (F.col("close") > F.col(f"ma{n}"))
-    score = above(5).cast("int") + above(20).cast("int") + above(60).cast("int")
-    return ind.latest(b).select(
-        "symbol", "close", (above(20) & (F.col("ma20") > F.col("ma60"))).alias("stock_strict"), above(20).alias("industry_up"), above(5).alias("market_up"),
-        ((F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo")) < 0.8).alias("market_not_high"), F.col("symbol").like("%5").alias("is_index"),
-        F.when(~F.col("symbol").like("%7"), score).alias("score"), F.when(~F.col("symbol").like("%2"), above(250)).alias("true_resonance"),
+    """The full evaluation's nested results as flat flags, and the market's own row, which has no stock legs."""
+    r = rules.nested_result(full_evaluation(spark, sf_dir))
+    stocks = r.select(
+        "symbol", F.col("sector.name").alias("sector"), "stock.close", "stock.stock_strict", F.col("sector.up").alias("industry_up"), "market.market_up", (F.col("market.position") != "high").alias("market_not_high"),
+        F.lit(False).alias("is_index"), "resonance.score", "resonance.true_resonance", "resonance.three_resonance",
     )
+    leg = rules.market_leg_snapshot(r)
+    index = leg.select(F.lit("ALL").alias("symbol"), "market_up", (F.col("position") != "high").alias("market_not_high"), F.lit(True).alias("is_index"))
+    return stocks.unionByName(index, allowMissingColumns=True)
 
 
-@register("p11_signal_filter", over("SELECT symbol, score FROM res WHERE coalesce(true_resonance, false)", _RESULTS))
+@register("p11_signal_filter", _eval_sql(f"SELECT symbol, score FROM {_RES} WHERE coalesce(three_resonance, false)"))
 def p11_signal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.with_signal(records.with_signal(_results(spark, sf_dir), "true_resonance"), "no such signal").select("symbol", "score")
+    return records.with_signal(records.with_signal(_results(spark, sf_dir), "three_resonance"), "no such signal").select("symbol", "score")
 
 
-@register("p12_least_score", over("SELECT symbol, score FROM res WHERE score >= 2", _RESULTS))
+@register("p12_least_score", _eval_sql(f"SELECT symbol, score FROM {_RES} WHERE score >= 40"))
 def p12_least_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.least_score(_results(spark, sf_dir), 2).select("symbol", "score")
+    return records.least_score(_results(spark, sf_dir), 40).select("symbol", "score")
 
 
-@register("a14_only_market_mismatch", over("SELECT symbol FROM res WHERE NOT is_index AND coalesce(stock_strict, false) AND coalesce(industry_up, false) AND (market_up IS false OR market_not_high IS false)", _RESULTS))
+@register("a14_only_market_mismatch", _eval_sql(f"SELECT symbol FROM {_RES} WHERE NOT is_index AND coalesce(stock_strict, false) AND coalesce(industry_up, false) AND (market_up IS false OR market_not_high IS false)"))
 def a14_only_market_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.only_market_mismatch(_results(spark, sf_dir)).select("symbol")
 
 
-_FACTORS = ["stock_strict", "industry_up", "market_up", "market_not_high", "true_resonance", "score"]
+_FACTORS = ["stock_strict", "industry_up", "market_up", "market_not_high", "true_resonance", "three_resonance"]
 
 
-@register("a16_factor_counts", over("SELECT factor, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, coalesce({f}::VARCHAR, 'null') AS value FROM res" for f in _FACTORS) + ") GROUP BY 1, 2", _RESULTS))
+@register("a16_factor_counts", _eval_sql("SELECT factor, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, coalesce({f}::VARCHAR, 'null') AS value FROM {_RES}" for f in _FACTORS) + ") GROUP BY 1, 2"))
 def a16_factor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.factor_counts(_results(spark, sf_dir), _FACTORS)
 
@@ -118,7 +118,7 @@ def j8_orphan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.orphans(src.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), jobs, "o_custkey")
 
 
-@register("j12_enriched_related", over("SELECT 'S-' || n_nationkey AS symbol, r_name AS sector, score, close FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT * FROM res WHERE score IS NOT NULL) ON symbol = n_name", _RESULTS))
+@register("j12_enriched_related", _eval_sql(f"SELECT 'S-' || n_nationkey AS symbol, r_name AS sector, score, close FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT symbol AS s, score, close FROM {_RES} WHERE score IS NOT NULL) ON s = n_name"))
 def j12_enriched_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related symbols are spelled another way than in the results."""
     n, r = src.table(spark, sf_dir, "nation"), src.table(spark, sf_dir, "region")
@@ -236,16 +236,42 @@ def s2_adjusted_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).withColumnsRenamed({"code": "symbol", "date": "dt", "turnover": "amount"})
 
 
-@register("s7_watchlist_export", """SELECT value, count(*) AS n FROM (SELECT c_name || ',' || c_mktsegment AS value FROM customer UNION ALL SELECT c_name FROM customer
-  UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE '0' END || lpad(c_custkey::VARCHAR, 6, '0') FROM (SELECT c_custkey FROM customer)) GROUP BY 1""")
+_LISTED = "SELECT lpad((c_custkey * 7 % 1000000)::VARCHAR, 6, '0') AS d, CASE c_custkey % 3 WHEN 0 THEN 'SH' WHEN 1 THEN 'SZ' ELSE 'BJ' END AS x, replace(c_name, '#', ' ') AS name, c_custkey % 5 = 0 AS held, c_custkey FROM customer"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a watchlist with codes of all three exchanges."""
+    key = F.col("c_custkey")
+    code = F.concat_ws(".", F.lpad((key * 7 % 1000000).cast("string"), 6, "0"), F.element_at(F.array(*map(F.lit, ("SH", "SZ", "BJ"))), (key % 3 + 1).cast("int")))
+    return src.table(spark, sf_dir, "customer").select(code.alias("symbol"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("name"), (key % 5 == 0).alias("held"))
+
+
+@register("s7_watchlist_export", f"""SELECT value, count(*) AS n FROM (SELECT d || '.' || x || ',' || name || ',,,,' || CASE WHEN held THEN '是' ELSE '' END || ',' AS value FROM ({_LISTED}) UNION ALL SELECT d || '.' || x FROM ({_LISTED})
+  UNION ALL SELECT CASE x WHEN 'SH' THEN '1' WHEN 'SZ' THEN '0' ELSE '2' END || d FROM ({_LISTED}) UNION ALL SELECT d || ' ' || name FROM ({_LISTED})
+  UNION ALL SELECT printf('{{"symbol":"%s","name":"%s","held":%s}}', d || '.' || x, name, held::VARCHAR) FROM ({_LISTED})) GROUP BY 1""")
 def s7_watchlist_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three text forms, written and read again."""
-    c = src.table(spark, sf_dir, "customer")
-    w, short = c.select(F.col("c_name").alias("symbol"), F.col("c_mktsegment").alias("name")), c.select(F.col("c_custkey").cast("string").alias("symbol"))
-    path = scratch(spark, "watchlist")
-    for fmt, rows in (("csv", w), ("txt", w), ("broker", short)):
-        records.export_text(rows, fmt).write.text(f"{path}/{fmt}")
-    return spark.read.text([f"{path}/{f}" for f in ("csv", "txt", "broker")]).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    """All five forms, written and read again as text."""
+    path, w = scratch(spark, "watchlist"), _listed(spark, sf_dir)
+    for fmt in watchlists.FORMATS:
+        watchlists.export_lines(w, fmt).write.text(f"{path}/{fmt}")
+    return spark.read.text([f"{path}/{f}" for f in watchlists.FORMATS]).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s6_watchlist_import", f"""SELECT form, symbol, name, held FROM (SELECT d || '.' || x AS symbol, name, held FROM ({_LISTED})), (SELECT unnest(['json', 'flagged', 'txt']) AS form) WHERE form = 'json'
+  UNION ALL SELECT form, d || '.' || x, '', false FROM ({_LISTED}), (SELECT unnest(['flagged', 'txt']) AS form) UNION ALL SELECT 'refused', 'no code here', '', false""")
+def s6_watchlist_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of three forms (each one file) read back, two of them by detection, and a line that holds no code."""
+    path, w = scratch(spark, "import"), _listed(spark, sf_dir)
+    found = None
+    for form, fmt in (("json", "auto"), ("txt", "auto"), ("flagged", "flagged")):
+        lines = watchlists.export_lines(w, form)
+        if form == "txt":
+            lines = lines.unionByName(spark.range(1).select(F.lit("no-code-here").alias("value")))
+        lines.coalesce(1).write.text(f"{path}/{form}")
+        made, refused = watchlists.read_watchlist(spark, f"{path}/{form}", fmt)
+        rows = made.select(F.lit(form).alias("form"), "symbol", "name", "held").unionByName(refused.select(F.lit("refused").alias("form"), F.replace("raw", F.lit("-"), F.lit(" ")).alias("symbol"), F.lit("").alias("name"), F.lit(False).alias("held")))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @register("s15_json_shards", "SELECT event_type AS stage, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
@@ -255,13 +281,12 @@ def s15_json_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, event_type string, stage string").json(path).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-@register("s16_flat_report", over("SELECT symbol, close, score, stock_strict, industry_up, market_up FROM res", _RESULTS))
+@register("s16_flat_report", _eval_sql(f"SELECT symbol, close, score, stock_strict, industry_up, market_up FROM {_RES}"))
 def s16_flat_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested results as a flat report: written as CSV with a header, read again."""
     path = scratch(spark, "report")
-    nested = _results(spark, sf_dir).select("symbol", F.struct("close", "score").alias("summary"), F.struct("stock_strict", "industry_up", "market_up").alias("gates"))
-    nested.select("symbol", "summary.*", "gates.*").write.option("header", True).csv(path)
-    return spark.read.option("header", True).schema("symbol string, close double, score int, stock_strict boolean, industry_up boolean, market_up boolean").csv(path)
+    _results(spark, sf_dir).select("symbol", "close", "score", "stock_strict", "industry_up", "market_up").write.option("header", True).csv(path)
+    return spark.read.option("header", True).schema("symbol string, close double, score double, stock_strict boolean, industry_up boolean, market_up boolean").csv(path)
 
 
 @register("m1_json_safe", "SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d') AS day, CASE WHEN o_custkey % 5 > 1 THEN o_totalprice END AS value FROM orders")
@@ -278,15 +303,15 @@ def m10_summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.summary_line(counts, "sectors", "%s %d bars", ["symbol", "n"], "symbol")
 
 
-@register("a21_coverage_report", over("""SELECT scope, symbols, with_bars, stale, without_shares, odd_spellings, concat_ws(', ', CASE WHEN with_bars < symbols THEN 'no bars' END, CASE WHEN stale > 0 THEN 'old bars' END, CASE WHEN without_shares > 0 THEN 'no shares' END, CASE WHEN odd_spellings > 0 THEN 'spelling' END) AS warnings
-  FROM (SELECT scope, count(*) AS symbols, count(l) AS with_bars, count(*) FILTER (l < (SELECT max(dt) FROM bars)) AS stale, count(*) FILTER (n_regionkey IS NULL OR n_regionkey = 0) AS without_shares, count(*) FILTER (symbol = 'nation 99') AS odd_spellings
-    FROM (SELECT 'market' AS scope, n_name AS symbol, n_regionkey FROM nation UNION ALL SELECT 'watchlist', n_name, n_regionkey FROM nation WHERE n_nationkey < 9 UNION ALL SELECT 'watchlist', 'nation 99', NULL)
+@register("a21_coverage_report", over("""SELECT scope, symbols, with_bars, stale, without_shares, odd_spellings, unknown_chips, concat_ws(', ', CASE WHEN with_bars < symbols THEN 'no bars' END, CASE WHEN stale > 0 THEN 'old bars' END, CASE WHEN without_shares > 0 THEN 'no shares' END, CASE WHEN odd_spellings > 0 THEN 'spelling' END) AS warnings
+  FROM (SELECT scope, count(*) AS symbols, count(l) AS with_bars, count(*) FILTER (l < (SELECT max(dt) FROM bars)) AS stale, count(*) FILTER (n_regionkey IS NULL OR n_regionkey = 0) AS without_shares, count(*) FILTER (symbol = 'sh.600519') AS odd_spellings, count(*) FILTER (scope = 'market' AND n_regionkey = 2) AS unknown_chips
+    FROM (SELECT 'market' AS scope, n_name AS symbol, n_regionkey FROM nation UNION ALL SELECT 'watchlist', n_name, n_regionkey FROM nation WHERE n_nationkey < 9 UNION ALL SELECT 'watchlist', 'sh.600519', NULL)
     LEFT JOIN (SELECT symbol, max(dt) AS l FROM bars GROUP BY 1) USING (symbol) GROUP BY 1)"""))
 def a21_coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = src.table(spark, sf_dir, "nation")
-    own = n.select(F.lit("market").alias("scope"), F.col("n_name").alias("symbol"), "n_nationkey")
-    watch = own.where("n_nationkey < 9").withColumn("scope", F.lit("watchlist")).select("scope", "symbol")
-    odd = n.where("n_nationkey = 0").select(F.lit("watchlist").alias("scope"), F.lit("nation 99").alias("symbol"))
+    own = n.select(F.lit("market").alias("scope"), F.col("n_name").alias("symbol"), "n_nationkey", (F.col("n_regionkey") == 2).alias("chip_unknown"))
+    watch = own.where("n_nationkey < 9").select(F.lit("watchlist").alias("scope"), "symbol", F.lit(None).cast("boolean").alias("chip_unknown"))
+    odd = n.where("n_nationkey = 0").select(F.lit("watchlist").alias("scope"), F.lit("sh.600519").alias("symbol"), F.lit(None).cast("boolean").alias("chip_unknown"))
     b = src.bars(spark, sf_dir)
     newest = b.agg(F.max("dt")).first()[0]
     shares = n.where("n_regionkey <> 0").select(F.col("n_name").alias("symbol"))

@@ -41,23 +41,6 @@ def symbol_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(symbol.alias("symbol"), "place").where("symbol is not null").groupBy("symbol").agg(F.min("place").alias("place")).orderBy("place").select("symbol")
 
 
-def read_watchlist(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """(symbol, name) from ``json``, ``csv`` (columns code, name) or ``txt`` (a code and perhaps a name a line)."""
-    if fmt == "json":
-        raw = spark.read.schema("code string, name string").json(path)
-    elif fmt == "csv":
-        raw = spark.read.schema("code string, name string").option("header", True).csv(path)
-    elif fmt == "txt":
-        raw = spark.read.text(path).select(F.split(F.trim("value"), r"[\s,]+", 2).alias("x")).select(F.get("x", F.lit(0)).alias("code"), F.get("x", F.lit(1)).alias("name"))
-    else:
-        raise ValueError(f"no such format: {fmt}")
-    return raw.select(normalize_symbol(F.col("code")).alias("symbol"), "name").where("symbol is not null").groupBy("symbol").agg(F.first("name", ignorenulls=True).alias("name"))
-
-
-def merge_watchlist(stored: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
-    return new if replace else stored.unionByName(new.join(stored, "symbol", "left_anti"))
-
-
 def write_results(results: DataFrame, path: str) -> None:
     """Append-safe sink of scan results: rewriting a job replaces that job's folder only."""
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)

@@ -134,7 +134,3 @@ def test_files(spark, tmp_path):
     assert [(r.symbol, str(r.dt), r.close, r.volume) for r in got] == [("600519.SH", "2024-01-02", 10.5, 2.0)]
     (tmp_path / "list.blk").write_text("1600519\n0000001\n600519\n\njunk\n")
     assert [r.symbol for r in files.symbol_list(spark, str(tmp_path / "list.blk")).collect()] == ["600519.SH", "000001.SZ"]
-    (tmp_path / "w.txt").write_text("600519 Moutai\n000001\n")
-    new = files.read_watchlist(spark, str(tmp_path / "w.txt"), "txt")
-    stored = spark.createDataFrame([("600519.SH", "old")], "symbol string, name string")
-    assert {r.symbol: r.name for r in files.merge_watchlist(stored, new).collect()} == {"600519.SH": "old", "000001.SZ": None}
