@@ -302,6 +302,12 @@ def period_direction(bars: DataFrame, back: int = 20) -> DataFrame:
     return bars.withColumns({"direction": F.when(bull, "bull").when(bear, "bear").when(F.col("ma20").isNotNull(), "neutral"), "ma20_slope_pct": slope})
 
 
+def period_trend(bars: DataFrame) -> DataFrame:
+    """trend of every bar of a period: bull where ma5, ma10 and ma20 fall in order, other, or short before 20 bars."""
+    ma = {n: F.when(F.count("close").over(last(n)) == n, F.avg("close").over(last(n))) for n in (5, 10, 20)}
+    return bars.withColumn("trend", F.when(ma[20].isNull(), "short").when((ma[5] > ma[10]) & (ma[10] > ma[20]), "bull").otherwise("other"))
+
+
 def turnover_tag(turn: Column) -> Column:
     """Band of a turnover in percent; bands that no one named are ``other``."""
     return F.when(turn.isNull() | (turn <= 0), "unknown").when(turn >= 70, "flee").when(turn >= 25, "heavy").when(turn.between(8, 15), "inflow").when(turn.between(3, 5), "absorb").otherwise("other")

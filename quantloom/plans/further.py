@@ -75,11 +75,6 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stocks.unionByName(index, allowMissingColumns=True)
 
 
-@register("p11_signal_filter", _eval_sql(f"SELECT symbol, score FROM {_RES} WHERE coalesce(three_resonance, false)"))
-def p11_signal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.with_signal(records.with_signal(_results(spark, sf_dir), "three_resonance"), "no such signal").select("symbol", "score")
-
-
 @register("p12_least_score", _eval_sql(f"SELECT symbol, score FROM {_RES} WHERE score >= 40"))
 def p12_least_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.least_score(_results(spark, sf_dir), 40).select("symbol", "score")
