@@ -191,7 +191,8 @@ def adaptive_windows(bars: DataFrame, k_unknown: float = 1.8) -> DataFrame:
     mean = F.when((F.count(F.lit(1)).over(so_far()) >= 20), F.avg("turn").over(last(20)))
     bars = bars.withColumn("turn_mean20", F.when(mean > 0, mean))
     clip = lambda x, lo, hi: F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x))
-    n = F.coalesce(F.bround(clip(70 / F.col("turn_mean20"), *LOOKBACK), 0), F.lit(30.0)).cast("int")
+    mean = F.col("turn_mean20")
+    n = F.when(mean.isNull(), 30).otherwise(F.bround(clip(70 / mean, *LOOKBACK), 0)).cast("int")
     shown = F.bround("turn_mean20", 2)
     k = F.when(shown >= 10, 2.2).when(shown >= 3, 1.8).when(shown.isNotNull(), 1.5).otherwise(k_unknown)
     bars = bars.withColumns({"lookback": n, "k": k})

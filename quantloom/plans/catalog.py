@@ -259,10 +259,11 @@ cap AS (SELECT *, CASE WHEN rn >= 6 THEN least(20, CASE WHEN vr >= 1.8 THEN 12 W
 _columns("z7_capital_activity", rules.capital_activity, {"capital_ratio": r6("vr"), "capital_score": "cs", "capital_active": "rn >= 6 AND (cs >= 8 OR vr >= 1.5)"}, (IND, _CAP), "cap", needs_ma=False)
 
 
-def full_evaluation(spark: SparkSession, sf_dir: str, as_of: Column | None = None, basis: str = "ma", threshold: float = 85.0, high_gate: str = "hard") -> DataFrame:
+def full_evaluation(spark: SparkSession, sf_dir: str, as_of: Column | None = None, basis: str = "ma", threshold: float = 85.0, high_gate: str = "hard", of: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """Every symbol's newest bar with all three legs, capital, gates and score, and the options that they were made with; of bars up
-    to ``as_of``, if given: symbols, sectors and the market are all cut there."""
-    seen = lambda scope: records.as_of(src.bars(spark, sf_dir, scope), as_of)
+    to ``as_of``, if given: symbols, sectors and the market are all cut there. ``of`` gives the bars of a scope, if they are written
+    already."""
+    seen = lambda scope: records.as_of(of(scope) if of else src.bars(spark, sf_dir, scope), as_of)
     stocks = rules.capital_activity(rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(seen("n_name")))))
     loose = (F.col("arrangement") == 1) | (F.col("close") > F.col("ma20"))
     stocks = ind.latest(stocks).withColumn("stock_strict", F.col("yearline_pass") & F.coalesce(loose, F.lit(False)))

@@ -15,7 +15,7 @@ from quantloom.plans.sql import IND, W, cross, over
 from quantloom.sources import bars as src
 
 _K = lambda unknown: f"CASE WHEN tm IS NULL THEN {unknown} WHEN round_even(tm, 2) >= 10 THEN 2.2 WHEN round_even(tm, 2) >= 3 THEN 1.8 ELSE 1.5 END::DOUBLE"
-_WINDOWS = f"""aw AS (SELECT *, greatest(10, least(14, round_even(n / 4.0::DOUBLE, 0)))::INT AS m FROM (SELECT *, coalesce(round_even(least(60, greatest(10, 70 / tm)), 0), 30)::INT AS n, {_K(1.8)} AS k FROM (SELECT *, CASE WHEN turn_ma20 > 0 THEN turn_ma20 END AS tm FROM ind)))"""
+_WINDOWS = f"""aw AS (SELECT *, greatest(10, least(14, round_even(n / 4.0::DOUBLE, 0)))::INT AS m FROM (SELECT *, CASE WHEN tm IS NULL THEN 30 ELSE round_even(least(60, greatest(10, 70 / tm)), 0) END::INT AS n, {_K(1.8)} AS k FROM (SELECT *, CASE WHEN turn_ma20 > 0 THEN turn_ma20 END AS tm FROM ind)))"""
 _SPANS = range(10, 15)
 _ATR = f"""at0 AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN greatest(high - low, abs(high - c1), abs(low - c1)) END AS tr, coalesce(close >= round_even(c1 * 1.1::DOUBLE, 2), false) AS at_limit FROM aw),
 at1 AS (SELECT *, {", ".join(f"CASE WHEN at_limit THEN avg(tr) OVER (w ROWS BETWEEN {i - 1} PRECEDING AND CURRENT ROW) ELSE tr END AS tr{i}" for i in _SPANS)} FROM at0 {W}),
@@ -78,7 +78,7 @@ def r6_platform_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("symbol", "dt", "lookback", "platform_signal", "buy_flat", "platform_state", "platform_top", "platform_bottom", "week_box", "month_box"))
 
 
-_NEWEST_WINDOWS = f"""nw AS (SELECT symbol, n, m, k FROM (SELECT symbol, dt, greatest(10, least(14, round_even(n / 4.0::DOUBLE, 0)))::INT AS m, n, k FROM (SELECT symbol, dt, coalesce(round_even(least(60, greatest(10, 70 / tm)), 0), 30)::INT AS n, {_K(1.5)} AS k FROM (SELECT *, CASE WHEN turn_ma20 > 0 THEN turn_ma20 END AS tm FROM ind)))
+_NEWEST_WINDOWS = f"""nw AS (SELECT symbol, n, m, k FROM (SELECT symbol, dt, greatest(10, least(14, round_even(n / 4.0::DOUBLE, 0)))::INT AS m, n, k FROM (SELECT symbol, dt, CASE WHEN tm IS NULL THEN 30 ELSE round_even(least(60, greatest(10, 70 / tm)), 0) END::INT AS n, {_K(1.5)} AS k FROM (SELECT *, CASE WHEN turn_ma20 > 0 THEN turn_ma20 END AS tm FROM ind)))
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) = 1),
 aw AS (SELECT r.* EXCLUDE (rn, c1), row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn, lag(close) OVER (PARTITION BY symbol ORDER BY dt) AS c1, nw.n, nw.m, nw.k FROM (SELECT * FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) <= 120) r JOIN nw USING (symbol))"""
 

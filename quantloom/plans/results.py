@@ -11,18 +11,24 @@ from quantloom.operators.indicators import rounded
 from quantloom.plans.catalog import ORACLE_SQL, full_evaluation, j1_primary_sector, register
 from quantloom.plans.more import scratch
 from quantloom.plans.structures import _CLASS
-from quantloom.plans import verdicts as _verdicts  # noqa: F401  z9's SQL
+from quantloom.plans import further, platforms, relational, signals, structures, verdicts  # noqa: F401  their SQL
 from quantloom.sources import bars as src
 
 
 def whole_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every symbol's nested result, from one chain over its bars and the legs of market and sector."""
-    b, every = src.bars(spark, sf_dir), src.bars(spark, sf_dir, weekdays=False)
+    """Every symbol's nested result, from one chain over its bars and the legs of market and sector. Bars are made from the trades
+    once and written; all rules read them."""
+    path = scratch(spark, "bars")
+    for scope in ("n_name", "r_name", "'ALL'"):
+        src.bars(spark, sf_dir, scope, weekdays=False).write.parquet(f"{path}/{scope.strip(chr(39))}")
+    all_days = lambda scope: spark.read.parquet(f"{path}/{scope.strip(chr(39))}")
+    of = lambda scope: all_days(scope).where(F.dayofweek("dt").between(2, 6))
+    b, every = of("n_name"), all_days("n_name")
     chain = ind.macd_signals(ind.macd(ind.enrich(b)))
     for step in (rules.yearline_filter, rules.break_and_return, rules.technical_detail, ind.average_turnover, waves.stage, patterns.strong_engulfing, patterns.low_ground_volume, ind.adaptive_windows, ind.adaptive_platform, rules.platform_rule):
         chain = step(chain)
     chain = rules.period_box(rules.period_box(chain, "week"), "month")
-    sectors = rules.sector_score(src.bars(spark, sf_dir, "r_name")).select(F.col("symbol").alias("sector"), "dt", F.col("sector_up").alias("_day_up"))
+    sectors = rules.sector_score(of("r_name")).select(F.col("symbol").alias("sector"), "dt", F.col("sector_up").alias("_day_up"))
     chain = rules.main_wave_checklist(chain.join(j1_primary_sector(spark, sf_dir), "symbol", "left").join(sectors, ["sector", "dt"], "left"), F.col("_day_up")).drop("sector", "_day_up")
     newest = ind.latest(chain).withColumns({"price": F.col("close"), "high_120": F.col("high120"), "turnover_20": F.round("turn_avg20", 5)})
     weeks, months = (quality.resample(every, u) for u in ("week", "month"))
@@ -30,7 +36,7 @@ def whole_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         newest = newest.join(ind.latest(rules.period_trend(p)).select("symbol", F.col("trend").alias(f"{unit}_trend")), "symbol", "left")
     newest = rules.main_wave_signal(newest, ind.latest(rules.weekly_anchor(weeks)))
     newest = newest.join(patterns.latest_gap(b).select("symbol", "gap_up", "gap_type"), "symbol", "left").join(rules.breakout_quality(ind.adaptive_series(b)).select("symbol", "quality"), "symbol", "left")
-    legs = full_evaluation(spark, sf_dir).select("symbol", "sector", "sector_up", "market_trend", "position", "capital_score", "capital_active", "stock_strict", "score", "level", "true_resonance", "options")
+    legs = full_evaluation(spark, sf_dir, of=of).select("symbol", "sector", "sector_up", "market_trend", "position", "capital_score", "capital_active", "stock_strict", "score", "level", "true_resonance", "options")
     rows = rules.comprehensive_signal(relations.chip_flags(newest.join(legs, "symbol")))
     return results.assemble(relations.classify(rows))
 
