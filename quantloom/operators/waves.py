@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SYMBOL, lag, last, ratio, rolling_mean, so_far
+from quantloom.functions.windows import SYMBOL, lag, last, ratio, rolling_mean, series, so_far
 from quantloom.operators.quality import valid_bars
 
 #: The parameters of the structure.
@@ -183,19 +183,28 @@ def reached(steps: DataFrame, least: int = 1) -> DataFrame:
 
 
 def stage(bars: DataFrame) -> DataFrame:
-    """Distribution, shakeout, rally, accumulation or consolidation on every date, from changes, volume trend, range and place."""
-    change = lambda n: ratio(F.col("close") - lag("close", n), F.abs(lag("close", n)))
-    b = bars.withColumns({"t5": change(5), "t20": change(20), "_n": F.count(F.lit(1)).over(so_far()), "_hi": F.max("close").over(last(120)), "_lo": F.min("close").over(last(120))})
-    from quantloom.functions.windows import series
+    """Distribution, shakeout, rally, accumulation or consolidation on every date, with a confidence, from changes over 5, 20 and 60
+    bars, volume trend, range and place; unknown before 30 bars.
 
+    Bars with a column poc (adaptive_series) also count its shifts over 20 and 60 bars: a shakeout needs a POC that does not
+    fall, a rally one that rises, and a rising one stands in for a low place in accumulation. An unknown shift speaks against none.
+    """
+    change = lambda n, c="close": ratio(F.col(c) - lag(c, n), F.abs(lag(c, n)))
+    b = bars.withColumns({"t5": change(5), "t20": change(20), "t60": change(60), "_n": F.count(F.lit(1)).over(so_far()), "_hi": F.max("close").over(last(120)), "_lo": F.min("close").over(last(120))})
     volume = ratio(F.avg("volume").over(last(5)), F.avg("volume").over(series().rowsBetween(-24, -5)))
     b = b.withColumns({"volume_trend": F.when(F.col("_n") >= 25, F.round(volume, 3)), "amplitude": F.when(F.col("_n") >= 20, F.round((F.max("high").over(last(20)) - F.min("low").over(last(20))) / F.avg("close").over(last(20)), 4))})
-    t5, t20, v, a = (F.col(c) for c in ("t5", "t20", "volume_trend", "amplitude"))
+    shift = {n: change(n, "poc") if "poc" in bars.columns else F.lit(None).cast("double") for n in (20, 60)}
+    b = b.withColumns({f"poc_shift{n}": v for n, v in shift.items()})
+    t5, t20, v, a, p = (F.col(c) for c in ("t5", "t20", "volume_trend", "amplitude", "poc_shift20"))
     top, bottom = F.col("close") >= 0.9 * F.col("_hi"), F.col("close") <= 1.1 * F.col("_lo")
     flat = F.abs(t20) <= 0.05
-    kind = (
-        F.when(F.col("_n") < 30, "unknown").when(top & ~bottom & (v > 1.1) & (t20 < 0.05), "distribution").when((t20 < -0.03) & (v > 1.1), "distribution")
-        .when((t20 > 0.03) & (t5 < -0.01) & (v < 0.9), "shakeout").when((t20 > 0.08) & (v.isNull() | (v >= 0.9)), "rally")
-        .when(flat & (v > 1.1) & bottom & (a.isNull() | (a < 0.2)), "accumulation").otherwise("consolidation")
-    )
-    return b.withColumn("stage", kind).drop("_n", "_hi", "_lo")
+    known = lambda c: F.coalesce(c, F.lit(False))
+    kinds = [
+        (F.col("_n") < 30, "unknown", 0.0), (top & ~bottom & (v > 1.1) & (t20 < 0.05), "distribution", 0.7), ((t20 < -0.03) & (v > 1.1), "distribution", 0.7),
+        ((t20 > 0.03) & (t5 < -0.01) & (v < 0.9) & (p.isNull() | (p > -0.02)), "shakeout", 0.7), ((t20 > 0.08) & (v.isNull() | (v >= 0.9)) & (p.isNull() | (p > 0.02)), "rally", 0.75),
+        (flat & (v > 1.1) & (bottom | known(p > 0)) & (a.isNull() | (a < 0.2)), "accumulation", 0.7), (flat & (a < 0.15), "consolidation", 0.6),
+    ]
+    name, sure = F.when(F.lit(False), "consolidation"), F.when(F.lit(False), 0.5)
+    for test, kind, confidence in kinds:
+        name, sure = name.when(test, kind), sure.when(test, confidence)
+    return b.withColumns({"stage": name.otherwise("consolidation"), "stage_confidence": sure.otherwise(0.5)}).drop("_n", "_hi", "_lo")

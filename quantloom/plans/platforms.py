@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
-from quantloom.operators import quality, rules
+from quantloom.operators import quality, rules, waves
 from quantloom.operators.indicators import rounded
 from quantloom.plans import sql
 from quantloom.plans.catalog import _EMA, _SECTOR, ORACLE_SQL, full_evaluation, j1_primary_sector, register
@@ -91,6 +91,21 @@ def r14_adaptive_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rules.breakout_quality(ind.adaptive_series(src.bars(spark, sf_dir))))
 
 
+_SHIFTS = """sg AS (SELECT *, close / lag(close, 5) OVER w - 1 AS t5, close / lag(close, 20) OVER w - 1 AS t20, close / lag(close, 60) OVER w - 1 AS t60, poc / lag(poc, 20) OVER w - 1 AS p20, poc / lag(poc, 60) OVER w - 1 AS p60, max(close) OVER (PARTITION BY symbol) AS hi, min(close) OVER (PARTITION BY symbol) AS lo,
+  CASE WHEN rn >= 25 THEN round(avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(volume) OVER (w ROWS BETWEEN 24 PRECEDING AND 5 PRECEDING), 3) END AS vt,
+  CASE WHEN rn >= 20 THEN round((max(high) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) - min(low) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) / avg(close) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 4) END AS am FROM ap WINDOW w AS (PARTITION BY symbol ORDER BY dt)
+  QUALIFY lead(dt) OVER w IS NULL),
+sk AS (SELECT *, CASE WHEN rn < 30 THEN 0 WHEN close >= 0.9::DOUBLE * hi AND NOT close <= 1.1::DOUBLE * lo AND vt > 1.1 AND t20 < 0.05 THEN 1 WHEN t20 < -0.03 AND vt > 1.1 THEN 1 WHEN t20 > 0.03 AND t5 < -0.01 AND vt < 0.9 AND (p20 IS NULL OR p20 > -0.02) THEN 2
+  WHEN t20 > 0.08 AND (vt IS NULL OR vt >= 0.9) AND (p20 IS NULL OR p20 > 0.02) THEN 3 WHEN abs(t20) <= 0.05 AND vt > 1.1 AND (close <= 1.1::DOUBLE * lo OR coalesce(p20 > 0, false)) AND (am IS NULL OR am < 0.2) THEN 4 WHEN abs(t20) <= 0.05 AND am < 0.15 THEN 5 ELSE 6 END AS kind FROM sg)"""
+
+
+@register("r13_stage_with_shifts", over("""SELECT symbol, dt, round(t60, 5) AS t60, round(p20, 5) AS poc_shift20, round(p60, 5) AS poc_shift60, ['unknown', 'distribution', 'shakeout', 'rally', 'accumulation', 'consolidation', 'consolidation'][kind + 1] AS stage, [0.0, 0.7, 0.7, 0.75, 0.7, 0.6, 0.5][kind + 1]::DOUBLE AS stage_confidence FROM sk""", IND, _NEWEST_WINDOWS, _ATR, _VAP, _SHIFTS, ticks=sql.SUPPLIER_TICKS))
+def r13_stage_with_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest stage of every supplier, with the shifts of its POC."""
+    made = ind.latest(waves.stage(ind.adaptive_series(src.bars(spark, sf_dir, "l_suppkey"))))
+    return rounded(made.select("symbol", "dt", "t60", "poc_shift20", "poc_shift60", "stage", "stage_confidence"))
+
+
 _SECTORS = sql.SECTOR_TICKS.replace("ticks AS", "st AS") + ", " + sql.ALL_DAYS.replace("alldays AS", "sd AS").replace("FROM ticks", "FROM st") + ", sbars AS (SELECT * FROM sd WHERE isodow(dt) < 6), " + _SECTOR.replace("FROM bars", "FROM sbars")
 _R = lambda n: f"(w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 _CHECKS = f"""ck AS (SELECT symbol, dt, [coalesce(rn >= 60 AND (max(high) OVER {_R(60)} - min(low) OVER {_R(60)}) / avg(close) OVER {_R(60)} * 100 < 25, false), coalesce(rn >= 65 AND ma60 > lag(ma60, 5) OVER w, false), coalesce(rn >= 21 AND close >= max(high) OVER {_R(20)}, false),

@@ -108,6 +108,22 @@ def test_comprehensive_signal(spark):
     }
 
 
+def test_stages_with_shifts_of_the_poc(spark):
+    """A shakeout needs a POC that does not fall, a rally one that rises; an unknown shift speaks against neither."""
+    from quantloom.operators import waves
+
+    rally = [10.0] * 40 + [10 + 0.1 * i for i in range(1, 21)]
+    shaken = [10.0] * 40 + [10 + 0.1 * i for i in range(1, 16)] + [11.4, 11.3, 11.2, 11.1, 11.0]
+    calm = [(c, 50.0 if i >= 55 else 100.0) for i, c in enumerate(shaken)]
+    flat = [(10.0, 200.0 if i >= 55 else 100.0) for i in range(60)]
+    series = {"rally": rally, "spent": rally, "shaken": calm, "fallen": calm, "flat": flat, "short": rally[:29], "quiet": [10.0] * 60}
+    ends = {"rally": 11.0, "spent": 10.1, "shaken": 10.5, "fallen": 9.0, "flat": 10.5, "quiet": None}
+    bars = frame(spark, series).withColumn("poc", F.when(F.col("dt") == DAY + dt.timedelta(59), F.coalesce(*(F.when(F.col("symbol") == s, F.lit(v).cast("double")) for s, v in ends.items()))).when(F.col("symbol") != "quiet", 10.0))
+    got = {s: (r.stage, r.stage_confidence) for s, r in newest(waves.stage(bars)).items()}
+    assert got == {"rally": ("rally", 0.75), "spent": ("consolidation", 0.5), "shaken": ("shakeout", 0.7), "fallen": ("consolidation", 0.5), "flat": ("accumulation", 0.7), "short": ("unknown", 0.0), "quiet": ("consolidation", 0.6)}
+    assert newest(waves.stage(bars.drop("poc")))["spent"].stage == "rally"
+
+
 def test_grades_of_accumulation(spark):
     fall = [20.0] * 60 + [16.0] * 40
     quiet = [(c, 80.0 if i >= 95 else 100.0) for i, c in enumerate(fall)]
