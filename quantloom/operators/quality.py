@@ -102,16 +102,19 @@ def delta(source: DataFrame, stored: DataFrame) -> DataFrame:
     return source.join(ends, "symbol").where(F.col("dt") > F.col("_last")).drop("_last")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: list[str], keep_old: list[str]) -> DataFrame:
+def upsert(stored: DataFrame, new: DataFrame, key: list[str], keep_old: list[str], order: str | None = None) -> DataFrame:
     """``new`` replaces rows of ``stored`` by key; where it has NULL in a ``keep_old`` column, the old value stays.
 
-    Of rows of ``new`` with one key any one may win, so they should be unique.
+    Of rows of ``new`` with one key the one with the highest ``order`` wins (a column of ``new`` that is not stored); without it, the
+    one whose other columns sort highest, so that the result never depends on the order of tasks.
     """
-    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.col("_new").desc())
+    seq = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    fresh = new.withColumns({"_new": F.lit(1), "_seq": seq})
+    both = stored.withColumns({"_new": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(fresh.drop(order) if order else fresh, allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy(F.desc("_new"), F.desc_nulls_last("_seq"), *(F.desc_nulls_last(c) for c in sorted(new.columns) if c not in (*key, order)))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     both = both.withColumns({c: F.first(c, ignorenulls=True).over(whole) for c in keep_old})
-    return both.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank", "_new")
+    return both.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank", "_new", "_seq")
 
 
 def freshest_source(sources: DataFrame, reference_day: Column) -> DataFrame:

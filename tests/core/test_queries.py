@@ -15,7 +15,7 @@ NAMES = ["w1_sma_set", "w5_macd", "r1_yearline_filter", "z8_resonance_score", "k
 NAMES += ["k8_gaps", "a11_sector_census", "a17_bars_checksum", "q11_changed_symbols", "p7_as_of", "a2_sector_weeks", "u7_outside_turnover", "s7_watchlist_export", "s16_flat_report", "a21_coverage_report"]
 NAMES += ["w22_poc", "w23_platform_breakout", "k11_newest_hits", "k10_combo_details", "k13_candle_result", "r4_main_wave_signal", "r8_technical_detail", "r14_breakout_quality"]
 NAMES += ["v3_rules_and_verdict", "v4_ten_steps", "t8_furthest_steps", "t8_closest_pairs", "v11_wave_scan", "v10_attached_waves", "z10_combined_score"]
-NAMES += ["v9_portfolio_evaluation", "n3_macd_alerts", "v6_correlations", "p7_replayed_evaluation", "z16_relaxed_gates", "r6_platform_rule", "r7_checklist", "r14_adaptive_breakout", "r15_accumulation", "z12_structure_summary", "z10_combined_score"]
+NAMES += ["v9_portfolio_evaluation", "n3_macd_alerts", "v6_correlations", "p7_replayed_evaluation", "z16_relaxed_gates", "r6_platform_rule", "r7_checklist", "r14_adaptive_breakout", "r15_accumulation", "z12_structure_summary"]
 NAMES += ["n5_scan_flush", "n7_late_bars", "n1_appended_bars", "p18_scan_table", "p11_signal_filter", "s6_watchlist_import", "x1_sector_analysis"]
 NAMES += ["z9_three_resonance", "p14_flat_result", "z16_row_gates", "x7_true_resonance", "n4_annotated_alerts", "a12_gate_funnel", "k6_main_pattern"]
 

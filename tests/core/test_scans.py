@@ -131,3 +131,15 @@ def test_appended_stream_passes_each_bar_once(spark, tmp_path):
 
     assert pull(0, 5) == [(p, float(i)) for p in ("30m", "60m") for i in range(5)]
     assert pull(2, 8) == [(p, float(i)) for p in ("30m", "60m") for i in range(8)]
+
+
+def test_upsert_does_not_depend_on_the_order_of_rows(spark):
+    """Of new rows with one key the highest sequence wins, unknown ones last; without a sequence the highest row."""
+    from quantloom.operators import quality
+
+    stored = spark.createDataFrame([("A", 1, 5.0), ("B", 2, 6.0)], "k string, v int, turn double")
+    new = spark.createDataFrame([("A", 7, None, 1), ("A", 3, None, 2), ("A", 9, None, None), ("C", 4, 1.0, 1)], "k string, v int, turn double, seq int")
+    for rows in (new, new.orderBy(F.desc("v")).coalesce(1), new.repartition(3)):
+        made = quality.upsert(stored, rows, ["k"], ["turn"], order="seq")
+        assert made.columns == ["k", "v", "turn"] and sorted(map(tuple, made.collect())) == [("A", 3, 5.0), ("B", 2, 6.0), ("C", 4, 1.0)]
+        assert sorted(map(tuple, quality.upsert(stored, rows.drop("seq"), ["k"], ["turn"]).collect())) == [("A", 9, 5.0), ("B", 2, 6.0), ("C", 4, 1.0)]
