@@ -5,18 +5,25 @@ a candidate from a keyed hash, and rounds of collision checks (against other can
 entities) raise the attempt number of those that lose, so different entities stay different and equal ones stay equal in
 all documents. Documents then look up their own entities; documents without any are never shuffled.
 
-Persons are found behind a title. The words of the names that a document shows there are then replaced all over that
+Persons are found behind a title. In capitals (MR. JOHN SMITH) two words follow it at most, as nothing shows where a name ends
+there; a single name takes the word behind it along. The words of the names that a document shows there are then replaced all over that
 document, wherever they stand as whole capitalised words (also where such a word means something else). A word that is
 both a surname and a given name counts as the surname where it has no title.
 
+A given name is one entity for each gender that titles show of it. Where a title shows none (Dr), the gender is that of the same
+name elsewhere in the document, else the commoner one of it in the corpus (female if both are as common), so one person keeps
+one name under all titles.
+
 Kept of an entity: its kind, length, punctuation, letter case and script; the country code of a phone, the first digit
 and the Luhn check of a card, the last label of a domain, the country of an IBAN; the gender that a title shows, the parts
 of a person's name with hyphens, apostrophes and particles. Initials become another letter, which need not be their own.
-Names in scripts without syllables here get Latin ones.
+Names in scripts without syllables here get Latin ones. Where replacements of a form become scarce, those of names and of the
+local parts of e-mail addresses get longer.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,15 +31,18 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.shared import materialize, read, set_aside
 
-#: The key of surrogates is in the session's setting of this name; without it, runs share the value below, which protects nothing.
-SECRET_SETTING, SECRET = "quantloom.pii.secret", "change-me"
+#: The key of surrogates is in the session's setting of this name; without it, each run draws its own and forgets it.
+SECRET_SETTING = "quantloom.pii.secret"
 MOST_ATTEMPTS = 64
 #: Titles by gender.
 TITLES = {"m": ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа"], "n": ["Dr", "Prof"]}
+#: Titles in capitals, before names in capitals; MS takes its point, as it is also another word.
+LOUD = [t.upper() + (r"\." if t == "Ms" else "") for names in TITLES.values() for t in names]
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: One part of a name: a capital and more letters, with hyphens and apostrophes; words that stand between such parts.
 _NAME = r"(?:\p{Ll}{1,2}['’])?\p{Lu}(?:\p{L}|['’-](?=\p{L}))+"
 _PARTICLE = "(?:van|von|zu|de|der|den|del|da|di|du|la|le|el|al|bin)"
+_LOUD_NAME = r"\p{Lu}(?:\p{Lu}|['’-](?=\p{Lu}))+(?!\p{L})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -40,7 +50,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "person": r"(?<!\p{L})(?:" + "|".join(t for names in TITLES.values() for t in names) + rf")\.? (?:(?:(?:\p{{Lu}}\.-?)+|{_NAME}|{_PARTICLE}) ){{0,5}}{_NAME}",
+    "person": r"(?<!\p{L})(?:" + "|".join(t for names in TITLES.values() for t in names) + rf")\.? (?:(?:(?:\p{{Lu}}\.-?)+|{_NAME}|{_PARTICLE}) ){{0,5}}{_NAME}"
+    + r"|(?<!\p{L})(?:" + "|".join(LOUD) + rf")\.? (?:(?:\p{{Lu}}\.-?)+ )*(?:{_LOUD_NAME} )?(?:(?:\p{{Lu}}\.-?)+ )*{_LOUD_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What given names and surnames are put together from, by script, and how given names end by gender.
@@ -70,7 +81,7 @@ def kind_of(surface: Column) -> Column:
 def _person(surface: Column) -> tuple[Column, Column, Column, Column]:
     """Title with its point, gender, the parts before the last one (empty if only one name stands there), the last part."""
     title, name = F.substring_index(surface, " ", 1), F.regexp_replace(surface, "^[^ ]+ ", "")
-    gender = reduce(lambda rest, g: F.when(F.regexp_replace(title, r"\.", "").isin(TITLES[g]), F.lit(g)).otherwise(rest), TITLES, F.lit("n"))
+    gender = reduce(lambda rest, g: F.when(F.lower(F.regexp_replace(title, r"\.", "")).isin([t.lower() for t in TITLES[g]]), F.lit(g)).otherwise(rest), TITLES, F.lit("n"))
     return title, gender, F.regexp_replace(name, " ?[^ ]+$", ""), F.substring_index(name, " ", -1)
 
 
@@ -125,7 +136,9 @@ def candidate(key: Column, attempt: Column, secret: str) -> Column:
     mapped = _characters(plain, stream)
     local, domain = F.substring_index(plain, "@", 1), F.substring_index(plain, "@", -1)
     labels = F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 1)
-    email = F.concat(_characters(local, stream), F.lit("@"), _characters(labels, _stream(F.concat(F.lit("domain:"), domain), secret)), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
+    # later attempts draw from longer local parts, so a crowded space opens
+    longer = F.when(attempt > 3, F.array_join(F.transform(F.sequence(F.lit(1), F.ceil(attempt / 4).cast("int")), lambda i: F.char(_byte(stream, 59 - i) % 26 + 97)), "")).otherwise(F.lit(""))
+    email = F.concat(_characters(local, stream), longer, F.lit("@"), _characters(labels, _stream(F.concat(F.lit("domain:"), domain), secret)), F.regexp_extract(domain, r"(\.[^.]*)$", 1))
     ipv4 = F.concat_ws(".", *((_byte(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
     body = F.expr("substring(substring(key, instr(key, ':') + 1), 1, 1)")
     card_body = F.concat(body, F.substring(mapped, F.lit(2), F.length(plain) - 2))
@@ -169,6 +182,24 @@ def assign(entities: DataFrame, secret: str) -> DataFrame:
             raise ValueError(f"no free surrogates after {attempt} attempts")
 
 
+def gendered(key_sets: DataFrame) -> DataFrame:
+    """(_set, key, target): each key of the sets (_set, keys) with the entity that it stands for. That is the key itself but for
+    given names behind titles of no gender."""
+    word = F.substring_index("key", ":", -1)
+    asked = key_sets.select("_set", "keys", F.explode("keys").alias("key")).withColumn("word", F.when(F.col("key").startswith("given_"), word))
+    has = lambda g: F.array_contains("keys", F.concat(F.lit(f"given_{g}:"), "word"))
+    here = F.when(F.col("key").startswith("given_n:") & (has("f") != has("m")), F.when(has("f"), "f").otherwise("m"))
+    asked = asked.withColumn("here", here).select("_set", "key", "word", "here")
+    count = lambda g: F.count_if(F.col("key").startswith(f"given_{g}:"))
+    common = asked.where("word is not null").groupBy("word").agg(count("m").alias("m"), count("f").alias("f"))
+    common = common.where("m + f > 0").select("word", F.when(F.col("m") > F.col("f"), "m").otherwise("f").alias("common"))
+    open_ = F.col("key").startswith("given_n:") & F.col("here").isNull()
+    # only the open ones meet the corpus, so other keys are not shuffled by their word
+    settled = asked.where(~open_).select("_set", "key", F.when(F.col("here").isNotNull(), F.concat(F.lit("given_"), "here", F.lit(":"), "word")).otherwise(F.col("key")).alias("target"))
+    rest = asked.where(open_).join(common, "word", "left").select("_set", "key", F.concat(F.lit("given_"), F.coalesce("common", F.lit("n")), F.lit(":"), "word").alias("target"))
+    return settled.unionByName(rest)
+
+
 def _named(word: Column, of: Column, kinds: list[str | Column]) -> Column:
     """The replacement of a word that is one of the document's names of these kinds, the first that it is; else null."""
     found = F.coalesce(*(F.element_at(of, F.concat(F.lit(k) if isinstance(k, str) else k, F.lower(word))) for k in kinds))
@@ -208,27 +239,28 @@ def render(surface: Column, of: Column, secret: str) -> Column:
     letter = lambda w: F.upper(_by_script(w, lambda script: F.substring(F.get(F.array(*map(F.lit, SYLLABLES[script])), _byte(_stream(F.concat(F.lit("initial:"), F.lower(w)), secret), F.lit(0)) % len(SYLLABLES[script])), 1, 1)))
     part = lambda text, key: _each_word(text, lambda w: F.when(w.rlike(r"^\p{Lu}$"), letter(w)).otherwise(_named(w, of, [key])))
     person = F.concat_ws(" ", title, F.when(given != "", part(given, F.concat(F.lit("given_"), gender, F.lit(":")))), part(surname, F.lit("surname:")))
-    return F.when(kind == "person", person).when(kind == "email", cased).when(kind == "ipv4", value).when(kind == "iban", pour("A-Z0-9")).otherwise(pour("0-9"))
+    return F.when(kind == "person", person).when(kind == "email", F.when(F.length(value) == F.length(surface), cased).otherwise(value)).when(kind == "ipv4", value).when(kind == "iban", pour("A-Z0-9")).otherwise(pour("0-9"))
 
 
 def replace_pii(docs: DataFrame, secret: str | None = None) -> DataFrame:
     """``docs``, all columns, with replaced entities in ``text`` and their number in ``n_entities``.
 
     Null and empty texts and texts without entities stay as they are, with 0 entities. Repeated rows stay repeated. A
-    column of docs named n_entities is replaced; other extra columns may have any name.
+    column of docs named n_entities is replaced; other extra columns may have any name. Without ``secret`` and setting the key is
+    drawn at random: replacements are consistent within the run, differ in the next, and nobody can compute them again.
     """
-    secret = secret or docs.sparkSession.conf.get(SECRET_SETTING, SECRET)
+    secret = secret or docs.sparkSession.conf.get(SECRET_SETTING, None) or secrets.token_hex(32)
     docs, back = set_aside(docs.drop("n_entities"), "text")
     back.append(F.col("n_entities"))
     surfaces = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
     # cheap tests that every detected string passes, so most texts never meet the patterns
-    may = F.coalesce(reduce(lambda rest, t: rest | F.contains(F.col("text"), F.lit(t)), [t for names in TITLES.values() for t in names], F.contains(F.col("text"), F.lit("@")) | F.col("text").rlike("[0-9][ .-]?[0-9]")), F.lit(False))
+    may = F.coalesce(reduce(lambda rest, t: rest | F.contains(F.col("text"), F.lit(t)), [t for names in TITLES.values() for t in names] + [t.replace("\\", "") for t in LOUD], F.contains(F.col("text"), F.lit("@")) | F.col("text").rlike("[0-9][ .-]?[0-9]")), F.lit(False))
     keys = F.array_sort(F.array_distinct(F.flatten(F.transform(surfaces, entity_keys))))
     own = docs.withColumn("_keys", F.when(may, keys).otherwise(F.array().cast("array<string>"))).withColumn("_set", F.when(F.size("_keys") > 0, F.sha2(F.array_join("_keys", "\n"), 256)))
     key_sets = materialize(own.where("_set is not null").groupBy("_set").agg(F.first("_keys").alias("keys")))
-    asked = key_sets.select("_set", F.explode("keys").alias("key"))
-    assigned = assign(materialize(asked.select("key").distinct()), secret)
-    maps = asked.join(assigned, "key").groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("key", "surrogate"))).alias("_of"))
+    asked = materialize(gendered(key_sets))
+    assigned = assign(materialize(asked.select(F.col("target").alias("key")).distinct()), secret).withColumnRenamed("key", "target")
+    maps = asked.join(assigned, "target").groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct("key", "surrogate"))).alias("_of"))
 
     hit = own.where("_set is not null").join(maps, "_set")
     # only documents with names look at the words between the detected strings

@@ -264,6 +264,37 @@ def test_pii_names_all_over_a_document(spark):
     assert got[3].text.startswith("Smith and John without any title stay") and got[3].n_entities == 1
 
 
+def test_pii_one_person_under_all_titles(spark):
+    """Genders of given names: the title's, else the document's, else the corpus's; names in capitals; a run without a key."""
+    texts = [
+        "Dr Mary Smith met Mrs Mary Smith and Mary Smith; later Prof. Mary Smith left.",
+        "Dr Mary Jones here.",
+        "MR. JOHN SMITH AND MS. ANNA-LENA O'NEIL and Mr John Smith; MS DOS and DR stay.",
+        "Mr Andrea Rossi and Mrs Andrea Rossi.",
+        "Prof Kim Lee.",
+    ]
+    got = {r.doc_id: r for r in pii_surrogates.replace_pii(frame(spark, list(enumerate(texts))), "k").collect()}
+    m = re.fullmatch(r"Dr (\w+) (\w+) met Mrs (\w+) (\w+) and (\w+) (\w+); later Prof\. (\w+) (\w+) left\.", got[0].text)
+    assert m[1] == m[3] == m[5] == m[7] != "Mary" and m[1].endswith("lia") and m[2] == m[4] == m[6] == m[8] != "Smith"
+    assert re.match(r"Dr (\w+) ", got[1].text)[1] == m[1]
+    n = re.fullmatch(r"MR\. (\w+) (\w+) AND MS\. (\w+-\w+) (\w'\w+) and Mr (\w+) (\w+); MS DOS and DR stay\.", got[2].text)
+    assert n[1] == n[5].upper() != "JOHN" and n[2] == n[6].upper() == m[2].upper() and n[3].isupper() and "ANNA" not in n[3] and "NEIL" not in n[4]
+    a = re.fullmatch(r"Mr (\w+) \w+ and Mrs (\w+) \w+\.", got[3].text)
+    assert a[1].endswith("rik") and a[2].endswith("lia")
+    assert re.fullmatch(r"Prof \w+sen \w+\.", got[4].text)
+    keyless = [pii_surrogates.replace_pii(frame(spark, [(0, texts[0])])).first().text for _ in range(2)]
+    assert keyless[0] != keyless[1] != texts[0]
+
+
+def test_pii_crowded_addresses(spark):
+    """All 26 addresses of one letter: none is free, so replacements get longer."""
+    rows = [(i, f"write to {c}@ab.org or {c.upper()}@ab.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = pii_surrogates.replace_pii(frame(spark, rows), "k").collect()
+    found = [re.findall(r"\S+@\S+\.org", r.text) for r in got]
+    assert all(len(f) == 2 and f[0].lower() == f[1].lower() for f in found) and len({f[0] for f in found}) == 26
+    assert not {f[0] for f in found} & {f"{c}@ab.org" for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
 def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     keys = spark.createDataFrame([(f"ssn:{i:09d}",) for i in range(400)], "key string")
     real = pii_surrogates.candidate
