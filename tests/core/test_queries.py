@@ -17,7 +17,7 @@ NAMES += ["w22_poc", "w23_platform_breakout", "k11_newest_hits", "k10_combo_deta
 NAMES += ["v3_rules_and_verdict", "v4_ten_steps", "t8_furthest_steps", "t8_closest_pairs", "v11_wave_scan", "v10_attached_waves", "z10_combined_score"]
 NAMES += ["v9_portfolio_evaluation", "n3_macd_alerts", "v6_correlations", "p7_replayed_evaluation", "z16_relaxed_gates", "r6_platform_rule", "r7_checklist", "r14_adaptive_breakout", "r15_accumulation", "z12_structure_summary"]
 NAMES += ["n5_scan_flush", "n7_late_bars", "n1_appended_bars", "p18_scan_table", "p11_signal_filter", "s6_watchlist_import", "x1_sector_analysis"]
-NAMES += ["s1_stored_bars", "s2_market_increment", "f4_day_files", "f4_day_stream"]
+NAMES += ["s1_stored_bars", "s2_market_increment", "f4_day_files", "f4_day_stream", "a4_audit_report", "a4_audit_samples", "r22_market_verdict", "x6_sector_table"]
 NAMES += ["z9_three_resonance", "p14_flat_result", "z16_row_gates", "x7_true_resonance", "n4_annotated_alerts", "a12_gate_funnel", "k6_main_pattern"]
 
 
