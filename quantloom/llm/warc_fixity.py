@@ -51,19 +51,20 @@ def _node(children: list[str]) -> Column:
 
 
 def tree(leaves: DataFrame, top: int) -> list[DataFrame]:
-    """Levels above the leaves, lowest first: (file_no, file_part, node, digest). ``top`` levels join files."""
+    """Levels above the leaves, lowest first: (file_no, file_part, node, digest). ``top`` levels join files. Each is written, so the
+    descent reads it instead of hashing the ones below again."""
     lowest = leaves.groupBy("file_no", "file_part", F.floor(F.col("offset") / LEAF_BYTES).alias("node")).agg(_node(["offset", "length", "digest"]).alias("digest"))
     levels = [materialize(lowest)]
     for _ in range(OFFSET_LEVELS - 1):
         child = levels[-1]
-        levels.append(child.groupBy("file_no", "file_part", F.floor(F.col("node") / FAN_OUT).alias("up")).agg(_node(["node", "digest"]).alias("digest")).withColumnRenamed("up", "node"))
+        levels.append(materialize(child.groupBy("file_no", "file_part", F.floor(F.col("node") / FAN_OUT).alias("up")).agg(_node(["node", "digest"]).alias("digest")).withColumnRenamed("up", "node")))
     # file parts, then files, then groups of files
     parts = levels[-1].groupBy("file_no", F.floor(F.col("file_part") / FAN_OUT).alias("up")).agg(_node(["file_part", "node", "digest"]).alias("digest"))
-    levels.append(parts.select("file_no", F.col("up").alias("file_part"), F.lit(0).cast("long").alias("node"), "digest"))
+    levels.append(materialize(parts.select("file_no", F.col("up").alias("file_part"), F.lit(0).cast("long").alias("node"), "digest")))
     for _ in range(top):
         child = levels[-1]
         up = child.groupBy(F.floor(F.col("file_no") / FAN_OUT).alias("up"), F.floor(F.col("file_part") / FAN_OUT).alias("part")).agg(_node(["file_no", "file_part", "digest"]).alias("digest"))
-        levels.append(up.select(F.col("up").alias("file_no"), F.col("part").alias("file_part"), F.lit(0).cast("long").alias("node"), "digest"))
+        levels.append(materialize(up.select(F.col("up").alias("file_no"), F.col("part").alias("file_part"), F.lit(0).cast("long").alias("node"), "digest")))
     return levels
 
 
@@ -80,10 +81,13 @@ def _parent(df: DataFrame, level: int, size: int) -> DataFrame:
 
 
 def audit(reference: DataFrame, replica: DataFrame) -> DataFrame:
-    """Records that differ, from two indexes as lay_out() gives: file_no, file_part, offset, status.
+    """Records that differ, from two indexes as lay_out() gives: file_no, file_part, offset, status, moved_to.
 
-    status: corrupt (other bytes at this offset), missing (not in the replica), extra (only there). Equal replicas, also
-    empty ones, give no rows. An offset named several times in an index counts once, with the smallest digest.
+    status: moved (the same record stands at the offset ``moved_to`` of the replica's file part), corrupt (other bytes at this
+    offset), missing (not in the replica), extra (only there, offset of the replica). So a replica that lost a record and was laid
+    out again has one missing record, and those behind it moved; a record that was changed besides has no place to compare, and is
+    missing and extra. Equal replicas, also empty ones, give no rows. An offset named several times in an index counts once, with
+    the smallest digest.
     """
     key = ["file_no", "file_part", "offset"]
     sides = [df.groupBy(*key).agg(F.min(F.struct("digest", "length")).alias("x")).select(*key, "x.digest", "x.length") for df in (reference, replica)]
@@ -112,8 +116,26 @@ def audit(reference: DataFrame, replica: DataFrame) -> DataFrame:
         placed = df.withColumns({"up_file": F.col("file_no"), "up_part": F.col("file_part"), "up_node": F.floor(F.col("offset") / LEAF_BYTES)})
         found.append(placed.join(bad, ["up_file", "up_part", "up_node"], "left_semi").select(*key, "digest", "length"))
     both = found[0].join(found[1].select(*key, F.col("digest").alias("other"), F.col("length").alias("other_length")), key, "full_outer")
-    status = F.when(F.col("other").isNull(), "missing").when(F.col("digest").isNull(), "extra").when((F.col("digest") != F.col("other")) | (F.col("length") != F.col("other_length")), "corrupt")
-    return both.select(*key, status.alias("status")).where("status is not null")
+    same = F.col("digest").eqNullSafe(F.col("other")) & F.col("length").eqNullSafe(F.col("other_length"))
+    return aligned(materialize(both.where(~same)))
+
+
+def aligned(differ: DataFrame) -> DataFrame:
+    """What became of the records at offsets that differ (file_no, file_part, offset, digest, length, other, other_length; the last two
+    are the replica's). Records are paired by file part and digest, equal ones in order of their offsets."""
+    part = ["file_no", "file_part"]
+    own = differ.where("digest is not null").select(*part, "offset", "digest", "length")
+    new = differ.where("other is not null").select(*part, F.col("offset").alias("moved_to"), F.col("other").alias("digest"), F.col("other_length").alias("length"))
+    nth = lambda c: F.row_number().over(Window.partitionBy(*part, "digest", "length").orderBy(c))
+    pairs = materialize(own.withColumn("nth", nth("offset")).join(new.withColumn("nth", nth("moved_to")), [*part, "digest", "length", "nth"]).select(*part, "offset", "moved_to"))
+    taken = pairs.select(*part, F.col("moved_to").alias("offset"), F.lit(True).alias("taken"))
+    rows = differ.join(pairs, [*part, "offset"], "left").join(taken, [*part, "offset"], "left")
+    left_over = F.col("other").isNotNull() & F.col("taken").isNull()
+    moved, lost = F.col("moved_to").isNotNull(), F.col("digest").isNotNull() & F.col("moved_to").isNull()
+    here = F.when(moved, "moved").when(lost & left_over, "corrupt").when(lost, "missing")
+    says = F.array_compact(F.array(here, F.when(left_over & ~lost, "extra")))
+    said = rows.select(*part, "offset", F.explode(says).alias("status"), "moved_to")
+    return said.withColumn("moved_to", F.when(F.col("status") == "moved", F.col("moved_to")))
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +147,7 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     index = materialize(lay_out(pages, stored=F.sha2(stored, 256), stored_length=F.octet_length(stored).cast("long"), lost=fate == "01"))
     replica = index.where(~F.col("lost")).select("page_id", "file_no", "file_part", "offset", F.col("stored_length").alias("length"), F.col("stored").alias("digest"))
-    found = audit(index, replica)
+    found = audit(index, replica).drop("moved_to")
     return index.join(found, ["file_no", "file_part", "offset"], "left").select("page_id", "file_no", "offset", "length", "digest", F.coalesce("status", F.lit("ok")).alias("status"))
 
 

@@ -190,6 +190,29 @@ def test_warc_audit(spark):
     assert warc_fixity.audit(empty, empty).count() == 0 and warc_fixity.audit(empty, index).count() == index.select("file_no", "file_part", "offset").distinct().count()
 
 
+def test_warc_replica_laid_out_again(spark):
+    """Of 100 records of equal length one is lost, one changed, one added and two swapped; those behind them are moved, not corrupt."""
+    names = [f"{i:04d}" for i in range(100)]
+
+    def index(records):
+        return spark.createDataFrame([(0, 0, i * 10_000, 10_000, r) for i, r in enumerate(records)], "file_no long, file_part long, offset long, length long, digest string")
+
+    def found(records):
+        return {(r.offset // 10_000, r.status, None if r.moved_to is None else r.moved_to // 10_000) for r in warc_fixity.audit(index(names), index(records)).collect()}
+
+    lost = names[:50] + names[51:]
+    assert found(lost) == {(50, "missing", None)} | {(i, "moved", i - 1) for i in range(51, 100)}
+    assert found(names[:50] + ["new"] + names[50:]) == {(50, "extra", None)} | {(i, "moved", i + 1) for i in range(50, 100)}
+    assert found(["bad" if n == "0007" else n for n in names]) == {(7, "corrupt", None)}
+    assert found(names[:3] + [names[4], names[3]] + names[5:]) == {(3, "moved", 4), (4, "moved", 3)}
+    both = found(["bad" if n == "0070" else n for n in lost])
+    assert both == {(50, "missing", None), (69, "extra", None), (70, "missing", None)} | {(i, "moved", i - 1) for i in range(51, 100) if i != 70}
+    # equal records: pairs in order, the one left over is missing
+    twins = ["same"] * 3
+    got = warc_fixity.audit(index([*twins, "a", "b"]), index([*twins[1:], "a", "b"])).collect()
+    assert {(r.offset // 10_000, r.status, r.moved_to) for r in got} == {(2, "missing", None), (3, "moved", 20_000), (4, "moved", 30_000)}
+
+
 def test_token_blocks(spark, corpus):
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0), np.array([7]), np.full(5000, 3), rng.integers(0, 60000, 3000), rng.integers(0, 2**32, 2000), np.arange(700)):
