@@ -47,7 +47,8 @@ def stem(word: bytes) -> bytes:
 
 
 def text_units(text: str | None) -> set[str]:
-    """The distinct words of a text and their stems (marked by ^)."""
+    """The distinct words of a text and their stems (marked by ^). Words of more than 40 bytes (links, encoded data) give their stem
+    only: they can not enter the lexicon, though they count as words in every feature."""
     words = set((text or "").encode().translate(_BYTES).split())
     return {w.decode("utf-8", "ignore") for w in words if len(w) <= 40} | {stem(w).decode("utf-8", "ignore") for w in words if len(w) >= STEM + 2}
 
