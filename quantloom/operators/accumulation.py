@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import lag, last, ratio, rolling_mean, series, so_far
+from quantloom.functions.windows import lag, last, ratio, rolling_mean, series, so_far, sql_round
 
 #: Retrace that counts as low, bounds of the volume trend, of a flat 20-bar change and of a small range.
 LOW_RETRACE, DRY, SHRINKS, MILD, HEAVY, FLAT_BAND, SMALL_RANGE = 0.15, 0.5, 0.9, 1.1, 1.5, 0.05, 0.2
@@ -45,8 +45,8 @@ def accumulation(bars: DataFrame, stage: Column | None = None, chip_low: Column
     spread = (F.max("high").over(last(20)) - F.min("low").over(last(20))) / F.when(F.avg("close").over(last(20)) > 0, F.avg("close").over(last(20)))
     rows = bars.withColumns(
         {
-            "_n": n, "_t20": t20, "_retrace": F.round(1 - ratio(F.col("close"), high), 4), "_pos": (F.col("close") - low_) / F.when(high - low_ > 1e-9, high - low_),
-            "volume_trend": F.when((n >= 25) & (before > 0), F.round(F.avg("volume").over(last(5)) / before, 3)), "amplitude20": F.when(n >= 20, F.round(spread, 4)),
+            "_n": n, "_t20": t20, "_retrace": sql_round(1 - ratio(F.col("close"), high), 4), "_pos": (F.col("close") - low_) / F.when(high - low_ > 1e-9, high - low_),
+            "volume_trend": F.when((n >= 25) & (before > 0), sql_round(F.avg("volume").over(last(5)) / before, 3)), "amplitude20": F.when(n >= 20, sql_round(spread, 4)),
             "above_year": F.when(n >= 250, F.col("close") > year),
         }
     )
@@ -61,7 +61,7 @@ def accumulation(bars: DataFrame, stage: Column | None = None, chip_low: Column
     )
     known = F.lit("unknown") if stage is None else F.coalesce(stage, F.lit("unknown"))
     # turnover is rounded, so that a mean at the edge of a band does not depend on the order of adding
-    rows = rows.withColumns({"acc_stage": F.when(known != "unknown", known).otherwise(inferred), "_chip": _yes(chip_low) if chip_low is not None else F.lit(False), "_turn": F.round(turnover, 9) if turnover is not None else F.lit(None).cast("double")})
+    rows = rows.withColumns({"acc_stage": F.when(known != "unknown", known).otherwise(inferred), "_chip": _yes(chip_low) if chip_low is not None else F.lit(False), "_turn": sql_round(turnover, 9) if turnover is not None else F.lit(None).cast("double")})
     points, level = grade(low, flat, F.col("volume_state"), F.col("_small"), F.col("acc_stage"), F.col("_chip"), F.col("_turn"), F.col("above_year"))
     say = lambda c, text: F.when(_yes(c), F.lit(text))
     evidence = F.array_compact(
@@ -75,7 +75,7 @@ def accumulation(bars: DataFrame, stage: Column | None = None, chip_low: Column
     rows = rows.withColumns(
         {
             "acc_points": F.when(enough, points), "acc_level": F.when(enough, level).otherwise("unknown"), "acc_evidence": F.when(enough, evidence).otherwise(F.array().cast("array<string>")),
-            "retrace_pct": F.when(enough, F.round(F.col("_retrace") * 100, 2)), "chg20": F.when(enough, F.round(F.col("_t20") * 100, 2)), "near_low": enough & F.col("near_low"), "acc_stage": F.when(enough, F.col("acc_stage")).otherwise(known),
+            "retrace_pct": F.when(enough, sql_round(F.col("_retrace") * 100, 2)), "chg20": F.when(enough, sql_round(F.col("_t20") * 100, 2)), "near_low": enough & F.col("near_low"), "acc_stage": F.when(enough, F.col("acc_stage")).otherwise(known),
         }
     )
     return rows.drop("_n", "_t20", "_retrace", "_pos", "_top", "_more", "_flat", "_small", "_low", "_chip", "_turn")
@@ -86,8 +86,8 @@ def from_results(results: DataFrame) -> DataFrame:
     follows from the stored fields alone: acc_level, acc_points, retrace_pct, acc_known. Unknown chips are not low chips."""
     stage = F.coalesce("stage", F.lit("unknown"))
     chip = _yes(F.col("chip_low")) & ~_yes(F.col("chip_low_unknown"))
-    retrace = F.round(1 - ratio(F.col("price"), F.col("high_120")), 4)
+    retrace = sql_round(1 - ratio(F.col("price"), F.col("high_120")), 4)
     low = _yes(retrace >= LOW_RETRACE) | chip
     points, level = grade(low, stage.isin("accumulation", "consolidation"), F.lit("usual"), stage == "accumulation", stage, chip, F.col("turnover_20"), F.col("yearline_pass"))
     known = (stage != "unknown") | chip | F.col("turnover_20").isNotNull() | retrace.isNotNull()
-    return results.withColumns({"acc_points": points, "acc_level": level, "retrace_pct": F.round(retrace * 100, 2), "acc_known": known})
+    return results.withColumns({"acc_points": points, "acc_level": level, "retrace_pct": sql_round(retrace * 100, 2), "acc_known": known})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import lag, last, ratio
+from quantloom.functions.windows import lag, last, ratio, sql_round
 from quantloom.operators import indicators, rules
 
 #: Days between two bars of a symbol that count as a gap, the share of a day's bars without turnover from which the
@@ -49,7 +49,7 @@ def audit_report(bars: DataFrame) -> DataFrame:
     day = _newest_day(bars).agg(F.max("latest_day").alias("latest_day"), F.count_if(no_turnover()).alias("no_turnover"), F.count(F.lit(1)).alias("_n"))
     share = F.coalesce(F.try_divide("no_turnover", "_n"), F.lit(0.0))
     # both sides are one row
-    return counts.crossJoin(day.select("latest_day", "no_turnover", F.round(share, 4).alias("no_turnover_ratio"), (share > SOURCE_GAP).alias("source_gap_likely")))
+    return counts.crossJoin(day.select("latest_day", "no_turnover", sql_round(share, 4).alias("no_turnover_ratio"), (share > SOURCE_GAP).alias("source_gap_likely")))
 
 
 def audit_samples(bars: DataFrame, most: int = 50) -> DataFrame:

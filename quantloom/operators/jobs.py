@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import lag
+from quantloom.functions.windows import lag, sql_round
 from quantloom.operators import indicators, portfolio, quality, rules, waves
 
 
@@ -15,7 +15,7 @@ def macd_summary(bars: DataFrame) -> DataFrame:
     dif, dea = F.col("macd"), F.col("macd_signal")
     state = F.when(F.col("n_bars") < 2, "unknown").when(dif > dea, "golden").when(dif < dea, "death").otherwise("flat")
     cross = F.when((F.col("_p") <= F.col("_q")) & (dif > dea), "golden").when((F.col("_p") >= F.col("_q")) & (dif < dea), "death")
-    four = lambda c, n: F.round(F.when(F.col("n_bars") >= 2, c), 4).alias(n)
+    four = lambda c, n: sql_round(F.when(F.col("n_bars") >= 2, c), 4).alias(n)
     return indicators.latest(made.withColumns({"state": state, "cross": cross})).select("symbol", "dt", four(dif, "dif"), four(dea, "dea"), four((dif - dea) * 2, "hist"), "state", "cross", "n_bars")
 
 
@@ -64,7 +64,7 @@ def evaluate_portfolio(found: DataFrame, returns: DataFrame, equity: float = 1e6
     rows = sized.join(F.broadcast(scale))
     suggested = F.when((F.col("verdict") == "candidate") & (F.col("shares") > 0), F.floor(F.col("shares") * F.col("scale") / lot) * lot).otherwise(0)
     rows = rows.withColumn("suggested_shares", suggested.cast("long"))
-    return rows.withColumn("suggested_risk", F.round(F.col("suggested_shares") * F.coalesce(F.col("entry") - F.col("stop"), F.lit(0.0)), 2))
+    return rows.withColumn("suggested_risk", sql_round(F.col("suggested_shares") * F.coalesce(F.col("entry") - F.col("stop"), F.lit(0.0)), 2))
 
 
 def attach_waves(results: DataFrame, evaluated: DataFrame, most: int | None = None, pool: int = 500, top: int = 200) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators.quality import normalize_symbol
 
 #: Spellings of bar periods and of price adjustments, and the flag that each signal name stands for.
@@ -201,7 +202,7 @@ def friday_weeks(bars: DataFrame) -> DataFrame:
     """Weeks up to Friday of sector bars: weekend days count for the next Friday; a week without a close above 0 goes."""
     after = F.pmod(F.lit(11) - F.weekday("dt"), F.lit(7)).cast("int")  # weekday: Monday is 0
     weeks = bars.groupBy("symbol", F.date_add("dt", after).alias("week")).agg(
-        F.min_by("open", "dt").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "dt").alias("close"), F.sum("volume").alias("volume"), F.round(F.sum("amount"), 2).alias("amount")
+        F.min_by("open", "dt").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "dt").alias("close"), F.sum("volume").alias("volume"), sql_round(F.sum("amount"), 2).alias("amount")
     )
     return weeks.where("close > 0").withColumnRenamed("week", "dt")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators.waves import apply_factor
 
 
@@ -170,7 +171,7 @@ def chip_flags(results: DataFrame) -> DataFrame:
     Turnover under 2 percent is low chips at a low place (15 percent under the 120-bar high, or a platform that may be bought),
     quiet elsewhere; an unknown turnover is neither.
     """
-    pos = F.round(1 - F.try_divide(F.col("price"), F.col("high_120")), 4)
+    pos = sql_round(1 - F.try_divide(F.col("price"), F.col("high_120")), 4)
     low = F.coalesce(F.col("platform_state") == "buy flat", F.lit(False)) | F.coalesce(pos >= 0.15, F.lit(False))
     quiet = F.coalesce(F.col("turnover_20") < 2, F.lit(False))
     return results.withColumns({"price_pos": pos, "chip_low": quiet & low, "chip_quiet": quiet & ~low, "chip_low_unknown": F.col("turnover_20").isNull()})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators import rules
 
 #: The blocks of a technical snapshot and the columns in each.
@@ -56,7 +57,7 @@ def scan_table(nested: DataFrame) -> DataFrame:
         "symbol", F.when(is_index, "index").otherwise("stock").alias("kind"), F.col("sector.name").alias("sector"), F.col("signal.final_score").alias("score"), F.coalesce("signal.advice", F.lit("")).alias("advice"),
         *(sign(f"signal.{c}").alias(c) for c in ("yearline_pass", "anchored", "po5_fan5")), F.col("checklist.checks_met").alias("checks_met"),
         *(F.when(F.col(f"chips.{c}"), "yes").otherwise("no").alias(c) for c in ("chip_low", "chip_quiet")), rules.turnover_tag(turn).alias("turnover_tag"), rules.style_tag(turn, F.col("signal.yearline_pass"), F.col("signal.main_wave")).alias("style_tag"),
-        F.round(F.col("chips.price_pos") * 100, 1).alias("below_high_pct"), "dt", *(sign(f"yearline.{c}").alias(f"year_{c}") for c in BLOCKS["yearline"]), *(sign(f"checklist.{c}").alias(f"wave_{c}") for c in rules.CHECKS),
+        sql_round(F.col("chips.price_pos") * 100, 1).alias("below_high_pct"), "dt", *(sign(f"yearline.{c}").alias(f"year_{c}") for c in BLOCKS["yearline"]), *(sign(f"checklist.{c}").alias(f"wave_{c}") for c in rules.CHECKS),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators.patterns import pivots
 
 #: Tags by age: the third of a kind comes after the second and the first.
@@ -65,7 +66,7 @@ def summary(bars: DataFrame, moves: DataFrame, areas: DataFrame) -> DataFrame:
     leave = F.when((F.col("place") == "above") & (F.col("direction") == "up"), "up").when((F.col("place") == "below") & (F.col("direction") == "down"), "down")
     height = F.col("z.zg") - F.col("z.zd")
     return rows.select(
-        "symbol", "dt", "close", "direction", "confirmed", "place", leave.alias("leave"), F.round(F.abs(F.col("m.high") - F.col("m.low")) / F.when(height > 0, height), 2).alias("stretch"),
+        "symbol", "dt", "close", "direction", "confirmed", "place", leave.alias("leave"), sql_round(F.abs(F.col("m.high") - F.col("m.low")) / F.when(height > 0, height), 2).alias("stretch"),
         F.coalesce(F.col("dt").between(F.col("z.sdt"), F.col("z.edt")), F.lit(False)).alias("in_zone"), F.coalesce("n_strokes", F.lit(0)).alias("n_strokes"), F.coalesce("n_zones", F.lit(0)).alias("n_zones"), F.coalesce("z.finished", F.lit(False)).alias("last_zone_finished"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.windows import SYMBOL, lag, last, ratio, rolling_mean, series, so_far
+from quantloom.functions.windows import SYMBOL, lag, last, ratio, rolling_mean, series, so_far, sql_round
 from quantloom.operators.quality import valid_bars
 
 #: The parameters of the structure.
@@ -109,7 +109,7 @@ def alignment(day: DataFrame, week: DataFrame, month: DataFrame) -> DataFrame:
     no_bear = ~(F.coalesce(d < 0, F.lit(False)) | F.coalesce(wk < 0, F.lit(False)) | F.coalesce(m < 0, F.lit(False)))
     up = F.coalesce(d == 1, F.lit(False)) | F.coalesce(wk == 1, F.lit(False))
     kind = F.when(m == 1, "bull").when(m == -1, "bear").otherwise("neutral")
-    slope = F.round(F.coalesce("month_slope", F.lit(0.0)), 2)
+    slope = sql_round(F.coalesce("month_slope", F.lit(0.0)), 2)
     sign = F.when(slope > 1, "up").when(slope < -1, "down").otherwise("flat")
     weights = F.create_map(*(F.lit(x) for (a, b), v in MONTH_WEIGHT.items() for x in (f"{a}/{b}", v)))
     weight = F.when(m.isNull(), 1.0).otherwise(F.element_at(weights, F.concat_ws("/", kind, sign)))
@@ -135,7 +135,7 @@ def rules_and_verdict(waves: DataFrame, positions: DataFrame, strict: bool = Fal
     nine = F.array(*eight, hard & F.col("breakout"))
     rows = rows.withColumn("rules", nine)
     failed = F.filter(F.transform("rules", lambda x, i: F.when(~x & ~i.isin(*(soft or {-1})), i + 1)), lambda x: x.isNotNull())
-    rows = rows.withColumns({"failed_hard": failed, "quality": F.round(F.size(F.filter("rules", lambda x: x)) / 9 * 100, 1)})
+    rows = rows.withColumns({"failed_hard": failed, "quality": sql_round(F.size(F.filter("rules", lambda x: x)) / 9 * 100, 1)})
     verdict = F.when(F.coalesce("known_periods", F.lit(0)) < 2, "avoid").when(F.size("failed_hard") == 0, "candidate").when(F.col("phase").isin("second wave unfit", "no first wave"), "avoid").otherwise("watch")
     return rows.withColumn("verdict", verdict)
 
@@ -192,7 +192,7 @@ def stage(bars: DataFrame) -> DataFrame:
     change = lambda n, c="close": ratio(F.col(c) - lag(c, n), F.abs(lag(c, n)))
     b = bars.withColumns({"t5": change(5), "t20": change(20), "t60": change(60), "_n": F.count(F.lit(1)).over(so_far()), "_hi": F.max("close").over(last(120)), "_lo": F.min("close").over(last(120))})
     volume = ratio(F.avg("volume").over(last(5)), F.avg("volume").over(series().rowsBetween(-24, -5)))
-    b = b.withColumns({"volume_trend": F.when(F.col("_n") >= 25, F.round(volume, 3)), "amplitude": F.when(F.col("_n") >= 20, F.round((F.max("high").over(last(20)) - F.min("low").over(last(20))) / F.avg("close").over(last(20)), 4))})
+    b = b.withColumns({"volume_trend": F.when(F.col("_n") >= 25, sql_round(volume, 3)), "amplitude": F.when(F.col("_n") >= 20, sql_round((F.max("high").over(last(20)) - F.min("low").over(last(20))) / F.avg("close").over(last(20)), 4))})
     shift = {n: change(n, "poc") if "poc" in bars.columns else F.lit(None).cast("double") for n in (20, 60)}
     b = b.withColumns({f"poc_shift{n}": v for n, v in shift.items()})
     t5, t20, v, a, p = (F.col(c) for c in ("t5", "t20", "volume_trend", "amplitude", "poc_shift20"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators import indicators as ind
 from quantloom.operators import jobs, waves
 from quantloom.plans.catalog import _GAPPY, _SNAP, _ema, _eval_sql, full_evaluation, register
@@ -55,7 +56,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v9_portfolio_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _verdicts(spark, sf_dir).select("symbol", "entry", "stop", "verdict")
     made = jobs.evaluate_portfolio(found, ind.daily_returns(src.bars(spark, sf_dir)), lot=1)
-    return made.select("symbol", "verdict", "shares", "suggested_shares", "suggested_risk", F.round("scale", 4).alias("scale"))
+    return made.select("symbol", "verdict", "shares", "suggested_shares", "suggested_risk", sql_round("scale", 4).alias("scale"))
 
 
 @register("v10_attached_waves")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators import accumulation as acc
 from quantloom.operators import indicators as ind
 from quantloom.operators import panels, quality, rules, waves
 from quantloom.operators.indicators import rounded
 from quantloom.plans import sql
-from quantloom.plans.catalog import _KB, ORACLE_SQL, _SECTOR, j1_primary_sector, register
+from quantloom.plans.catalog import _KB, ORACLE_SQL, _SECTOR, j1_primary_sector, known_turnover, register
 from quantloom.plans.signals import _summary, _weekly
 from quantloom.plans.sql import IND, W, over
 from quantloom.sources import bars as src
@@ -55,10 +56,10 @@ def r15_sector_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT symbol, dt, turn_avg20 AS tn, high120 FROM ({ORACLE_SQL["w18_average_turnover"]})) USING (symbol, dt) JOIN (SELECT symbol, dt, close AS price FROM ({ORACLE_SQL["r1_yearline_filter"]})) USING (symbol, dt)))""")
 def r16_result_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From stored results of the newest bars: stage, mean turnover, price and high, year line, chips."""
-    b = waves.stage(ind.average_turnover(rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir))))))
+    b = waves.stage(known_turnover(rules.yearline_filter(ind.ma_arrangement(ind.moving_averages(src.bars(spark, sf_dir))))))
     newest = ind.latest(rounded(b.select("symbol", "dt", "stage", "turn_avg20", "high120", "close", "yearline_pass"), exact=("high120", "close")))
     results = newest.select("symbol", "stage", F.col("turn_avg20").alias("turnover_20"), F.col("close").alias("price"), F.col("high120").alias("high_120"), "yearline_pass").withColumns(
-        {"chip_low": (F.col("turnover_20") < 2) & (F.round(1 - F.col("price") / F.col("high_120"), 4) >= acc.LOW_RETRACE), "chip_low_unknown": F.col("turnover_20").isNull()}
+        {"chip_low": (F.col("turnover_20") < 2) & (sql_round(1 - F.col("price") / F.col("high_120"), 4) >= acc.LOW_RETRACE), "chip_low_unknown": F.col("turnover_20").isNull()}
     )
     return acc.from_results(results).select("symbol", "acc_level", "acc_points", "retrace_pct", "acc_known")
 

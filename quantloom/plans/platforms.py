@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators import indicators as ind
 from quantloom.operators import quality, rules, waves
 from quantloom.operators.indicators import rounded
@@ -37,7 +38,7 @@ def w24_adaptive_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("w24_adaptive_platform", over("SELECT symbol, dt, round(poc, 8) AS poc, round(atr, 5) AS atr, round(upper, 5) AS upper, round(lower, 5) AS lower, broke AS breakout FROM ap", IND, _WINDOWS, _ATR, _VAP))
 def w24_adaptive_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ind.adaptive_platform(ind.adaptive_windows(src.bars(spark, sf_dir)))
-    return rounded(made.select("symbol", "dt", F.round("poc", 8).alias("poc"), "atr", "upper", "lower", "breakout"), exact=("poc",))
+    return rounded(made.select("symbol", "dt", sql_round("poc", 8).alias("poc"), "atr", "upper", "lower", "breakout"), exact=("poc",))
 
 
 def _box_sql(unit: str) -> str:

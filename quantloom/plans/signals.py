@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators import indicators as ind
 from quantloom.operators import patterns, quality, rules
 from quantloom.operators.indicators import rounded
@@ -102,4 +103,4 @@ _DOUBLE = ORACLE_SQL["k3_double_top_bottom"].replace(sql.SUPPLIER_TICKS, sql.TIC
 best AS (SELECT symbol, name, r FROM shapes WHERE r > 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY r DESC, place) = 1)
 SELECT symbol, coalesce(name, 'none') AS main_pattern, coalesce(r, 0) AS reliability, coalesce(r, 0) > 50 AS clear FROM {_NEWEST("k5_wedge")} LEFT JOIN best USING (symbol)""")
 def k6_main_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.main_pattern(src.bars(spark, sf_dir)).withColumn("reliability", F.round("reliability", 2))
+    return patterns.main_pattern(src.bars(spark, sf_dir)).withColumn("reliability", sql_round("reliability", 2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.windows import sql_round
 from quantloom.operators import indicators as ind
 from quantloom.operators import rules
 from quantloom.operators.indicators import rounded
@@ -48,7 +49,7 @@ def n6_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     for schema in (first, whole):
         scans.second_pass(spark, path, "1", lambda rows: scans.add_portfolio(rows, returns, lot=1), schema)
     made = scans.stored_results(spark, path, "1", whole)
-    return made.select("symbol", "verdict", "shares", "suggested_shares", "suggested_risk", F.round("scale", 4).alias("scale"))
+    return made.select("symbol", "verdict", "shares", "suggested_shares", "suggested_risk", sql_round("scale", 4).alias("scale"))
 
 
 _LATE = "(symbol LIKE '%3' AND dt > DATE '1998-10-20')"
