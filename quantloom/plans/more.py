@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from quantloom.plans import sql
 from quantloom.plans.catalog import checksum_sql, register
 from quantloom.plans.sql import W, over
 from quantloom.sources import bars as src
+from quantloom.sources.bars import scratch
 from quantloom.streaming import minutes
 
 _WAVE = """v0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dt DESC) AS rk, count(*) OVER (PARTITION BY symbol) AS al, lag(close) OVER w AS c1,
@@ -89,16 +87,6 @@ def r13_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(waves.stage(src.bars(spark, sf_dir)).select("symbol", "dt", "t5", "t20", "volume_trend", "amplitude", "stage"))
 
 
-def scratch(spark: SparkSession, what: str = "stream") -> str:
-    """A folder that driver and executors share: in spark.checkpoint.dir, or a temporary one if the master is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quantloom-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 @register("n2_stream_bars", """WITH b AS (SELECT event_type AS code, time_bucket(INTERVAL '30 minutes', ts) AS dt, arg_min(value, ROW(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, ROW(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2)
   SELECT * FROM b WHERE dt + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""")
 def n2_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
