@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,23 +29,25 @@ from pyspark.sql import functions as F
 from quantloom.llm.shared import materialize, read
 
 END_ID = 1
-MAGIC = b"QTK2"
+MAGIC = b"QTK3"
 #: Ids of a segment (one stored row; a longer document makes a longer one), and stretches of text remembered.
 SEGMENT_IDS, STRETCHES = 1 << 22, 300_000
 #: Fixed values of the format: ids of a block at most; lanes of a block at most, and least steps of a lane; size of the order 2
-#: table; steps between two mixings; weight of an id in the order 0 counts; shares of a mixture; bounds of the 64-bit coder.
+#: table; steps between two mixings; weight of an id in the order 0 counts; shares of a mixture. A lane's interval is between
+#: 2**46 and 2**62 wide, so an order and an id of order 0 are coded without a word in between; words are those above bit 46.
 BLOCK_IDS, LANES, LEAST_STEPS, ORDER_2_BITS, MIX_STEPS, COUNT, SHARES = 1 << 20, 2048, 128, 18, 32, 32, 1 << 16
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 33)
-_SHIFT, _HIGH = np.uint64(16), np.uint64(48)
+BOTTOM, WIDEST = np.uint64(1 << 46), np.uint64((1 << 62) - 1)
+_SHIFT, _HIGH = np.uint64(16), np.uint64(46)
 
 
 class _Model:
     """Predictions and mixing weights of one block. An entry of an order is id * 16 + confidence."""
 
     def __init__(self, n_ids: int, steps: int, lanes: int):
-        self.two, self.one = np.zeros(1 << ORDER_2_BITS, dtype=np.int64), np.zeros(n_ids, dtype=np.int64)
+        kind = np.int32 if n_ids < 1 << 27 else np.int64  # small tables stay in the cache
+        self.two, self.one = np.zeros(1 << ORDER_2_BITS, dtype=kind), np.zeros(n_ids, dtype=kind)
         self.before = np.zeros((2, lanes), dtype=np.int64)
-        self.keys, self.missed = np.zeros((steps, lanes), dtype=np.int64), np.full((steps, lanes), -1, dtype=np.int64)
+        self.keys, self.missed = np.full((steps, lanes), 3, dtype=np.int16), [np.zeros(0, dtype=np.int64)]  # 3: no order
         self.weights, self.counts = np.ones((512, 3), dtype=np.int64), np.ones(n_ids, dtype=np.int64)
         self.done, self.step = 0, 0
         self._mix()
@@ -56,8 +60,8 @@ class _Model:
         self.start, self.width = np.zeros(2048, dtype=np.uint64), np.zeros(2048, dtype=np.uint64)
         self.width.reshape(512, 4)[:, :3] = width
         self.start.reshape(512, 4)[:, 1:3] = np.cumsum(width, axis=1)[:, :2]
-        missed = self.missed[self.done : self.step].reshape(-1)
-        self.counts += np.bincount(missed[missed >= 0], minlength=len(self.counts)) * COUNT
+        self.counts += np.bincount(np.concatenate(self.missed), minlength=len(self.counts)) * COUNT
+        self.missed = [np.zeros(0, dtype=np.int64)]
         self.upto = np.zeros(len(self.counts) + 1, dtype=np.uint64)
         np.cumsum(self.counts, out=self.upto[1:].view(np.int64))
         self.total = self.upto[-1]
@@ -67,24 +71,32 @@ class _Model:
         """Key (order 2's), and the predictions of orders 2 and 1, of each running lane."""
         one, two = self.before[0, :running], self.before[1, :running]
         self.slot = ((one * 0x9E3779B1 ^ two * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - ORDER_2_BITS)
-        self.entry2, self.entry1, self.context = self.two[self.slot], self.one[one], one
+        self.entry2, self.entry1, self.context = self.two.take(self.slot), self.one.take(one), one
         of_two, of_one = self.entry2 >> 4, self.entry1 >> 4
         key = (self.entry2 & 15) << 6
         key |= (self.entry1 & 15) << 2
-        key |= (of_two == of_one).astype(np.int64) << 10
+        key |= (of_two == of_one).astype(key.dtype) << 10
         return key, of_two, of_one
 
-    def learn(self, key: np.ndarray, ids: np.ndarray, of_two: np.ndarray, of_one: np.ndarray, missed: np.ndarray) -> None:
-        """``key`` of the order that coded each lane's id; ``missed`` are the lanes that order 0 coded."""
+    def find(self, targets: np.ndarray) -> np.ndarray:
+        """The ids whose share of the order 0 counts holds the targets; looked up in rising order, which keeps to the cache."""
+        rising = np.argsort(targets)
+        found = np.empty(len(targets), dtype=np.int64)
+        found[rising] = np.searchsorted(self.upto, targets[rising], side="right") - 1
+        return found
+
+    def learn(self, key: np.ndarray, ids: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray, missed: np.ndarray) -> None:
+        """``key`` of the order that coded each lane's id, whether orders 2 and 1 had it; ``missed`` are the ids that order 0 coded."""
         n = len(ids)
         self.keys[self.step, :n] = key
-        self.keys[self.step, n:] = 3  # no order
-        self.missed[self.step, missed] = ids[missed]
-        fresh = ids << 4
-        for table, at, entry, of in ((self.two, self.slot, self.entry2, of_two), (self.one, self.context, self.entry1, of_one)):
+        self.missed.append(missed)
+        fresh = ids.astype(self.two.dtype) << 4
+        for table, at, entry, hit in ((self.two, self.slot, self.entry2, hit_two), (self.one, self.context, self.entry1, hit_one)):
             sure = entry & 15
-            kept = np.where(sure > 1, entry - ((sure + 1) >> 1), fresh)
-            table[at] = np.where(of == ids, entry + (sure < 15), kept)
+            # a hit raises the confidence, a miss halves it; one without confidence gives way
+            changed = entry + np.where(hit, sure < 15, -((sure + 1) >> 1))
+            np.copyto(changed, fresh, where=(sure <= 1) & ~hit)
+            table[at] = changed
         self.before[1, :n] = self.before[0, :n]
         self.before[0, :n] = ids
         self.step += 1
@@ -106,52 +118,46 @@ def encode_block(symbols: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarra
     ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
     short = len(symbols) - (lanes - 1) * steps
     model = _Model(n_ids, steps, lanes)
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, WIDEST)
     room = 4 * steps + 8
-    out, used = np.zeros(lanes * room, dtype="<u2"), np.arange(lanes) * room
-
-    def settle(among: np.ndarray | None, lo: np.ndarray, wd: np.ndarray) -> None:
-        while True:
-            settled = (lo ^ (lo + wd)) < TOP
-            need = np.flatnonzero(settled | (wd < BOTTOM))
-            if not len(need):
-                return
-            lane = need if among is None else among[need]
-            a = lo[need]
-            w = np.where(settled[need], wd[need], (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            out[used[lane]] = a >> _HIGH
-            used[lane] += 1
-            low[lane], width[lane] = a << _SHIFT, w << _SHIFT
-            among = lane
-            lo, wd = low[among], width[among]
-
+    out, used = np.zeros(lanes * room, dtype=np.uint32), np.arange(lanes) * room
     for t in range(steps):
         n = lanes if t < short else lanes - 1
         now, lo, wd = ids[t, :n], low[:n], width[:n]
         key, of_two, of_one = model.predict(n)
-        hit_two = now == of_two
-        order = np.where(hit_two, 0, 2 - (now == of_one))
+        hit_two, hit_one = now == of_two, now == of_one
+        order = np.where(hit_two, 0, 2 - hit_one)
         key |= order
         unit = wd >> _SHIFT
-        lo += unit * model.start[key]
-        np.multiply(unit, model.width[key], out=wd)
-        settle(None, lo, wd)
+        lo += unit * model.start.take(key)
+        np.multiply(unit, model.width.take(key), out=wd)
         missed = np.flatnonzero(order == 2)
-        if len(missed):
-            z = now[missed]
-            start = model.upto[z]
-            unit = width[missed] // model.total
-            low[missed] += unit * start
-            width[missed] = unit * (model.upto[z + 1] - start)
-            settle(missed, low[missed], width[missed])
-        model.learn(key, now, of_two, of_one, missed)
-    # at least 2**33 wide, so a start rounded up to 2**32 is inside whatever the next lane's words add to it
-    low = (low + np.uint64((1 << 32) - 1)) >> np.uint64(32)
-    for shift in (16, 0):
-        out[used] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
-        used += 1
+        z = now[missed]
+        start = model.upto.take(z)
+        unit = wd[missed] // model.total
+        lo[missed] += unit * start
+        wd[missed] = unit * (model.upto.take(z + 1) - start)
+        model.learn(key, now, hit_two, hit_one, z)
+        need = np.flatnonzero(wd < BOTTOM)
+        while len(need):
+            a, at = lo[need], used[need]
+            out[at] = a >> _HIGH  # a bit above the word is its carry
+            used[need] = at + 1
+            lo[need] = (a & (BOTTOM - np.uint64(1))) << _SHIFT
+            a = wd[need] << _SHIFT
+            wd[need] = a
+            need = need[a < BOTTOM]
+    # at least 2**46 wide, so a start rounded up to 2**30 is inside whatever the next lane's words add to it
+    low = (low + np.uint64((1 << 30) - 1)) >> np.uint64(30)
+    out[used], out[used + 1] = low >> _SHIFT, low & np.uint64(0xFFFF)
+    used += 2
     sizes = used - np.arange(lanes) * room
-    return np.concatenate([out[k * room : e] for k, e in enumerate(used.tolist())]), sizes
+    words = np.concatenate([out[k * room : e] for k, e in enumerate(used.tolist())])
+    # no carry leaves a lane: all its intervals are within the first
+    while len(over := np.flatnonzero(words > 0xFFFF)):
+        words[over] &= 0xFFFF
+        words[over - 1] += 1
+    return words.astype("<u2"), sizes
 
 
 def decode_block(words: np.ndarray, sizes: np.ndarray, length: int, n_ids: int) -> np.ndarray:
@@ -161,54 +167,43 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, length: int, n_ids: int)
     # lanes lie one after another; a damaged lane may run past its end, at most to the padding
     stream = np.concatenate([words, np.zeros(4 * steps + 16, dtype=words.dtype)]).astype(np.uint64)
     used = np.cumsum(sizes) - sizes
-    code = np.zeros(lanes, dtype=np.uint64)
-    for _ in range(4):
-        code = (code << _SHIFT) | stream[used]
-        used += 1
+    # how far the words are above the interval's start: first their upper 62 bits, then 16 more at a time, two bits late
+    code = (stream[used] << np.uint64(46)) | (stream[used + 1] << np.uint64(30)) | (stream[used + 2] << np.uint64(14)) | (stream[used + 3] >> np.uint64(2))
+    used += 4
+    stream[1:] = ((stream[:-1] & np.uint64(3)) << np.uint64(14)) | (stream[1:] >> np.uint64(2))
     model = _Model(n_ids, steps, lanes)
-    low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    width = np.full(lanes, WIDEST)
     ids = np.zeros((steps, lanes), dtype=np.int64)
-
-    def settle(among: np.ndarray | None, lo: np.ndarray, wd: np.ndarray) -> None:
-        while True:
-            settled = (lo ^ (lo + wd)) < TOP
-            need = np.flatnonzero(settled | (wd < BOTTOM))
-            if not len(need):
-                return
-            among = need if among is None else among[need]
-            a = lo[need]
-            w = np.where(settled[need], wd[need], (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            at = used[among]
-            code[among] = (code[among] << _SHIFT) | stream[np.minimum(at, len(stream) - 1)]
-            used[among] = at + 1
-            low[among], width[among] = a << _SHIFT, w << _SHIFT
-            lo, wd = low[among], width[among]
-
     for t in range(steps):
         n = lanes if t < short else lanes - 1
-        lo, wd = low[:n], width[:n]
+        co, wd = code[:n], width[:n]
         key, of_two, of_one = model.predict(n)
         unit = wd >> _SHIFT
-        target = (code[:n] - lo) // unit
-        order = (target >= model.start[key | 1]).astype(np.int64)
-        order += target >= model.start[key | 2]
+        # without a division: whether the code reaches the shares of orders 1 and 0
+        order = (co >= unit * model.start.take(key | 1)).astype(key.dtype)
+        order += co >= unit * model.start.take(key | 2)
         key |= order
-        lo += unit * model.start[key]
-        np.multiply(unit, model.width[key], out=wd)
-        settle(None, lo, wd)
-        now = np.where(order == 0, of_two, of_one)
+        co -= unit * model.start.take(key)
+        np.multiply(unit, model.width.take(key), out=wd)
+        now = np.where(order == 0, of_two, of_one).astype(np.int64)
         missed = np.flatnonzero(order == 2)
-        if len(missed):
-            unit = width[missed] // model.total
-            target = np.minimum((code[missed] - low[missed]) // unit, model.total - np.uint64(1))
-            z = np.searchsorted(model.upto, target, side="right") - 1
-            now[missed] = z
-            start = model.upto[z]
-            low[missed] += unit * start
-            width[missed] = unit * (model.upto[z + 1] - start)
-            settle(missed, low[missed], width[missed])
-        model.learn(key, now, of_two, of_one, missed)
+        unit = wd[missed] // model.total
+        target = np.minimum(co[missed] // unit, model.total - np.uint64(1))
+        z = model.find(target)
+        now[missed] = z
+        start = model.upto.take(z)
+        co[missed] -= unit * start
+        wd[missed] = unit * (model.upto.take(z + 1) - start)
+        model.learn(key, now, now == of_two, now == of_one, z)
         ids[t, :n] = now
+        need = np.flatnonzero(wd < BOTTOM)
+        while len(need):
+            at = used[need]
+            co[need] = (co[need] << _SHIFT) | stream.take(at, mode="clip")
+            used[need] = at + 1
+            a = wd[need] << _SHIFT
+            wd[need] = a
+            need = need[a < BOTTOM]
     return ids.T.reshape(-1)[:length]
 
 
@@ -263,11 +258,30 @@ def unpack_ids(segment: bytes) -> np.ndarray:
     return np.concatenate(found)
 
 
+#: Letters of Latin-1, where each is composed and has one lower case, and signs. Letters with signs behind them are two pre-tokens.
+LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_WORD = f"^[{LETTERS}]+$"
+#: Words of one text given to the library; bytes of text whose stretches are looked up together.
+WORDS_AT_ONCE, RUN_BYTES = 64, 8 << 20
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces that lie one after another with these sizes, those at ``at`` in that order, and their sizes."""
+    own = sizes[at]
+    upto = np.cumsum(own)
+    shift = (np.cumsum(sizes) - sizes)[at] - upto + own
+    place = np.repeat(shift, own)
+    place += np.arange(len(place))
+    return ids[place], own
+
+
 class StretchEncoder:
     """Ids of whole texts by the tokenizers library, which sees each blank-free stretch of text once while it is remembered.
 
     The tokenizer drops white space between pre-tokens and no pre-token, special string or composed character spans a
-    blank, tab or line end, so the stretches between those can be encoded alone.
+    blank, tab or line end, so the stretches between those can be encoded alone. Words of letters are given to the library
+    many in a text; where one ends, its last id is of a vocabulary entry with the end-of-word suffix.
     """
 
     def __init__(self, model: str):
@@ -277,26 +291,74 @@ class StretchEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for v, i in vocab.items() if suffix and v.endswith(suffix)]] = True
+        self.lowers = bool(self.tokenizer.normalizer) and self.tokenizer.normalizer.normalize_str("A\u00c9") == "a\u00e9"
+
+    def _learn(self, texts: list[str]) -> None:
+        """Remember the ids of texts, each encoded alone."""
+        self.known.update((s, array("I", e.ids).tobytes()) for s, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Remember the ids of words of letters, encoded many at a time; alone where their ends are not seen."""
+        runs = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            upto = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(upto) != len(run) or upto[-1] != ids.nbytes:
+                self._learn(run)
+                continue
+            packed = ids.tobytes()
+            self.known.update((w, packed[a:b]) for w, a, b in zip(run, [0, *upto], upto))
+
+    def _pieces(self, pieces: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the distinct pieces one after another, number of ids of each), asking the library for those not remembered."""
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, older = self.known, self.older
-        new = set().union(*cut).difference(known)
-        again = new & older.keys()
-        known.update((s, older[s]) for s in again)
-        new -= again
-        # letters with one sign behind them are two pre-tokens in any case
-        ended = [s for s in new if len(s) > 1 and s.isascii() and s[:-1].isalpha() and not s[-1].isalnum()]
-        new.difference_update(ended)
-        new.update([s[:-1] for s in ended], [s[-1] for s in ended])
-        fresh = list(new.difference(known))
-        known.update((s, array("I", e.ids).tobytes()) for s, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True))
-        known.update((s, known[s[:-1]] + known[s[-1]]) for s in ended)
-        found = [np.frombuffer(b"".join(map(known.__getitem__, c)), dtype="<u4") for c in cut]
-        if len(known) > STRETCHES:
-            self.older, self.known = {s: b for s, b in known.items() if len(s) <= 64}, {"": b""}
-        return found
-
+        packed = list(map(known.get, names))
+        if new := [i for i, p in enumerate(packed) if p is None]:
+            known.update((names[i], older[names[i]]) for i in new if names[i] in older)
+            word = pc.match_substring_regex(pieces.dictionary.take(new), _WORD).to_pylist()
+            missing = [(names[i], w) for i, w in zip(new, word, strict=True) if names[i] not in known]
+            self._learn_words([s for s, w in missing if w])
+            self._learn([s for s, w in missing if not w])
+            for i in new:
+                packed[i] = known[names[i]]
+        return np.frombuffer(b"".join(packed), dtype="<u4"), np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+
+    def encode_run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
+        cut = pc.ascii_split_whitespace(texts)
+        stretches = cut.flatten().dictionary_encode()
+        names = stretches.dictionary
+        word = pc.utf8_rtrim(names, SIGNS)
+        own = pc.match_substring_regex(word, _WORD)
+        word = pc.if_else(own, pc.utf8_lower(word) if self.lowers else word, names).dictionary_encode()
+        signs = pc.if_else(own, pc.utf8_ltrim(names, LETTERS), "").dictionary_encode()
+        (ids, sizes), (more, more_sizes) = self._pieces(word), self._pieces(signs)
+        # each name's pieces, then each stretch's name
+        at = np.stack([word.indices.to_numpy(), signs.indices.to_numpy() + len(sizes)], axis=1).reshape(-1)
+        ids, sizes = _gather(np.concatenate([ids, more]), np.concatenate([sizes, more_sizes]), at)
+        ids, sizes = _gather(ids, sizes.reshape(-1, 2).sum(axis=1), stretches.indices.to_numpy())
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
+        if len(self.known) > STRETCHES:
+            self.older, self.known = {s: b for s, b in self.known.items() if len(s) <= 64}, {"": b""}
+        return ids, np.diff(bounds)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, null ones taken as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        run = np.cumsum(pc.binary_length(texts).to_numpy()) // RUN_BYTES
+        for of in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(run)) + 1):
+            if len(of):
+                ids, lengths = self.encode_run(texts.slice(of[0], len(of)))
+                yield from np.split(ids, np.cumsum(lengths)[:-1])
+
+
+#: A stored segment.
+STORED = pa.schema([("file_no", pa.int32()), ("segment_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
 _encoder: dict[int, StretchEncoder] = {}
 
@@ -310,7 +372,7 @@ def write_token_ids(docs: DataFrame, model: str) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(sent.value)
         if key not in _encoder:
             _encoder.clear()
@@ -320,26 +382,24 @@ def write_token_ids(docs: DataFrame, model: str) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
 
-        def segment() -> pd.DataFrame:
+        def segment() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            return pd.DataFrame({"file_no": [file_no], "segment_no": [segment_no], "doc_ids": [names], "lengths": [[len(h) for h in held]], "n_ids": [len(ids)], "payload": [pack_ids(ids)]})
+            row = {"file_no": file_no, "segment_no": segment_no, "doc_ids": names, "lengths": [len(h) for h in held], "n_ids": len(ids), "payload": pack_ids(ids)}
+            return pa.RecordBatch.from_pylist([row], schema=STORED)
 
         for batch in batches:
-            named = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
-            texts = [t or "" for t in batch["text"]]
-            for i in range(0, len(texts), 512):
-                for name, ids in zip(named[i : i + 512], encoder.encode(texts[i : i + 512]), strict=True):
-                    if size and size + len(ids) >= SEGMENT_IDS:
-                        yield segment()
-                        segment_no, names, held, size = segment_no + 1, [], [], 0
-                    names.append(name)
-                    held.append(np.append(ids, np.uint32(END_ID)).astype("<u4"))
-                    size += len(ids) + 1
+            for name, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                if size and size + len(ids) >= SEGMENT_IDS:
+                    yield segment()
+                    segment_no, names, held, size = segment_no + 1, [], [], 0
+                names.append(name)
+                held.append(np.append(ids, np.uint32(END_ID)).astype("<u4"))
+                size += len(ids) + 1
         if held:
             yield segment()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ordered.mapInPandas(run, "file_no int, segment_no int, doc_ids array<long>, lengths array<int>, n_ids long, payload binary"))
+    return materialize(ordered.mapInArrow(run, "file_no int, segment_no int, doc_ids array<long>, lengths array<int>, n_ids long, payload binary"))
 
 
 def read_token_ids(segments: DataFrame) -> DataFrame:
