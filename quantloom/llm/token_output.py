@@ -12,6 +12,7 @@ a time. All arithmetic is on integers, so every machine decodes what another has
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -29,76 +30,93 @@ from pyspark.sql import functions as F
 from quantloom.llm.shared import materialize, read
 
 END_ID = 1
-MAGIC = b"QTK3"
+MAGIC = b"QTK4"
 #: Ids of a segment (one stored row; a longer document makes a longer one), and stretches of text remembered.
 SEGMENT_IDS, STRETCHES = 1 << 22, 300_000
 #: Fixed values of the format: ids of a block at most; lanes of a block at most, and least steps of a lane; size of the order 2
 #: table; steps between two mixings; weight of an id in the order 0 counts; shares of a mixture. A lane's interval is between
 #: 2**46 and 2**62 wide, so an order and an id of order 0 are coded without a word in between; words are those above bit 46.
-BLOCK_IDS, LANES, LEAST_STEPS, ORDER_2_BITS, MIX_STEPS, COUNT, SHARES = 1 << 20, 2048, 128, 18, 32, 32, 1 << 16
+#: Shares of order 0 up to 2**FOUND_BITS are listed for reading.
+BLOCK_IDS, LANES, LEAST_STEPS, ORDER_2_BITS, MIX_STEPS, COUNT, SHARES, FOUND_BITS = 1 << 20, 2048, 128, 18, 32, 32, 1 << 16, 18
 BOTTOM, WIDEST = np.uint64(1 << 46), np.uint64((1 << 62) - 1)
 _SHIFT, _HIGH = np.uint64(16), np.uint64(46)
 
 
+#: What a hit adds to an entry's confidence (at most 15) and a miss takes from it (half), by confidence, misses first.
+_CHANGE = np.array([-((c + 1) >> 1) for c in range(16)] + [1] * 15 + [0])
+
+
 class _Model:
     """Predictions and mixing weights of one block. An entry of an order is id * 16 + confidence."""
 
-    def __init__(self, n_ids: int, steps: int, lanes: int):
+    def __init__(self, n_ids: int, steps: int, lanes: int, finds: bool = False):
         kind = np.int32 if n_ids < 1 << 27 else np.int64  # small tables stay in the cache
-        self.two, self.one = np.zeros(1 << ORDER_2_BITS, dtype=kind), np.zeros(n_ids, dtype=kind)
-        self.before = np.zeros((2, lanes), dtype=np.int64)
+        self.entries, self.change = np.zeros((1 << ORDER_2_BITS) + n_ids, dtype=kind), _CHANGE.astype(kind)  # order 2's, then order 1's
+        self.one, self.hashed_two = np.zeros(lanes, dtype=np.uint32), np.zeros(lanes, dtype=np.uint32)
+        self.slots = np.zeros((2, lanes), dtype=np.int64)
         self.keys, self.missed = np.full((steps, lanes), 3, dtype=np.int16), [np.zeros(0, dtype=np.int64)]  # 3: no order
         self.weights, self.counts = np.ones((512, 3), dtype=np.int64), np.ones(n_ids, dtype=np.int64)
+        # order 0 shares 2**bits, a power of two so that nothing is divided by it
+        self.n_ids, size = n_ids, n_ids.bit_length()
+        self.bits = np.uint64(max(16, min(size + 4, 26), size))
+        self.finds = finds and self.bits <= FOUND_BITS
         self.done, self.step = 0, 0
         self._mix()
 
     def _mix(self) -> None:
-        """Turn counts into shares: of each key (confidences and order) of 2**16, and the added-up order 0 counts."""
+        """Turn counts into shares: of each key (confidences and order) of 2**16, and of each id in order 0."""
         self.weights += np.bincount(self.keys[self.done : self.step].reshape(-1), minlength=2048).reshape(512, 4)[:, :3] * 8
         width = np.maximum(self.weights * (SHARES - 4) // self.weights.sum(axis=1, keepdims=True), 1)
         width[:, 2] = SHARES - width[:, 0] - width[:, 1]
         self.start, self.width = np.zeros(2048, dtype=np.uint64), np.zeros(2048, dtype=np.uint64)
         self.width.reshape(512, 4)[:, :3] = width
         self.start.reshape(512, 4)[:, 1:3] = np.cumsum(width, axis=1)[:, :2]
-        self.counts += np.bincount(np.concatenate(self.missed), minlength=len(self.counts)) * COUNT
+        self.counts += np.bincount(np.concatenate(self.missed), minlength=self.n_ids + 1)[: self.n_ids] * COUNT
         self.missed = [np.zeros(0, dtype=np.int64)]
-        self.upto = np.zeros(len(self.counts) + 1, dtype=np.uint64)
-        np.cumsum(self.counts, out=self.upto[1:].view(np.int64))
-        self.total = self.upto[-1]
+        # at least one for each id, what rounding leaves to the most frequent one; a last id, of all shares, for lanes without order 0
+        whole = 1 << int(self.bits)
+        share = self.counts * (whole - self.n_ids) // self.counts.sum() + 1
+        share[np.argmax(self.counts)] += whole - share.sum()
+        self.share, self.upto = np.append(share, whole).astype(np.uint64), np.zeros(self.n_ids + 1, dtype=np.uint64)
+        np.cumsum(share[:-1], out=self.upto[1:-1].view(np.int64))
+        if self.finds:
+            self.owner = np.repeat(np.arange(self.n_ids, dtype=np.int32), share)
         self.done = self.step
 
-    def predict(self, running: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key (order 2's), and the predictions of orders 2 and 1, of each running lane."""
-        one, two = self.before[0, :running], self.before[1, :running]
-        self.slot = ((one * 0x9E3779B1 ^ two * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - ORDER_2_BITS)
-        self.entry2, self.entry1, self.context = self.two.take(self.slot), self.one.take(one), one
-        of_two, of_one = self.entry2 >> 4, self.entry1 >> 4
-        key = (self.entry2 & 15) << 6
-        key |= (self.entry1 & 15) << 2
-        key |= (of_two == of_one).astype(key.dtype) << 10
-        return key, of_two, of_one
+    def predict(self, running: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key (order 2's) of each running lane, and the predictions of orders 2 and 1."""
+        one, self.at = self.one[:running], self.slots[:, :running]
+        self.at[0] = (one * np.uint32(0x9E3779B1) ^ self.hashed_two[:running]) >> np.uint32(32 - ORDER_2_BITS)
+        np.add(one, 1 << ORDER_2_BITS, out=self.at[1])
+        self.entry = self.entries.take(self.at)
+        guess, self.sure = self.entry >> 4, self.entry & 15
+        key = (self.sure[0] << 6) | (self.sure[1] << 2)
+        key |= (guess[0] == guess[1]).astype(key.dtype) << 10
+        return key.astype(np.int64), guess
 
     def find(self, targets: np.ndarray) -> np.ndarray:
-        """The ids whose share of the order 0 counts holds the targets; looked up in rising order, which keeps to the cache."""
+        """The ids whose share of order 0 holds the targets; looked up in rising order, which keeps to the cache, if not in a list."""
+        if self.finds:
+            return self.owner.take(targets.view(np.int64))
         rising = np.argsort(targets)
         found = np.empty(len(targets), dtype=np.int64)
-        found[rising] = np.searchsorted(self.upto, targets[rising], side="right") - 1
+        found[rising] = np.searchsorted(self.upto[:-1], targets[rising], side="right") - 1
         return found
 
-    def learn(self, key: np.ndarray, ids: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray, missed: np.ndarray) -> None:
-        """``key`` of the order that coded each lane's id, whether orders 2 and 1 had it; ``missed`` are the ids that order 0 coded."""
+    def learn(self, key: np.ndarray, ids: np.ndarray, hit: np.ndarray, missed: np.ndarray) -> None:
+        """``key`` of the order that coded each lane's id, whether orders 2 and 1 had it; ``missed`` are the ids that order 0 coded, n_ids standing for none."""
         n = len(ids)
         self.keys[self.step, :n] = key
         self.missed.append(missed)
-        fresh = ids.astype(self.two.dtype) << 4
-        for table, at, entry, hit in ((self.two, self.slot, self.entry2, hit_two), (self.one, self.context, self.entry1, hit_one)):
-            sure = entry & 15
-            # a hit raises the confidence, a miss halves it; one without confidence gives way
-            changed = entry + np.where(hit, sure < 15, -((sure + 1) >> 1))
-            np.copyto(changed, fresh, where=(sure <= 1) & ~hit)
-            table[at] = changed
-        self.before[1, :n] = self.before[0, :n]
-        self.before[0, :n] = ids
+        state = self.sure
+        state += hit.astype(state.dtype) << 4
+        changed = self.entry
+        changed += self.change.take(state)
+        # one without confidence gives way at a miss
+        np.copyto(changed, ids.astype(changed.dtype) << 4, where=state <= 1)
+        self.entries[self.at] = changed
+        np.multiply(self.one[:n], np.uint32(0x85EBCA6B), out=self.hashed_two[:n])
+        self.one[:n] = ids
         self.step += 1
         if self.step - self.done >= min(MIX_STEPS, max(1, self.done)):
             self._mix()
@@ -113,46 +131,44 @@ def _lanes(n: int) -> tuple[int, int]:
 def encode_block(symbols: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """(16-bit words of all lanes one after another, number of words of each) for a block of numbers below n_ids."""
     lanes, steps = _lanes(len(symbols))
-    ids = np.zeros(lanes * steps, dtype=np.int64)
+    ids = np.zeros(lanes * steps, dtype=np.int32)
     ids[: len(symbols)] = symbols
     ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
     short = len(symbols) - (lanes - 1) * steps
     model = _Model(n_ids, steps, lanes)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, WIDEST)
-    room = 4 * steps + 8
-    out, used = np.zeros(lanes * room, dtype=np.uint32), np.arange(lanes) * room
+    # the first words of all lanes, then the second ones, and so on
+    out, used = np.zeros((4 * steps + 8) * lanes, dtype=np.uint32), np.arange(lanes)
     for t in range(steps):
         n = lanes if t < short else lanes - 1
         now, lo, wd = ids[t, :n], low[:n], width[:n]
-        key, of_two, of_one = model.predict(n)
-        hit_two, hit_one = now == of_two, now == of_one
-        order = np.where(hit_two, 0, 2 - hit_one)
+        key, guess = model.predict(n)
+        hit = guess == now
+        order = np.where(hit[0], 0, 2 - hit[1])
         key |= order
-        unit = wd >> _SHIFT
-        lo += unit * model.start.take(key)
-        np.multiply(unit, model.width.take(key), out=wd)
-        missed = np.flatnonzero(order == 2)
-        z = now[missed]
-        start = model.upto.take(z)
-        unit = wd[missed] // model.total
-        lo[missed] += unit * start
-        wd[missed] = unit * (model.upto.take(z + 1) - start)
-        model.learn(key, now, hit_two, hit_one, z)
+        wd >>= _SHIFT
+        lo += wd * model.start.take(key)
+        wd *= model.width.take(key)
+        z = np.where(order == 2, now, n_ids)
+        wd >>= model.bits
+        lo += wd * model.upto.take(z)
+        wd *= model.share.take(z)
+        model.learn(key, now, hit, z)
         need = np.flatnonzero(wd < BOTTOM)
         while len(need):
             a, at = lo[need], used[need]
             out[at] = a >> _HIGH  # a bit above the word is its carry
-            used[need] = at + 1
+            used[need] = at + lanes
             lo[need] = (a & (BOTTOM - np.uint64(1))) << _SHIFT
             a = wd[need] << _SHIFT
             wd[need] = a
             need = need[a < BOTTOM]
     # at least 2**46 wide, so a start rounded up to 2**30 is inside whatever the next lane's words add to it
     low = (low + np.uint64((1 << 30) - 1)) >> np.uint64(30)
-    out[used], out[used + 1] = low >> _SHIFT, low & np.uint64(0xFFFF)
-    used += 2
-    sizes = used - np.arange(lanes) * room
-    words = np.concatenate([out[k * room : e] for k, e in enumerate(used.tolist())])
+    out[used], out[used + lanes] = low >> _SHIFT, low & np.uint64(0xFFFF)
+    sizes = used // lanes + 2
+    rows = int(sizes.max())
+    words = np.ascontiguousarray(out[: rows * lanes].reshape(rows, lanes).T)[np.arange(rows) < sizes[:, None]]
     # no carry leaves a lane: all its intervals are within the first
     while len(over := np.flatnonzero(words > 0xFFFF)):
         words[over] &= 0xFFFF
@@ -171,31 +187,30 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, length: int, n_ids: int)
     code = (stream[used] << np.uint64(46)) | (stream[used + 1] << np.uint64(30)) | (stream[used + 2] << np.uint64(14)) | (stream[used + 3] >> np.uint64(2))
     used += 4
     stream[1:] = ((stream[:-1] & np.uint64(3)) << np.uint64(14)) | (stream[1:] >> np.uint64(2))
-    model = _Model(n_ids, steps, lanes)
+    model = _Model(n_ids, steps, lanes, finds=True)
     width = np.full(lanes, WIDEST)
-    ids = np.zeros((steps, lanes), dtype=np.int64)
+    ids = np.zeros((steps, lanes), dtype=np.int32)
     for t in range(steps):
         n = lanes if t < short else lanes - 1
-        co, wd = code[:n], width[:n]
-        key, of_two, of_one = model.predict(n)
-        unit = wd >> _SHIFT
+        now, co, wd = ids[t, :n], code[:n], width[:n]
+        key, guess = model.predict(n)
+        wd >>= _SHIFT
         # without a division: whether the code reaches the shares of orders 1 and 0
-        order = (co >= unit * model.start.take(key | 1)).astype(key.dtype)
-        order += co >= unit * model.start.take(key | 2)
+        order = (co >= wd * model.start.take(key | 1)).astype(key.dtype)
+        order += co >= wd * model.start.take(key | 2)
         key |= order
-        co -= unit * model.start.take(key)
-        np.multiply(unit, model.width.take(key), out=wd)
-        now = np.where(order == 0, of_two, of_one).astype(np.int64)
+        co -= wd * model.start.take(key)
+        wd *= model.width.take(key)
+        wd >>= model.bits
+        now[:] = np.where(order == 0, guess[0], guess[1])
         missed = np.flatnonzero(order == 2)
-        unit = wd[missed] // model.total
-        target = np.minimum(co[missed] // unit, model.total - np.uint64(1))
-        z = model.find(target)
+        unit, above = wd[missed], co[missed]
+        z = model.find(np.minimum(above // unit, np.uint64((1 << int(model.bits)) - 1)))
         now[missed] = z
-        start = model.upto.take(z)
-        co[missed] -= unit * start
-        wd[missed] = unit * (model.upto.take(z + 1) - start)
-        model.learn(key, now, now == of_two, now == of_one, z)
-        ids[t, :n] = now
+        wd <<= model.bits
+        co[missed] = above - unit * model.upto.take(z)
+        wd[missed] = unit * model.share.take(z)
+        model.learn(key, now, guess == now, z)
         need = np.flatnonzero(wd < BOTTOM)
         while len(need):
             at = used[need]
@@ -261,91 +276,129 @@ def unpack_ids(segment: bytes) -> np.ndarray:
 #: Letters of Latin-1, where each is composed and has one lower case, and signs. Letters with signs behind them are two pre-tokens.
 LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_WORD = f"^[{LETTERS}]+$"
+_WORD, _PLAIN = f"^[{LETTERS}]+$", "^[a-z]+$"
 #: Words of one text given to the library; bytes of text whose stretches are looked up together.
-WORDS_AT_ONCE, RUN_BYTES = 64, 8 << 20
+WORDS_AT_ONCE, RUN_BYTES = 128, 8 << 20
+#: Rules that leave words of lower-case letters of Latin-1 as they are, but for the bytes above 127.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _joined(words: pa.Array) -> list[str]:
+    """The words WORDS_AT_ONCE to a text, with blanks between."""
+    bounds = np.append(np.arange(0, len(words), WORDS_AT_ONCE), len(words))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), pa.scalar(" ", words.type)).to_pylist()
+
+
+def _packed(ids: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    """Ids one after another, cut into values of these numbers of ids."""
+    own = np.concatenate([np.zeros(0, dtype="<u4"), *ids])
+    upto = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *sizes])) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer(upto), pa.py_buffer(own)])
 
 
-def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pieces that lie one after another with these sizes, those at ``at`` in that order, and their sizes."""
-    own = sizes[at]
-    upto = np.cumsum(own)
-    shift = (np.cumsum(sizes) - sizes)[at] - upto + own
-    place = np.repeat(shift, own)
-    place += np.arange(len(place))
-    return ids[place], own
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all values one after another, where each value starts and the last one ends)."""
+    upto = np.frombuffer(packed.buffers()[1], dtype=np.int64, count=packed.offset + len(packed) + 1)[packed.offset :] // 4
+    data = packed.buffers()[2]
+    ids = np.frombuffer(data, dtype="<u4", count=upto[-1]) if data else np.zeros(0, dtype="<u4")
+    return ids[upto[0] :], upto - upto[0]
 
 
 class StretchEncoder:
     """Ids of whole texts by the tokenizers library, which sees each blank-free stretch of text once while it is remembered.
 
     The tokenizer drops white space between pre-tokens and no pre-token, special string or composed character spans a
-    blank, tab or line end, so the stretches between those can be encoded alone. Words of letters are given to the library
-    many in a text; where one ends, its last id is of a vocabulary entry with the end-of-word suffix.
+    blank, tab or line end, so the stretches between those can be encoded alone. By the rules of _NORMALIZER and _CUT words of
+    letters are lower-cased and parted from signs; so they are here, and given to the library many in a text and without
+    its normalizer and regular expressions; where one ends, its last id is of a vocabulary entry with the end-of-word
+    suffix. By other rules the library gets stretches as they are. What is remembered is two Arrow arrays, of pieces and of
+    their packed ids.
     """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.runs = np.zeros(0, dtype=np.int64), 0
         suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for v, i in vocab.items() if suffix and v.endswith(suffix)]] = True
-        self.lowers = bool(self.tokenizer.normalizer) and self.tokenizer.normalizer.normalize_str("A\u00c9") == "a\u00e9"
-
-    def _learn(self, texts: list[str]) -> None:
-        """Remember the ids of texts, each encoded alone."""
-        self.known.update((s, array("I", e.ids).tobytes()) for s, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True))
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Remember the ids of words of letters, encoded many at a time; alone where their ends are not seen."""
-        runs = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            upto = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(upto) != len(run) or upto[-1] != ids.nbytes:
-                self._learn(run)
-                continue
-            packed = ids.tobytes()
-            self.known.update((w, packed[a:b]) for w, a, b in zip(run, [0, *upto], upto))
-
-    def _pieces(self, pieces: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the distinct pieces one after another, number of ids of each), asking the library for those not remembered."""
-        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known, older = self.known, self.older
-        packed = list(map(known.get, names))
-        if new := [i for i, p in enumerate(packed) if p is None]:
-            known.update((names[i], older[names[i]]) for i in new if names[i] in older)
-            word = pc.match_substring_regex(pieces.dictionary.take(new), _WORD).to_pylist()
-            missing = [(names[i], w) for i, w in zip(new, word, strict=True) if names[i] not in known]
-            self._learn_words([s for s, w in missing if w])
-            self._learn([s for s, w in missing if not w])
-            for i in new:
-                packed[i] = known[names[i]]
-        return np.frombuffer(b"".join(packed), dtype="<u4"), np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        self.plain = self.bytewise = None
+        made = json.loads(model)
+        rules = [(made.get(k) or {}).get(n) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if rules == [_NORMALIZER, _CUT] and not any(set(LETTERS).issuperset(t["content"]) for t in made.get("added_tokens") or []):
+            self.plain, self.bytewise = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.bytewise.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _encode(self, texts: list[str], tokenizer) -> list[np.ndarray]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.frombuffer(array("I", e.ids), dtype="<u4") for e in found]
+
+    def _encode_alone(self, texts: pa.Array) -> pa.Array:
+        ids = self._encode(texts.to_pylist(), self.tokenizer)
+        return _packed(ids, [np.array([len(i) for i in ids], dtype=np.int64)])
+
+    def _encode_words(self, words: pa.Array, tokenizer) -> pa.Array:
+        """The packed ids of words of letters, encoded many at a time; alone where their ends are not seen."""
+        ids, sizes = self._encode(_joined(words), tokenizer), []
+        for k, own in enumerate(ids):
+            run = words.slice(k * WORDS_AT_ONCE, WORDS_AT_ONCE)
+            upto = np.flatnonzero(self.ends[own]) + 1
+            if len(upto) != len(run) or upto[-1] != len(own):
+                alone = self._encode(run.to_pylist(), tokenizer)
+                ids[k], upto = np.concatenate(alone), np.cumsum([len(i) for i in alone])
+            sizes.append(np.diff(upto, prepend=0))
+        return _packed(ids, sizes)
+
+    def _look_up(self, pieces: pa.Array) -> np.ndarray:
+        """Where the distinct pieces are among the remembered ones, asking the library for those not yet there."""
+        found = pc.index_in(pieces, value_set=self.known)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        plain, word = (pc.match_substring_regex(pieces.take(pa.array(new)), w).to_numpy(zero_copy_only=False).copy() for w in (_PLAIN, _WORD))
+        word &= self.plain is not None
+        of = [new[word & plain], new[word & ~plain], new[~word]]
+        at[np.concatenate(of)] = np.arange(len(self.known), len(self.known) + len(new))
+        plain, word, other = (pieces.take(pa.array(n)) for n in of)
+        self.ids = pa.concat_arrays([self.ids, self._encode_words(plain, self.plain), self._encode_words(word, self.bytewise), self._encode_alone(other)])
+        self.known = pa.concat_arrays([self.known, plain, word, other])
+        self.used = np.append(self.used, np.zeros(len(new), dtype=np.int64))
+        self.used[at] = self.runs
+        return at
+
+    def _forget(self) -> None:
+        """Drop long pieces, and of too many those not used for longest."""
+        short = pc.less_equal(pc.binary_length(self.known), 64).to_numpy(zero_copy_only=False)
+        if len(short) <= STRETCHES and short.all():
+            return
+        keep = np.flatnonzero(short)
+        if len(keep) > STRETCHES:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: STRETCHES * 2 // 3]])
+        self.known, self.ids, self.used = self.known.take(keep), self.ids.take(keep), self.used[keep]
 
     def encode_run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each)."""
+        """(ids of all texts one after another, where each text starts and the last one ends)."""
+        self.runs += 1
         cut = pc.ascii_split_whitespace(texts)
         stretches = cut.flatten().dictionary_encode()
         names = stretches.dictionary
         word = pc.utf8_rtrim(names, SIGNS)
-        own = pc.match_substring_regex(word, _WORD)
-        word = pc.if_else(own, pc.utf8_lower(word) if self.lowers else word, names).dictionary_encode()
+        own = pc.and_(pc.match_substring_regex(word, _WORD), self.plain is not None)
+        word = pc.if_else(own, pc.utf8_lower(word), names).dictionary_encode()
         signs = pc.if_else(own, pc.utf8_ltrim(names, LETTERS), "").dictionary_encode()
-        (ids, sizes), (more, more_sizes) = self._pieces(word), self._pieces(signs)
         # each name's pieces, then each stretch's name
-        at = np.stack([word.indices.to_numpy(), signs.indices.to_numpy() + len(sizes)], axis=1).reshape(-1)
-        ids, sizes = _gather(np.concatenate([ids, more]), np.concatenate([sizes, more_sizes]), at)
-        ids, sizes = _gather(ids, sizes.reshape(-1, 2).sum(axis=1), stretches.indices.to_numpy())
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
-        if len(self.known) > STRETCHES:
-            self.older, self.known = {s: b for s, b in self.known.items() if len(s) <= 64}, {"": b""}
-        return ids, np.diff(bounds)
+        places = [self._look_up(p.dictionary)[p.indices.to_numpy()] for p in (word, signs)]
+        parts = [self.ids.take(pa.array(p)) for p in places]
+        ids, upto = _unpacked(pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).take(stretches.indices))
+        self._forget()
+        return ids, upto[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, null ones taken as empty."""
@@ -353,8 +406,8 @@ class StretchEncoder:
         run = np.cumsum(pc.binary_length(texts).to_numpy()) // RUN_BYTES
         for of in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(run)) + 1):
             if len(of):
-                ids, lengths = self.encode_run(texts.slice(of[0], len(of)))
-                yield from np.split(ids, np.cumsum(lengths)[:-1])
+                ids, bounds = self.encode_run(texts.slice(of[0], len(of)))
+                yield from np.split(ids, bounds[1:-1])
 
 
 #: A stored segment.
