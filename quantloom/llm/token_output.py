@@ -128,12 +128,20 @@ def _lanes(n: int) -> tuple[int, int]:
     return -(-n // steps), steps
 
 
+def _turned(table: np.ndarray) -> np.ndarray:
+    """The table with rows for columns, 64 of its rows at a time, which stay in the cache."""
+    turned = np.empty(table.shape[::-1], dtype=table.dtype)
+    for i in range(0, len(table), 64):
+        turned[:, i : i + 64] = table[i : i + 64].T
+    return turned
+
+
 def encode_block(symbols: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """(16-bit words of all lanes one after another, number of words of each) for a block of numbers below n_ids."""
     lanes, steps = _lanes(len(symbols))
     ids = np.zeros(lanes * steps, dtype=np.int32)
     ids[: len(symbols)] = symbols
-    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    ids = _turned(ids.reshape(lanes, steps))
     short = len(symbols) - (lanes - 1) * steps
     model = _Model(n_ids, steps, lanes)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, WIDEST)
@@ -144,7 +152,7 @@ def encode_block(symbols: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarra
         now, lo, wd = ids[t, :n], low[:n], width[:n]
         key, guess = model.predict(n)
         hit = guess == now
-        order = np.where(hit[0], 0, 2 - hit[1])
+        order = (2 - hit[1].view(np.int8)) * (~hit[0]).view(np.int8)
         key |= order
         wd >>= _SHIFT
         lo += wd * model.start.take(key)
@@ -168,7 +176,7 @@ def encode_block(symbols: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarra
     out[used], out[used + lanes] = low >> _SHIFT, low & np.uint64(0xFFFF)
     sizes = used // lanes + 2
     rows = int(sizes.max())
-    words = np.ascontiguousarray(out[: rows * lanes].reshape(rows, lanes).T)[np.arange(rows) < sizes[:, None]]
+    words = _turned(out[: rows * lanes].reshape(rows, lanes))[np.arange(rows) < sizes[:, None]]
     # no carry leaves a lane: all its intervals are within the first
     while len(over := np.flatnonzero(words > 0xFFFF)):
         words[over] &= 0xFFFF
@@ -219,7 +227,7 @@ def decode_block(words: np.ndarray, sizes: np.ndarray, length: int, n_ids: int)
             a = wd[need] << _SHIFT
             wd[need] = a
             need = need[a < BOTTOM]
-    return ids.T.reshape(-1)[:length]
+    return _turned(ids).reshape(-1)[:length]
 
 
 def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -391,12 +399,12 @@ class StretchEncoder:
         names = stretches.dictionary
         word = pc.utf8_rtrim(names, SIGNS)
         own = pc.and_(pc.match_substring_regex(word, _WORD), self.plain is not None)
-        word = pc.if_else(own, pc.utf8_lower(word), names).dictionary_encode()
-        signs = pc.if_else(own, pc.utf8_ltrim(names, LETTERS), "").dictionary_encode()
-        # each name's pieces, then each stretch's name
-        places = [self._look_up(p.dictionary)[p.indices.to_numpy()] for p in (word, signs)]
-        parts = [self.ids.take(pa.array(p)) for p in places]
-        ids, upto = _unpacked(pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).take(stretches.indices))
+        pieces = pa.concat_arrays([pc.if_else(own, pc.utf8_lower(word), names), pc.if_else(own, pc.utf8_ltrim(names, LETTERS), "")]).dictionary_encode()
+        # each name's two pieces, then each stretch's name
+        at = self._look_up(pieces.dictionary)[pieces.indices.to_numpy()]
+        packed = self.ids.take(pa.array(at))
+        packed = pc.binary_join_element_wise(packed[: len(names)], packed[len(names) :], pa.scalar(b"", pa.large_binary()))
+        ids, upto = _unpacked(packed.take(stretches.indices))
         self._forget()
         return ids, upto[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])]
 
